@@ -18,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runwarden.session import ensure_checkpoint_dir
+from runwarden.session import materialize
 
 HOT_ROWS_SETTING = "runwarden.hotGroupRows"
 DEFAULT_HOT_ROWS = 10_000_000
@@ -46,15 +46,10 @@ def chunk_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tupl
     limit = hot_rows_limit(df)
     if not has_hot_group(df, keys, limit):
         return df.withColumn(CHUNK, F.lit(0)), False
-    ensure_checkpoint_dir(df.sparkSession)
     total = df.count()
     parts = max(2, -(-total // limit))
     ranged = df.repartitionByRange(int(parts), *[F.col(c) for c in (*keys, *order)])
-    return ranged.withColumn(CHUNK, F.spark_partition_id()).checkpoint(), True
-
-
-def _chunk_window(keys: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    return materialize(ranged.withColumn(CHUNK, F.spark_partition_id())), True
 
 
 def _split_keys(rows: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
@@ -66,81 +61,91 @@ def _split_keys(rows: DataFrame, keys: Sequence[str], aggregates: Sequence[Colum
 
 def _attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Null-safe join of the carry; its size is bounded by the number of chunks."""
-    right = carry.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(CHUNK).alias("_k_chunk"), "_carry")
+    right = carry.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(CHUNK).alias("_k_chunk"), "_carry"
+    )
     on = F.col(CHUNK) == F.col("_k_chunk")
     for key in keys:
         on = on & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
     return rows.join(F.broadcast(right), on, "left").drop("_k_chunk", *[f"_k_{k}" for k in keys])
 
 
-def ordered_lead(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alias: str
-) -> DataFrame:
-    """Value of the next row of the same key, null on the last one."""
-    rows, hot = chunk_rows(df, keys, order)
-    out = rows.withColumn(alias, F.lead(F.struct(value)).over(_chunk_window(keys, order)))
-    if hot:
-        first = F.min(F.struct(*order, F.struct(F.col(value)).alias("_v"))).alias("_first")
-        following = F.lead("_first").over(Window.partitionBy(*keys).orderBy(CHUNK))
-        carry = _split_keys(rows, keys, [first]).withColumn("_carry", following.getField("_v"))
-        out = _attach(out, carry, keys)
-        out = out.withColumn(alias, F.coalesce(F.col(alias), F.col("_carry"))).drop("_carry")
-    return out.withColumn(alias, F.col(alias).getField(value)).drop(CHUNK)
-
-
-def ordered_last(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    alias: str,
-    include_current: bool = True,
-) -> DataFrame:
-    """Latest non-null ``value`` at or before each row (strictly before when asked)."""
-    rows, hot = chunk_rows(df, keys, order)
-    end = Window.currentRow if include_current else -1
-    frame = _chunk_window(keys, order).rowsBetween(Window.unboundedPreceding, end)
-    out = rows.withColumn(alias, F.last(value, ignorenulls=True).over(frame))
-    if hot:
-        held = F.max(
-            F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("_v")))
-        ).alias("_held")
-        before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        carry = _split_keys(rows, keys, [held]).withColumn(
-            "_carry", F.last("_held", ignorenulls=True).over(before).getField("_v")
-        )
-        out = _attach(out, carry, keys)
-        out = out.withColumn(alias, F.coalesce(F.col(alias), F.col("_carry"))).drop("_carry")
-    return out.drop(CHUNK)
-
-
-def ordered_running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]
-) -> DataFrame:
-    """Running totals up to and including each row.  ``order`` must be unique per key."""
-    rows, hot = chunk_rows(df, keys, order)
-    frame = _chunk_window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows
-    for alias, expression in sums.items():
-        out = out.withColumn(alias, F.sum(expression).over(frame))
-    if hot:
-        totals = F.struct(*[F.sum(e).alias(a) for a, e in sums.items()]).alias("_totals")
-        before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        carry = _split_keys(rows, keys, [totals]).withColumn(
-            "_carry",
-            F.struct(*[F.sum(F.col("_totals").getField(a)).over(before).alias(a) for a in sums]),
-        )
-        out = _attach(out, carry, keys)
-        for alias in sums:
-            out = out.withColumn(
-                alias, F.col(alias) + F.coalesce(F.col("_carry").getField(alias), F.lit(0))
-            )
-        out = out.drop("_carry")
-    return out.drop(CHUNK)
+class Ordered:
+    """Rows in order within each key; each method adds a column and returns a new object.
 
+    ``order`` must be unique within a key.
+    """
 
-def ordered_number(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], alias: str
-) -> DataFrame:
-    """1, 2, 3 … per key in ``order``."""
-    return ordered_running_sum(df, keys, order, {alias: F.lit(1).cast("bigint")})
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
+        self.keys, self.order = list(keys), list(order)
+        self.df, self.hot = chunk_rows(df, keys, order)
+
+    def _with(self, df: DataFrame) -> Ordered:
+        other = object.__new__(Ordered)
+        other.keys, other.order, other.df, other.hot = self.keys, self.order, df, self.hot
+        return other
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.df.drop(CHUNK)
+
+    @property
+    def _window(self):
+        return Window.partitionBy(*self.keys, CHUNK).orderBy(*self.order)
+
+    @property
+    def _earlier_chunks(self):
+        chunks = Window.partitionBy(*self.keys).orderBy(CHUNK)
+        return chunks.rowsBetween(Window.unboundedPreceding, -1)
+
+    def with_column(self, name: str, value: Column) -> Ordered:
+        return self._with(self.df.withColumn(name, value))
+
+    def lead(self, value: str, alias: str) -> Ordered:
+        """Value of the next row of the same key, null on the last one."""
+        out = self.df.withColumn(alias, F.lead(F.struct(value)).over(self._window))
+        if self.hot:
+            first = F.min(F.struct(*self.order, F.struct(F.col(value)).alias("_v"))).alias("_first")
+            following = F.lead("_first").over(Window.partitionBy(*self.keys).orderBy(CHUNK))
+            carry = _split_keys(self.df, self.keys, [first]).withColumn(
+                "_carry", following.getField("_v")
+            )
+            out = _attach(out, carry, self.keys)
+            out = out.withColumn(alias, F.coalesce(F.col(alias), F.col("_carry"))).drop("_carry")
+        return self._with(out.withColumn(alias, F.col(alias).getField(value)))
+
+    def last(self, value: str, alias: str, include_current: bool = True) -> Ordered:
+        """Latest non-null ``value`` at or before each row (strictly before when asked)."""
+        end = Window.currentRow if include_current else -1
+        frame = self._window.rowsBetween(Window.unboundedPreceding, end)
+        out = self.df.withColumn(alias, F.last(value, ignorenulls=True).over(frame))
+        if self.hot:
+            present = F.col(value).isNotNull()
+            held = F.max_by(F.when(present, F.col(value)), F.when(present, F.struct(*self.order)))
+            carry = _split_keys(self.df, self.keys, [held.alias("_held")]).withColumn(
+                "_carry", F.last("_held", ignorenulls=True).over(self._earlier_chunks)
+            )
+            out = _attach(out, carry, self.keys)
+            out = out.withColumn(alias, F.coalesce(F.col(alias), F.col("_carry"))).drop("_carry")
+        return self._with(out)
+
+    def running_sum(self, sums: Mapping[str, Column]) -> Ordered:
+        """Totals up to and including each row."""
+        frame = self._window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = self.df.withColumns({a: F.sum(e).over(frame) for a, e in sums.items()})
+        if self.hot:
+            totals = F.struct(*[F.sum(e).alias(a) for a, e in sums.items()]).alias("_totals")
+            carried = [
+                F.sum(F.col("_totals").getField(a)).over(self._earlier_chunks).alias(a) for a in sums
+            ]
+            carry = _split_keys(self.df, self.keys, [totals]).withColumn("_carry", F.struct(*carried))
+            out = _attach(out, carry, self.keys)
+            for alias in sums:
+                earlier = F.coalesce(F.col("_carry").getField(alias), F.lit(0))
+                out = out.withColumn(alias, F.coalesce(F.col(alias), F.lit(0)) + earlier)
+            out = out.drop("_carry")
+        return self._with(out)
+
+    def number(self, alias: str) -> Ordered:
+        """1, 2, 3 … within each key."""
+        return self.running_sum({alias: F.lit(1).cast("bigint")})

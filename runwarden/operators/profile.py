@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from runwarden import config
 from runwarden.functions.hashing import set_digest_parts
 from runwarden.functions.text import last_segment, token
-from runwarden.operators.ordering import ordered_lead
+from runwarden.operators.ordering import Ordered
 
 SHELL_FAMILY = "_shell"
 
@@ -107,7 +107,7 @@ def sequence_bigrams(execs: DataFrame, keys: Sequence[str]) -> DataFrame:
         process_token().alias("_token"),
     )
     group = [*[k for k in keys if k != "container_id"], "container_id"]
-    paired = ordered_lead(rows, group, ["_at", "_id"], "_token", "_next")
+    paired = Ordered(rows, group, ["_at", "_id"]).lead("_token", "_next").rows
     bigrams = paired.where(F.col("_next").isNotNull()).select(
         *keys,
         F.lit("process_sequence_bigram").alias("family"),

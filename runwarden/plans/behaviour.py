@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runwarden import config
 from runwarden.operators import profile, score
-from runwarden.session import ensure_checkpoint_dir
+from runwarden.session import materialize
 
 
 @dataclass(frozen=True)
@@ -61,18 +61,19 @@ class Behaviour:
     @cached_property
     def counts(self) -> DataFrame:
         """(image_digest, w, family, token, n); training bigrams are all at w = -1."""
-        ensure_checkpoint_dir(self.execs.sparkSession)
         whole_training = F.greatest(F.col("w"), F.lit(-1).cast("bigint"))
         bigrams = profile.sequence_bigrams(
             self.execs.withColumn("w", whole_training), ["image_digest", "w"]
         )
-        return profile.windowed_counts(self.execs, self.lifecycle).unionByName(bigrams).checkpoint()
+        return materialize(profile.windowed_counts(self.execs, self.lifecycle).unionByName(bigrams))
 
     @cached_property
     def baseline(self) -> DataFrame:
         """(image_digest, family, token, n) over the training interval."""
         rows = self.counts.where((F.col("w") < 0) & (F.col("family") != profile.SHELL_FAMILY))
-        return rows.groupBy("image_digest", "family", "token").agg(F.sum("n").alias("n"))
+        return materialize(
+            rows.groupBy("image_digest", "family", "token").agg(F.sum("n").alias("n"))
+        )
 
     @cached_property
     def observed(self) -> DataFrame:
@@ -90,7 +91,7 @@ class Behaviour:
         training = self.numbers.where("w < 0")
         count = self.interval.training_windows
         spine = profile.window_spine(training, -count, count)
-        return profile.numeric_summary(profile.fill_windows(training, spine))
+        return materialize(profile.numeric_summary(profile.fill_windows(training, spine)))
 
     @cached_property
     def spine(self) -> DataFrame:
@@ -119,13 +120,12 @@ def drift_ranking(execs: DataFrame, interval: Interval) -> DataFrame:
     The flagship question.  The executions are scanned once; their counts per (image,
     window, executable) go to the checkpoint folder and everything else reads those.
     """
-    ensure_checkpoint_dir(execs.sparkSession)
     rows = execs.where(within(interval)).withColumn("w", window_of(interval))
     rows = rows.withColumn("w", F.greatest("w", F.lit(-1).cast("bigint")))
     counts = rows.groupBy("image_digest", "w", profile.process_token().alias("token")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    counts = counts.checkpoint()
+    counts = materialize(counts)
     compared = score.compare_tokens(
         counts.where("w = -1").drop("w"), counts.where("w >= 0"), ["image_digest"], ["image_digest", "w"]
     )

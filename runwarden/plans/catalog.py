@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from runwarden.plans import behaviour_queries  # noqa: F401
+from runwarden.plans import (  # noqa: F401
+    behaviour_queries,
+    detection_queries,
+    enrich_queries,
+)
 from runwarden.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

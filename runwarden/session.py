@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,3 +45,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="run-ckpt-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a frame once to the shared checkpoint folder and read it back.
+
+    For intermediate results that are small next to the events and are read by several
+    later steps.  Runs a job.  The table survives lost executors, later readers prune
+    its columns, and its real size guides their joins.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
