@@ -6,6 +6,7 @@ from runwarden.plans import (  # noqa: F401
     behaviour_queries,
     detection_queries,
     enrich_queries,
+    evaluation_queries,
 )
 from runwarden.plans.registry import ORACLE, QUERIES
 
