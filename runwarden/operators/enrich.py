@@ -288,53 +288,79 @@ def within_seconds_after(
 # --- latest-state folds ------------------------------------------------------------------
 
 
-def _newest(value: str, order: Column) -> Column:
-    """Newest non-null value; ties on time go to the largest value."""
-    stamped = F.when(F.col(value).isNotNull(), F.struct(order.alias("o"), F.col(value).alias("v")))
-    return F.max(stamped).getField("v").alias(value)
+def _identity_state(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], status: str) -> DataFrame:
+    """Mergeable state per key: each column with the time it was seen.
 
+    Each column keeps its newest non-null value by observation time, the earlier of
+    occurrence and receipt; ties on time go to the largest value.  A failed inspection
+    counts as a status only when there is no other.
+    """
+    seen = F.least("occurred_at", "received_at")
 
-def _newest_status(value: str, order: Column) -> Column:
-    """Newest status other than a failed inspection, which only counts when alone."""
-    good = F.when(F.col(value) != "inspection_failed", F.struct(order.alias("o"), F.col(value).alias("v")))
-    return F.coalesce(F.max(good).getField("v"), F.max(value)).alias(value)
+    def stamped(value: Column) -> Column:
+        return F.max(F.when(value.isNotNull(), F.struct(seen.alias("o"), value.alias("v"))))
 
+    failed = F.col(status) == "inspection_failed"
+    return rows.groupBy(*keys).agg(
+        *[stamped(F.col(c)).alias(c) for c in columns],
+        stamped(F.when(~failed, F.col(status))).alias(status),
+        stamped(F.when(failed, F.col(status))).alias("failed_status"),
+        F.min(seen).alias("first_seen_at"),
+        F.max(seen).alias("last_seen_at"),
+    )
 
-def fold_identity(
-    events: DataFrame, keys: Sequence[str], columns: Sequence[str], status: str
-) -> DataFrame:
-    """Latest state per key from lifecycle events, whatever order they arrive in.
 
-    Each column keeps its newest non-null value by observation time, the earlier of
-    occurrence and receipt.  Mergeable, so a hot container costs one row per task.
-    """
-    seen = F.least("occurred_at", "received_at")
-    return (
-        events.withColumn("_seen", seen)
-        .groupBy(*keys)
-        .agg(
-            *[_newest(c, F.col("_seen")) for c in columns],
-            _newest_status(status, F.col("_seen")),
-            F.min("_seen").alias("first_seen_at"),
-            F.max("_seen").alias("last_seen_at"),
-        )
+def _merge_states(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    values = [c for c in states.columns if c not in (*keys, "first_seen_at")]
+    return states.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in values], F.min("first_seen_at").alias("first_seen_at")
+    ).select(*states.columns)
+
+
+def _identity_view(state: DataFrame, keys: Sequence[str], columns: Sequence[str], status: str) -> DataFrame:
+    return state.select(
+        *keys,
+        *[F.col(c).getField("v").alias(c) for c in columns],
+        F.coalesce(F.col(status).getField("v"), F.col("failed_status").getField("v")).alias(status),
+        "first_seen_at",
+        "last_seen_at",
     )
 
 
+IMAGE_KEYS, IMAGE_COLUMNS = ["docker_host_id", "image_id"], ["image_ref", "image_digest"]
+CONTAINER_KEYS = ["docker_host_id", "container_id"]
+CONTAINER_COLUMNS = ["container_name", "image_id", "image_ref", "image_digest"]
+STATUS = "image_digest_status"
+
+
 def image_identities(events: DataFrame) -> DataFrame:
+    """Latest state of every image, whatever order its events arrive in."""
     rows = events.where(F.length("image_id") > 0)
-    return fold_identity(
-        rows, ["docker_host_id", "image_id"], ["image_ref", "image_digest"], "image_digest_status"
-    )
+    state = _identity_state(rows, IMAGE_KEYS, IMAGE_COLUMNS, STATUS)
+    return _identity_view(state, IMAGE_KEYS, IMAGE_COLUMNS, STATUS)
 
 
 def container_identities(events: DataFrame, snapshot: str | None = None) -> DataFrame:
-    """As :func:`image_identities` per container; an empty snapshot keeps the older one."""
+    """Latest state of every container; an empty snapshot keeps the older one."""
+    columns = [*CONTAINER_COLUMNS, *([snapshot] if snapshot else [])]
     rows = events.where(F.length("container_id") > 0)
-    columns = ["container_name", "image_id", "image_ref", "image_digest"]
-    if snapshot is not None:
-        columns.append(snapshot)
-    return fold_identity(rows, ["docker_host_id", "container_id"], columns, "image_digest_status")
+    state = _identity_state(rows, CONTAINER_KEYS, columns, STATUS)
+    return _identity_view(state, CONTAINER_KEYS, columns, STATUS)
+
+
+def identity_state(events: DataFrame) -> DataFrame:
+    """Container state of one batch of events, to be merged with earlier states."""
+    rows = events.where(F.length("container_id") > 0)
+    return _identity_state(rows, CONTAINER_KEYS, CONTAINER_COLUMNS, STATUS)
+
+
+def merge_identity_state(states: DataFrame) -> DataFrame:
+    return _merge_states(states, CONTAINER_KEYS)
+
+
+def identity_view(state: DataFrame) -> DataFrame:
+    """The container table that a merged state stands for."""
+    return _identity_view(state, CONTAINER_KEYS, CONTAINER_COLUMNS, STATUS)
 
 
 def fold_heartbeats(beats: DataFrame, now: Column) -> DataFrame:

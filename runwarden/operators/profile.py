@@ -71,15 +71,20 @@ def _pair(family: str, value: Column) -> Column:
     return F.struct(F.lit(family).alias("family"), value.alias("token"))
 
 
-def exec_tokens(execs: DataFrame, keys: Sequence[str], with_shell: bool = False) -> DataFrame:
-    """One (family, token) row per feature of an execution, counted per key."""
+def exec_token_pairs() -> list[Column]:
+    """The (family, token) features of one execution."""
     uid = F.coalesce(F.col("user_uid").cast("string"), F.lit(config.UNKNOWN))
-    pairs = [
+    return [
         _pair("process_name", token(F.col("process_name"))),
         _pair("executable", process_token()),
         _pair("parent_child", F.concat_ws(" -> ", parent_token(), process_token())),
         _pair("user_uid", uid),
     ]
+
+
+def exec_tokens(execs: DataFrame, keys: Sequence[str], with_shell: bool = False) -> DataFrame:
+    """One (family, token) row per feature of an execution, counted per key."""
+    pairs = exec_token_pairs()
     if with_shell:
         pairs.append(_pair(SHELL_FAMILY, is_baseline_shell().cast("string")))
     exploded = execs.select(*keys, F.inline(F.array(*pairs)))

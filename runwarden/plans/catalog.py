@@ -7,6 +7,7 @@ from runwarden.plans import (  # noqa: F401
     detection_queries,
     enrich_queries,
     evaluation_queries,
+    ingest_queries,
     vulnerability_queries,
 )
 from runwarden.plans.registry import ORACLE, QUERIES

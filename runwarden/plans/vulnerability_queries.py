@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runwarden import schemas
+from runwarden.functions.frames import computed_once
 from runwarden.operators import enrich, rules, summaries
 from runwarden.operators import vulnerability as vuln
 from runwarden.plans.behaviour_queries import DISTANCES, NUMBERS, SCORES, TOKENS, behaviour, check, r9
@@ -80,7 +81,7 @@ def report_documents(t: Tables) -> DataFrame:
 
 
 def parse(df: DataFrame, schema: str) -> DataFrame:
-    parsed = df.withColumn("_d", F.from_json("document", schema))
+    parsed = computed_once(df, _d=F.from_json("document", schema))
     return parsed.select(*[c for c in df.columns if c != "document"], "_d.*")
 
 
