@@ -8,6 +8,7 @@ from runwarden.plans import (  # noqa: F401
     enrich_queries,
     evaluation_queries,
     ingest_queries,
+    streaming_queries,
     vulnerability_queries,
 )
 from runwarden.plans.registry import ORACLE, QUERIES

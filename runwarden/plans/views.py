@@ -153,16 +153,25 @@ class Tables:
 
     @property
     def base(self) -> DataFrame:
-        return self.spark.sql(base_sql(SPARK, "{events}"), events=self.raw("events"))
+        return self.base_of(self.raw("events"))
+
+    def base_of(self, events: DataFrame) -> DataFrame:
+        return self.spark.sql(base_sql(SPARK, "{events}"), events=events)
 
     @property
     def execs(self) -> DataFrame:
-        out = self.spark.sql(exec_sql(SPARK, "{base}"), base=self.base)
+        return self.execs_of(self.base)
+
+    def execs_of(self, base: DataFrame) -> DataFrame:
+        out = self.spark.sql(exec_sql(SPARK, "{base}"), base=base)
         return out.withColumn("occurred_at", F.timestamp_micros("us"))
 
     @property
     def lifecycle(self) -> DataFrame:
-        out = self.spark.sql(lifecycle_sql(SPARK, "{base}"), base=self.base)
+        return self.lifecycle_of(self.base)
+
+    def lifecycle_of(self, base: DataFrame) -> DataFrame:
+        out = self.spark.sql(lifecycle_sql(SPARK, "{base}"), base=base)
         return out.withColumn("occurred_at", F.timestamp_micros("us")).withColumn(
             "received_at", F.timestamp_micros("received_us")
         )
