@@ -6,12 +6,17 @@ same shape; a detection is their union.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runwarden import config
+from runwarden.functions.hashing import sha256_fields
 from runwarden.functions.identity import baseline_lookup, parent_path, program_name, program_path
 from runwarden.operators.enrich import top_per_group, within_seconds_after
+from runwarden.operators.ordering import Ordered
 from runwarden.session import materialize
 
 RUN = ["image_digest", "w"]
@@ -217,6 +222,34 @@ def shell_then_tool(unseen: DataFrame, seconds: int = config.CORRELATION_SECONDS
     )
 
 
+def shell_then_tool_counts(unseen: DataFrame, seconds: int = config.CORRELATION_SECONDS) -> DataFrame:
+    """(run, container_id, tool_event_id, shells): how many shells each tool pairs with.
+
+    For totals the pairs themselves are not needed: in time order, the shells so far
+    less the shells that have run out is the number a tool pairs with.  The work grows
+    with the events and not with the pairs.
+    """
+    keys = [*RUN, "container_id"]
+    named = unseen.where(F.length("container_id") > 0)
+    at, ident = F.unix_micros("occurred_at"), F.col("event_id")
+
+    def marks(rows: DataFrame, when: Column, kind: int, value: int) -> DataFrame:
+        return rows.select(
+            *keys,
+            when.alias("at"),
+            F.lit(kind).alias("kind"),
+            ident.alias("id"),
+            F.lit(value).cast("bigint").alias("change"),
+        )
+
+    shells, tools = unseen_shells(named), unseen_tools(named)
+    # At the same instant a shell counts for a tool, and one that runs out still does.
+    line = marks(shells, at, 0, 1).unionByName(marks(tools, at, 1, 0))
+    line = line.unionByName(marks(shells, at + seconds * 1_000_000, 2, -1))
+    open_ = Ordered(line, keys, ["at", "kind", "id"]).running_sum({"shells": F.col("change")}).rows
+    return open_.where("kind = 1 AND shells > 0").select(*keys, F.col("id").alias("tool_event_id"), "shells")
+
+
 def _lifecycle_match(rows: DataFrame, rule_id: str) -> DataFrame:
     return _match(
         rows,
@@ -344,3 +377,38 @@ def unique_active(allowlists: DataFrame) -> DataFrame:
     matcher = ["image_digest", "rule_id", "executable", "parent_executable"]
     order = Window.partitionBy(*matcher).orderBy("allowlist_id")
     return allowlists.where("active").withColumn("copy", F.row_number().over(order)).where("copy > 1")
+
+
+# --- identities of rule sets and runs ----------------------------------------------------
+
+
+def _digest(document: object) -> str:
+    text = json.dumps(document, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def ruleset_hash() -> str:
+    return _digest({"rules": config.RULES, "names": config.RULE_NAMES})
+
+
+def custom_ruleset_hash(custom: list[dict]) -> str:
+    """Order of the rules does not matter."""
+    return _digest(sorted(custom, key=lambda rule: rule["slug"]))
+
+
+def matcher_hash() -> Column:
+    """Identity of what an allowlist entry matches."""
+    names = ["image_digest", "rule_id", "executable", "parent_executable"]
+    return sha256_fields({n: F.col(n) for n in names})
+
+
+def run_key(score_key: Column, allowlist_hash: str, custom_hash: str) -> Column:
+    """Identity of a detection run; the same inputs give the same key."""
+    return sha256_fields(
+        {
+            "score_id": score_key,
+            "ruleset_hash": F.lit(ruleset_hash()),
+            "allowlist_set_hash": F.lit(allowlist_hash),
+            "custom_ruleset_hash": F.lit(custom_hash),
+        }
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runwarden import config
+from runwarden.functions.hashing import sha256_fields
 
 
 def literal_map(values: Mapping[str, float]) -> Column:
@@ -200,6 +201,27 @@ def anomaly_scores(
     )
 
 
+def observation_key(
+    profile_id: Column, model_hash: Column, start_us: Column, end_us: Column, event_set: Column
+) -> Column:
+    """Identity of an observation: equal inputs and configuration give the same key."""
+    weights = ",".join(
+        f"{name}={value!r}"
+        for table in (config.GROUP_WEIGHTS, config.FAMILY_WEIGHTS, config.NUMERIC_WEIGHTS, config.NUMERIC_FLOORS)
+        for name, value in table.items()
+    )
+    return sha256_fields(
+        {
+            "profile_id": profile_id,
+            "profile_model_hash": model_hash,
+            "window_start": start_us,
+            "window_end": end_us,
+            "event_set": event_set,
+            "scoring_config": F.sha2(F.lit(weights), 256),
+        }
+    )
+
+
 # --- explanation -------------------------------------------------------------------------
 
 

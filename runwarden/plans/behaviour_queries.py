@@ -525,3 +525,16 @@ def hellinger(t: Tables) -> DataFrame:
 def novel_tokens(t: Tables) -> DataFrame:
     b = behaviour(t)
     return score.novel_tokens(b.baseline, b.observed).select(*KEY, "family", "token", "n")
+
+
+@query("sco9_observation_key")
+def observation_key(t: Tables) -> DataFrame:
+    """One key per image and scoring window; equal event sets give equal keys."""
+    b = behaviour(t)
+    ids = profile.labelled_ids(b.execs.where("w >= 0"), b.lifecycle.where("w >= 0"), KEY)
+    prints = profile.event_set_fingerprint(ids, KEY)
+    start = F.lit(CUT_US) + F.col("w") * F.lit(DAY_US)
+    key = score.observation_key(
+        F.concat(F.lit("profile:"), "image_digest"), F.lit("v1"), start, start + F.lit(DAY_US), F.col("event_set_fingerprint")
+    )
+    return prints.select(*KEY, "event_count", key.alias("observation_key"))

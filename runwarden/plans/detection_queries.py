@@ -235,6 +235,49 @@ def shell_then_tool(t: Tables) -> DataFrame:
     return pairs.select("image_digest", "w", "shell_event_id", "tool_event_id", "elapsed_seconds")
 
 
+@query(
+    "det5_pair_counts",
+    full(select="""SELECT image_digest, w, container_id, tool_id AS tool_event_id, count(*) AS shells FROM pairs GROUP BY ALL"""),
+)
+def pair_counts(t: Tables) -> DataFrame:
+    return rules.shell_then_tool_counts(_unseen(detection(t)), DAY)
+
+
+@query(
+    "det5_pair_counts_all",
+    duck_prefix("ex") + f""" SELECT a.image_digest, a.container_id, b.event_id AS tool_event_id, count(*) AS shells
+      FROM ex a JOIN ex b ON a.container_id = b.container_id AND b.us >= a.us AND b.us <= a.us + {DAY_US}
+      WHERE a.process_name = 'sh' AND b.process_name = 'click' GROUP BY ALL""",
+)
+def pair_counts_all(t: Tables) -> DataFrame:
+    """The same counting over all shells and clicks, known or not."""
+    rows = t.execs.where("process_name IN ('sh', 'click')").withColumns(
+        {"w": F.lit(0).cast("bigint"), "program": F.col("process_name")}
+    )
+    return rules.shell_then_tool_counts(rows, DAY).drop("w")
+
+
+@query(
+    "det17_matcher_hash",
+    f"WITH {ALLOW.split('live AS')[0].strip().rstrip(',')}" + """ SELECT allowlist_id, sha256('{"executable":' || coalesce('"' || executable || '"', 'null')
+      || ',"image_digest":"' || image_digest || '","parent_executable":' || coalesce('"' || parent_executable || '"', 'null')
+      || ',"rule_id":"' || rule_id || '"}') AS matcher_hash FROM al""",
+)
+def matcher_hash(t: Tables) -> DataFrame:
+    return allowlists(t).select("allowlist_id", rules.matcher_hash().alias("matcher_hash"))
+
+
+@query(
+    "det17_run_key",
+    duck_prefix("ex") + f""", s AS (SELECT DISTINCT image_digest || ':' || ((us - {CUT_US}) // {DAY_US}) AS score_id FROM ex WHERE us >= {CUT_US})
+    SELECT score_id, sha256('{{"allowlist_set_hash":"none","custom_ruleset_hash":"{rules.custom_ruleset_hash([])}","ruleset_hash":"{rules.ruleset_hash()}","score_id":"'
+      || score_id || '"}}') AS run_key FROM s""",
+)
+def run_key(t: Tables) -> DataFrame:
+    runs = behaviour(t).execs.where("w >= 0").select(rules.score_id().alias("score_id")).distinct()
+    return runs.withColumn("run_key", rules.run_key(F.col("score_id"), "none", rules.custom_ruleset_hash([])))
+
+
 CUSTOM = [
     {
         "slug": "nested",

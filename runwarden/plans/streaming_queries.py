@@ -15,7 +15,7 @@ from runwarden.plans.ingest_queries import HOST, LINES_SQL, RULE, SENSOR, sensor
 from runwarden.plans.registry import query
 from runwarden.plans.views import CUT_US, DAY_US, Tables, duck_prefix
 from runwarden.session import ensure_checkpoint_dir
-from runwarden.sources import readers
+from runwarden.sources import readers, sinks
 from runwarden.streaming import pipelines
 
 
@@ -80,6 +80,57 @@ def read_sensor_jsonl(t: Tables) -> DataFrame:
     return readers.sensor_lines(t.spark, f"{where}/in").agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query(
+    "src3_read_trials",
+    duck_prefix("trial") + """ SELECT trial_id, workload_id, 'img@sha256:' || image_digest AS reference, attack_like, u % 4 = 0 AS privileged
+      FROM trial WHERE status = 'completed'""",
+)
+def read_trials(t: Tables) -> DataFrame:
+    """Trial records written as JSON lines and read back."""
+    where = folder(t)
+    records = t.trials.select(
+        "trial_id",
+        "workload_id",
+        "status",
+        F.struct(F.concat(F.lit("img@sha256:"), "image_digest").alias("reference")).alias("image"),
+        F.struct((F.col("u") % 4 == 0).alias("privileged")).alias("runtime_context"),
+        F.struct("attack_like").alias("ground_truth"),
+    )
+    records.write.json(f"{where}/trials")
+    out = readers.trials(t.spark, f"{where}/trials", one_per_file=False)
+    return out.select(
+        "trial_id", "workload_id", "image.reference", "ground_truth.attack_like", "runtime_context.privileged"
+    )
+
+
+@query(
+    "snk2_write_summary",
+    duck_prefix("ex") + """ SELECT container_id, cast(count(*) AS varchar) AS n, cast(count(DISTINCT process_name) AS varchar) AS names
+      FROM ex GROUP BY 1""",
+)
+def write_summary(t: Tables) -> DataFrame:
+    """A summary written as sorted CSV and read back as text."""
+    where = folder(t)
+    rows = t.execs.groupBy("container_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("process_name").alias("names")
+    )
+    sinks.write_summary(rows, f"{where}/csv", ["container_id", "n", "names"], ["container_id"])
+    return t.spark.read.option("header", True).csv(f"{where}/csv")
+
+
+@query("snk3_integrity_manifest")
+def integrity_manifest(t: Tables) -> DataFrame:
+    """Files of a written table against a manifest with one file forgotten and one changed."""
+    where = folder(t)
+    t.execs.select("event_id", "us").repartition(4).write.parquet(f"{where}/table")
+    current = sinks.file_hashes(t.spark, f"{where}/table").where("path LIKE '%.parquet'")
+    slot = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
+    manifest = current.where(slot != 0).withColumn(
+        "sha256", F.when(slot == 1, F.lit("0")).otherwise(F.col("sha256"))
+    )
+    return sinks.verify_manifest(current, manifest).select("problem")
+
+
 @query("str2_dedupe_stream", duck_prefix("ex") + " SELECT DISTINCT event_id, us FROM ex")
 def dedupe_stream(t: Tables) -> DataFrame:
     """Every event twice in the stream, once in the result."""

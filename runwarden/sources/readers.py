@@ -30,9 +30,9 @@ def reread_overlap(events: DataFrame, cursor_us: int, overlap_seconds: int = 2)
     return events.where(F.unix_micros("occurred_at") >= cursor_us - overlap_seconds * 1_000_000)
 
 
-def trials(spark: SparkSession, folder: str) -> DataFrame:
-    """Completed trial records, one JSON document per file."""
-    rows = spark.read.schema(schemas.TRIAL).option("multiLine", True).json(folder)
+def trials(spark: SparkSession, folder: str, one_per_file: bool = True) -> DataFrame:
+    """Completed trial records: one JSON document per file, or one per line."""
+    rows = spark.read.schema(schemas.TRIAL).option("multiLine", one_per_file).json(folder)
     return rows.where("status = 'completed'")
 
 
