@@ -94,6 +94,11 @@ def unseen_execs(resolved: DataFrame, baseline: DataFrame) -> DataFrame:
     return resolved.join(unseen, on).drop("_digest", "_path", "_name")
 
 
+def unseen_table(execs: DataFrame, baseline: DataFrame) -> DataFrame:
+    """:func:`unseen_execs` written once; few rows that several rules read."""
+    return materialize(unseen_execs(resolve_identity(execs), baseline).select(*UNSEEN_COLUMNS))
+
+
 def seen_flags(resolved: DataFrame, baseline: DataFrame) -> DataFrame:
     """Every execution with ``seen``."""
     unseen = unseen_programs(resolved, baseline).select(
@@ -281,17 +286,13 @@ def built_in_matches(
     execs: DataFrame,
     lifecycle: DataFrame,
     baseline: DataFrame,
+    unseen: DataFrame,
     scores: DataFrame,
     window_end: Column,
     correlation_seconds: int = config.CORRELATION_SECONDS,
 ) -> DataFrame:
-    """All seven rules over all scored runs.
-
-    The executions of unknown programs are few and feed three rules, so they are
-    written once.
-    """
+    """All seven rules over all scored runs; ``unseen`` is :func:`unseen_table`."""
     resolved = resolve_identity(execs)
-    unseen = materialize(unseen_execs(resolved, baseline).select(*UNSEEN_COLUMNS))
     matches = high_distance(scores, window_end)
     for part in (
         new_shell(unseen),

@@ -47,6 +47,11 @@ class Detection:
     def scores(self) -> DataFrame:
         return materialize(self.behaviour.scores(self.min_process_events))
 
+    @cached_property
+    def unseen(self) -> DataFrame:
+        """Executions of programs the baseline does not know; few, and read by three rules."""
+        return rules.unseen_table(self.execs, self.behaviour.baseline)
+
     @cached_property
     def custom_results(self) -> tuple[DataFrame, DataFrame]:
         execs = enrich.with_parent(self.execs, self.lookback_seconds)
@@ -58,6 +63,7 @@ class Detection:
             self.execs,
             self.lifecycle,
             self.behaviour.baseline,
+            self.unseen,
             self.scores,
             self.window_end,
             self.correlation_seconds,

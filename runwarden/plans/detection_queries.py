@@ -186,7 +186,7 @@ def rule_query(name: str, rule_id: str, build) -> None:
 
 
 def _unseen(d: Detection) -> DataFrame:
-    return rules.unseen_execs(rules.resolve_identity(d.execs), d.behaviour.baseline)
+    return d.unseen
 
 
 @query(

@@ -69,7 +69,8 @@ def sensor_lines(t: Tables) -> DataFrame:
         )
     )
     raw = F.when(n % 59 == 0, F.substring(line, 1, 40)).otherwise(line)
-    return t.execs.select("n", raw.alias("raw"))
+    execs = t.execs_of(t.base_of(t.spread(t.raw("events"))))
+    return execs.select("n", raw.alias("raw"))
 
 
 @query(
@@ -299,7 +300,7 @@ def leaky(t: Tables) -> F.Column:
 
 @query("nrm15_redaction", f"SELECT doc_id, {redact_sql('(' + LEAKY_SQL + ')')} AS redacted FROM documents")
 def redaction(t: Tables) -> DataFrame:
-    return t.raw("documents").select("doc_id", clean.redact(leaky(t)).alias("redacted"))
+    return t.spread(t.raw("documents")).select("doc_id", clean.redact(leaky(t)).alias("redacted"))
 
 
 CLIP_SQL = "left({0}, list_max(list_filter(range(0, {1} + 1), lambda i: strlen(left({0}, i)) <= {1})))"
@@ -323,7 +324,7 @@ def dead_letters(t: Tables) -> DataFrame:
     error = F.when(n % 3 == 0, "NoMessage").otherwise(
         F.concat(F.lit("ValueError: bad token=abc"), text(n), F.lit(" "), F.substring("text", 1, 700))
     )
-    rows = t.raw("documents").select(n.alias("id"), F.col("text").alias("raw"), error.alias("error"))
+    rows = t.spread(t.raw("documents")).select(n.alias("id"), F.col("text").alias("raw"), error.alias("error"))
     return normalize.dead_letters(rows)
 
 
@@ -398,7 +399,8 @@ def lifecycle_lines(t: Tables) -> DataFrame:
             F.col("time_nano").alias("TimeNano"),
         )
     )
-    return t.lifecycle.select("n", F.when(n % 2 == 0, upper).otherwise(lower).alias("raw"), inspection_document().alias("inspection"))
+    rows = t.lifecycle_of(t.base_of(t.spread(t.raw("events"))))
+    return rows.select("n", F.when(n % 2 == 0, upper).otherwise(lower).alias("raw"), inspection_document().alias("inspection"))
 
 
 def inspection_document() -> F.Column:
@@ -578,7 +580,8 @@ NETWORK_SQL = """CASE k % 7 WHEN 0 THEN 'host' WHEN 1 THEN 'none' WHEN 2 THEN 'b
 
 
 def contexts(t: Tables) -> DataFrame:
-    rows = t.lifecycle.select("event_id", inspection_document().alias("inspection"))
+    rows = t.lifecycle_of(t.base_of(t.spread(t.raw("events"))))
+    rows = rows.select("event_id", inspection_document().alias("inspection"))
     rows = context.composed(rows, "inspection")
     parsed = computed_once(rows, i=F.from_json("inspection", schemas.INSPECTION))
     return computed_once(parsed, context=context.runtime_context("i")).select("event_id", "context")

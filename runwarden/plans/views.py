@@ -151,6 +151,11 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Use all cores on a small one-file table; larger tables stay as they are."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+
     @property
     def base(self) -> DataFrame:
         return self.base_of(self.raw("events"))

@@ -66,7 +66,7 @@ def report_documents(t: Tables) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", severity).alias("Severity"),
         cvss.alias("CVSS"),
     )
-    rows = t.raw("lineitem").select(
+    rows = t.spread(t.raw("lineitem")).select(
         key, F.concat(F.lit("layer"), text(F.col("l_suppkey") % 5)).alias("Target"), item.alias("item")
     )
     layers = rows.groupBy("l_orderkey", "Target").agg(F.collect_list("item").alias("Vulnerabilities"))
