@@ -623,7 +623,8 @@ def pilot_inputs(tested: DataFrame, outcomes: DataFrame, contrasts: Sequence[tup
 def tag_drift(references: DataFrame, trials: DataFrame) -> DataFrame:
     """Distance between the references of digests that one tag has pointed at.
 
-    references: rows of the digest scope.  The first digest of a tag is its reference.
+    references: rows of the digest scope.  The first digest of a tag is its reference.  A
+    pair of which one side has no reference is kept without a distance.
     """
     digests = trials.select("human_tag", "image_digest").distinct()
     first = digests.groupBy("human_tag").agg(
@@ -637,7 +638,10 @@ def tag_drift(references: DataFrame, trials: DataFrame) -> DataFrame:
     base = first.select("human_tag", F.col("first_digest").alias("digest")).join(by_digest, "digest")
     seen = moved.withColumnRenamed("image_digest", "digest").join(by_digest, "digest")
     compared = compare_tokens(base, seen, ["human_tag"], ["human_tag", "digest"])
-    return compared.select("human_tag", "digest", "js_distance")
+    usable = compared.join(base.select("human_tag").distinct(), "human_tag", "left_semi")
+    pairs = moved.select("human_tag", F.col("image_digest").alias("digest"))
+    joined = pairs.join(usable.select("human_tag", "digest", "js_distance"), ["human_tag", "digest"], "left")
+    return joined.withColumn("has_references", F.col("js_distance").isNotNull())
 
 
 def multiset_diff(

@@ -67,13 +67,13 @@ pq AS (SELECT s.*, coalesce(b.n, 0) / bt.t AS p, coalesce(o.n, 0) / ot.t AS q,
   LEFT JOIN base_tot bt USING (image_digest, family)
   JOIN obs_tot ot USING (image_digest, w, family)),
 dist AS (SELECT image_digest, w, family,
-    CASE WHEN max(bt) IS NULL THEN 1.0 ELSE sqrt(greatest(0.0, least(1.0,
+    CASE WHEN max(bt) IS NULL THEN 1.0 ELSE round(sqrt(greatest(0.0, least(1.0,
       0.5 * sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END)
-      + 0.5 * sum(CASE WHEN q > 0 THEN q * log2(q / ((coalesce(p, 0) + q) / 2)) ELSE 0 END))))
+      + 0.5 * sum(CASE WHEN q > 0 THEN q * log2(q / ((coalesce(p, 0) + q) / 2)) ELSE 0 END)))), 12)
       END AS js,
     CASE WHEN max(bt) IS NULL THEN 1.0
-      ELSE sqrt(0.5 * sum(power(sqrt(p) - sqrt(q), 2))) END AS hel,
-    coalesce(sum(q) FILTER (unseen), 0) AS novelty,
+      ELSE round(sqrt(0.5 * sum(power(sqrt(p) - sqrt(q), 2))), 12) END AS hel,
+    round(coalesce(sum(q) FILTER (unseen), 0), 12) AS novelty,
     count(*) FILTER (unseen AND q > 0) AS unseen_tokens
   FROM pq GROUP BY ALL)"""
 
@@ -107,7 +107,7 @@ dev AS (SELECT f.image_digest, f.w, f.feature, value, med, p95, sd,
       CASE WHEN feature LIKE '%ratio' THEN 0.05 ELSE 1.0 END) AS scale
   FROM feat f JOIN summ s USING (image_digest, feature) WHERE f.w >= 0),
 dev2 AS (SELECT *, abs(value - med) / scale AS z,
-    greatest(0.0, least(1.0, (abs(value - med) / scale - 2) / 4)) AS deviation FROM dev)"""
+    round(greatest(0.0, least(1.0, (abs(value - med) / scale - 2) / 4)), 12) AS deviation FROM dev)"""
 
 SCORES = """
 fw(family, fweight) AS (VALUES ('process_name', 0.15), ('executable', 0.25),
@@ -116,16 +116,16 @@ fw(family, fweight) AS (VALUES ('process_name', 0.15), ('executable', 0.25),
 nw(feature, nweight) AS (VALUES ('process_events_per_minute', 0.25),
   ('runtime_events_per_minute', 0.1), ('distinct_processes_per_window', 0.25),
   ('root_process_ratio', 0.2), ('shell_process_ratio', 0.2)),
-cat AS (SELECT image_digest, w, sum(fweight * js) / sum(fweight) AS cat,
-    sum(fweight * novelty) / sum(fweight) AS nov, sum(fweight) AS fsum
+cat AS (SELECT image_digest, w, round(sum(fweight * js) / sum(fweight), 12) AS cat,
+    round(sum(fweight * novelty) / sum(fweight), 12) AS nov, sum(fweight) AS fsum
   FROM dist JOIN fw USING (family) GROUP BY ALL),
-num AS (SELECT image_digest, w, sum(nweight * deviation) / sum(nweight) AS num
+num AS (SELECT image_digest, w, round(sum(nweight * deviation) / sum(nweight), 12) AS num
   FROM dev2 JOIN nw USING (feature) GROUP BY ALL),
 sc AS (SELECT s.image_digest, s.w, coalesce(n.exec_count, 0) AS exec_count,
     coalesce(n.lifecycle_count, 0) AS lifecycle_count, cat, nov, num, fsum,
     CASE WHEN cat IS NULL THEN 0 ELSE 0.8 END + CASE WHEN num IS NULL THEN 0 ELSE 0.2 END AS gsum,
-    (coalesce(0.5 * cat, 0) + coalesce(0.3 * nov, 0) + coalesce(0.2 * num, 0))
-      / (CASE WHEN cat IS NULL THEN 0 ELSE 0.8 END + CASE WHEN num IS NULL THEN 0 ELSE 0.2 END)
+    round((coalesce(0.5 * cat, 0) + coalesce(0.3 * nov, 0) + coalesce(0.2 * num, 0))
+      / (CASE WHEN cat IS NULL THEN 0 ELSE 0.8 END + CASE WHEN num IS NULL THEN 0 ELSE 0.2 END), 12)
       AS total
   FROM (SELECT * FROM wspine WHERE w >= 0) s LEFT JOIN nums n USING (image_digest, w)
   LEFT JOIN cat USING (image_digest, w) LEFT JOIN num USING (image_digest, w))"""

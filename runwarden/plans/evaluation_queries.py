@@ -18,6 +18,12 @@ CONTRASTS = [
     ("CONTEXT_vs_DIGEST", "ARM-CONTEXT", "ARM-DIGEST"),
 ]
 
+
+def exact9(name: str) -> F.Column:
+    """Nine digits of a value that often lies exactly between two of them, like k / 2^10."""
+    return F.round(F.round(F.col(name), 12), 9).alias(name)
+
+
 # --- rarity ------------------------------------------------------------------------------
 
 
@@ -371,20 +377,20 @@ def paired_arms(t: Tables) -> DataFrame:
 
 @query(
     "eva2_mcnemar",
-    trial_check(TESTS, select="SELECT contrast, n_pairs, only_a, only_b, round(p_value, 9) AS p_value FROM mp"),
+    trial_check(TESTS, select="SELECT contrast, n_pairs, only_a, only_b, round(round(p_value, 12), 9) AS p_value FROM mp"),
 )
 def mcnemar(t: Tables) -> DataFrame:
     out = evaluate.mcnemar(evaluate.paired_calls(scored(t), CONTRASTS))
-    return out.select("contrast", "n_pairs", "only_a", "only_b", r9("p_value"))
+    return out.select("contrast", "n_pairs", "only_a", "only_b", exact9("p_value"))
 
 
 @query(
     "eva2_mcnemar_parts",
     """WITH c AS (SELECT l_partkey % 500 AS contrast, count(*) FILTER (l_discount > 0.05 AND l_tax <= 0.04) AS a,
         count(*) FILTER (l_discount <= 0.05 AND l_tax > 0.04) AS b FROM lineitem GROUP BY 1)
-    SELECT contrast, a AS only_a, b AS only_b, CASE WHEN a + b = 0 THEN 1.0 ELSE round(least(1.0, (SELECT 2 * sum(exp(lgamma(a + b + 1)
+    SELECT contrast, a AS only_a, b AS only_b, CASE WHEN a + b = 0 THEN 1.0 ELSE round(round(least(1.0, (SELECT 2 * sum(exp(lgamma(a + b + 1)
       - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2))) FROM range(0, 5000) r(i)
-      WHERE i BETWEEN greatest(a, b) AND a + b)), 9) END AS p_value FROM c""",
+      WHERE i BETWEEN greatest(a, b) AND a + b)), 12), 9) END AS p_value FROM c""",
 )
 def mcnemar_parts(t: Tables) -> DataFrame:
     """The same test for 500 groups of parts: deep discount against high tax."""
@@ -393,7 +399,7 @@ def mcnemar_parts(t: Tables) -> DataFrame:
         (F.col("l_discount") > 0.05).alias("a"),
         (F.col("l_tax") > 0.04).alias("b"),
     )
-    return evaluate.mcnemar(pairs).select("contrast", "only_a", "only_b", r9("p_value"))
+    return evaluate.mcnemar(pairs).select("contrast", "only_a", "only_b", exact9("p_value"))
 
 
 @query(
@@ -759,20 +765,21 @@ def pilot_inputs(t: Tables) -> DataFrame:
 
 
 TAG_DRIFT = """dg AS (SELECT DISTINCT human_tag, image_digest AS d FROM tr),
-      f AS (SELECT human_tag, min(d) AS d0 FROM dg GROUP BY 1 HAVING count(*) > 1),
-      pr AS (SELECT human_tag, d0, d FROM f JOIN dg USING (human_tag) WHERE d <> d0),
-      x AS (SELECT human_tag, d, token FROM pr JOIN refs ON scope = 'ARM-DIGEST' AND ref IN (d, d0)
-        WHERE d IN (SELECT ref FROM refs WHERE scope = 'ARM-DIGEST') GROUP BY ALL),
-      y AS (SELECT human_tag, x.d, coalesce(a.n, 0) / ta.t AS p, coalesce(b.n, 0) / tb.t AS q FROM x JOIN pr USING (human_tag, d)
-        JOIN rt ta ON ta.scope = 'ARM-DIGEST' AND ta.ref = d0 JOIN rt tb ON tb.scope = 'ARM-DIGEST' AND tb.ref = x.d
-        LEFT JOIN refs a ON a.scope = 'ARM-DIGEST' AND a.ref = d0 AND a.token = x.token
-        LEFT JOIN refs b ON b.scope = 'ARM-DIGEST' AND b.ref = x.d AND b.token = x.token)"""
+  f AS (SELECT human_tag, min(d) AS d0 FROM dg GROUP BY 1 HAVING count(*) > 1),
+  pr AS (SELECT human_tag, d0, d FROM f JOIN dg USING (human_tag) WHERE d <> d0),
+  rd AS (SELECT ref, token, n, t FROM refs JOIN rt USING (scope, ref) WHERE scope = 'ARM-DIGEST'),
+  xa AS (SELECT human_tag, d, token, n / t AS p FROM pr JOIN rd ON ref = d0),
+  xb AS (SELECT human_tag, d, token, n / t AS q FROM pr JOIN rd ON ref = d),
+  xs AS (SELECT human_tag, d, round(sqrt(greatest(0.0, 0.5 * sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END)
+      + 0.5 * sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END))), 9) AS js
+    FROM (SELECT human_tag, d, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM xa FULL JOIN xb USING (human_tag, d, token))
+    GROUP BY ALL HAVING sum(p) > 0 AND sum(q) > 0)"""
 
 
 @query(
     "eva17_tag_drift",
-    trial_check(TAG_DRIFT, select="""SELECT human_tag, d AS digest, round(sqrt(greatest(0.0, 0.5 * sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END)
-      + 0.5 * sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END))), 9) AS js_distance FROM y GROUP BY ALL"""),
+    trial_check(TAG_DRIFT, select="""SELECT human_tag, d AS digest, js AS js_distance, js IS NOT NULL AS has_references
+      FROM pr LEFT JOIN xs USING (human_tag, d)"""),
 )
 def tag_drift(t: Tables) -> DataFrame:
     rows = trials(t)

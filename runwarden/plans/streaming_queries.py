@@ -169,7 +169,7 @@ def tumbling_stream(t: Tables) -> DataFrame:
 
 @query(
     "str5_score_stream",
-    check(TOKENS, DISTANCES, select=f"""SELECT image_digest, {CUT_US} + w * {DAY_US} AS window_us, round(sum(js * x) / sum(x), 9)
+    check(TOKENS, DISTANCES, select=f"""SELECT image_digest, {CUT_US} + w * {DAY_US} AS window_us, round(round(sum(js * x) / sum(x), 12), 9)
         AS categorical_distance, {BAND.format('sum(js * x) / sum(x)')} AS score_band
       FROM dist JOIN (VALUES ('process_name', 0.15), ('executable', 0.25), ('parent_child', 0.2), ('user_uid', 0.1)) v(family, x)
         USING (family) WHERE {CUT_US} + (w + 1) * {DAY_US} <= {CLOSED} GROUP BY ALL"""),
