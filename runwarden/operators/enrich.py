@@ -413,23 +413,18 @@ def profile_for_window(windows: DataFrame, profiles: DataFrame) -> DataFrame:
     profiles   profile_id, image_digest, status, passed, training_start_us, training_end_us
     A window that overlaps its training interval gets none.
     """
-    p = profiles.select(
-        F.col("profile_id").alias("_pid"),
-        "image_digest",
-        "status",
-        "passed",
-        "training_start_us",
-        "training_end_us",
-    )
-    chosen = F.when(F.col("profile_id").isNull(), F.col("status") == "active").otherwise(
-        (F.col("profile_id") == F.col("_pid")) & F.col("passed") & (F.col("status") != "draft")
-    )
+    columns = ["image_digest", "training_start_us", "training_end_us"]
+    named = profiles.where("passed AND status <> 'draft'").select("profile_id", *columns)
+    active = profiles.where("status = 'active'").select("profile_id", *columns)
+    # A named profile is looked up by its id and the active one is unique per digest, so no
+    # window meets more than one profile.
+    explicit = windows.where("profile_id IS NOT NULL").join(named, ["profile_id", "image_digest"])
+    default = windows.where("profile_id IS NULL").drop("profile_id").join(active, "image_digest")
+    both = explicit.unionByName(default)
     overlap = (F.col("start_us") < F.col("training_end_us")) & (
         F.col("end_us") > F.col("training_start_us")
     )
-    return windows.join(p, "image_digest").where(chosen & ~overlap).select(
-        "window_id", "image_digest", F.col("_pid").alias("profile_id")
-    )
+    return both.where(~overlap).select("window_id", "image_digest", "profile_id")
 
 
 # --- predicates, pages, top-k ------------------------------------------------------------

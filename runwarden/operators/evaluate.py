@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from runwarden import config
 from runwarden.functions.hashing import assign_split
 from runwarden.functions.stats import clopper_pearson, mcnemar_p
+from runwarden.operators.ordering import Ordered
 from runwarden.operators.rarity import empirical_pvalues
 from runwarden.operators.score import compare_tokens
 
@@ -687,10 +688,18 @@ def first_evidence(actions: DataFrame, evidence: DataFrame, keys: Sequence[str])
 
     actions: keys, action_us; evidence: keys, evidence_us.
     """
-    joined = actions.join(evidence, list(keys), "left")
-    after = F.when(F.col("evidence_us") >= F.col("action_us"), F.col("evidence_us"))
-    return joined.groupBy(*keys, "action_us").agg(
-        ((F.min(after) - F.col("action_us")) / 1e6).alias("seconds_to_evidence")
+    # Backwards in time the nearest evidence is carried to each action; nothing is paired.
+    keys = list(keys)
+    seen = evidence.select(*keys, F.col("evidence_us").alias("at"), F.lit(0).alias("kind")).distinct()
+    asked = actions.select(*keys, F.col("action_us").alias("at"), F.lit(1).alias("kind")).distinct()
+    rows = seen.unionByName(asked).withColumns(
+        {"back": -F.col("at"), "evidence": F.when(F.col("kind") == 0, F.col("at"))}
+    )
+    found = Ordered(rows, keys, ["back", "kind"]).last("evidence", "nearest").rows.where("kind = 1")
+    return found.select(
+        *keys,
+        F.col("at").alias("action_us"),
+        ((F.col("nearest") - F.col("at")) / 1e6).alias("seconds_to_evidence"),
     )
 
 

@@ -24,17 +24,30 @@ def append_counts(batch: DataFrame, target: DataFrame, key: str = "event_id") ->
     ).withColumn("duplicates", F.col("received") - F.col("inserted"))
 
 
-def append_new(batch: DataFrame, path: str, key: str = "event_id", partition: str | None = None) -> None:
-    """Idempotent append to a Parquet table, usable from ``foreachBatch``."""
+def append_new(
+    batch: DataFrame, path: str, key: str = "event_id", time: str | None = None, partition: str | None = None
+) -> None:
+    """Idempotent append to a Parquet table, usable from ``foreachBatch``.
+
+    With ``time``, a column that is the same for every copy of a key, only the stored rows
+    in the time range of the batch are read, so a batch does not cost more as the table
+    grows.
+    """
     spark = batch.sparkSession
     rows = batch.dropDuplicates([key])
-    if _exists(spark, path):
-        rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
+    if exists(spark, path):
+        stored = spark.read.parquet(path)
+        if time is not None:
+            first, last = batch.agg(F.min(time), F.max(time)).first()
+            if first is None:
+                return
+            stored = stored.where(F.col(time).between(F.lit(first), F.lit(last)))
+        rows = rows.join(stored.select(key), key, "left_anti")
     writer = rows.write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     from pyspark.errors import AnalysisException
 
     try:

@@ -38,7 +38,7 @@ def normalise_stream(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         good, bad = normalize.normalize_exec_lines(batch, sensor_id, rule, host_id)
-        sinks.append_new(good.drop("raw_event"), events)
+        sinks.append_new(good.drop("raw_event"), events, time="time_nano")
         rows = bad.groupBy("raw_sha256").agg(*[F.first(c).alias(c) for c in bad.columns if c != "raw_sha256"])
         sinks.append_new(rows, letters, key="raw_sha256")
 
@@ -105,7 +105,7 @@ def score_stream(counts: DataFrame, baseline: DataFrame, table: str, checkpoint:
     def each(batch: DataFrame, batch_id: int) -> None:
         scored = score_windows(batch, baseline)
         key = F.concat_ws("|", "image_digest", F.unix_micros("window_start").cast("string"))
-        sinks.append_new(scored.withColumn("window_id", key), table, key="window_id")
+        sinks.append_new(scored.withColumn("window_id", key), table, key="window_id", time="window_start")
 
     return start(counts, each, checkpoint)
 
@@ -129,15 +129,16 @@ def parent_stream(
         if earliest is None:
             return
         candidates = fresh
-        if sinks._exists(spark, history):
+        if sinks.exists(spark, history):
             slice_ = spark.read.parquet(history).where(
                 F.col("time_nano") >= earliest - lookback_seconds * 1_000_000_000
             )
             old = slice_.join(fresh.select("event_id"), "event_id", "left_anti")
             candidates = fresh.unionByName(old.withColumn("process_ppid", F.lit(None).cast("bigint")))
         found = enrich.correlate_parent(candidates, lookback_seconds)
-        sinks.append_new(found, links)
-        sinks.append_new(fresh, history)
+        found = found.join(fresh.select("event_id", "time_nano"), "event_id")
+        sinks.append_new(found, links, time="time_nano")
+        sinks.append_new(fresh, history, time="time_nano")
 
     return start(execs, each, checkpoint)
 
@@ -181,7 +182,7 @@ def identity_stream(events: DataFrame, table: str, checkpoint: str) -> Streaming
 def latest_state(spark: SparkSession, table: str, before: int) -> DataFrame | None:
     """State written by the batch before ``before``, None for the first one."""
     path = f"{table}/batch={before - 1:012d}"
-    return spark.read.parquet(path) if before > 0 and sinks._exists(spark, path) else None
+    return spark.read.parquet(path) if before > 0 and sinks.exists(spark, path) else None
 
 
 def alert_stream(opened: DataFrame, notified: str, minimum: str, checkpoint: str) -> StreamingQuery:
@@ -189,7 +190,7 @@ def alert_stream(opened: DataFrame, notified: str, minimum: str, checkpoint: str
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        told = spark.read.parquet(notified) if sinks._exists(spark, notified) else batch.where("false")
+        told = spark.read.parquet(notified) if sinks.exists(spark, notified) else batch.where("false")
         sinks.append_new(incidents.new_alerts(batch, told, minimum), notified, key="incident_id")
 
     return start(opened, each, checkpoint)
