@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from itertools import chain
 
@@ -201,15 +202,17 @@ def anomaly_scores(
     )
 
 
+def scoring_config_hash() -> str:
+    """Identity of the weights and floors in use."""
+    tables = (config.GROUP_WEIGHTS, config.FAMILY_WEIGHTS, config.NUMERIC_WEIGHTS, config.NUMERIC_FLOORS)
+    text = ",".join(f"{name}={value!r}" for table in tables for name, value in table.items())
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def observation_key(
     profile_id: Column, model_hash: Column, start_us: Column, end_us: Column, event_set: Column
 ) -> Column:
     """Identity of an observation: equal inputs and configuration give the same key."""
-    weights = ",".join(
-        f"{name}={value!r}"
-        for table in (config.GROUP_WEIGHTS, config.FAMILY_WEIGHTS, config.NUMERIC_WEIGHTS, config.NUMERIC_FLOORS)
-        for name, value in table.items()
-    )
     return sha256_fields(
         {
             "profile_id": profile_id,
@@ -217,7 +220,7 @@ def observation_key(
             "window_start": start_us,
             "window_end": end_us,
             "event_set": event_set,
-            "scoring_config": F.sha2(F.lit(weights), 256),
+            "scoring_config": F.lit(scoring_config_hash()),
         }
     )
 

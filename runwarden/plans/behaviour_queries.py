@@ -527,7 +527,17 @@ def novel_tokens(t: Tables) -> DataFrame:
     return score.novel_tokens(b.baseline, b.observed).select(*KEY, "family", "token", "n")
 
 
-@query("sco9_observation_key")
+@query(
+    "sco9_observation_key",
+    check(select=f"""SELECT image_digest, w, event_count, sha256('{{"event_set":"' || fp || '","profile_id":"profile:' || image_digest
+        || '","profile_model_hash":"v1","scoring_config":"{score.scoring_config_hash()}","window_end":' || ({CUT_US} + (w + 1) * {DAY_US})
+        || ',"window_start":' || ({CUT_US} + w * {DAY_US}) || '}}') AS observation_key
+      FROM (SELECT image_digest, w, count(*) AS event_count, sha256(concat_ws(':', count(*),
+        sum(('0x' || substr(h, 1, 15))::ubigint), sum(('0x' || substr(h, 16, 15))::ubigint),
+        sum(('0x' || substr(h, 31, 15))::ubigint), sum(('0x' || substr(h, 46, 15))::ubigint))) AS fp
+      FROM (SELECT image_digest, w, sha256('process:' || event_id) AS h FROM exw WHERE w >= 0
+        UNION ALL SELECT image_digest, w, sha256('runtime:' || event_id) FROM lcw WHERE w >= 0) GROUP BY ALL)"""),
+)
 def observation_key(t: Tables) -> DataFrame:
     """One key per image and scoring window; equal event sets give equal keys."""
     b = behaviour(t)

@@ -18,7 +18,7 @@ from runwarden.plans.behaviour_queries import (
     r9,
 )
 from runwarden.plans.detection import Detection
-from runwarden.plans.enrich_queries import LOOKBACK
+from runwarden.plans.enrich_queries import LOOKBACK, recursive
 from runwarden.plans.registry import query
 from runwarden.plans.views import CUT_US, DAY_US, Tables, duck_prefix
 
@@ -389,26 +389,29 @@ cm AS (
     WHERE w >= 0 AND privileged AND image_digest IN ('img1', 'img5'))"""
 
 
-@query(
-    "det8_custom_rules",
-    seen_check("SELECT image_digest, w, rule_id, source_id FROM cm").replace("WITH ", "WITH RECURSIVE ", 1).replace(
-        "SELECT image_digest, w, rule_id, source_id FROM cm", "", 1
-    ).rstrip() + "," + CUSTOM_SQL + " SELECT image_digest, w, rule_id, source_id FROM cm",
-)
+def custom_check(select: str) -> str:
+    return recursive(check(TOKENS, IDENTITY, CUSTOM_SQL, select=select))
+
+
+@query("det8_custom_rules", custom_check("SELECT image_digest, w, rule_id, source_id FROM cm"))
 def custom(t: Tables) -> DataFrame:
     found, _ = detection(t, CUSTOM).custom_results
     return found.select("image_digest", "w", "rule_id", "source_id")
 
 
 @query(
-    "det8c_rule_errors_with_matches",
-    None,
+    "det8c_rule_errors",
+    custom_check("""SELECT rule_id, count(*) AS matches, NULL AS error_class FROM cm GROUP BY 1
+      UNION ALL SELECT 'CUS-' || slug, NULL, 'ValueError' FROM (VALUES ('broken'), ('shapeless'), ('unknown-word')) v(slug)"""),
 )
 def rule_errors(t: Tables) -> DataFrame:
     """Matches per rule next to the errors of the rules that could not be compiled."""
     found, errors = detection(t, CUSTOM).custom_results
     counts = found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("matches"))
-    wrong = errors.select(F.concat(F.lit(config.CUSTOM_RULE_PREFIX), "slug").alias("rule_id"), "error")
+    wrong = errors.select(
+        F.concat(F.lit(config.CUSTOM_RULE_PREFIX), "slug").alias("rule_id"),
+        F.substring_index("error", ":", 1).alias("error_class"),
+    )
     return counts.join(wrong, "rule_id", "full_outer")
 
 

@@ -473,10 +473,16 @@ def normalize_lifecycle(t: Tables) -> DataFrame:
     return out.select(F.unix_micros("occurred_at").alias("us"), *names)
 
 
-@query("nrm11_lifecycle_event_id")
+@query(
+    "nrm11_lifecycle_event_id",
+    duck_prefix("lc") + "," + LIFE_SQL + """ SELECT sha256('{"action":"' || action || '","actor_id":"' || actor_id || '","attributes":{'
+      || concat_ws(',', CASE WHEN n % 3 = 0 THEN '"container":"net-' || u || '"' END, '"image":"' || ir || '"', '"name":"' || nm || '"')
+      || '},"docker_host_id":"host-1","event_type":"' || event_type || '","scope":null,"time_nano":' || time_nano || '}') AS event_id,
+      time_nano, action FROM lo JOIN (SELECT n, image_ref AS ir FROM lc) USING (n)""",
+)
 def lifecycle_event_ids(t: Tables) -> DataFrame:
     out = normalize.lifecycle_events(lifecycle_lines(t).select("raw"), HOST)
-    return out.select("event_id", "time_nano", "action", F.to_json("attributes").alias("attributes"))
+    return out.select("event_id", "time_nano", "action")
 
 
 @query("nrm12_snapshot_reduction")
