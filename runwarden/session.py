@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -52,8 +54,18 @@ def materialize(df: DataFrame) -> DataFrame:
 
     For intermediate results that are small next to the events and are read by several
     later steps.  Runs a job.  The table survives lost executors, later readers prune
-    its columns, and its real size guides their joins.
+    its columns, and its real size guides their joins.  The shuffle files that made the
+    table are removed as soon as it is written; a later loss is read from the table.
     """
-    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(folder)
