@@ -174,8 +174,8 @@ def _sets_of(executions: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             yield pa.record_batch({"event_id": block.column("event_id"), "elements": lists})
 
     wanted = executions.join(ids, "event_id", "left_semi")
-    found = wanted.mapInArrow(work, f"event_id {kind}, elements array<bigint>")
-    return materialize(found.dropDuplicates(["event_id"]))
+    single = wanted.groupBy("event_id").agg(F.min("command_line").alias("command_line"))
+    return materialize(single.mapInArrow(work, f"event_id {kind}, elements array<bigint>"))
 
 
 def near_duplicate_commands(
@@ -205,8 +205,9 @@ def near_duplicate_commands(
     So no link between different components is lost, and no group is expanded into all pairs.
 
     Defined cases: a null or blank text has an empty set, 0 shingles and its own id as
-    component; a null id gives a null component; repeated rows are all returned; an empty
-    table gives no rows; other columns are ignored.
+    component; a null id gives a null component; repeated rows are all returned, and of an id
+    with several texts the smallest is compared; an empty table gives no rows; other columns
+    are ignored.
     """
     executions = executions.select("event_id", "command_line")
     frequent = frequent_shingles(executions, width, ordered_shingles)

@@ -133,3 +133,50 @@ class Words:
 
 def words_of(texts: pa.Array, word_bytes: np.ndarray = WORD_BYTES) -> Words:
     return Words(*raw_bytes(texts), word_bytes)
+
+
+def characters(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, row bounds) of UTF-8 bytes."""
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    first = data[at].astype(np.uint32)
+    out = first.copy()
+    padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
+    rest = [padded[at + i] & 0x3F for i in (1, 2, 3)] if (first >= 0xC0).any() else None
+    if rest is not None:
+        two, three, four = (first >= 0xC0) & (first < 0xE0), (first >= 0xE0) & (first < 0xF0), first >= 0xF0
+        out[two] = ((first[two] & 0x1F) << 6) | rest[0][two]
+        out[three] = ((first[three] & 0x0F) << 12) | (rest[0][three] << 6) | rest[1][three]
+        out[four] = (
+            ((first[four] & 0x07) << 18) | (rest[0][four] << 12) | (rest[1][four] << 6) | rest[2][four]
+        )
+    ends = np.concatenate([[0], np.cumsum(lead)])
+    return out, ends[bounds]
+
+
+def grams(codes: np.ndarray, bounds: np.ndarray, orders: range, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams that stay inside a row: (buckets, row bounds).
+
+    ``buckets`` is a power of two.  The grams of a row stand together, order by order.
+    """
+    sizes = np.diff(bounds)
+    counts = np.stack([np.maximum(sizes - n + 1, 0) for n in orders])
+    ends = np.concatenate([[0], np.cumsum(counts.sum(axis=0))])
+    out = np.empty(int(ends[-1]), dtype=np.int32)
+    factors = multipliers(max(orders), seed=2)
+    wide = codes.astype(np.uint64) + np.uint64(1)
+    at = ends[:-1].copy()
+    for row, n in enumerate(orders):
+        if len(wide) < n:
+            continue
+        value = np.full(len(wide) - n + 1, n, dtype=np.uint64)
+        for step in range(n):
+            value += wide[step : step + len(value)] * factors[step]
+        value ^= value >> np.uint64(29)
+        value *= np.uint64(0xBF58476D1CE4E5B9)
+        hashed = (value >> np.uint64(40)).astype(np.int32) & np.int32(buckets - 1)
+        have = counts[row]
+        source = np.arange(have.sum()) - np.repeat(np.cumsum(have) - have, have)
+        out[source + np.repeat(at, have)] = hashed[source + np.repeat(bounds[:-1], have)]
+        at += have
+    return out, ends
