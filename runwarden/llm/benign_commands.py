@@ -16,15 +16,25 @@ ORDERS = range(2, 5)
 BUCKETS = 1 << 17  # character n-grams, and as many again for words
 DIMENSIONS = 8
 SAMPLE_ROWS = 6000
+FEATURE_RATE = 30.0  # step of a vector against the output's; a feature's share of a text is small
 _SAME = np.arange(256, dtype=np.uint8)
+_REPEAT = np.int32(BUCKETS)  # stands for a word that repeats the word before it
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, row bounds): the words and character n-grams of every text, with repeats."""
+    """(buckets, row bounds): the words and character n-grams of every text, with repeats.
+
+    A word equal to its predecessor is written as one mark, whatever word it is.
+    """
     data, bounds = raw_bytes(texts)
     found, gram_ends = grams(*characters(data, bounds), ORDERS, BUCKETS)
     words = Words(data, bounds)
-    hashed = (words.hashes(_SAME) & np.uint64(BUCKETS - 1)).astype(np.int32) + np.int32(BUCKETS)
+    whole = words.hashes(_SAME)
+    hashed = (whole & np.uint64(BUCKETS - 1)).astype(np.int32) + np.int32(BUCKETS)
+    if len(whole):
+        again = np.concatenate([[False], whole[1:] == whole[:-1]])
+        again[words.first[:-1][words.counts > 0]] = False
+        hashed[again] = _REPEAT
     sizes = np.diff(gram_ends) + words.counts
     ends = np.concatenate([[0], np.cumsum(sizes)])
     out = np.empty(int(ends[-1]), dtype=np.int32)
@@ -83,8 +93,7 @@ def train_sgd(
             back = error @ output
             output -= step * np.outer(error, hidden)
             bias -= step * error
-            # Shares are small; the step on a text's mean vector is spread over its features.
-            vectors[buckets] -= step * (shares / (shares @ shares))[:, None] * back
+            vectors[buckets] -= step * FEATURE_RATE * shares[:, None] * back
     return BenignModel(vectors, output, bias)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from runwarden.llm import queries_near
+from runwarden.llm import queries_models, queries_near
 
 QUERIES = {
     "op1_ngram_jaccard_join": queries_near.op1_ngram_jaccard_join,
+    "op2_language_id": queries_models.op2_language_id,
+    "op10_quality_classifier": queries_models.op10_quality_classifier,
 }
 
 ORACLE: dict[str, str] = {}
