@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from runwarden.llm import queries_models, queries_near
+from runwarden.llm import queries_counts, queries_models, queries_near
 
 QUERIES = {
     "op1_ngram_jaccard_join": queries_near.op1_ngram_jaccard_join,
     "op2_language_id": queries_models.op2_language_id,
+    "op8_token_counts": queries_counts.op8_token_counts,
+    "op9_mixture": queries_counts.op9_mixture,
     "op10_quality_classifier": queries_models.op10_quality_classifier,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_mixture": queries_counts.OP9_SQL,
+}
