@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runwarden.llm.benign_commands import score_benign
+from runwarden.llm.command_model import score_command_lines
 from runwarden.llm.description_language import identify_language
 
 
@@ -47,3 +48,13 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_of_documents(docs, labels).select(
         F.col("event_id").alias("doc_id"), (fold("event_id", 3) == 1).alias("held_out"), "score", "predicted"
     )
+
+
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = docs.select(F.col("doc_id").alias("event_id"), F.col("text").alias("command_line"))
+    scored = score_command_lines(rows, rows.where(fold("event_id", 10) != 0))
+    return scored.select(
+        F.col("event_id").alias("doc_id"), (fold("event_id", 10) == 0).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
