@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,11 +131,13 @@ def fit_benign_model(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ben
     return train_sgd([(b, c / c.sum()) for _, b, c in rows], np.array([r[0] for r in rows]))
 
 
-def score_benign(executions: DataFrame, training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def score_benign(
+    executions: DataFrame, training: DataFrame, sample_rows: int = SAMPLE_ROWS, carry: Sequence[str] = ()
+) -> DataFrame:
     """Probability that each command line is benign, learned from labelled command lines.
 
     ``executions``: ``event_id, command_line``; ``training``: ``command_line, benign`` (0 or 1).
-    Returns ``event_id, score, predicted``; ``predicted`` is 1 for a score of at least 0.5.
+    Returns ``event_id``, the columns named in ``carry``, ``score, predicted``; ``predicted`` is 1 for a score of at least 0.5.
 
     Method: every word and every character 2- to 4-gram has a learned vector in a hashed table;
     their mean over the whole text meets a softmax output.  Both are trained with numpy
@@ -143,11 +146,11 @@ def score_benign(executions: DataFrame, training: DataFrame, sample_rows: int =
     Defined cases: null is empty, and an empty text has the score of the output's bias alone;
     without a usable training row every score is 0.5; labels other than 0 and 1 are not used;
     repeated rows, null ids and long texts are treated like any other; an empty table gives
-    no rows; other columns are ignored.
+    no rows; columns not in ``carry`` are ignored.
     """
     model = fit_benign_model(training, sample_rows)
-    executions = executions.select("event_id", "command_line")
-    kind = executions.schema["event_id"].dataType.simpleString()
+    executions = executions.select("event_id", "command_line", *[c for c in carry if c != "command_line"])
+    fields = ", ".join(f"`{c}` {executions.schema[c].dataType.simpleString()}" for c in ("event_id", *carry))
     if model is None:
         table = (np.zeros(2 * BUCKETS), 0.0)
     else:
@@ -168,10 +171,10 @@ def score_benign(executions: DataFrame, training: DataFrame, sample_rows: int =
             score = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
             yield pa.record_batch(
                 {
-                    "event_id": block.column("event_id"),
+                    **{c: block.column(c) for c in ("event_id", *carry)},
                     "score": score,
                     "predicted": (score >= 0.5).astype(np.int32),
                 }
             )
 
-    return executions.mapInArrow(work, f"event_id {kind}, score double, predicted int")
+    return executions.mapInArrow(work, f"{fields}, score double, predicted int")

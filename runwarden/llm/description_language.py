@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -221,11 +222,14 @@ def fit_language_model(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> L
     return model
 
 
-def identify_language(findings: DataFrame, training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def identify_language(
+    findings: DataFrame, training: DataFrame, sample_rows: int = SAMPLE_ROWS, carry: Sequence[str] = ()
+) -> DataFrame:
     """Language of every finding's description with a calibrated probability.
 
     ``findings``: ``finding_id, description``; ``training``: ``description, language``.
-    Returns ``finding_id, language, score``.
+    Returns ``finding_id``, the columns named in ``carry``,
+    ``language, score``.
 
     Method: hashed character 1- to 3-grams weighted by (1 + ln tf) idf and scaled to length 1,
     multinomial logistic regression trained with follow-the-regularised-leader and elastic-net
@@ -235,11 +239,11 @@ def identify_language(findings: DataFrame, training: DataFrame, sample_rows: int
     Defined cases: a null, empty or letterless description is ``und`` with score 0, and so is
     every row when no training row has a language; ties go to the first language by code
     point; repeated rows, null ids and long texts are treated like any other; an empty table
-    gives no rows; other columns are ignored.
+    gives no rows; columns not in ``carry`` are ignored.
     """
     model = fit_language_model(training, sample_rows)
-    findings = findings.select("finding_id", "description")
-    kind = findings.schema["finding_id"].dataType.simpleString()
+    findings = findings.select("finding_id", "description", *[c for c in carry if c != "description"])
+    fields = ", ".join(f"`{c}` {findings.schema[c].dataType.simpleString()}" for c in ("finding_id", *carry))
     # The model's size is fixed by BUCKETS and the number of languages.
     shared = findings.sparkSession.sparkContext.broadcast(model)
 
@@ -259,10 +263,10 @@ def identify_language(findings: DataFrame, training: DataFrame, sample_rows: int
                 scores.append(float(p[best]))
             yield pa.record_batch(
                 {
-                    "finding_id": block.column("finding_id"),
+                    **{c: block.column(c) for c in ("finding_id", *carry)},
                     "language": pa.array(languages, pa.string()),
                     "score": pa.array(scores, pa.float64()),
                 }
             )
 
-    return findings.mapInArrow(predict, f"finding_id {kind}, language string, score double")
+    return findings.mapInArrow(predict, f"{fields}, language string, score double")

@@ -19,6 +19,8 @@ AUDIT_RECALL = 0.98
 MOST_RESTARTS = 4
 #: Members of one local join that are compared all with all; longer lists are cut, nearest first.
 LOCAL = 64
+#: Pairs with a lower cosine are no neighbours.  It lies below the cosine of two links in a row.
+FAR = 0.5
 _LINK = ["a", "b", "cosine"]
 
 
@@ -141,7 +143,7 @@ def _local_join(graph: DataFrame, nodes: DataFrame) -> DataFrame:
             keep = fresh[x] | fresh[y]
             x, y = x[keep], y[keep]
             cosine = (unit[x] * unit[y]).sum(axis=1)
-            near = cosine > 0.5  # farther pairs cannot lead to a link in two steps
+            near = cosine > FAR
             x, y, cosine = x[near], y[near], cosine[near]
             yield _links(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), cosine)
 
@@ -179,6 +181,75 @@ def _audit(nodes: DataFrame, links: DataFrame, cosine: float, rows: int) -> floa
     return 1.0 if not row["n"] else (row["k"] or 0) / row["n"]
 
 
+def _cosines(pairs: DataFrame) -> DataFrame:
+    """``a, b, cosine`` of rows with both vectors."""
+
+    def work(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, z = _unit(_matrix(batch["vector_x"])), _unit(_matrix(batch["vector_z"]))
+                yield _links(batch["a"], batch["b"], (x * z).sum(axis=1))
+
+    # One length of vectors at a time, as a batch is handled as a matrix.
+    sized = pairs.select("a", "b", "vector_x", "vector_z")
+
+    def by_length(batches):
+        for batch in batches:
+            lengths = batch["vector_x"].value_lengths().to_numpy()
+            for length in np.unique(lengths):
+                yield batch.filter(pa.array(lengths == length))
+
+    return sized.mapInArrow(lambda batches: work(by_length(batches)), _LINK_DDL)
+
+
+def _balls(nodes: DataFrame, tight: float) -> DataFrame:
+    """Adds ``leader`` and the ``cosine`` to it; members are within ``tight``, half a link's angle.
+
+    Any two members of a ball are linked, by the triangle inequality of angles.  Nodes that are
+    connected by such close pairs have one candidate, the one closest to those next to it.
+    """
+    close = _first_graph(nodes, nodes.count(), 1_000).where(F.col("cosine") >= tight)
+    close = materialize(close.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
+    group = connected_components(close, "a", "b")
+    central = _both(close).groupBy(F.col("a").alias("node")).agg(F.avg("cosine").alias("mean"))
+    chosen = group.join(central, "node").groupBy("component").agg(F.max_by("node", F.struct("mean", "node")).alias("leader"))
+    asked = group.join(chosen, "component").where("node <> leader").select("node", "leader")
+    x = nodes.select("node", F.col("vector").alias("vector_x"))
+    z = nodes.select(F.col("node").alias("leader"), F.col("vector").alias("vector_z"))
+    met = asked.join(z, "leader").join(x, "node").select(F.col("node").alias("a"), F.col("leader").alias("b"), "vector_x", "vector_z")
+    inside = _cosines(met).where(F.col("cosine") >= tight).select(F.col("a").alias("node"), F.col("b").alias("leader"), "cosine")
+    out = nodes.join(inside, "node", "left")
+    return materialize(
+        out.withColumn("leader", F.coalesce("leader", "node")).withColumn("cosine", F.coalesce("cosine", F.lit(1.0)))
+    )
+
+
+def _search(nodes: DataFrame, cosine: float, keep: float, audit_recall: float) -> DataFrame:
+    """Pairs of nodes with a cosine of at least ``keep`` that NN-descent finds."""
+    count, links, restart = nodes.count(), None, 0
+    while True:
+        seeds = _first_graph(nodes, count, restart).where(F.col("cosine") > FAR)
+        if links is not None:
+            seeds = seeds.unionByName(links)
+        known = materialize(seeds.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
+        links = known.where(F.col("cosine") >= keep)
+        graph = materialize(_nearest(_both(known).withColumn("fresh", F.lit(True)), None))
+        for _ in range(ROUNDS):
+            found = materialize(_local_join(graph, nodes))
+            both = _both(found).withColumn("fresh", F.lit(True)).unionByName(graph.select(*_LINK, F.lit(False).alias("fresh")))
+            merged = both.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.min("fresh").alias("fresh"))
+            full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least"))
+            full = full.where((F.col("least") >= cosine) & (F.col("n") >= NEIGHBOURS))
+            graph = materialize(_nearest(merged, full.select("a", (F.col("n") * 2).alias("width"))))
+            pairs = found.where(F.col("cosine") >= keep)
+            links = materialize(links.unionByName(pairs).groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
+            if graph.where("fresh").count() <= 0.001 * NEIGHBOURS * count:
+                break
+        restart += 1
+        if restart > MOST_RESTARTS or _audit(nodes, links.where(F.col("cosine") >= cosine), cosine, AUDIT_ROWS) >= audit_recall:
+            return links
+
+
 def near_profiles(profiles: DataFrame, cosine: float = COSINE, audit_recall: float = AUDIT_RECALL) -> DataFrame:
     """Groups of behaviour profiles of one image whose vectors have a cosine of at least ``cosine``.
 
@@ -186,11 +257,14 @@ def near_profiles(profiles: DataFrame, cosine: float = COSINE, audit_recall: flo
     Returns ``profile_id, n_links`` (other profiles linked directly), ``component_id`` (smallest
     profile reachable) and ``kept`` (it is that one) for every row.
 
-    Method: equal vectors of an image are one node.  A first graph joins nodes that are close in
+    Method: equal vectors of an image are one node.  Nodes within half a link's angle of a leader
+    form a ball; all of them are linked with each other, which is counted and not expanded.
+    The leaders and the other nodes are searched.  A first graph joins those that are close in
     several random orders.  Rounds of NN-descent compare the neighbours of every node with each
     other, unless both are old to it, and keep each node's nearest.  A node all of whose
-    neighbours are links is saturated; its list is doubled.  All pairs at the threshold
-    that any round finds are kept.  An audit compares a bounded hash sample with all rows; below
+    neighbours are links is saturated; its list is doubled.  All pairs near enough that any
+    round finds are kept.  For a pair of balls the angle of the leaders and the radii tell
+    whether all or no members are linked; only in between members are compared.  An audit compares a bounded hash sample with all rows; below
     ``audit_recall`` new random orders are added and the rounds go on, a fixed number of times.
 
     Cosines are computed in double precision from scaled vectors, so none below the threshold
@@ -218,42 +292,49 @@ def near_profiles(profiles: DataFrame, cosine: float = COSINE, audit_recall: flo
         .agg(F.min("profile_id").alias("node"), F.count(F.lit(1)).alias("copies"))
         .where("node IS NOT NULL")
     )
-    count = nodes.count()
-    links, restart = None, 0
-    while True:
-        seeds = _first_graph(nodes, count, restart)
-        if links is not None:
-            seeds = seeds.unionByName(links)
-        known = materialize(seeds.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
-        links = materialize(known.where(F.col("cosine") >= cosine))
-        widths = None
-        graph = materialize(_nearest(_both(known).withColumn("fresh", F.lit(True)), widths))
-        for _ in range(ROUNDS):
-            found = _local_join(graph, nodes)
-            both = _both(found).withColumn("fresh", F.lit(True)).unionByName(
-                graph.select(*_LINK, F.lit(False).alias("fresh"))
-            )
-            merged = both.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.min("fresh").alias("fresh"))
-            full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least"))
-            full = full.where((F.col("least") >= cosine) & (F.col("n") >= NEIGHBOURS))
-            widths = materialize(full.select("a", (F.col("n") * 2).alias("width")))
-            graph = materialize(_nearest(merged, widths))
-            pairs = graph.where(F.col("cosine") >= cosine).select(
-                F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine"
-            )
-            links = materialize(links.unionByName(pairs).groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
-            if graph.where("fresh").count() <= 0.001 * NEIGHBOURS * count:
-                break
-        restart += 1
-        if restart > MOST_RESTARTS or _audit(nodes, links, cosine, AUDIT_ROWS) >= audit_recall:
-            break
+    angle = float(np.arccos(cosine))
+    balls = _balls(nodes, float(np.cos(angle / 2)))
+    grouped = balls.groupBy(F.col("leader").alias("node")).agg(
+        F.sum("copies").alias("total"), F.max(F.acos(F.least("cosine", F.lit(1.0)))).alias("radius")
+    )
+    leaders = materialize(nodes.drop("copies").join(grouped, "node"))
+    pairs = _search(leaders, cosine, float(np.cos(2 * angle)), audit_recall)
+
+    # From pairs of leaders to links of their members.
+    left = leaders.select(F.col("node").alias("a"), F.col("total").alias("total_a"), F.col("radius").alias("radius_a"))
+    right = leaders.select(F.col("node").alias("b"), F.col("total").alias("total_b"), F.col("radius").alias("radius_b"))
+    apart = F.acos(F.least("cosine", F.lit(1.0)))
+    spread = F.col("radius_a") + F.col("radius_b")
+    judged = materialize(
+        pairs.join(left, "a").join(right, "b")
+        .withColumn("all", F.when(spread == 0, F.col("cosine") >= cosine).otherwise(apart + spread <= angle - 1e-9))
+        .where(F.col("all") | ((spread > 0) & (apart - spread <= angle + 1e-9)))
+    )
+    whole = judged.where("all")
+    some_of = judged.where("NOT all").select("a", "b")
+    x = balls.select(F.col("leader").alias("a"), F.col("node").alias("x"), F.col("vector").alias("vector_x"))
+    z = balls.select(F.col("leader").alias("b"), F.col("node").alias("z"), F.col("vector").alias("vector_z"))
+    single = materialize(
+        _cosines(some_of.join(x, "a").join(z, "b").select(F.col("x").alias("a"), F.col("z").alias("b"), "vector_x", "vector_z"))
+        .where(F.col("cosine") >= cosine)
+    )
 
-    copies = nodes.select(F.col("node").alias("b"), F.col("copies").alias("others"))
-    near = _both(links).join(copies, "b").groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("near"))
+    per_leader = whole.select(F.col("a").alias("leader"), F.col("total_b").alias("more")).unionByName(
+        whole.select(F.col("b").alias("leader"), F.col("total_a").alias("more"))
+    ).groupBy("leader").agg(F.sum("more").alias("more"))
+    copies = balls.select(F.col("node").alias("b"), F.col("copies").alias("others"))
+    per_node = _both(single).join(copies, "b").groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("near"))
+    links = (
+        whole.select("a", "b")
+        .unionByName(single.select("a", "b"))
+        .unionByName(balls.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    )
     reached = connected_components(links, "a", "b")
-    heads = nodes.join(near, "node", "left").join(reached, "node", "left").select(
+    totals = leaders.select(F.col("node").alias("leader"), "total")
+    heads = balls.join(totals, "leader").join(per_leader, "leader", "left").join(per_node, "node", "left")
+    heads = heads.join(reached, "node", "left").select(
         "part", "vector_key", "vector",
-        (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        (F.col("total") - 1 + F.coalesce("more", F.lit(0)) + F.coalesce("near", F.lit(0))).alias("n_links"),
         F.coalesce("component", "node").alias("component"),
     )
     plain = rows.select(

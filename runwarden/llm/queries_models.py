@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,22 +16,24 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % folds
 
 
-def language_of_documents(docs: DataFrame) -> DataFrame:
+def language_of_documents(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """(finding_id, language, score); learns from documents outside fold 1 of 3."""
-    rows = docs.select("doc_id", F.col("text").alias("description"), F.col("lang").alias("language"))
-    training = rows.where(fold("doc_id", 3) != 1)
-    return identify_language(rows.withColumnRenamed("doc_id", "finding_id"), training)
+    training = docs.where(fold("doc_id", 3) != 1).select(
+        F.col("text").alias("description"), F.col("lang").alias("language")
+    )
+    rows = docs.withColumnsRenamed({"doc_id": "finding_id", "text": "description"})
+    return identify_language(rows, training, carry=carry)
 
 
-def quality_of_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_of_documents(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """(event_id, score, predicted); learns from labels outside fold 1 of 3."""
-    rows = docs.select(F.col("doc_id").alias("event_id"), F.col("text").alias("command_line"))
+    rows = docs.withColumnsRenamed({"doc_id": "event_id", "text": "command_line"})
     known = labels.where(fold("doc_id", 3) != 1).where("quality IN (0, 1)")
     known = known.groupBy(F.col("doc_id").alias("event_id")).agg(
         F.min("quality").alias("benign"), F.max("quality").alias("other")
     )
     known = known.where("benign = other").drop("other")
-    return score_benign(rows, rows.join(known, "event_id"))
+    return score_benign(rows, rows.select("event_id", "command_line").join(known, "event_id"), carry=carry)
 
 
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
