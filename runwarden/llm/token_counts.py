@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,17 @@ _PLAIN = regex.compile(r"[^\u0000-˿]")
 _LOADED = threading.local()
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers as differences, byte plane by byte plane, compressed."""
+    steps = np.diff(values.astype(np.int32), prepend=np.int32(0))
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _restored(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int32).ravel(), dtype=np.int32)
+
+
 class PreTokenizer:
     """Cuts texts into the pre-tokens of a tokenizer file whose added tokens are not normalised."""
 
@@ -85,7 +97,8 @@ def _token_blocks(executions: DataFrame, path: str) -> DataFrame:
     """A row per block of texts: its ids and sizes, its pre-tokens, and who has which how often.
 
     ``held`` lists for text after text the places of its pre-tokens in ``tokens``; ``times`` has
-    one byte each, so a pre-token found more than 255 times is listed again.
+    one byte each, so a pre-token found more than 255 times is listed again.  All three are
+    compressed.
     """
     kind = executions.schema["event_id"].dataType.simpleString()
 
@@ -98,8 +111,8 @@ def _token_blocks(executions: DataFrame, path: str) -> DataFrame:
             for text in texts.to_pylist():
                 found, special = cutter.counts(text or "")
                 added.append(special)
-                for token, count in found.items():
-                    place = places.setdefault(token, len(places))
+                placed = sorted((places.setdefault(t, len(places)), n) for t, n in found.items())
+                for place, count in placed:
                     while count > 255:
                         held.append(place)
                         times.append(255)
@@ -114,9 +127,9 @@ def _token_blocks(executions: DataFrame, path: str) -> DataFrame:
                     "bytes": pa.array([np.diff(raw_bytes(texts)[1])], pa.list_(pa.int64())),
                     "added": pa.array([added], pa.list_(pa.int64())),
                     "ends": pa.array([ends], pa.list_(pa.int64())),
-                    "held": pa.array([np.array(held, np.int32).tobytes()], pa.binary()),
-                    "times": pa.array([np.array(times, np.uint8).tobytes()], pa.binary()),
-                    "tokens": pa.array(["\n".join(places)], pa.string()),
+                    "held": pa.array([_squeezed(np.array(held, np.int32))], pa.binary()),
+                    "times": pa.array([zstandard.compress(bytes(times), 1)], pa.binary()),
+                    "tokens": pa.array([zstandard.compress("\n".join(places).encode(), 1)], pa.binary()),
                 }
             )
             number += 1
@@ -124,7 +137,7 @@ def _token_blocks(executions: DataFrame, path: str) -> DataFrame:
     return executions.mapInArrow(
         work,
         f"block bigint, event_ids array<{kind}>, bytes array<bigint>, added array<bigint>, "
-        "ends array<bigint>, held binary, times binary, tokens string",
+        "ends array<bigint>, held binary, times binary, tokens binary",
     )
 
 
@@ -141,6 +154,7 @@ def _pieces_of_blocks(cut: DataFrame, path: str) -> DataFrame:
 
         for batch in batches:
             for block, joined in zip(batch["block"].to_pylist(), batch["tokens"].to_pylist(), strict=True):
+                joined = zstandard.decompress(joined).decode()
                 tokens = joined.split("\n") if joined else []
                 ranks = np.array([zlib.crc32(t.encode()) % ranges for t in tokens], dtype=np.int64)
                 order = np.argsort(ranks, kind="stable")
@@ -202,8 +216,8 @@ def count_tokens(executions: DataFrame, tokenizer_file: str, limit: int = 2048)
                 sizes = np.zeros(sum(len(p["places"]) // 4 for p in parts), dtype=np.int64)
                 for part in parts:
                     sizes[np.frombuffer(part["places"], np.int32)] = np.frombuffer(part["pieces"], np.int32)
-                held = np.frombuffer(row["held"], np.int32)
-                tokens = sizes[held] * np.frombuffer(row["times"], np.uint8)
+                held = _restored(row["held"])
+                tokens = sizes[held] * np.frombuffer(zstandard.decompress(row["times"]), np.uint8)
                 sums = np.concatenate([[0], np.cumsum(tokens)])[np.array(row["ends"])]
                 total = np.diff(sums) + np.array(row["added"], np.int64)
                 yield pa.record_batch(
