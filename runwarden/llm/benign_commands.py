@@ -16,7 +16,7 @@ from runwarden.llm.text_blocks import Words, blocks, characters, grams, raw_byte
 ORDERS = range(2, 5)
 BUCKETS = 1 << 17  # character n-grams, and as many again for words
 DIMENSIONS = 8
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 2500
 FEATURE_RATE = 30.0  # step of a vector against the output's; a feature's share of a text is small
 _SAME = np.arange(256, dtype=np.uint8)
 _REPEAT = np.int32(BUCKETS)  # stands for a word that repeats the word before it
@@ -128,7 +128,7 @@ def fit_benign_model(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ben
     )
     if not rows:
         return None
-    return train_sgd([(b, c / c.sum()) for _, b, c in rows], np.array([r[0] for r in rows]))
+    return train_sgd([(b, (c / c.sum()).astype(np.float32)) for _, b, c in rows], np.array([r[0] for r in rows]))
 
 
 def score_benign(

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _RANGE = 1 << 32
+SAMPLE_BYTES = 24_000_000
 
 
-def bounded_sample(rows: DataFrame, text: str, most: int) -> DataFrame:
-    """At most ``most`` rows, chosen by the hash of their text, the same in every run.
+def bounded_sample(rows: DataFrame, text: str, most: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """At most ``most`` rows and ``most_bytes`` of text, chosen by the hash of their text.
 
-    The share to take follows from a count, so only about ``most`` rows meet in the final
-    ordering.
+    The same rows are chosen in every run.  The share to take follows from a count, so only about
+    ``most`` rows meet in the final ordering.  At least one row is chosen.
     """
     total = rows.count()
-    if total <= most:
-        return rows
     place = F.pmod(F.xxhash64(text, F.lit(7)), F.lit(_RANGE))
-    share = int(_RANGE * min(1.0, 1.2 * most / total))
-    return rows.where(place < share).orderBy(place, text).limit(most)
+    share = int(_RANGE * min(1.0, 1.2 * most / max(total, 1)))
+    few = rows.withColumn("_place", place).where(F.col("_place") < share).orderBy("_place", text).limit(most)
+    before = Window.orderBy("_place", text).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
+    read = few.withColumn("_before", F.coalesce(F.sum(size).over(before), F.lit(0))).withColumn("_size", size)
+    return read.where((F.col("_before") == 0) | (F.col("_before") + F.col("_size") <= most_bytes)).drop(
+        "_place", "_before", "_size"
+    )
