@@ -17,6 +17,7 @@ ORDERS = range(2, 5)
 BUCKETS = 1 << 17  # character n-grams, and as many again for words
 DIMENSIONS = 8
 SAMPLE_ROWS = 2500
+BLOCK_TEXT = 2_000_000
 FEATURE_RATE = 30.0  # step of a vector against the output's; a feature's share of a text is small
 _SAME = np.arange(256, dtype=np.uint8)
 _REPEAT = np.int32(BUCKETS)  # stands for a word that repeats the word before it
@@ -104,7 +105,7 @@ def fit_benign_model(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ben
     chosen = bounded_sample(training.where("benign IN (0, 1)"), "command_line", sample_rows)
 
     def bags(batches):
-        for block in blocks(batches, "command_line"):
+        for block in blocks(batches, "command_line", BLOCK_TEXT):
             found, ends = features(block.column("command_line"))
             pairs = [np.unique(found[a:b], return_counts=True) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.record_batch(
@@ -160,7 +161,7 @@ def score_benign(
 
     def work(batches):
         margins, bias = shared.value
-        for block in blocks(batches, "command_line"):
+        for block in blocks(batches, "command_line", BLOCK_TEXT):
             found, ends = features(block.column("command_line"))
             sizes = np.diff(ends)
             sums = np.zeros(len(sizes))

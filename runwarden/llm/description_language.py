@@ -17,6 +17,7 @@ UNKNOWN = "und"
 ORDERS = range(1, 4)
 BUCKETS = 1 << 15
 SAMPLE_ROWS = 3000
+BLOCK_TEXT = 2_000_000
 
 
 def _lower_letters() -> np.ndarray:
@@ -167,7 +168,7 @@ def fit_language_model(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> L
 
     def frequencies(batches):
         seen, texts = np.zeros(BUCKETS, dtype=np.int64), 0
-        for block in blocks(batches, "description"):
+        for block in blocks(batches, "description", BLOCK_TEXT):
             terms, _, _ = term_counts(block.column("description"))
             texts += len(terms)
             if terms:
@@ -187,7 +188,7 @@ def fit_language_model(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> L
         chosen = part if chosen is None else chosen.unionByName(part)
 
     def features(batches):
-        for block in blocks(batches, "description"):
+        for block in blocks(batches, "description", BLOCK_TEXT):
             terms, counts, _ = term_counts(block.column("description"))
             yield pa.record_batch(
                 {
@@ -249,7 +250,7 @@ def identify_language(
 
     def predict(batches):
         model = shared.value
-        for block in blocks(batches, "description"):
+        for block in blocks(batches, "description", BLOCK_TEXT):
             terms, counts, lettered = term_counts(block.column("description"))
             languages, scores = [], []
             for term, count, known in zip(terms, counts, lettered.tolist(), strict=True):
