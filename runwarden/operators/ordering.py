@@ -141,8 +141,10 @@ class Ordered:
             carry = _split_keys(self.df, self.keys, [totals]).withColumn("_carry", F.struct(*carried))
             out = _attach(out, carry, self.keys)
             for alias in sums:
-                earlier = F.coalesce(F.col("_carry").getField(alias), F.lit(0))
-                out = out.withColumn(alias, F.coalesce(F.col(alias), F.lit(0)) + earlier)
+                # Null until the first value, like the plain window.
+                earlier = F.col("_carry").getField(alias)
+                both = F.coalesce(F.col(alias), F.lit(0)) + F.coalesce(earlier, F.lit(0))
+                out = out.withColumn(alias, F.when(F.col(alias).isNotNull() | earlier.isNotNull(), both))
             out = out.drop("_carry")
         return self._with(out)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from runwarden import config
 from runwarden.functions.hashing import sha256_fields
 from runwarden.functions.identity import baseline_lookup, parent_path, program_name, program_path
-from runwarden.operators.enrich import top_per_group, within_seconds_after
+from runwarden.operators.enrich import within_seconds_after
 from runwarden.operators.ordering import Ordered
 from runwarden.session import materialize
 
@@ -182,14 +182,13 @@ def new_root(resolved: DataFrame, baseline: DataFrame) -> DataFrame:
     return _process_match(rows, "DET-003", with_parent=False)
 
 
-def new_tool(unseen: DataFrame, cap: int = config.UNSEEN_TOOL_CAP) -> DataFrame:
-    """Rule 4: other unknown programs, the first ones of each run."""
-    order = [F.asc("occurred_at"), F.asc("event_id")]
-    return _process_match(top_per_group(unseen_tools(unseen), RUN, order, cap), "DET-004")
+def new_tool(unseen: DataFrame) -> DataFrame:
+    """Rule 4: all other unknown programs."""
+    return _process_match(unseen_tools(unseen), "DET-004")
 
 
 def surplus_tools(unseen: DataFrame, cap: int = config.UNSEEN_TOOL_CAP) -> DataFrame:
-    """How many executions rule 4 left out per run."""
+    """How many executions of rule 4 a short list of ``cap`` per run does not show."""
     counts = unseen_tools(unseen).groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(
         *RUN, F.greatest(F.col("n") - cap, F.lit(0)).alias("additional_unseen_executables")

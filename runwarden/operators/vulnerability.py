@@ -63,7 +63,7 @@ def normalize_findings(reports: DataFrame) -> DataFrame:
     """Well-formed findings with defaults filled and the best CVSS score chosen."""
     cve = F.upper("v.VulnerabilityID")
     rows = report_items(reports).where(cve.rlike(config.CVE_PATTERN))
-    references = F.slice(F.filter("v.References", lambda r: F.length(r) > 0), 1, 100)
+    references = F.filter("v.References", lambda r: F.length(r) > 0)
     cvss = best_cvss(F.col("v.CVSS"))
     return rows.select(
         "scan_id",
@@ -276,17 +276,12 @@ def package_tokens(name: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: F.length(t) > 0))
 
 
-def observed_programs(execs: DataFrame, limit: int = config.RUNTIME_EVENTS_PER_DIGEST) -> DataFrame:
-    """Distinct (digest, token) from the newest executions of each digest."""
-    newest = top_per_group(
-        execs.select("image_digest", "occurred_at", "event_id", "executable", "process_name"),
-        ["image_digest"],
-        [F.desc("occurred_at"), F.asc("event_id")],
-        limit,
-    )
+def observed_programs(execs: DataFrame) -> DataFrame:
+    """Distinct (digest, token) from all executions, made distinct before the shuffle."""
+    seen = execs.select("image_digest", "executable", "process_name").distinct()
     path, name = F.lower("executable"), F.lower("process_name")
     tokens = F.explode(F.array(path, basename(path), name, basename(name))).alias("token")
-    return newest.select("image_digest", tokens).where(F.length("token") > 0).distinct()
+    return seen.select("image_digest", tokens).where(F.length("token") > 0).distinct()
 
 
 def exposure_stage(findings: DataFrame, containers: DataFrame, programs: DataFrame) -> DataFrame:
@@ -366,7 +361,7 @@ def scan_summary(findings: DataFrame, intel: DataFrame, containers: DataFrame, e
     )
     running = containers.groupBy("image_digest").agg(F.count(F.lit(1)).alias("containers_observed"))
     ran = execs.groupBy("image_digest").agg(
-        F.least(F.count(F.lit(1)), F.lit(config.RUNTIME_EVENTS_PER_DIGEST)).alias("process_events_considered")
+        F.count(F.lit(1)).alias("process_events_considered")
     )
     joined = base.join(coverage, keys).join(running, "image_digest", "left").join(ran, "image_digest", "left")
     return joined.fillna(0, ["containers_observed", "process_events_considered"])

@@ -71,8 +71,7 @@ m0 AS (
     FROM flagged WHERE user_uid = 0 AND image_digest NOT IN
       (SELECT image_digest FROM base_tok WHERE family = 'user_uid' AND token = '0')
   UNION ALL SELECT image_digest, w, 'DET-004', us, 'process_event', event_id, container_id, ppath, par_path,
-    NULL, NULL FROM (SELECT *, row_number() OVER (PARTITION BY image_digest, w ORDER BY us, event_id) AS rn
-      FROM tools) WHERE rn <= 10
+    NULL, NULL FROM tools
   UNION ALL SELECT image_digest, w, 'DET-005', us, 'derived_correlation', shell_id || ':' || tool_id,
     container_id, NULL, NULL, shell_id, tool_id FROM pairs
   UNION ALL SELECT image_digest, w, 'DET-006', us, 'runtime_event', event_id, container_id, NULL, NULL, NULL, NULL
@@ -90,8 +89,7 @@ al AS (SELECT 'a' || lpad(cast(s_suppkey AS varchar), 6, '0') AS allowlist_id,
     CASE WHEN s_suppkey % 5 < 2 THEN '/sbin/p' || (s_nationkey % 5) END AS parent_executable,
     s_acctbal > 1000 AS active,
     CASE WHEN s_suppkey % 4 = 0 THEN {CUT_US} + (s_nationkey - 12) * {DAY_US} END AS expires_us FROM supplier),
-live AS (SELECT * FROM al WHERE active AND (expires_us IS NULL OR expires_us > {CUT_US})
-  AND NOT (rule_id = 'DET-002' AND executable IS NULL AND parent_executable IS NULL)),
+live AS (SELECT * FROM al WHERE active AND (expires_us IS NULL OR expires_us > {CUT_US})),
 dsup AS (SELECT m1.rule_id, m1.image_digest, m1.w, source_type, source_id, min(allowlist_id) AS by_id
   FROM m1 JOIN live l ON l.image_digest = m1.image_digest AND l.rule_id = m1.rule_id AND m1.rule_id <> 'DET-005'
     AND (l.executable IS NULL OR l.executable = m1.executable)
@@ -164,8 +162,7 @@ def allowlists(t: Tables) -> DataFrame:
 
 
 def live_allowlists(t: Tables) -> DataFrame:
-    live = rules.active_allowlists(allowlists(t), F.timestamp_micros(F.lit(CUT_US)))
-    return live.where("NOT (rule_id = 'DET-002' AND executable IS NULL AND parent_executable IS NULL)")
+    return rules.active_allowlists(allowlists(t), F.timestamp_micros(F.lit(CUT_US)))
 
 
 def detection(t: Tables, custom: list[dict] | None = None) -> Detection:

@@ -127,7 +127,7 @@ def empirical_pvalue(t: Tables) -> DataFrame:
     "sco14_fuse_ranks",
     """WITH c(i, component) AS (VALUES (1, 'categorical_shift'), (2, 'sequence_surprisal'), (3, 'novelty_mass'), (4, 'numeric_tail')),
       r AS (SELECT l_orderkey AS k, component, CASE WHEN max(l_discount) > 0.03 THEN max(l_discount) * 10 END AS v
-        FROM lineitem JOIN c ON i = l_linenumber GROUP BY ALL)
+        FROM lineitem JOIN c ON i = (l_linenumber - 1) % 4 + 1 GROUP BY ALL)
     SELECT k, round(avg(v), 9) AS rarity, concat_ws(',',
         CASE WHEN count(v) FILTER (component = 'categorical_shift') = 0 THEN 'categorical_shift' END,
         CASE WHEN count(v) FILTER (component = 'novelty_mass') = 0 THEN 'novelty_mass' END,
@@ -140,8 +140,10 @@ def fuse_ranks(t: Tables) -> DataFrame:
     top = F.max("l_discount")
     rows = (
         t.raw("lineitem")
-        .where("l_linenumber <= 4")
-        .groupBy(F.col("l_orderkey").alias("k"), F.element_at(names, F.col("l_linenumber")).alias("component"))
+        .groupBy(
+            F.col("l_orderkey").alias("k"),
+            F.element_at(names, ((F.col("l_linenumber") - 1) % 4 + 1).cast("int")).alias("component"),
+        )
         .agg(F.when(top > 0.03, top * 10).alias("rarity"))
     )
     out = rarity.fuse_ranks(rows, ["k"])

@@ -282,7 +282,7 @@ def severity_summary(t: Tables) -> DataFrame:
     "vul8_scan_summary",
     duck_prefix("ex", "lc", "finding", "intel") + f""" SELECT scan_id, image_digest, {SUMMARY},
       count(*) FILTER (epss_score IS NOT NULL) AS epss_covered_findings, count(*) FILTER (kev) AS kev_findings,
-      coalesce(any_value(c), 0) AS containers_observed, coalesce(any_value(least(e, 10000)), 0) AS process_events_considered
+      coalesce(any_value(c), 0) AS containers_observed, coalesce(any_value(e), 0) AS process_events_considered
     FROM finding LEFT JOIN intel USING (cve_id)
     LEFT JOIN (SELECT image_digest, count(DISTINCT container_id) AS c FROM lc WHERE g % 2 = 0 GROUP BY 1) USING (image_digest)
     LEFT JOIN (SELECT image_digest, count(*) AS e FROM ex GROUP BY 1) USING (image_digest) GROUP BY ALL""",
@@ -346,7 +346,7 @@ FEEDS = """ep AS (SELECT upper(cve) AS cve_id, s AS epss_score, p AS epss_percen
       p_size / 50.0 AS p, CASE WHEN p_partkey % 2 = 0 THEN '2024-01-0' || (p_partkey % 9 + 1) END AS d FROM part)
     WHERE s IS NOT NULL QUALIFY row_number() OVER (PARTITION BY upper(cve) ORDER BY p_partkey DESC) = 1),
   kv AS (SELECT 'CVE-2024-' || lpad(cast(p_partkey % 700 AS varchar), 5, '0') AS cve_id, p_brand AS kev_vendor_project,
-      p_name AS kev_product FROM part WHERE p_size < 20
+      p_name AS kev_product FROM part
     QUALIFY row_number() OVER (PARTITION BY p_partkey % 700 ORDER BY p_partkey DESC) = 1)"""
 
 
@@ -375,7 +375,7 @@ def kev_documents(t: Tables) -> DataFrame:
         F.col("p_brand").alias("vendorProject"),
         F.col("p_name").alias("product"),
     )
-    return _feed(t, t.raw("part").where("p_size < 20"), "vulnerabilities", entry)
+    return _feed(t, t.raw("part"), "vulnerabilities", entry)
 
 
 @query("src6_read_epss", "WITH " + FEEDS + " SELECT * FROM ep")

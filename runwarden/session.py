@@ -34,7 +34,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder of the cluster; a fresh local one only when none is set."""
+    """Shared checkpoint folder of the cluster; a fresh local one only in local mode when none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if folder:
@@ -44,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = context.getCheckpointDir()
     if existing:
         return existing
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     folder = tempfile.mkdtemp(prefix="run-ckpt-")
     context.setCheckpointDir(folder)
     return folder

