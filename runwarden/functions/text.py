@@ -74,16 +74,15 @@ def image_reference(repository: Column, tag: Column) -> Column:
 
 
 def tag_list(tags: Column) -> Column:
-    """Non-placeholder tags, each clipped, the first ones only."""
+    """Non-placeholder tags, all of them and whole."""
     kept = F.filter(tags, lambda t: t.isNotNull() & ~t.isin(config.NA_VALUES))
-    short = F.transform(kept, lambda t: F.substring(t, 1, config.TAG_CHARS))
-    return F.coalesce(F.slice(short, 1, config.TAG_LIMIT), F.array().cast("array<string>"))
+    return F.coalesce(kept, F.array().cast("array<string>"))
 
 
 def action_category(action: Column) -> Column:
     head = F.trim(F.substring_index(F.lower(F.trim(action)), ":", 1))
     named = F.when(F.length(head) > 0, head).otherwise(F.lit("unknown"))
-    return F.substring(F.coalesce(named, F.lit("unknown")), 1, config.ACTION_CHARS)
+    return F.coalesce(named, F.lit("unknown"))
 
 
 def action_detail(action: Column) -> Column:

@@ -13,9 +13,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from runwarden import config
 from runwarden.functions.text import basename
@@ -25,12 +28,34 @@ from runwarden.operators.rules import MATCH_TYPES, RUN, resolve_identity
 
 TARGETS = {"process": config.PROCESS_RULE_FIELDS, "lifecycle": config.LIFECYCLE_RULE_FIELDS}
 _NEVER = object()
+_ANSI = "spark.sql.ansi.enabled"
+_PROCESS_TYPE = (
+    "struct<event_id:string,executable:string,process_name:string,parent_executable:string,"
+    "parent_name:string,command_line:string,user_uid:bigint,container_id:string>"
+)
+_SAMPLE_TYPES = {
+    "process": f"fields {_PROCESS_TYPE}, ancestors array<{_PROCESS_TYPE}>",
+    "lifecycle": "fields struct<action:string,privileged:boolean,image_digest:string,container_id:string>",
+}
+
+
+@contextmanager
+def _lenient(spark: SparkSession):
+    """Analyse rules so that a value that cannot be converted is null, not an error.
+
+    A rule such as ``user_uid = command_line`` would otherwise fail on the first row
+    whose text is no number, and take all other rules with it.
+    """
+    before = spark.conf.get(_ANSI)
+    spark.conf.set(_ANSI, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_ANSI, before)
 
 
-def leaves(condition: object, depth: int = 0) -> Iterator[dict]:
+def leaves(condition: object) -> Iterator[dict]:
     """Leaves of a condition tree; raises ValueError where it is not one."""
-    if depth > config.RULE_DEPTH_LIMIT:
-        raise ValueError("condition is nested too deeply")
     if not isinstance(condition, dict):
         raise ValueError("condition must be an object")
     for branch in ("all", "any"):
@@ -39,10 +64,10 @@ def leaves(condition: object, depth: int = 0) -> Iterator[dict]:
             if not isinstance(members, list) or len(members) == 0:
                 raise ValueError(f"{branch} needs a list of conditions")
             for member in members:
-                yield from leaves(member, depth + 1)
+                yield from leaves(member)
             return
     if "not" in condition:
-        yield from leaves(condition["not"], depth + 1)
+        yield from leaves(condition["not"])
         return
     yield condition
 
@@ -50,8 +75,6 @@ def leaves(condition: object, depth: int = 0) -> Iterator[dict]:
 def check_condition(condition: object, target: str) -> list[dict]:
     """Leaves of a valid condition; raises ValueError naming the first violation."""
     found = list(leaves(condition))
-    if len(found) > config.RULE_LEAF_LIMIT:
-        raise ValueError("condition has too many leaves")
     for leaf in found:
         field, op, scope = leaf.get("field"), leaf.get("op"), leaf.get("scope", "event")
         problems = {
@@ -151,6 +174,14 @@ def compile_text(text: str, target: str) -> Column:
     return F.expr(_TEXT_WORD.sub(qualify, text))
 
 
+def check_analysis(spark: SparkSession, test: Column, target: str) -> None:
+    """Raise when Spark cannot analyse the compiled rule or it is not boolean."""
+    sample = spark.createDataFrame([], _SAMPLE_TYPES[target])
+    found = sample.select(test.alias("hit")).schema["hit"].dataType
+    if not isinstance(found, BooleanType):
+        raise ValueError(f"a rule must be true or false, not {found.simpleString()}")
+
+
 def _uses_ancestors(condition: object, target: str) -> bool:
     if isinstance(condition, str):
         return "ancestors" in condition
@@ -193,7 +224,7 @@ def _evaluate(events: DataFrame, compiled: list[tuple[dict, Column]], source: st
     hits = F.array_compact(F.array(*[F.when(test, _rule_row(rule)) for rule, test in compiled]))
     executable = F.col("program_path") if source == "process_event" else F.lit(None)
     parent = F.col("parent_path") if source == "process_event" else F.lit(None)
-    rows = events.select(
+    columns = [
         *RUN,
         "occurred_at",
         F.lit(source).alias("source_type"),
@@ -202,7 +233,9 @@ def _evaluate(events: DataFrame, compiled: list[tuple[dict, Column]], source: st
         executable.alias("executable"),
         parent.alias("parent_executable"),
         F.inline(hits),
-    )
+    ]
+    with _lenient(events.sparkSession):
+        rows = events.select(*columns)
     return rows.select(
         *[
             (F.col(n) if n in rows.columns else F.lit(None)).cast(kind).alias(n)
@@ -216,6 +249,10 @@ def custom_matches(
 ) -> tuple[DataFrame, DataFrame]:
     """(matches, rule errors).  A broken rule is reported and does not stop the others.
 
+    Broken is a rule of the wrong shape, with unknown words, that Spark cannot parse or
+    analyse, or whose result is not boolean.  Values that cannot be converted for a
+    comparison do not meet it.
+
     ``execs`` needs ``parent_event_id``; ancestors are looked up inside the same run.
     """
     spark = execs.sparkSession
@@ -235,8 +272,10 @@ def custom_matches(
             else:
                 test = compile_condition(condition)
             _rule_row(rule)
+            with _lenient(spark):
+                check_analysis(spark, test, target)
             groups.setdefault((target, deep), []).append((rule, test))
-        except (AttributeError, KeyError, TypeError, ValueError) as error:
+        except (AttributeError, KeyError, TypeError, ValueError, RecursionError, PySparkException) as error:
             errors.append((slug, f"{type(error).__name__}: {error}"))
 
     parts = [empty_matches(spark)]

@@ -205,18 +205,18 @@ def _node() -> Column:
 def ancestor_chain(
     execs: DataFrame,
     keys: Sequence[str] = (),
-    limit: int = config.ANCESTOR_LIMIT,
+    limit: int | None = None,
     node: Column | None = None,
 ) -> DataFrame:
     """(keys, event_id, ancestors) of the events that have one, from the parent upwards.
 
     A parent counts only when it is inside the same ``keys`` group.  The walk stops at
-    a repeated node and after ``limit`` nodes.
+    a repeated node, and after ``limit`` nodes where a limit is given.
 
     Chains are doubled instead of walked: chains that have reached their full length
-    so far are extended by the chain of their last node, so 25 hops take at most five
-    joins.  Each round is written to the checkpoint folder, because it is read twice
-    by the next one, and the rounds end when no chain is full any more.
+    so far are extended by the chain of their last node, so a chain of n hops takes
+    log2(n) joins.  Each round is written to the checkpoint folder, because it is read
+    twice by the next one, and the rounds end when no chain grows any more.
     """
     keys = list(keys)
     entry = _node() if node is None else node
@@ -225,8 +225,11 @@ def ancestor_chain(
     chains = start.where(F.col("_up").isNotNull()).join(nodes, [*keys, "_up"])
     chains = materialize(chains.select(*keys, "event_id", F.array("_node").alias("ancestors")))
     length = 1
-    while length < limit:
-        full = chains.where(F.size("ancestors") == length)
+    while limit is None or length < limit:
+        # A chain that repeats a node holds its whole loop and grows no more.
+        ids = F.transform("ancestors", lambda one: one["event_id"])
+        grows = (F.size("ancestors") == length) & (F.size(F.array_distinct(ids)) == length)
+        full = chains.where(grows)
         if full.isEmpty():
             break
         tails = chains.select(*keys, F.col("event_id").alias("_up"), F.col("ancestors").alias("_more"))
@@ -236,11 +239,13 @@ def ancestor_chain(
             "event_id",
             F.concat("ancestors", F.coalesce("_more", F.slice("ancestors", 1, 0))).alias("ancestors"),
         )
-        chains = materialize(chains.where(F.size("ancestors") < length).unionByName(longer))
+        chains = materialize(chains.where(~grows).unionByName(longer))
         length *= 2
     # In a walk along single parents everything after the first repeat repeats, so the
     # distinct prefix is where the walk stops.
-    walked = F.slice(F.array_distinct("ancestors"), 1, limit)
+    walked = F.array_distinct("ancestors")
+    if limit is not None:
+        walked = F.slice(walked, 1, limit)
     return chains.select(*keys, "event_id", walked.alias("ancestors"))
 
 

@@ -64,8 +64,8 @@ def classify_sensor_lines(lines: DataFrame, expected_rule: str) -> DataFrame:
     """Add ``outcome`` (ok, ignored, malformed, error) and ``error`` to parsed lines."""
     fields = lambda name: F.col(f"d.output_fields")[name]
     parsed = parse_sensor_lines(lines)
-    known = (clip(F.col("d.rule"), 255) == expected_rule) & (
-        F.coalesce(clip(F.col("d.source"), 32), F.lit("syscall")) == "syscall"
+    known = (clip(F.col("d.rule")) == expected_rule) & (
+        F.coalesce(clip(F.col("d.source")), F.lit("syscall")) == "syscall"
     )
     raw_fields = F.get_json_object("raw", "$.output_fields")
     odd_fields = raw_fields.isNotNull() & ~raw_fields.startswith("{") & ~raw_fields.isin("", "[]", "0", "false")
@@ -74,7 +74,7 @@ def classify_sensor_lines(lines: DataFrame, expected_rule: str) -> DataFrame:
         known=F.coalesce(known, F.lit(False)),
         time_nano=event_nanos(fields("evt.rawtime"), F.col("d.time")),
         pid=non_negative_int(fields("proc.pid")),
-        on_host=F.coalesce(clip(fields("container.id"), 128) == "host", F.lit(False)),
+        on_host=F.coalesce(clip(fields("container.id")) == "host", F.lit(False)),
         odd_fields=F.coalesce(odd_fields, F.lit(False)),
     )
     error = (
@@ -98,38 +98,38 @@ def exec_events(classified: DataFrame, sensor_id: str, host_id: str | None) -> D
     """Normalised execution rows of the accepted lines."""
     ok = classified.where("outcome = 'ok'")
     field = lambda name: F.col("d.output_fields")[name]
-    event_type = F.coalesce(clip(field("evt.type"), 64), F.lit("execve"))
+    event_type = F.coalesce(clip(field("evt.type")), F.lit("execve"))
     vpid = F.coalesce(field("proc.vpid"), field("thread.vpid"))
     columns = {
         "sensor_instance_id": F.lit(sensor_id),
-        "sensor_hostname": clip(F.col("d.hostname"), 255),
-        "rule_name": clip(F.col("d.rule"), 255),
-        "priority": F.coalesce(clip(F.col("d.priority"), 32), F.lit("Notice")),
+        "sensor_hostname": clip(F.col("d.hostname")),
+        "rule_name": clip(F.col("d.rule")),
+        "priority": F.coalesce(clip(F.col("d.priority")), F.lit("Notice")),
         "occurred_at": time_of_nanos(),
         "time_nano": F.col("time_nano"),
         "event_number": non_negative_int(field("evt.num")),
         "event_type": event_type,
         "reported_docker_host_id": F.lit(host_id).cast("string"),
-        "reported_container_id": clip(field("container.id"), 128),
-        "reported_container_name": clip(field("container.name"), 255),
+        "reported_container_id": clip(field("container.id")),
+        "reported_container_name": clip(field("container.name")),
         "reported_image_ref": image_reference(
             clip(field("container.image.repository")), clip(field("container.image.tag"))
         ),
         "process_pid": non_negative_int(field("proc.pid")),
         "process_ppid": non_negative_int(field("proc.ppid")),
         "process_vpid": non_negative_int(vpid),
-        "process_name": clip(field("proc.name"), 255),
+        "process_name": clip(field("proc.name")),
         "executable": clip(field("proc.exepath")),
         "command_line": clip(field("proc.cmdline")),
         "working_directory": clip(field("proc.cwd")),
         "tty": non_negative_int(field("proc.tty")),
-        "parent_name": clip(field("proc.pname"), 255),
+        "parent_name": clip(field("proc.pname")),
         "parent_executable": clip(field("proc.pexepath")),
         "parent_command_line": clip(field("proc.pcmdline")),
         "user_uid": non_negative_int(field("user.uid")),
-        "user_name": clip(field("user.name"), 255),
+        "user_name": clip(field("user.name")),
         "group_gid": non_negative_int(field("group.gid")),
-        "group_name": clip(field("group.name"), 255),
+        "group_name": clip(field("group.name")),
         "tags": tag_list(F.col("d.tags")),
         "output": clip(F.col("d.output")),
         "output_fields": F.col("d.output_fields"),
@@ -184,7 +184,7 @@ def ingest_counters(classified: DataFrame, events: DataFrame) -> DataFrame:
 def dead_letters(rejected: DataFrame, excerpt_bytes: int = config.EXCERPT_BYTES) -> DataFrame:
     """Redacted, bounded record of each rejected line.  rejected: raw, error (class: message)."""
     has_message = F.contains("error", F.lit(":"))
-    error_class = F.substring(F.substring_index("error", ":", 1), 1, config.ERROR_CLASS_CHARS)
+    error_class = F.substring_index("error", ":", 1)
     message = F.trim(F.regexp_extract("error", r"(?s)^[^:]*:(.*)$", 1))
     extra = [c for c in rejected.columns if c in ("recorded_at", "id")]
     return rejected.select(
@@ -193,9 +193,7 @@ def dead_letters(rejected: DataFrame, excerpt_bytes: int = config.EXCERPT_BYTES)
         F.octet_length("raw").cast("bigint").alias("raw_byte_length"),
         clip_utf8(redact(F.col("raw")), excerpt_bytes).alias("excerpt"),
         error_class.alias("error_class"),
-        F.when(has_message, clip_utf8(redact(message), config.EXCERPT_BYTES))
-        .otherwise("")
-        .alias("error_message"),
+        F.when(has_message, redact(message)).otherwise("").alias("error_message"),
     )
 
 

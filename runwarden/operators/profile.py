@@ -14,11 +14,16 @@ numbers are all derived from that much smaller table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from runwarden import config
 from runwarden.functions.hashing import set_digest_parts
@@ -299,23 +304,47 @@ def event_set_fingerprint(ids: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sums.select(*keys, "event_count", F.sha2(text, 256).alias("event_set_fingerprint"))
 
 
-def event_set_hash(
-    ids: DataFrame, keys: Sequence[str], exact_limit: int = config.EXACT_HASH_LIMIT
-) -> DataFrame:
+def event_set_hash(ids: DataFrame, keys: Sequence[str]) -> DataFrame:
     """SHA-256 of the newline-joined sorted ids, next to the mergeable fingerprint.
 
-    A hash over a sorted list needs the whole list in one place, so it is given
-    for sets of up to ``exact_limit`` ids only and is null above it; the
-    fingerprint identifies sets of any size.
+    The hash of a sorted list is sequential by definition: the ids of a key are sorted
+    by Spark, which spills, and fed to the digest batch by batch, so memory stays
+    constant for sets of any size.  The fingerprint is the form that also runs in
+    parallel within a key.
     """
-    prints = event_set_fingerprint(ids, keys)
-    small = prints.where(F.col("event_count") <= exact_limit).select(*keys)
-    exact = (
-        ids.join(small, list(keys), "left_semi")
-        .groupBy(*keys)
-        .agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("event_set_sha256"))
-    )
-    return prints.join(exact, list(keys), "left")
+    keys = list(keys)
+    schema = StructType([*ids.select(*keys).schema, StructField("event_set_sha256", StringType())])
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, columns = None, None, None
+
+        def record() -> list:
+            return [*current, state.hexdigest()]
+
+        def table(done: list[list]) -> pa.RecordBatch:
+            kinds = [*[columns.field(k).type for k in keys], pa.string()]
+            arrays = [pa.array([row[i] for row in done], kind) for i, kind in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays(arrays, names=[*keys, "event_set_sha256"])
+
+        for batch in batches:
+            done, columns = [], batch.schema
+            rows = zip(zip(*[batch.column(k).to_pylist() for k in keys]), batch.column("id").to_pylist())
+            for key, members in groupby(rows, key=itemgetter(0)):
+                block = "\n".join(one[1] for one in members).encode()
+                if state is not None and key == current:
+                    state.update(b"\n" + block)
+                    continue
+                if state is not None:
+                    done.append(record())
+                current, state = key, hashlib.sha256(block)
+            yield table(done)
+        if state is not None:
+            yield table([record()])
+
+    ordered = ids.where(F.col("id").isNotNull()).select(*keys, "id")
+    ordered = ordered.repartition(*keys).sortWithinPartitions(*keys, "id")
+    exact = ordered.mapInArrow(digests, schema)
+    return event_set_fingerprint(ids, keys).join(exact, keys, "left")
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -11,14 +11,19 @@ from runwarden import config
 from runwarden.operators.ordering import Ordered
 
 
-def novelty_mass(support: DataFrame, observed: DataFrame, keys: Sequence[str]) -> DataFrame:
+def novelty_mass(
+    support: DataFrame, observed: DataFrame, keys: Sequence[str], fit_keys: Sequence[str] | None = None
+) -> DataFrame:
     """Observed mass outside the fit support, per key.  Keys without observations have no row.
 
-    support: keys, token; observed: keys, token, n.
+    support: fit_keys, token; observed: keys, token, n.  ``fit_keys`` are the keys that
+    a fit is made for, all keys unless given; windows of one image share its fit, which
+    is not copied per window.
     """
-    known = support.select(*keys, "token").distinct().withColumn("_known", F.lit(True))
+    fit = list(keys if fit_keys is None else fit_keys)
+    known = support.select(*fit, "token").distinct().withColumn("_known", F.lit(True))
     unseen = F.col("_known").isNull()
-    return observed.join(known, [*keys, "token"], "left").groupBy(*keys).agg(
+    return observed.join(known, [*fit, "token"], "left").groupBy(*keys).agg(
         (F.coalesce(F.sum(F.when(unseen, F.col("n"))), F.lit(0)) / F.sum("n")).alias("score"),
         F.count_if(unseen).alias("unseen_tokens"),
         F.lit(True).alias("available"),

@@ -356,6 +356,12 @@ CUSTOM = [
     {"slug": "shapeless", "target": "process", "condition": {"all": []}},
     {"slug": "unknown-word", "category": "x", "target": "process", "severity_weight": 1,
      "confidence_weight": 1, "incident_eligible": True, "condition": "java_method('x') = 'y'"},
+    {"slug": "unfinished", "category": "x", "target": "process", "severity_weight": 1,
+     "confidence_weight": 1, "incident_eligible": True, "condition": "executable = "},
+    {"slug": "not-boolean", "category": "x", "target": "process", "severity_weight": 1,
+     "confidence_weight": 1, "incident_eligible": True, "condition": "executable"},
+    {"slug": "no-list", "category": "x", "target": "process", "severity_weight": 1,
+     "confidence_weight": 1, "incident_eligible": True, "condition": "exists(executable, a -> true)"},
 ]
 
 CUSTOM_SQL = f"""
@@ -370,7 +376,7 @@ up AS (SELECT l.event_id, l.image_digest, l.w, p.event_id AS node, 1 AS depth FR
     ON p.event_id = l.parent_event_id AND p.image_digest = l.image_digest AND p.w = l.w
   UNION ALL SELECT u.event_id, u.image_digest, u.w, p.event_id, u.depth + 1 FROM up u
     JOIN lw l ON l.event_id = u.node JOIN lw p ON p.event_id = l.parent_event_id
-      AND p.image_digest = u.image_digest AND p.w = u.w WHERE u.depth < 25),
+      AND p.image_digest = u.image_digest AND p.w = u.w),
 anc AS (SELECT up.event_id, lw.program, lw.par_base FROM up JOIN lw ON lw.event_id = up.node),
 cm AS (
   SELECT image_digest, w, 'CUS-nested' AS rule_id, event_id AS source_id FROM lw
@@ -399,7 +405,8 @@ def custom(t: Tables) -> DataFrame:
 @query(
     "det8c_rule_errors",
     custom_check("""SELECT rule_id, count(*) AS matches, NULL AS error_class FROM cm GROUP BY 1
-      UNION ALL SELECT 'CUS-' || slug, NULL, 'ValueError' FROM (VALUES ('broken'), ('shapeless'), ('unknown-word')) v(slug)"""),
+      UNION ALL SELECT 'CUS-' || slug, NULL, e FROM (VALUES ('broken', 'ValueError'), ('shapeless', 'ValueError'), ('unknown-word', 'ValueError'),
+        ('unfinished', 'ParseException'), ('not-boolean', 'ValueError'), ('no-list', 'AnalysisException')) v(slug, e)"""),
 )
 def rule_errors(t: Tables) -> DataFrame:
     """Matches per rule next to the errors of the rules that could not be compiled."""

@@ -117,7 +117,7 @@ PARENT_SQL = f"""par AS (SELECT p.event_id, arg_max(q.event_id, (q.time_nano, q.
 CHAIN_SQL = PARENT_SQL + """, linked AS (SELECT ex.*, parent_event_id FROM ex LEFT JOIN par USING (event_id)),
   walk AS (SELECT event_id, parent_event_id AS node, 1 AS depth FROM linked WHERE parent_event_id IS NOT NULL
     UNION ALL SELECT w.event_id, l.parent_event_id, w.depth + 1 FROM walk w JOIN linked l ON l.event_id = w.node
-    WHERE l.parent_event_id IS NOT NULL AND w.depth < 25)"""
+    WHERE l.parent_event_id IS NOT NULL )"""
 
 
 def recursive(prefix: str) -> str:
@@ -378,8 +378,8 @@ def intersect(t: Tables) -> DataFrame:
 @query(
     "set4_except",
     duck_prefix("ex") + """ SELECT container_id, k FROM ex WHERE et = 'click'
-      EXCEPT SELECT container_id, k FROM ex WHERE et = 'view'""",
+      EXCEPT SELECT container_id, k FROM ex WHERE et <> 'click'""",
 )
 def set_except(t: Tables) -> DataFrame:
     rows = t.execs.select("container_id", "k", "et")
-    return rows.where("et = 'click'").drop("et").subtract(rows.where("et = 'view'").drop("et"))
+    return rows.where("et = 'click'").drop("et").subtract(rows.where("et <> 'click'").drop("et"))

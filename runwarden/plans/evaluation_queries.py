@@ -29,17 +29,15 @@ def exact9(name: str) -> F.Column:
 
 @query(
     "sco11_novelty_mass",
-    check(TOKENS, select="""SELECT o.image_digest, o.w, round(coalesce(sum(o.n) FILTER (b.token IS NULL), 0) / sum(o.n), 9)
+    check(TOKENS, select="""SELECT o.image_digest, o.w, o.family, round(coalesce(sum(o.n) FILTER (b.token IS NULL), 0) / sum(o.n), 9)
         AS score, count(*) FILTER (b.token IS NULL) AS unseen_tokens
       FROM obs o LEFT JOIN base_tok b ON b.image_digest = o.image_digest AND b.family = o.family
-        AND b.token = o.token WHERE o.family = 'executable' GROUP BY ALL"""),
+        AND b.token = o.token GROUP BY ALL"""),
 )
 def novelty_mass(t: Tables) -> DataFrame:
     b = behaviour(t)
-    observed = b.observed.where("family = 'executable'").drop("family")
-    known = b.baseline.where("family = 'executable'").select("image_digest", "token")
-    support = observed.select(*KEY).distinct().join(known, "image_digest")
-    return rarity.novelty_mass(support, observed, KEY).select(*KEY, r9("score"), "unseen_tokens")
+    found = rarity.novelty_mass(b.baseline, b.observed, [*KEY, "family"], ["image_digest", "family"])
+    return found.select(*KEY, "family", r9("score"), "unseen_tokens")
 
 
 TRANSITIONS = f"""tr AS (SELECT image_digest, phase, ptok AS source, nxt AS target, count(*) AS n FROM (
@@ -97,7 +95,7 @@ def conversation_surprisal(t: Tables) -> DataFrame:
 
 @query(
     "sco13_empirical_pvalue",
-    """WITH cal AS (SELECT l_suppkey AS model, l_quantity AS v FROM lineitem WHERE l_linenumber % 2 = 0 AND l_suppkey % 9 > 0),
+    """WITH cal AS (SELECT l_suppkey AS model, l_quantity AS v FROM lineitem WHERE l_linenumber % 2 = 0),
       tst AS (SELECT l_suppkey AS model, l_orderkey, l_linenumber, l_quantity + l_discount * 100 - 5 AS v FROM lineitem
         WHERE l_linenumber % 2 = 1),
       x AS (SELECT DISTINCT model, v FROM tst),
@@ -110,7 +108,7 @@ def conversation_surprisal(t: Tables) -> DataFrame:
 )
 def empirical_pvalue(t: Tables) -> DataFrame:
     rows = t.raw("lineitem").withColumnRenamed("l_suppkey", "model")
-    calibration = rows.where("l_linenumber % 2 = 0 AND model % 9 > 0").select(
+    calibration = rows.where("l_linenumber % 2 = 0").select(
         "model", F.col("l_quantity").alias("value")
     )
     tests = rows.where("l_linenumber % 2 = 1").select(

@@ -174,8 +174,7 @@ def image_ref(t: Tables) -> DataFrame:
 
 @query(
     "nrm8_tags",
-    """SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, ' '), lambda x: x NOT IN ('', '<NA>', 'N/A', 'null', 'None')),
-      lambda x: substr(x, 1, 128))[1:64], '|') AS tags FROM documents""",
+    """SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda x: x NOT IN ('', '<NA>', 'N/A', 'null', 'None')), '|') AS tags FROM documents""",
 )
 def tags(t: Tables) -> DataFrame:
     words = clean.tag_list(F.split("text", " "))
@@ -314,15 +313,15 @@ def utf8_clip(t: Tables) -> DataFrame:
 @query(
     "nrm17_dead_letters",
     f"""WITH r AS (SELECT doc_id AS id, text AS raw, {redact_sql('text')} AS red,
-        CASE WHEN doc_id % 3 = 0 THEN 'NoMessage' ELSE 'ValueError: bad token=abc' || doc_id || ' ' || left(text, 700) END AS e FROM documents)
+        CASE WHEN doc_id % 3 = 0 THEN 'NoMessage' ELSE 'ValueError: bad token=abc' || doc_id || ' ' || text END AS e FROM documents)
     SELECT id, sha256(raw) AS raw_sha256, strlen(raw) AS raw_byte_length, {CLIP_SQL.format('red', 512)} AS excerpt,
-      left(split_part(e, ':', 1), 128) AS error_class, CASE WHEN contains(e, ':') THEN {CLIP_SQL.format('m', 512)} ELSE '' END AS error_message
+      split_part(e, ':', 1) AS error_class, CASE WHEN contains(e, ':') THEN m ELSE '' END AS error_message
     FROM (SELECT *, {redact_sql("trim(substr(e, strpos(e, ':') + 1))")} AS m FROM r)""",
 )
 def dead_letters(t: Tables) -> DataFrame:
     n = F.col("doc_id")
     error = F.when(n % 3 == 0, "NoMessage").otherwise(
-        F.concat(F.lit("ValueError: bad token=abc"), text(n), F.lit(" "), F.substring("text", 1, 700))
+        F.concat(F.lit("ValueError: bad token=abc"), text(n), F.lit(" "), "text")
     )
     rows = t.spread(t.raw("documents")).select(n.alias("id"), F.col("text").alias("raw"), error.alias("error"))
     return normalize.dead_letters(rows)
@@ -504,12 +503,13 @@ def lifecycle_types(t: Tables) -> DataFrame:
 def _append_parts(t: Tables) -> tuple[DataFrame, DataFrame]:
     """A stored table and a batch that overlaps it and repeats itself."""
     stored = t.execs.where("n % 3 = 0").select("event_id", "us")
-    batch = t.execs.where("n % 2 = 0").select("event_id", "us")
+    batch = t.execs.where("n % 2 = 0 OR n % 3 > 0").select("event_id", "us")
     return stored, batch.unionByName(batch.where("us % 5 = 0"))
 
 
 APPEND_SQL = """st AS (SELECT event_id, us FROM ex WHERE n % 3 = 0),
-  ba AS (SELECT event_id, us FROM ex WHERE n % 2 = 0 UNION ALL SELECT event_id, us FROM ex WHERE n % 2 = 0 AND us % 5 = 0)"""
+  ba AS (SELECT event_id, us FROM ex WHERE n % 2 = 0 OR n % 3 > 0
+    UNION ALL SELECT event_id, us FROM ex WHERE (n % 2 = 0 OR n % 3 > 0) AND us % 5 = 0)"""
 
 
 @query("snk1_idempotent_append", duck_prefix("ex") + "," + APPEND_SQL + " SELECT DISTINCT event_id, us FROM ba WHERE event_id NOT IN (SELECT event_id FROM st)")

@@ -120,10 +120,11 @@ def finding_sql(d: dict) -> str:
 
 def intel_sql(d: dict) -> str:
     return """
-    SELECT 'CVE-2024-' || lpad(cast(p_partkey AS varchar(20)), 5, '0') AS cve_id,
+    SELECT CASE WHEN p_partkey % 10 = 7 THEN 'CVE-2023-' ELSE 'CVE-2024-' END
+        || lpad(cast(p_partkey AS varchar(20)), 5, '0') AS cve_id,
       CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE round(p_retailprice / 5000, 6) END AS epss_score,
       p_size < 5 AS kev
-    FROM part WHERE p_partkey % 10 <> 7"""
+    FROM part"""
 
 
 def trial_sql(d: dict, base: str) -> str:

@@ -154,15 +154,15 @@ def finding_ids(t: Tables) -> DataFrame:
 
 
 def containers(t: Tables) -> DataFrame:
-    """Containers of half the images, with published ports on a quarter of them."""
-    rows = t.lifecycle.where("g % 2 = 0").groupBy("image_digest", "container_id", "g").agg(F.bool_or("has_port").alias("p"))
+    """Containers of all images, with published ports on a quarter of the images."""
+    rows = t.lifecycle.groupBy("image_digest", "container_id", "g").agg(F.bool_or("has_port").alias("p"))
     return rows.select("image_digest", "container_id", (F.col("p") & (F.col("g") % 4 == 0)).alias("published"))
 
 
 STAGE_SQL = """fi AS (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || concat_ws('-', target, severity,
     fixed_version) AS finding_id FROM finding),
   cn AS (SELECT image_digest, bool_or(p) AS ports FROM (SELECT image_digest, bool_or(has_port AND g % 4 = 0) AS p
-    FROM lc WHERE g % 2 = 0 GROUP BY image_digest, container_id) GROUP BY 1),
+    FROM lc GROUP BY image_digest, container_id) GROUP BY 1),
   ob AS (SELECT DISTINCT image_digest, token FROM (SELECT image_digest, unnest([lower(executable),
       lower(regexp_extract(executable, '[^/]*$')), lower(process_name)]) AS token FROM ex) WHERE token <> ''),
   tk AS (SELECT DISTINCT finding_id, image_digest, unnest([lower(package_name), regexp_replace(lower(package_name), 'lib', ''),
@@ -284,7 +284,7 @@ def severity_summary(t: Tables) -> DataFrame:
       count(*) FILTER (epss_score IS NOT NULL) AS epss_covered_findings, count(*) FILTER (kev) AS kev_findings,
       coalesce(any_value(c), 0) AS containers_observed, coalesce(any_value(e), 0) AS process_events_considered
     FROM finding LEFT JOIN intel USING (cve_id)
-    LEFT JOIN (SELECT image_digest, count(DISTINCT container_id) AS c FROM lc WHERE g % 2 = 0 GROUP BY 1) USING (image_digest)
+    LEFT JOIN (SELECT image_digest, count(DISTINCT container_id) AS c FROM lc GROUP BY 1) USING (image_digest)
     LEFT JOIN (SELECT image_digest, count(*) AS e FROM ex GROUP BY 1) USING (image_digest) GROUP BY ALL""",
 )
 def scan_summary(t: Tables) -> DataFrame:

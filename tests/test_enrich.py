@@ -79,12 +79,16 @@ def chain_events(spark, parents):
 
 def test_chain_limit_and_cycles(spark):
     line = {f"n{i:02}": (f"n{i - 1:02}" if i else None) for i in range(40)}
-    line |= {"x": "y", "y": "x", "lost": "gone"}
+    line |= {"x": "y", "y": "x", "in": "x", "lost": "gone"}
+    line |= {f"loop{i}": f"loop{(i - 1) % 10}" for i in range(10)}
     rows = enrich.ancestor_chain(chain_events(spark, line)).collect()
     got = {r.event_id: [n.event_id for n in r.ancestors] for r in rows}
-    assert got["n39"] == [f"n{i:02}" for i in range(38, 13, -1)]
-    assert len(got["n39"]) == 25 and got["n03"] == ["n02", "n01", "n00"]
-    assert got["x"] == ["y", "x"]
+    assert got["n39"] == [f"n{i:02}" for i in range(38, -1, -1)]
+    assert got["n03"] == ["n02", "n01", "n00"]
+    assert got["x"] == ["y", "x"] and got["in"] == ["x", "y"]
+    assert got["loop9"] == [f"loop{i}" for i in (8, 7, 6, 5, 4, 3, 2, 1, 0, 9)]
+    short = enrich.ancestor_chain(chain_events(spark, line), limit=25).collect()
+    assert {r.event_id: len(r.ancestors) for r in short}["n39"] == 25
     assert "lost" not in got and "n00" not in got
 
 

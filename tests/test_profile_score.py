@@ -1,3 +1,4 @@
+import hashlib
 import math
 from datetime import datetime, timedelta
 
@@ -126,10 +127,12 @@ def test_empty_window_is_insufficient(spark, training):
     assert [(r.w, r.status, r.total_score) for r in rows] == [(0, "insufficient_data", None)]
 
 
-def test_event_set_hash_above_the_limit(spark):
-    ids = spark.createDataFrame([("d", f"process:{i}") for i in range(20)] + [("e", "process:1")], "image_digest string, id string")
-    rows = {r.image_digest: r for r in profile.event_set_hash(ids, ["image_digest"], exact_limit=10).collect()}
-    assert rows["d"].event_set_sha256 is None and rows["d"].event_set_fingerprint
-    assert rows["e"].event_set_sha256
+def test_event_set_hash_of_a_set_above_a_batch(spark):
+    names = [f"process:{i}" for i in range(120_000)]
+    rows = [("d", n) for n in names] + [("e", "process:1")]
+    ids = spark.createDataFrame(rows, "image_digest string, id string")
+    rows = {r.image_digest: r for r in profile.event_set_hash(ids, ["image_digest"]).collect()}
+    assert rows["d"].event_set_sha256 == hashlib.sha256("\n".join(sorted(names)).encode()).hexdigest()
+    assert rows["e"].event_set_sha256 == hashlib.sha256(b"process:1").hexdigest()
     again = profile.event_set_fingerprint(ids.orderBy(F.desc("id")), ["image_digest"]).collect()
     assert {r.image_digest: r.event_set_fingerprint for r in again}["d"] == rows["d"].event_set_fingerprint

@@ -160,6 +160,10 @@ def test_custom_rules(spark):
         rule("contains", leaf("process_name", "contains", "x")),
         rule("scope", leaf("action", "equals", "x", scope="ancestor"), "lifecycle"),
         rule("call", "reflect('java.lang.System', 'exit') = '0'"),
+        rule("unfinished", "executable = "),
+        rule("not-boolean", "executable"),
+        rule("no-list", "exists(executable, a -> true)"),
+        rule("mixed", "user_uid = command_line OR user_uid / 0 > 1 OR user_uid = 'zero'"),
         {"slug": "hollow"},
     ]
     found, errors = custom_rules.custom_matches(tests, events, life)
@@ -169,10 +173,10 @@ def test_custom_rules(spark):
     assert got == {
         "text-uid": {"mid"}, "absent": {"root", "end"}, "not-in": {"root"}, "is-null": {"root"},
         "search": {"end"}, "parent": {"mid"}, "up": {"mid", "end"}, "not-up": {"root"},
-        "words": {"end"}, "plain": {"l"},
+        "words": {"end"}, "plain": {"l"}, "deep": {"root", "mid", "end"},
     }
     assert {r.slug for r in errors.collect()} == {
-        "empty", "deep", "wide", "field", "contains", "scope", "call", "hollow"
+        "empty", "field", "contains", "scope", "call", "hollow", "unfinished", "not-boolean", "no-list"
     }
 
 
