@@ -186,7 +186,7 @@ def dead_letters(rejected: DataFrame, excerpt_bytes: int = config.EXCERPT_BYTES)
     has_message = F.contains("error", F.lit(":"))
     error_class = F.substring_index("error", ":", 1)
     message = F.trim(F.regexp_extract("error", r"(?s)^[^:]*:(.*)$", 1))
-    extra = [c for c in rejected.columns if c in ("recorded_at", "id")]
+    extra = [c for c in rejected.columns if c in ("recorded_at", "id", "source_file")]
     return rejected.select(
         *extra,
         F.sha2("raw", 256).alias("raw_sha256"),
@@ -197,6 +197,27 @@ def dead_letters(rejected: DataFrame, excerpt_bytes: int = config.EXCERPT_BYTES)
     )
 
 
+_COPIES_AT_ONCE = 100_000
+
+
+def number_letters(letters: DataFrame, source: str = "source_file") -> DataFrame:
+    """A ``letter_id`` per rejected line, the same however often its file is read.
+
+    Equal lines of one file cannot be told apart, so they are counted and numbered 1, 2,
+    … in place of an order that would need them in one task.  The numbers are laid out in
+    two steps, so no row holds one element per copy.
+    """
+    keys = [source, "raw_sha256"]
+    others = [c for c in letters.columns if c not in keys]
+    kinds = letters.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in others])
+    step = F.lit(_COPIES_AT_ONCE).cast("bigint")
+    kinds = kinds.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"), step)))
+    last = F.least(F.col("_n"), F.col("_from") + step - 1)
+    rows = kinds.withColumn("copy", F.explode(F.sequence("_from", last)))
+    text = F.concat_ws("|", F.coalesce(source, F.lit("")), "raw_sha256", F.col("copy").cast("string"))
+    return rows.select(F.sha2(text, 256).alias("letter_id"), *letters.columns, "copy")
+
+
 def retain_dead_letters(
     rows: DataFrame, cutoff: Column, max_rows: int, max_bytes: int
 ) -> DataFrame:

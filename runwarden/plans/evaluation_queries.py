@@ -9,6 +9,7 @@ from runwarden import config
 from runwarden.functions.hashing import assign_split
 from runwarden.operators import evaluate, profile, rarity
 from runwarden.plans.behaviour_queries import KEY, TOKENS, behaviour, check, r9
+from runwarden.plans.enrich_queries import recursive
 from runwarden.plans.registry import query
 from runwarden.plans.views import CUT_US, Tables, duck_prefix
 
@@ -331,13 +332,36 @@ def scope_experiment(t: Tables) -> DataFrame:
     )
 
 
-@query("eva4_exact_intervals")
+# The limits by bisection on the summed tail; the upper one is the lower one of the failures.
+_TAIL = """list_sum(list_transform(range(x, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+      + j * ln((lo + hi) / 2) + (n - j) * ln(1 - (lo + hi) / 2))))"""
+INTERVALS = f"""cn AS (SELECT DISTINCT x, n FROM (SELECT unnest([false_positives, benign_runs - false_positives]) AS x, benign_runs AS n FROM oc
+    UNION ALL SELECT unnest([true_positives, scenario_runs - true_positives]), scenario_runs FROM oc) WHERE x > 0),
+  bi AS (SELECT x, n, 0.0::double AS lo, 1.0::double AS hi, 0 AS step FROM cn
+    UNION ALL SELECT x, n, CASE WHEN {_TAIL} < 0.025 THEN (lo + hi) / 2 ELSE lo END,
+      CASE WHEN {_TAIL} < 0.025 THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM bi WHERE step < 45),
+  li AS (SELECT x, n, (lo + hi) / 2 AS p FROM bi WHERE step = 45)"""
+
+
+def _interval_sql(hits: str, runs: str, name: str) -> str:
+    low = "coalesce((SELECT max(p) FROM li WHERE n = {1} AND x = {0}), 0)"
+    return f"""round({hits} / nullif({runs}, 0), 9) AS {name}_point, round({low.format(hits, runs)}, 8) AS {name}_lower,
+      round(1 - {low.format(f"{runs} - {hits}", runs)}, 8) AS {name}_upper"""
+
+
+@query(
+    "eva4_exact_intervals",
+    recursive(trial_check(INTERVALS, select=f"""SELECT *, {_interval_sql("false_positives", "benign_runs", "fpr")},
+      {_interval_sql("true_positives", "scenario_runs", "recall")} FROM oc""")),
+)
 def exact_intervals(t: Tables) -> DataFrame:
     """False-positive rate and recall per scope with exact intervals."""
     out = evaluate.with_interval(
         evaluate.scope_outcomes(scored(t)), "false_positives", "benign_runs", "fpr"
     )
-    return evaluate.with_interval(out, "true_positives", "scenario_runs", "recall")
+    out = evaluate.with_interval(out, "true_positives", "scenario_runs", "recall")
+    places = {"point": 9, "lower": 8, "upper": 8}
+    return out.withColumns({f"{m}_{k}": F.round(f"{m}_{k}", p) for m in ("fpr", "recall") for k, p in places.items()})
 
 
 COVERAGE = """tf AS (SELECT DISTINCT scope, ref, image_digest, context_hash FROM sd WHERE split = 'fit' AND NOT attack_like),

@@ -66,11 +66,17 @@ def normalise_stream(t: Tables) -> DataFrame:
     return events.select("event_id", F.unix_micros("occurred_at").alias("us"), *names)
 
 
-@query("str9_dead_letter_stream")
+@query(
+    "str9_dead_letter_stream",
+    duck_prefix("ex") + "," + LINES_SQL + """ SELECT CASE outcome WHEN 'malformed' THEN 'JSONDecodeError' ELSE 'ValueError' END AS error_class,
+      count(*) AS letters, count(*) AS kinds FROM cls WHERE outcome IN ('malformed', 'error') GROUP BY 1""",
+)
 def dead_letter_stream(t: Tables) -> DataFrame:
     where = folder(t)
     _normalise(t, where)
-    return t.spark.read.parquet(f"{where}/letters")
+    stored = t.spark.read.parquet(f"{where}/letters")
+    kinds = F.count_distinct("letter_id").alias("kinds")
+    return stored.groupBy("error_class").agg(F.count(F.lit(1)).alias("letters"), kinds)
 
 
 @query("src1_read_sensor_jsonl", duck_prefix("ex") + " SELECT count(*) AS lines FROM ex")

@@ -16,9 +16,13 @@ def sensor_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_sensor_lines(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """The same as a stream; the checkpoint of the query is the read position."""
+    """The same as a stream with the file of each line as ``source_file``.
+
+    The checkpoint of the query is the read position.
+    """
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
-    return lines.withColumnRenamed("value", "raw").where(F.length(F.trim("raw")) > 0)
+    lines = lines.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_file"))
+    return lines.where(F.length(F.trim("raw")) > 0)
 
 
 def keep_lifecycle_types(events: DataFrame) -> DataFrame:

@@ -34,13 +34,18 @@ def start(
 def normalise_stream(
     lines: DataFrame, sensor_id: str, rule: str, host_id: str | None, events: str, letters: str, checkpoint: str
 ) -> StreamingQuery:
-    """Raw lines to an event table and a dead-letter table, both idempotent."""
+    """Raw lines to an event table and a dead-letter table, both idempotent.
+
+    Every rejected line is a letter of its own, equal ones too.  A replay of the same
+    files, or of the same batch where the lines have no ``source_file``, adds none.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        if "source_file" not in batch.columns:
+            batch = batch.withColumn("source_file", F.lit(f"batch {batch_id}"))
         good, bad = normalize.normalize_exec_lines(batch, sensor_id, rule, host_id)
         sinks.append_new(good.drop("raw_event"), events, time="time_nano")
-        rows = bad.groupBy("raw_sha256").agg(*[F.first(c).alias(c) for c in bad.columns if c != "raw_sha256"])
-        sinks.append_new(rows, letters, key="raw_sha256")
+        sinks.append_new(normalize.number_letters(bad), letters, key="letter_id")
 
     return start(lines, each, checkpoint)
 

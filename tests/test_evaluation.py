@@ -27,6 +27,19 @@ def test_exact_intervals(spark):
             assert sum(tail) == pytest.approx(0.025, abs=1e-9)
 
 
+def test_tails_need_no_memory_for_a_billion_trials(spark):
+    n = 1_000_000_000
+    rows = spark.createDataFrame([(n // 2, n // 2), (n // 2 + 100_000, n // 2 - 100_000), (1, n)], "a bigint, b bigint")
+    got = rows.select("a", mcnemar_p(F.col("a"), F.col("b")).alias("p"), clopper_pearson()("a", F.lit(n)).alias("i")).collect()
+    by = {r.a: r for r in got}
+    assert by[n // 2].p == 1 and by[1].p == 0
+    # Normal approximation with continuity correction; its own error is below 1e-6 here.
+    assert by[n // 2 + 100_000].p == pytest.approx(math.erfc((100_000 - 0.5) / math.sqrt(n / 2)), rel=1e-5)
+    assert by[1].i.lower == pytest.approx(-math.log(1 - 0.025) / n, rel=1e-6)
+    spread = 1.959963984540054 * math.sqrt(0.25 / n)
+    assert by[n // 2].i.upper - 0.5 == pytest.approx(spread, rel=1e-4)
+
+
 def test_mcnemar(spark):
     rows = spark.createDataFrame([(3, 9), (0, 0), (0, 53), (4, 4)], "a bigint, b bigint")
     got = {(r.a, r.b): r.p for r in rows.withColumn("p", mcnemar_p(F.col("a"), F.col("b"))).collect()}
