@@ -49,7 +49,7 @@ def resolve_reported_ids(reported: DataFrame, containers: DataFrame) -> DataFram
     matches = keyed.join(offered, ["_length", "_prefix"]).where(
         F.col("_identity.container_id").startswith(F.col("reported_container_id"))
         & (
-            F.col("reported_docker_host_id").isNull()
+            (F.coalesce("reported_docker_host_id", F.lit("")) == "")
             | (F.col("reported_docker_host_id") == F.col("_identity.docker_host_id"))
         )
     )
@@ -177,7 +177,10 @@ def correlate_parent(
     found = line.last("offer", "found").rows.where("kind = 1")
     latest, before = F.col("found.candidate"), F.col("found.previous")
     parent = F.when(latest.getField("id") == F.col("event_id"), before).otherwise(latest)
-    recent = parent.getField("t") >= F.col("time_nano") - F.lit(lookback_seconds * 1_000_000_000)
+    # Times are compared as stored, in microseconds: a parent at the edge still counts.
+    whole = lambda nanos: nanos - F.pmod(nanos, F.lit(1000))
+    earliest = whole(F.col("time_nano")) - F.lit(lookback_seconds * 1_000_000_000)
+    recent = whole(parent.getField("t")) >= earliest
     return found.select(
         "event_id", F.when(recent, parent.getField("id")).alias("parent_event_id")
     )

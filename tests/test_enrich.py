@@ -29,6 +29,14 @@ def test_reused_pid_outside_the_lookback(spark):
     assert got["probe"] == "near"
 
 
+def test_parent_at_the_edge_of_the_lookback(spark):
+    parent, probe = event("edge", -600, 42, 1), event("probe", 0, 9, 42)
+    later = (*probe[:6], probe[6] + 900, probe[7])
+    assert links(spark, parent, later)["probe"] == "edge"
+    after = (*probe[:6], probe[6] + 1000, probe[7])
+    assert links(spark, parent, after)["probe"] is None
+
+
 def test_scope_and_self(spark):
     got = links(
         spark,
@@ -58,13 +66,15 @@ def test_resolve_container(spark):
     )
     reported = spark.createDataFrame(
         [("1", "abcdef012345", None), ("2", "abcdef0123", None), ("3", "host", None), ("4", None, None),
-         ("5", "ffff", "h1"), ("6", "ffff", "h2"), ("7", "abcdef0123456789", "h1"), ("8", "", None)],
+         ("5", "ffff", "h1"), ("6", "ffff", "h2"), ("7", "abcdef0123456789", "h1"), ("8", "", None),
+         ("9", "ffff", "")],
         "event_id string, reported_container_id string, reported_docker_host_id string",
     )
     got = {r.event_id: r.correlation_status for r in enrich.resolve_container(reported, containers).collect()}
     assert got == {
         "1": "resolved", "2": "ambiguous", "3": "unresolved", "4": "unresolved",
         "5": "unresolved", "6": "resolved", "7": "resolved", "8": "unresolved",
+        "9": "resolved",
     }
 
 
