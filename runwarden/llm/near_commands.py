@@ -289,7 +289,7 @@ def near_duplicate_commands(
         led_pairs.where("NOT linked")
         .join(x, F.col("a") == F.col("x_leader"))
         .join(z, F.col("b") == F.col("z_leader"))
-        .where("x_component <> z_component AND (x_extra > 0 OR z_extra > 0)")
+        .where("x_component <> z_component AND NOT (x_event_id = a AND z_event_id = b)")
         .where((100 + percent) * (F.col("shared") + F.col("x_extra") + F.col("z_extra")) >= enough(F.col("x_n"), F.col("z_n")))
         .where((100 * F.col("x_n") >= percent * F.col("z_n")) & (100 * F.col("z_n") >= percent * F.col("x_n")))
         .select(F.col("x_event_id").alias("a"), F.col("z_event_id").alias("b"))

@@ -73,6 +73,18 @@ def test_near_commands_equal_brute_force(spark, texts):
             assert (r.n_shingles, r.component_id) == (len(sets[r.event_id]), want[r.event_id])
 
 
+def test_near_commands_cut_short_meet_members_of_other_leaders(spark):
+    # z is x cut short and x is h cut short: both lie within their leaders.  h ends with a passage of many texts.
+    rng = random.Random(3)
+    pick = lambda n: rng.choices(VOCABULARY, k=n)
+    footer, body = pick(21), pick(91)
+    nested = [body[:74], body, body + footer]
+    rows = [(i, " ".join(t), 0, "") for i, t in enumerate([*nested, *([*pick(300), *footer] for _ in range(6))])]
+    got = {r.event_id: r for r in near_duplicate_commands(spark.createDataFrame(rows, COMMANDS)).collect()}
+    assert [got[i].n_shingles for i in range(3)] == [70, 87, 108]
+    assert [got[i].component_id for i in range(9)] == [0, 0, 0, 3, 4, 5, 6, 7, 8]
+
+
 def test_near_commands_of_nothing(spark):
     assert near_duplicate_commands(spark.createDataFrame([], COMMANDS)).count() == 0
     blank = near_duplicate_commands(spark.createDataFrame([(1, None, 1, ""), (2, "", 1, "")], COMMANDS)).collect()
