@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,19 +12,19 @@ from pyspark.sql import functions as F
 
 from runwarden.llm.text_blocks import LOWER, Words, blocks, mix, multipliers, raw_bytes
 
-#: Token positions that a seed looks at, out of a span of 11; the others may differ.
+#: Token positions that a seed looks at, out of a span of 11; the others may differ.  Every window of
+#: 13 tokens with two changed ones holds a start at which one of them sees equal tokens only.
 MASKS = ((0, 1, 2, 5, 8, 10), (0, 2, 3, 4, 7, 10), (0, 1, 4, 6, 9, 10), (0, 3, 5, 6, 8, 10))
 SPAN = 11
 WINDOW = 13
 MATCH_PERCENT = 80
-LEAST_TOKENS = 5
 #: Trial texts that one pass over the executions looks for; more are looked for in more passes.
 PASS_BYTES = 32_000_000
 
 _TOKEN_BYTES = np.zeros(256, dtype=bool)
 _TOKEN_BYTES[48:58] = _TOKEN_BYTES[65:91] = _TOKEN_BYTES[97:123] = _TOKEN_BYTES[128:] = True
 _SAME = np.arange(256, dtype=np.uint8)
-_FACTORS = multipliers(SPAN, seed=5)
+_FACTORS = multipliers(WINDOW, seed=5)
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -37,13 +38,29 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words.hashes(_SAME), words.first
 
 
-def seeds(tokens: np.ndarray, mask: int, span: int) -> np.ndarray:
-    """Hash at every start of the tokens that a mask keeps within ``span``."""
+def masks_of(size: int) -> tuple[int, tuple[tuple[int, ...], ...]]:
+    """(span, masks) for trials of ``size`` tokens.
+
+    A trial shorter than the window has one start, so its masks cover every set of changed places:
+    the places are dealt into two groups more than may change, and each mask leaves out as many
+    groups as places may change.
+    """
+    if size >= WINDOW:
+        return SPAN, MASKS
+    changed = size - -(-MATCH_PERCENT * size // 100)
+    if not changed:
+        return size, (tuple(range(size)),)
+    kept = combinations(range(changed + 2), 2)
+    return size, tuple(tuple(p for p in range(size) if p % (changed + 2) in groups) for groups in kept)
+
+
+def seeds(tokens: np.ndarray, mask: int, size: int) -> np.ndarray:
+    """Hash at every start of the tokens that a mask for trials of ``size`` tokens keeps."""
+    span, masks = masks_of(size)
     count = max(len(tokens) - span + 1, 0)
-    value = np.full(count, mask * 64 + span, dtype=np.uint64)
-    for place in MASKS[mask]:
-        if place < span:
-            value += tokens[place : place + count] * _FACTORS[place]
+    value = np.full(count, mask * 64 + min(size, WINDOW), dtype=np.uint64)
+    for place in masks[mask]:
+        value += tokens[place : place + count] * _FACTORS[place]
     return mix(value)
 
 
@@ -54,16 +71,17 @@ class SeedIndex:
         tokens, first = tokens_of(texts)
         self.ids, self.tokens, self.first = ids, tokens, first
         sizes = np.diff(first)
-        self.spans = sorted({min(int(n), SPAN) for n in sizes if n >= LEAST_TOKENS})
+        self.kinds = sorted({min(int(n), WINDOW) for n in sizes if n})
         keys, items, places = [], [], []
         rows = np.repeat(np.arange(len(sizes)), sizes)
-        for span in self.spans:
-            for mask in range(len(MASKS)):
-                found = seeds(tokens, mask, span)
+        for kind in self.kinds:
+            span, masks = masks_of(kind)
+            for mask in range(len(masks)):
+                found = seeds(tokens, mask, kind)
                 start = np.arange(len(found))
                 item = rows[start] if len(start) else start
                 inside = start + span <= first[item + 1] if len(start) else np.zeros(0, bool)
-                fits = inside & (np.minimum(sizes[item], SPAN) == span)
+                fits = inside & (np.minimum(sizes[item], WINDOW) == kind)
                 keys.append(found[fits])
                 items.append(item[fits])
                 places.append((start - first[item])[fits])
@@ -79,9 +97,9 @@ class SeedIndex:
 
     def hits(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(token positions, items, places in the items) of equal seeds."""
-        for span in self.spans:
-            for mask in range(len(MASKS)):
-                found = seeds(tokens, mask, span)
+        for kind in self.kinds:
+            for mask in range(len(masks_of(kind)[1])):
+                found = seeds(tokens, mask, kind)
                 start = np.flatnonzero(self.filter[(found >> self.shift).astype(np.int64)])
                 low = np.searchsorted(self.keys, found[start], side="left")
                 count = np.searchsorted(self.keys, found[start], side="right") - low
@@ -97,6 +115,8 @@ class SeedIndex:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for row, item, shift in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist():
             trial = self.tokens[self.first[item] : self.first[item + 1]]
+            if best.get((row, item), (0,))[0] == len(trial):
+                continue  # shifts rise, so the first whole copy is the best
             text = tokens[first[row] : first[row + 1]]
             begin, end = max(0, -shift), min(len(trial), len(text) - shift)
             same = trial[begin:end] == text[begin + shift : end + shift]
@@ -122,7 +142,8 @@ def leaked_trials(executions: DataFrame, trials: DataFrame, pass_bytes: int = PA
     token on, over how many tokens, and how many of them are equal.
 
     Tokens are runs of letters and digits in lower case.  Fixed masks look at six of eleven
-    consecutive tokens, so a changed token at an ignored place keeps the hash.  Seeds of the
+    consecutive tokens, so a changed token at an ignored place keeps the hash; trials under 13
+    tokens have masks of their own that cover every allowed set of changed places.  Seeds of the
     executions meet those of the trials; around a hit both texts are compared token by token.
     It is a leak if in some window of 13 tokens (the whole trial, if shorter) at least 80 % are
     equal.
@@ -131,8 +152,8 @@ def leaked_trials(executions: DataFrame, trials: DataFrame, pass_bytes: int = PA
     to the workers at once, and larger sets are looked for in several passes, each with its share
     of trials.  The executions are never shuffled.
 
-    Defined cases: null is empty; trials under five tokens never match (shorter ones use the part
-    of the masks that fits); repeated executions and trials are each reported; null ids are kept;
+    Defined cases: null is empty; trials under five tokens match as exact token runs, trials without
+    a token never; repeated executions and trials are each reported; null ids are kept;
     an empty table on either side gives no rows; other columns are ignored.
     """
     executions = executions.select("event_id", "command_line")

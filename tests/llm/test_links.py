@@ -2,13 +2,14 @@
 
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
 
 from runwarden.llm.near_commands import near_duplicate_commands
 from runwarden.llm.near_profiles import near_profiles
-from runwarden.llm.trial_leaks import leaked_trials
+from runwarden.llm.trial_leaks import WINDOW, leaked_trials, masks_of
 
 random.seed(5)
 VOCABULARY = [f"w{i}" for i in range(4000)]
@@ -143,3 +144,30 @@ def test_leaks_tolerate_changed_tokens(spark):
     assert one == {*want.items(), (None, 5)}
     assert {(r.event_id, r.trial_id) for r in leaked_trials(left, right, pass_bytes=800).collect()} == one
     assert leaked_trials(left, right.limit(0)).count() == 0 and leaked_trials(left.limit(0), right).count() == 0
+
+
+def test_leak_masks_cover_every_allowed_change():
+    for size in range(1, 30):
+        span, masks = masks_of(size)
+        width = min(size, WINDOW)
+        changed = width - -(-80 * width // 100)
+        for places in combinations(range(width), changed):
+            kept = [{start + p for p in mask} for start in range(width - span + 1) for mask in masks]
+            assert any(not k & set(places) for k in kept), (size, places)
+
+
+def test_short_trials_with_changed_ends_leak(spark):
+    rows, trials, want = [], [], set()
+    for size in range(1, 14):
+        trial = [f"trial{size}x{i}" for i in range(size)]
+        trials.append((size, " ".join(trial)))
+        changed = size // 5
+        for number, places in enumerate(combinations(range(size), changed)):
+            passage = [w if i not in places else "changed" for i, w in enumerate(trial)]
+            rows.append((size * 1000 + number, " ".join([*words(20), *passage, *words(20)])))
+            want.add((size * 1000 + number, size))
+        broken = [w if i > changed else "changed" for i, w in enumerate(trial)]
+        rows.append((-size, " ".join([*words(20), *broken, *words(20)])))
+    left = spark.createDataFrame(rows, "event_id bigint, command_line string")
+    right = spark.createDataFrame(trials, "trial_id bigint, command_line string")
+    assert {(r.event_id, r.trial_id) for r in leaked_trials(left, right).collect()} == want
