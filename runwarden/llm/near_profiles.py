@@ -1,4 +1,4 @@
-"""Near-equal behaviour profiles of an image by NN-descent over their vectors."""
+"""Near-equal behaviour profiles of an image by balls of vectors and exact blocked comparison."""
 
 from __future__ import annotations
 
@@ -13,14 +13,10 @@ from runwarden.session import materialize
 COSINE = 0.93
 NEIGHBOURS = 8
 TABLES = 8
-ROUNDS = 6
-AUDIT_ROWS = 256
-AUDIT_RECALL = 0.98
-MOST_RESTARTS = 4
-#: Members of one local join that are compared all with all; longer lists are cut, nearest first.
-LOCAL = 64
-#: Pairs with a lower cosine are no neighbours.  It lies below the cosine of two links in a row.
-FAR = 0.5
+#: Mean number of vectors of a block; every two blocks of an image are compared in one matrix product.
+BLOCK = 1024
+#: Angles are compared with this slack where the vectors themselves are compared afterwards.
+SLACK = 1e-7
 _LINK = ["a", "b", "cosine"]
 
 
@@ -35,8 +31,8 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def _groups(batches, keys: list[str], most: int):
-    """Rows of sorted batches with equal keys, in pieces of at most ``most`` rows."""
+def _groups(batches, keys: list[str], most: int | None):
+    """Rows of sorted batches with equal keys, in pieces of at most ``most`` rows if it is given."""
     held: list[pa.RecordBatch] = []
 
     def joined():
@@ -58,10 +54,10 @@ def _groups(batches, keys: list[str], most: int):
                 held = []
             now = key
             while low < high:
-                room = most - sum(h.num_rows for h in held)
+                room = most - sum(h.num_rows for h in held) if most else high - low
                 held.append(batch.slice(low, min(room, high - low)))
                 low += min(room, high - low)
-                if sum(h.num_rows for h in held) >= most:
+                if most and sum(h.num_rows for h in held) >= most:
                     yield joined()
                     held = []
     if held:
@@ -111,76 +107,11 @@ def _first_graph(nodes: DataFrame, count: int, seed: int) -> DataFrame:
     return swept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
 
 
-def _nearest(links: DataFrame, widths: DataFrame | None) -> DataFrame:
-    """Each node's nearest neighbours, as many as its width; ``fresh`` is kept."""
-    ranked = links.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b")))
-    if widths is None:
-        return ranked.where(F.col("rank") <= NEIGHBOURS)
-    joined = ranked.join(widths, "a", "left")
-    return joined.where(F.col("rank") <= F.coalesce("width", F.lit(NEIGHBOURS))).drop("width")
-
-
 def _both(links: DataFrame, *more: str) -> DataFrame:
     turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine", *more)
     return links.select(*_LINK, *more).unionByName(turned)
 
 
-def _local_join(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of neighbours of one node of which at least one is new to it."""
-    forward = graph.select(F.col("a").alias("centre"), F.col("b").alias("node"), "cosine", "fresh")
-    back = graph.select(F.col("b").alias("centre"), F.col("a").alias("node"), "cosine", "fresh")
-    members = forward.unionByName(back).groupBy("centre", "node").agg(F.max("cosine").alias("cosine"), F.max("fresh").alias("fresh"))
-    active = members.groupBy("centre").agg(F.max("fresh").alias("any")).where("any").select("centre")
-    rows = members.join(active, "centre", "left_semi").join(nodes.select("node", "vector"), "node")
-
-    def compare(batches):
-        for group in _groups(batches, ["centre"], LOCAL):
-            node, fresh = group["node"].to_numpy(), group["fresh"].to_numpy(zero_copy_only=False).astype(bool)
-            if len(node) < 2 or not fresh.any():
-                continue
-            unit = _unit(_matrix(group["vector"].combine_chunks()))
-            x, y = np.triu_indices(len(node), 1)
-            keep = fresh[x] | fresh[y]
-            x, y = x[keep], y[keep]
-            cosine = (unit[x] * unit[y]).sum(axis=1)
-            near = cosine > FAR
-            x, y, cosine = x[near], y[near], cosine[near]
-            yield _links(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), cosine)
-
-    ordered = rows.repartition("centre").sortWithinPartitions("centre", F.desc("cosine"), "node")
-    return ordered.select("centre", "node", "fresh", "vector").mapInArrow(compare, _LINK_DDL).distinct()
-
-
-def _audit(nodes: DataFrame, links: DataFrame, cosine: float, rows: int) -> float:
-    """Share of the true links of a bounded hash sample, found by comparing it with all nodes."""
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(rows).toArrow()
-    wanted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    if not len(sample):
-        return 1.0
-    parts, ids = sample["part"].to_numpy(), sample["node"].to_numpy()
-    vectors = sample["vector"].combine_chunks()
-    for part in np.unique(parts):
-        at = np.flatnonzero(parts == part)
-        wanted[int(part)] = (ids[at], _unit(_matrix(vectors.take(pa.array(at)))))
-    shared = nodes.sparkSession.sparkContext.broadcast(wanted)
-
-    def scan(batches):
-        for batch in batches:
-            for part, (probe, unit) in shared.value.items():
-                at = np.flatnonzero(batch["part"].to_numpy() == part)
-                if len(at):
-                    node = batch["node"].to_numpy()[at]
-                    values = unit @ _unit(_matrix(batch["vector"].take(pa.array(at)))).T
-                    x, y = np.nonzero(values >= cosine)
-                    other = probe[x] != node[y]
-                    yield _links(probe[x][other], node[y][other], values[x, y][other])
-
-    true = nodes.mapInArrow(scan, _LINK_DDL)
-    found = _both(links).select("a", "b").withColumn("found", F.lit(1))
-    row = true.join(found, ["a", "b"], "left").agg(F.count(F.lit(1)).alias("n"), F.sum("found").alias("k")).first()
-    return 1.0 if not row["n"] else (row["k"] or 0) / row["n"]
-
-
 def _cosines(pairs: DataFrame) -> DataFrame:
     """``a, b, cosine`` of rows with both vectors."""
 
@@ -224,33 +155,39 @@ def _balls(nodes: DataFrame, tight: float) -> DataFrame:
     )
 
 
-def _search(nodes: DataFrame, cosine: float, keep: float, audit_recall: float) -> DataFrame:
-    """Pairs of nodes with a cosine of at least ``keep`` that NN-descent finds."""
-    count, links, restart = nodes.count(), None, 0
-    while True:
-        seeds = _first_graph(nodes, count, restart).where(F.col("cosine") > FAR)
-        if links is not None:
-            seeds = seeds.unionByName(links)
-        known = materialize(seeds.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
-        links = known.where(F.col("cosine") >= keep)
-        graph = materialize(_nearest(_both(known).withColumn("fresh", F.lit(True)), None))
-        for _ in range(ROUNDS):
-            found = materialize(_local_join(graph, nodes))
-            both = _both(found).withColumn("fresh", F.lit(True)).unionByName(graph.select(*_LINK, F.lit(False).alias("fresh")))
-            merged = both.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.min("fresh").alias("fresh"))
-            full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least"))
-            full = full.where((F.col("least") >= cosine) & (F.col("n") >= NEIGHBOURS))
-            graph = materialize(_nearest(merged, full.select("a", (F.col("n") * 2).alias("width"))))
-            pairs = found.where(F.col("cosine") >= keep)
-            links = materialize(links.unionByName(pairs).groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
-            if graph.where("fresh").count() <= 0.001 * NEIGHBOURS * count:
-                break
-        restart += 1
-        if restart > MOST_RESTARTS or _audit(nodes, links.where(F.col("cosine") >= cosine), cosine, AUDIT_ROWS) >= audit_recall:
-            return links
-
-
-def near_profiles(profiles: DataFrame, cosine: float = COSINE, audit_recall: float = AUDIT_RECALL) -> DataFrame:
+def _search(nodes: DataFrame, angle: float) -> DataFrame:
+    """All pairs of nodes whose balls may hold linked members: the radii and ``angle`` reach across.
+
+    The nodes of an image are dealt into blocks by hash.  Each row goes to all pairs of blocks
+    that its own is in, and a pair of blocks is compared at once.
+    """
+    sizes = nodes.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = nodes.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("node", "vector_key"), "blocks"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = met.select(
+        "part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "radius", "vector"
+    )
+
+    def compare(batches):
+        for group in _groups(batches, ["part", "low", "high"], None):
+            node, radius, own = (group[c].to_numpy() for c in ("node", "radius", "own"))
+            unit, first = _unit(_matrix(group["vector"].combine_chunks())), own == group["low"].to_numpy()
+            inside = first.all() and group["low"][0] == group["high"][0]
+            left, right = (np.arange(len(node)),) * 2 if inside else (np.flatnonzero(first), np.flatnonzero(~first))
+            for start in range(0, len(left), BLOCK):
+                at = left[start : start + BLOCK]
+                reach = np.minimum(angle + radius[at, None] + radius[right] + SLACK, np.pi)
+                x, y = np.nonzero(unit[at] @ unit[right].T >= np.cos(reach) - SLACK)
+                x, y = at[x], right[y]
+                keep = (x < y) & (node[x] != node[y]) if inside else node[x] != node[y]
+                x, y = x[keep], y[keep]
+                yield _links(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), (unit[x] * unit[y]).sum(axis=1))
+
+    keys = ["part", "low", "high"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, _LINK_DDL)
+
+
+def near_profiles(profiles: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Groups of behaviour profiles of one image whose vectors have a cosine of at least ``cosine``.
 
     ``profiles``: ``profile_id`` (long), ``image_digest`` (any type), ``vector`` (array of numbers).
@@ -259,13 +196,11 @@ def near_profiles(profiles: DataFrame, cosine: float = COSINE, audit_recall: flo
 
     Method: equal vectors of an image are one node.  Nodes within half a link's angle of a leader
     form a ball; all of them are linked with each other, which is counted and not expanded.
-    The leaders and the other nodes are searched.  A first graph joins those that are close in
-    several random orders.  Rounds of NN-descent compare the neighbours of every node with each
-    other, unless both are old to it, and keep each node's nearest.  A node all of whose
-    neighbours are links is saturated; its list is doubled.  All pairs near enough that any
-    round finds are kept.  For a pair of balls the angle of the leaders and the radii tell
-    whether all or no members are linked; only in between members are compared.  An audit compares a bounded hash sample with all rows; below
-    ``audit_recall`` new random orders are added and the rounds go on, a fixed number of times.
+    Several random orders tell which nodes may lie in a ball.  The leaders and the other nodes of an
+    image are all compared, two blocks at a time as one matrix product, so no link is missed; the
+    work grows with the square of the leaders of an image.  For a pair of balls the angle of the
+    leaders and the radii tell whether all or no members are linked; only in between members are
+    compared.
 
     Cosines are computed in double precision from scaled vectors, so none below the threshold
     is linked.  Links are symmetric; copies of a node are linked with each other and with all its
@@ -298,7 +233,7 @@ def near_profiles(profiles: DataFrame, cosine: float = COSINE, audit_recall: flo
         F.sum("copies").alias("total"), F.max(F.acos(F.least("cosine", F.lit(1.0)))).alias("radius")
     )
     leaders = materialize(nodes.drop("copies").join(grouped, "node"))
-    pairs = _search(leaders, cosine, float(np.cos(2 * angle)), audit_recall)
+    pairs = materialize(_search(leaders, angle))
 
     # From pairs of leaders to links of their members.
     left = leaders.select(F.col("node").alias("a"), F.col("total").alias("total_a"), F.col("radius").alias("radius_a"))
@@ -307,8 +242,8 @@ def near_profiles(profiles: DataFrame, cosine: float = COSINE, audit_recall: flo
     spread = F.col("radius_a") + F.col("radius_b")
     judged = materialize(
         pairs.join(left, "a").join(right, "b")
-        .withColumn("all", F.when(spread == 0, F.col("cosine") >= cosine).otherwise(apart + spread <= angle - 1e-9))
-        .where(F.col("all") | ((spread > 0) & (apart - spread <= angle + 1e-9)))
+        .withColumn("all", F.when(spread == 0, F.col("cosine") >= cosine).otherwise(apart + spread <= angle - SLACK))
+        .where(F.col("all") | ((spread > 0) & (apart - spread <= angle + SLACK)))
     )
     whole = judged.where("all")
     some_of = judged.where("NOT all").select("a", "b")

@@ -117,6 +117,24 @@ def test_near_profiles_equal_brute_force(spark):
         assert got[i].n_links == 0 and got[i].component_id == i and got[i].kept == (i is not None)
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_near_profiles_find_every_link(spark, monkeypatch, block):
+    # Links that no list of neighbours leads to: few among many vectors, and one vector near very many.
+    monkeypatch.setattr("runwarden.llm.near_profiles.BLOCK", block)
+    rng = np.random.default_rng(4)
+    vectors = [*rng.standard_normal((400, 16)), *(rng.standard_normal(16) + 0.33 * rng.standard_normal((150, 16)))]
+    vectors += [v + 0.3 * rng.standard_normal(16) for v in vectors[:12]]
+    rows = [(i, i % 2, v.tolist()) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "profile_id bigint, image_digest int, vector array<double>")
+    got = {r.profile_id: r for r in near_profiles(frame).collect()}
+    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (np.arange(len(unit))[:, None] % 2 == np.arange(len(unit)) % 2)
+    np.fill_diagonal(near, False)
+    want = smallest_reachable(range(len(unit)), [(a, b) for a, b in zip(*np.nonzero(near)) if a < b])
+    assert near.sum() > 500
+    assert [(got[i].n_links, got[i].component_id) for i in want] == [(near[i].sum(), want[i]) for i in want]
+
+
 def test_near_profiles_of_nothing(spark):
     assert near_profiles(spark.createDataFrame([], "profile_id bigint, image_digest int, vector array<float>")).count() == 0
 
