@@ -34,6 +34,14 @@ SENTENCES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
     "public license as published by the free software foundation either version 2 of the license or at your "
     "option any later version": "gpl2_later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+    "free software foundation either version 3 of the license or at your option any later version": "gpl3_later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+    "free software foundation either version 2 of the license or at your option any later version": "gpl2_later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+    "free software foundation": "gpl_terms",
+    "either version 3 of the license or at your option any later version": "gnu3_later",
+    "either version 2 of the license or at your option any later version": "gnu2_later",
     "licensed under the gnu lesser general public license version 3": "lgpl3_name",
     "licensed under the mozilla public license version 2 0": "mpl2_name",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2_name",
@@ -61,6 +69,8 @@ RULES = (
     ("MIT", ("mit_name",)),
     ("Apache-2.0", ("apache2_name", "apache2_comply", "apache2_copy")),
     ("Apache-2.0", ("apache2_name",)),
+    ("GPL-3.0-or-later", ("gpl_terms", "gnu3_later")),
+    ("GPL-2.0-or-later", ("gpl_terms", "gnu2_later")),
     ("GPL-3.0-or-later", ("gpl3_later",)),
     ("GPL-2.0-or-later", ("gpl2_later",)),
     ("GPL-3.0-only", ("gpl3_name",)),
@@ -77,12 +87,21 @@ INCOMPLETE = "incomplete"
 #: Every known sentence has one of these words, so texts without them need no cutting.
 _HINT = r"(?i)licen[cs]e|permission|redistribution|free software|terms of|copyright"
 _END = r"(?<=[.!?;:])\s+"
+#: The dot of "v. 2.0" ends no sentence.
+_WHOLE_END = r"(?<=[.!?;:])(?<!\b[vV]\.)\s+"
+#: A line without letters and digits ends a paragraph, also within a comment.
+_BLANK = r"\n[^\p{L}\p{N}\n]*\n\s*"
+#: The holder that the last clause of the BSD notices names, which may hold dots ("Inc.").
+_HOLDER = r"(?is)\bneither\W+the\W+name\W+of\W.{1,500}?\Wnor\W+the\W+names\W+of\W+its\W+contributors\b"
+_HELD = "Neither the name of the copyright holder nor the names of its contributors"
 
 
 def _identifiers(text: Column, cut: str) -> Column:
     """Identifiers of the known sentences of a text, in order, as `` id id ``."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    words = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    # The number of a clause belongs to no sentence.
+    plain = lambda s: F.regexp_replace(words(s), "^([0-9]+|[a-d]) (?=redistributions |neither )", "")
     found = F.filter(F.transform(F.split(text, cut), lambda s: F.try_element_at(known, plain(s))), lambda x: x.isNotNull())
     return F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))
 
@@ -109,8 +128,9 @@ def component_licenses(components: DataFrame) -> DataFrame:
     ``components``: ``purl`` (identifies the component) and ``license_text``.  Returns ``purl,
     license`` for every licence found in a text, once each.
 
-    Method: the text is cut into sentences, at sentence ends across line breaks and also line by
-    line, as notices come both ways.  Normalised sentences (lower case, words and digits) are
+    Method: the text is cut into sentences, at sentence ends across line breaks, also at blank
+    lines, and also line by line, as notices come all these ways.  A notice with a semicolon or colon
+    inside is a rule over its pieces.  Normalised sentences (lower case, words and digits) are
     looked up among known licence sentences.  The sequence of identifiers is matched against
     ordered rules; a rule uses up the sentences it matches.  Known sentences that no rule uses
     give ``incomplete`` if the text has no licence.  All steps are column functions in one pass
@@ -119,13 +139,16 @@ def component_licenses(components: DataFrame) -> DataFrame:
     Defined cases: null, empty and texts without a known sentence give no row; repeated rows are
     each reported; null ids are kept; an empty table gives no rows; other columns are ignored.
     """
-    texts = components.select("purl", "license_text").where(F.col("license_text").rlike(_HINT))
+    held = F.regexp_replace("license_text", _HOLDER, _HELD).alias("license_text")
+    texts = components.select("purl", "license_text").where(F.col("license_text").rlike(_HINT)).select("purl", held)
     cut = texts.select(
         "purl",
         _identifiers(F.col("license_text"), _END).alias("across"),
-        _identifiers(F.col("license_text"), r"\n\s*|" + _END).alias("lines"),
-    ).where("trim(across) <> '' OR trim(lines) <> ''")
-    found = F.array_distinct(F.concat(_apply_rules(F.col("across")), _apply_rules(F.col("lines"))))
+        _identifiers(F.col("license_text"), _BLANK + "|" + _WHOLE_END).alias("paragraphs"),
+        _identifiers(F.col("license_text"), r"\n\s*|" + _WHOLE_END).alias("lines"),
+    ).where("trim(across) <> '' OR trim(paragraphs) <> '' OR trim(lines) <> ''")
+    readings = [_apply_rules(F.col(c)) for c in ("across", "paragraphs", "lines")]
+    found = F.array_distinct(F.concat(*readings))
     named = F.filter(found, lambda x: x != INCOMPLETE)
     result = F.when(F.size(named) > 0, named).otherwise(found)
     return cut.select("purl", F.explode(result).alias("license"))

@@ -136,6 +136,53 @@ def test_license_rules(spark):
     assert component_licenses(frame.limit(0)).count() == 0
 
 
+GNU = (
+    "This program is free software{0} you can redistribute it and/or modify\nit under the terms of the GNU General Public "
+    "License as published by\nthe Free Software Foundation{1} either version {2} of the License, or\n(at your option) any later version.\n"
+)
+BSD = (
+    "Copyright (c) 2020, Someone\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\n"
+    "modification, are permitted provided that the following conditions are met:\n\n"
+    "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer "
+    "in the documentation\n   and/or other materials provided with the distribution.\n\n"
+)
+NAMES = (
+    "3. Neither the name of {} nor the names of its\n   contributors may be used to endorse or promote products derived from\n"
+    "   this software without specific prior written permission.\n"
+)
+MIT = (
+    "Copyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and "
+    'associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\n'
+    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the "
+    "Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be "
+    "included in all\ncopies or substantial portions of the Software.\n"
+)
+MPL = (
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\n"
+    "file, You can obtain one at https://mozilla.org/MPL/2.0/.\n"
+)
+
+
+def test_published_notices(spark):
+    notices = [
+        (GNU.format(":", ",", 3), "GPL-3.0-or-later"), (GNU.format(";", ";", 2), "GPL-2.0-or-later"),
+        (GNU.format(";", ";", 3), "GPL-3.0-or-later"), (GNU.format(":", ",", 2), "GPL-2.0-or-later"),
+        (MPL, "MPL-2.0"), (BSD, "BSD-2-Clause"), (BSD + NAMES.format("the copyright holder"), "BSD-3-Clause"),
+        (BSD + NAMES.format("Some Company, Inc."), "BSD-3-Clause"), (MIT, "MIT"),
+    ]
+    shapes = [lambda t: t, lambda t: "Copyright (c) 2020 X\n\n" + t, lambda t: "/*\n" + "".join(f" * {x}\n" for x in ("X", "", *t.split("\n")))]
+    cases = {(i, k): (shape(t), want) for i, (t, want) in enumerate(notices) for k, shape in enumerate(shapes)}
+    # Every known sentence on its own, as it is in the table, is recognised.
+    cases |= {(s, 0): (f"First words.\n\n{s[0].upper()}{s[1:]}\n\nlast", None) for s in SENTENCES}
+    frame = spark.createDataFrame([(str(k), t) for k, (t, _) in cases.items()], "purl string, license_text string")
+    got = {}
+    for r in component_licenses(frame).collect():
+        got.setdefault(r.purl, []).append(r.license)
+    for k, (_, want) in cases.items():
+        assert got.get(str(k)) == [want] if want else got.get(str(k)), k
+
+
 def test_archives_round_trip(spark, tmp_path):
     rows = [(i, f"http://h/{i}\r\n", "".join(random.choices("abc <>é", k=random.choice((5, 400, 3000))))) for i in range(60)]
     same = "<p>same page</p>" * 100
