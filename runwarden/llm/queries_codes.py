@@ -66,8 +66,8 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 def _op11_sql() -> str:
     """The rounds written out one after the other."""
     stages = [
-        """kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""",
+        """kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
         f"""cut AS MATERIALIZED (SELECT vec_id, p, c, CAST(floor({SCALE} * v[p * (len(v) // {PARTS}) + c + 1]) AS BIGINT) AS x
   FROM kept, range({PARTS}) parts(p), range(4096) places(c) WHERE c < len(v) // {PARTS})""",
         f"""book0 AS MATERIALIZED (SELECT p, e, c, x FROM cut JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e
