@@ -1,29 +1,29 @@
-"""Byte-pair token ids of command lines by one walk over a trie of their distinct words."""
+"""Byte-pair token ids of command lines by walks over tries of their distinct words."""
 
 from __future__ import annotations
 
 import json
 import threading
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructType
 
 from runwarden.llm.text_blocks import blocks
 from runwarden.llm.token_counts import PreTokenizer
-from runwarden.session import materialize
 
 BLOCK_TEXT = 8_000_000
-#: Encoded words that a task holds before it hands them out, block by block.
-HELD_WORDS = 100_000
+#: Words whose ids a task keeps from one block to the next; more are computed again.
+KEPT_WORDS = 250_000
 _PIECE = 1_000_000
-_KNOWN_PAIRS = 1_000_000
+_KNOWN_PAIRS = 200_000
 _NEVER = 1 << 62
+#: First character of an added token among the words of a block; no word holds white space.
+_ADDED = "\n"
 _LOADED = threading.local()
 
 
@@ -108,11 +108,12 @@ class LastTokens:
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
 
     @staticmethod
-    def _sizes(tokens: dict[bytes, int]) -> list[list[int]]:
+    def _sizes(tokens: dict[bytes, int]) -> list[list[list[int]]]:
+        """For each last byte and depth the sizes of tokens that fit, longest first."""
         sizes: list[set[int]] = [set() for _ in range(256)]
         for text in tokens:
             sizes[text[-1]].add(len(text))
-        return [sorted(s, reverse=True) for s in sizes]
+        return [[sorted((x for x in s if x <= d), reverse=True) for d in range(max(s, default=0) + 1)] for s in sizes]
 
     def _border_holds(self, first: int, second: int, until: int = _NEVER) -> bool:
         """Whether no merge before ``until`` crosses the border between two tokens."""
@@ -127,10 +128,9 @@ class LastTokens:
                         return False
         return True
 
-    def last(self, word: bytes, depth: int, last: list[int], tokens: dict[bytes, int], sizes: list[list[int]]) -> int:
-        for size in sizes[word[depth - 1]]:
-            if size > depth:
-                continue
+    def last(self, word: bytes, depth: int, last: list[int], tokens: dict[bytes, int], sizes: list[list[list[int]]]) -> int:
+        by_depth = sizes[word[depth - 1]]
+        for size in by_depth[depth] if depth < len(by_depth) else by_depth[-1]:
             token = tokens.get(word[depth - size : depth])
             if token is None:
                 continue
@@ -186,107 +186,6 @@ class _Places(dict):
         return place
 
 
-def _packed(values) -> bytes:
-    """Numbers byte plane by byte plane, compressed."""
-    planes = np.asarray(values, dtype=np.int32).view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(planes.tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
-
-
-def _word_blocks(executions: DataFrame, path: str) -> DataFrame:
-    """A row per block of texts: its ids, its distinct words, and the places of each text's words.
-
-    Added tokens have negative places, -1 for the first one of the file.
-    """
-    kind = executions.schema["event_id"].dataType
-    arrow_kind = to_arrow_type(kind)
-
-    def work(batches):
-        cutter, partition, number = _held(WordCutter, path), TaskContext.get().partitionId(), 0
-        special = {t.content: -1 - i for i, (_, t) in enumerate(sorted(cutter.tokenizer.get_added_tokens_decoder().items()))}
-        for block in blocks(batches, "command_line", BLOCK_TEXT):
-            places, held, ends = _Places(), [], [0]
-            for text in block.column("command_line").to_pylist():
-                for part in cutter.sequence(text or ""):
-                    if isinstance(part, str):
-                        held.append(special[part])
-                    else:
-                        held.extend(map(places.__getitem__, part))
-                ends.append(len(held))
-            yield pa.record_batch(
-                {
-                    "block": pa.array([(partition << 24) + number], pa.int64()),
-                    "event_ids": pa.array([block.column("event_id").to_pylist()], pa.list_(arrow_kind)),
-                    "ends": pa.array([ends], pa.list_(pa.int64())),
-                    "held": pa.array([_packed(held)], pa.binary()),
-                    "words": pa.array([zstandard.compress("\n".join(places).encode(), 1)], pa.binary()),
-                }
-            )
-            number += 1
-
-    return executions.mapInArrow(
-        work, f"block bigint, event_ids array<{kind.simpleString()}>, ends array<bigint>, held binary, words binary"
-    )
-
-
-def _encoded_words(cut: DataFrame, path: str) -> DataFrame:
-    """(block, places, sizes, ids) of all words of all blocks.
-
-    Words are range partitioned and sorted, so every task walks its own part of the trie in
-    depth-first order with the memory of one path.  A word stands once for each block that has
-    it; the block is part of the sort key, so a word of all blocks can be cut as well.
-    """
-
-    def deal(batches):
-        for batch in batches:
-            for block, packed in zip(batch["block"].to_pylist(), batch["words"].to_pylist(), strict=True):
-                joined = zstandard.decompress(packed).decode()
-                words = joined.split("\n") if joined else []
-                for low in range(0, len(words), 10_000):
-                    some = words[low : low + 10_000]
-                    yield pa.record_batch(
-                        {
-                            "word": pa.array(some, pa.string()),
-                            "block": pa.array(np.full(len(some), block)),
-                            "place": pa.array(np.arange(low, low + len(some), dtype=np.int32)),
-                        }
-                    )
-
-    def encode(batches):
-        walk, held = TrieWalk(_held(LastTokens, path)), []
-        for batch in batches:
-            found = [walk.ids(word.encode()) for word in batch["word"].to_pylist()]
-            held.append((batch["block"].to_numpy(), batch["place"].to_numpy(), found))
-            if sum(len(h[2]) for h in held) >= HELD_WORDS:
-                yield by_block(held)
-                held = []
-        if held:
-            yield by_block(held)
-
-    def by_block(held):
-        block, place = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        found = [ids for h in held for ids in h[2]]
-        order = np.argsort(block, kind="stable")
-        keys, starts = np.unique(block[order], return_index=True)
-        parts = np.split(order, starts[1:])
-        return pa.record_batch(
-            {
-                "block": pa.array(keys),
-                "places": pa.array([place[p].tobytes() for p in parts], pa.binary()),
-                "sizes": pa.array([np.array([len(found[i]) for i in p], np.int32).tobytes() for p in parts], pa.binary()),
-                "ids": pa.array([np.array([t for i in p for t in found[i]], np.uint32).tobytes() for p in parts], pa.binary()),
-            }
-        )
-
-    dealt = cut.select("block", "words").mapInArrow(deal, "word string, block bigint, place int")
-    ordered = dealt.repartitionByRange("word", "block").sortWithinPartitions("word", "block")
-    return ordered.mapInArrow(encode, "block bigint, places binary, sizes binary, ids binary")
-
-
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Numbers ``start[i] .. start[i] + size[i] - 1``, one span after the other."""
     ends = np.cumsum(size)
@@ -310,10 +209,11 @@ def encode_command_lines(executions: DataFrame, tokenizer_file: str) -> DataFram
     Returns ``event_id, n_tokens, ids``; ``ids`` are little-endian unsigned 32-bit integers, the form
     of training shards.
 
-    Method: texts are cut into words in blocks of a few megabytes.  The distinct words of all blocks
-    are range partitioned and sorted, which lays them out as a trie in depth-first order; a
-    walk over it carries the last token of each prefix, so the encoding of a shared prefix is
-    computed once.  The ids of its words go back to each block, where the texts are put together.
+    Method: a task cuts its texts into words, a block of some megabytes at a time, and sorts the
+    distinct words of the block, which lays them out as a trie in depth-first order.  A walk over
+    it carries the last token of each prefix, so the encoding of a shared prefix is computed
+    once; words of earlier blocks are known already.  The texts are then put together from the ids of
+    their words.  Nothing is shuffled or kept between tasks.
 
     Defined cases: null is empty and has no tokens; rows are encoded one by one, so repeated
     rows and null ids stay as they are; a text longer than a block is a block of its own; an
@@ -322,41 +222,50 @@ def encode_command_lines(executions: DataFrame, tokenizer_file: str) -> DataFram
     executions = executions.select("event_id", "command_line")
     kind = executions.schema["event_id"].dataType
     arrow_kind = to_arrow_type(kind)
-    cut = materialize(_word_blocks(executions, tokenizer_file))
-    encoded = materialize(_encoded_words(cut, tokenizer_file))
-    parts = encoded.groupBy("block").agg(F.collect_list(F.struct("places", "sizes", "ids")).alias("parts"))
 
-    def together(batches):
-        special = sorted(_held(WordCutter, tokenizer_file).tokenizer.get_added_tokens_decoder())
-        for batch in batches:
-            for row in batch.to_pylist():
-                held, ends = _unpacked(row["held"]), np.array(row["ends"])
-                places, sizes, pool = (
-                    np.frombuffer(b"".join(p[c] for p in row["parts"] or []), kind)
-                    for c, kind in (("places", np.int32), ("sizes", np.int32), ("ids", np.uint32))
-                )
-                # Added tokens stand behind the words in reverse, so that place -1 is the first of them.
-                count = len(places) + len(special)
-                size, start = np.ones(count, dtype=np.int64), np.empty(count, dtype=np.int64)
-                size[places], start[places] = sizes, np.cumsum(sizes) - sizes
-                start[len(places) :] = len(pool) + np.arange(len(special))
-                pool = np.concatenate([pool, np.array(special[::-1], np.uint32)])
-                sums = np.concatenate([[0], np.cumsum(size[held])])
-                ids = np.empty(int(sums[-1]), dtype="<u4")
-                for low in range(0, len(held), _PIECE):
-                    some = held[low : low + _PIECE]
-                    ids[sums[low] : sums[low + len(some)]] = pool[_spans(start[some], size[some])]
-                bounds = sums[ends]
-                yield pa.record_batch(
-                    {
-                        "event_id": pa.array(row["event_ids"], arrow_kind),
-                        "n_tokens": pa.array(np.diff(bounds), pa.int64()),
-                        "ids": _binary(ids, bounds * 4),
-                    }
-                )
-
-    joined = cut.drop("words").join(parts, "block", "left")
-    return joined.mapInArrow(together, f"event_id {kind.simpleString()}, n_tokens bigint, ids binary")
+    def work(batches):
+        cutter, tokens = _held(WordCutter, tokenizer_file), _held(LastTokens, tokenizer_file)
+        known: dict[str, bytes] = {}
+        for block in blocks(batches, "command_line", BLOCK_TEXT):
+            places, held, ends = _Places(), [], [0]
+            for text in block.column("command_line").to_pylist():
+                for part in cutter.sequence(text or ""):
+                    if isinstance(part, str):
+                        held.append(places[f"{_ADDED}{part}"])
+                    else:
+                        held.extend(map(places.__getitem__, part))
+                ends.append(len(held))
+            fresh = [word for word in places if word not in known]
+            walk = TrieWalk(tokens)
+            for name in sorted((w.encode() for w in fresh if w[0] != _ADDED)):
+                known[name.decode()] = array("I", walk.ids(name)).tobytes()
+            known |= {w: array("I", [tokens.special[w[1:]]]).tobytes() for w in fresh if w[0] == _ADDED}
+            found = [known[word] for word in places]
+            if len(known) > KEPT_WORDS:
+                known = dict(zip(places, found)) if len(places) <= KEPT_WORDS else {}
+            ids, bounds = _put_together(held, np.array(ends), found)
+            yield pa.record_batch(
+                {
+                    "event_id": block.column("event_id").cast(arrow_kind),
+                    "n_tokens": pa.array(np.diff(bounds), pa.int64()),
+                    "ids": _binary(ids, bounds * 4),
+                }
+            )
+
+    return executions.mapInArrow(work, f"event_id {kind.simpleString()}, n_tokens bigint, ids binary")
+
+
+def _put_together(held: list[int], ends: np.ndarray, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, bounds) from the places of their words and the ids of the words."""
+    places = np.array(held, dtype=np.int32)
+    size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    start, pool = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4")
+    sums = np.concatenate([[0], np.cumsum(size[places])])
+    ids = np.empty(int(sums[-1]), dtype="<u4")
+    for low in range(0, len(places), _PIECE):
+        some = places[low : low + _PIECE]
+        ids[sums[low] : sums[low + len(some)]] = pool[_spans(start[some], size[some])]
+    return ids, sums[ends]
 
 
 def decode_command_lines(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
@@ -367,8 +276,6 @@ def decode_command_lines(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
     space, as the library does.  Rows are independent; unknown ids are left out, null gives null,
     no ids give an empty text.
     """
-    from pyspark.sql.types import StringType, StructType
-
     schema = StructType([f for f in encoded.schema.fields if f.name != "command_line"]).add("command_line", StringType())
 
     def work(batches):
