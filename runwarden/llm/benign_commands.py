@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -100,7 +101,10 @@ def train_sgd(
 
 
 def fit_benign_model(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> BenignModel | None:
-    """Model from ``command_line, benign`` (0 or 1), on at most ``sample_rows`` rows."""
+    """Model from ``command_line, benign`` (0 or 1), on at most ``sample_rows`` rows.
+
+    The sample is fitted in one Spark task; only the model, of fixed size, comes to the driver.
+    """
     training = training.select("command_line", F.col("benign").cast("int").alias("benign"))
     chosen = bounded_sample(training.where("benign IN (0, 1)"), "command_line", sample_rows)
 
@@ -111,25 +115,27 @@ def fit_benign_model(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ben
             yield pa.record_batch(
                 {
                     "benign": block.column("benign"),
-                    "buckets": pa.array([p[0] for p in pairs], pa.list_(pa.int32())),
-                    "counts": pa.array([p[1] for p in pairs], pa.list_(pa.int32())),
+                    "rank": block.column("rank"),
+                    "buckets": pa.array([p[0].astype(np.int32).tobytes() for p in pairs], pa.binary()),
+                    "counts": pa.array([p[1].astype(np.int32).tobytes() for p in pairs], pa.binary()),
                 }
             )
 
-    made = chosen.mapInArrow(bags, "benign int, buckets array<int>, counts array<int>").toArrow()
-    rows = sorted(
-        (
-            (label, buckets.values.to_numpy(), counts.values.to_numpy())
-            for label, buckets, counts in zip(
-                made["benign"].to_pylist(), made["buckets"].combine_chunks(), made["counts"].combine_chunks(), strict=True
-            )
-            if len(buckets)
-        ),
-        key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()),
-    )
-    if not rows:
-        return None
-    return train_sgd([(b, (c / c.sum()).astype(np.float32)) for _, b, c in rows], np.array([r[0] for r in rows]))
+    def fit(batches):
+        labels, held = [], []
+        for batch in batches:
+            for label, buckets, counts in zip(*(batch[c].to_pylist() for c in ("benign", "buckets", "counts")), strict=True):
+                count = np.frombuffer(counts, np.int32)
+                if len(count):
+                    labels.append(label)
+                    held.append((np.frombuffer(buckets, np.int32), (count / count.sum()).astype(np.float32)))
+        if held:
+            yield pa.record_batch({"model": pa.array([pickle.dumps(train_sgd(held, np.array(labels)))], pa.binary())})
+
+    chosen = chosen.withColumn("rank", F.xxhash64("command_line"))
+    made = chosen.mapInArrow(bags, "benign int, rank bigint, buckets binary, counts binary")
+    fitted = made.repartition(1).sortWithinPartitions("benign", "rank").mapInArrow(fit, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else None
 
 
 def score_benign(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -153,18 +154,34 @@ def calibrate_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def _train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> LanguageModel:
+    """Model from ordered rows of language, terms and counts; one row in five only calibrates."""
+    languages = sorted({r[0] for r in rows})
+    model = LanguageModel(languages, idf, np.zeros((len(languages), BUCKETS)), np.zeros(len(languages)), 1.0)
+    vectors = [(terms, model.vector(terms, counts)) for _, terms, counts in rows]
+    labels = np.array([languages.index(r[0]) for r in rows])
+    held = np.arange(len(rows)) % 5 == 4
+    if held.sum() < 5:
+        held[:] = False
+    model.weights, model.bias = train_ftrl(
+        [v for v, h in zip(vectors, held, strict=True) if not h], labels[~held], len(languages)
+    )
+    if held.any():
+        logits = np.array([model.weights[:, t] @ x + model.bias for (t, x), h in zip(vectors, held, strict=True) if h])
+        model.temperature = calibrate_temperature(logits, labels[held])
+    return model
+
+
 def fit_language_model(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
     """Model from ``description, language``; None without a labelled row.
 
     Inverse document frequencies come from all rows.  The weights are fitted on at most
     ``sample_rows`` rows over all languages in equal shares, of which one in five only sets
-    the temperature; their features are made in Spark tasks.
+    the temperature; fewer than 25 rows all train and the temperature stays 1.  Features are made
+    in Spark tasks and the sample is fitted in one of them; only the model, whose size is that
+    of the languages times ``BUCKETS``, comes to the driver.
     """
     training = training.select("description", "language").where("language IS NOT NULL")
-    sizes = {r["language"]: r["count"] for r in training.groupBy("language").count().collect()}
-    if not sizes:
-        return None
-    languages = sorted(sizes)
 
     def frequencies(batches):
         seen, texts = np.zeros(BUCKETS, dtype=np.int64), 0
@@ -181,46 +198,32 @@ def fit_language_model(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> L
     texts[table["bucket"].to_numpy()] = table["texts"].to_numpy()
     idf = np.log((1 + texts[-1]) / (1 + texts[:-1])) + 1
 
-    share = max(1, sample_rows // len(languages))
-    chosen = None
-    for language in languages:
-        part = bounded_sample(training.where(F.col("language") == language), "description", share)
-        chosen = part if chosen is None else chosen.unionByName(part)
-
     def features(batches):
         for block in blocks(batches, "description", BLOCK_TEXT):
             terms, counts, _ = term_counts(block.column("description"))
             yield pa.record_batch(
                 {
                     "language": block.column("language"),
-                    "terms": pa.array(terms, pa.list_(pa.int32())),
-                    "counts": pa.array(counts, pa.list_(pa.int32())),
+                    "rank": block.column("rank"),
+                    "terms": pa.array([t.astype(np.int32).tobytes() for t in terms], pa.binary()),
+                    "counts": pa.array([c.astype(np.int32).tobytes() for c in counts], pa.binary()),
                 }
             )
 
-    made = chosen.mapInArrow(features, "language string, terms array<int>, counts array<int>").toArrow()
-    rows = sorted(
-        (
-            (language, terms.values.to_numpy(), counts.values.to_numpy())
-            for language, terms, counts in zip(
-                made["language"].to_pylist(), made["terms"].combine_chunks(), made["counts"].combine_chunks(), strict=True
-            )
-        ),
-        key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()),
-    )
-    model = LanguageModel(languages, idf, np.zeros((len(languages), BUCKETS)), np.zeros(len(languages)), 1.0)
-    vectors = [(terms, model.vector(terms, counts)) for _, terms, counts in rows]
-    labels = np.array([languages.index(r[0]) for r in rows])
-    held = np.arange(len(rows)) % 5 == 4
-    if held.sum() < 5:
-        held[:] = False
-    model.weights, model.bias = train_ftrl(
-        [v for v, h in zip(vectors, held, strict=True) if not h], labels[~held], len(languages)
-    )
-    if held.any():
-        logits = np.array([model.weights[:, t] @ x + model.bias for (t, x), h in zip(vectors, held, strict=True) if h])
-        model.temperature = calibrate_temperature(logits, labels[held])
-    return model
+    def fit(batches):
+        rows = [
+            (language, np.frombuffer(terms, np.int32), np.frombuffer(counts, np.int32))
+            for batch in batches
+            for language, terms, counts in zip(*(batch[c].to_pylist() for c in ("language", "terms", "counts")), strict=True)
+        ]
+        if rows:
+            yield pa.record_batch({"model": pa.array([pickle.dumps(_train(rows, idf))], pa.binary())})
+
+    chosen = bounded_sample(training, "description", sample_rows, by="language")
+    chosen = chosen.withColumn("rank", F.xxhash64("description"))
+    made = chosen.mapInArrow(features, "language string, rank bigint, terms binary, counts binary")
+    fitted = made.repartition(1).sortWithinPartitions("language", "rank").mapInArrow(fit, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else None
 
 
 def identify_language(

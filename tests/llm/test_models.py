@@ -4,7 +4,6 @@ import os
 import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from runwarden.llm.benign_commands import score_benign
@@ -93,13 +92,53 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[3] == kept[2] - leaks and kept[4] == kept[3]
 
 
+CLASHING = "language string, score int, predicted int, finding_id int, event_id int, description string, others int"
+
+
 def test_stages_bear_nulls_and_empty_tables(spark, tmp_path):
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score int, language int"
-    rows = [(1, None, None, None, None, 0, 0), (None, "a b", "en", "s", 3, 0, 0), (3, "", "en", "s", 0, 0, 0), (3, "", "en", "s", 0, 0, 0)]
+    schema = f"doc_id bigint, text string, lang string, source string, n_chars bigint, {CLASHING}"
+    more = ("x", 1, 0, 7, 8, "y", 9)
+    rows = [(1, None, None, None, None, *more), (None, "a b", "en", "s", 3, *more), (3, "", "en", "s", 0, *more), (3, "", "en", "s", 0, *more)]
     spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for table in (rows, []):
-        docs = spark.createDataFrame(table, schema).drop("score", "language")
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, docs, str(tmp_path)).count() <= len(table)
-    assert docs.select(F.count("doc_id")).first()[0] == 0
+        docs = spark.createDataFrame(table, schema)
+        for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            found = stage(spark, docs, str(tmp_path))
+            assert found.count() <= len(table) and (number == 4 or found.columns == docs.columns)
+            if number < 4:
+                assert all(tuple(r)[5:] == more for r in found.collect())
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    """A leaked text goes with every id, a null one too; what stays keeps all its columns."""
+    schema = f"doc_id bigint, text string, lang string, source string, n_chars bigint, {CLASHING}"
+    import random
+
+    pool = random.Random(2)
+    good = [" ".join(pool.choices(["river", "stone", "bright", "walks", "under", "seven", "paper", "green"], k=40)) for _ in range(60)]
+    passage = " ".join(f"benchmark{i}" for i in range(30))
+    texts = good + [passage, f"{good[0]} {passage}"]
+    rows = [(i, t, "en", "s", len(t), "x", i, 0, 7, 8, "y", 9) for i, t in enumerate(texts)]
+    rows += [(None, passage, "en", "s", 1, "x", -1, 0, 7, 8, "y", 9), (None, good[1], "en", "s", 1, "x", -2, 0, 7, 8, "y", 9)]
+    spark.createDataFrame([(i, 1, 0) for i in range(62)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    want = {(r[0], r[1], r[6]) for r in rows if passage not in r[1]}
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{number}")
+        docs = spark.read.parquet(f"{tmp_path}/{number}")
+        assert docs.columns[5:] == ["language", "score", "predicted", "finding_id", "event_id", "description", "others"]
+    assert {(r.doc_id, r.text, r.score) for r in docs.collect()} == want
+
+
+def test_samples_are_bounded_and_never_empty(spark):
+    from runwarden.llm.sampling import bounded_sample
+
+    rows = [("x" * 5000, "a")] + [(f"t{i}", "a") for i in range(500)] + [("copy", "b")] * 500 + [("y" * 9000, "c")]
+    frame = spark.createDataFrame(rows, "text string, language string").repartition(5)
+    got = bounded_sample(frame, "text", 90, most_bytes=8000, by="language").collect()
+    count = {k: sum(r.language == k for r in got) for k in "abc"}
+    assert count == {"a": 30, "b": 30, "c": 1} and all(len(r.text) < 10 for r in got if r.language == "a")
+    assert sorted(got) == sorted(bounded_sample(frame.repartition(3), "text", 90, most_bytes=8000, by="language").collect())
+    assert bounded_sample(frame.limit(0), "text", 10).count() == 0 and bounded_sample(frame, "text", 10).count() == 10
