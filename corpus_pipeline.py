@@ -21,18 +21,27 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a recognised language: not ``und`` and a score of at least 0.5."""
-    known = language_of_documents(docs, carry=("description", *_others(docs)))
+    """Keep documents with a recognised language: not ``und`` and a score of at least 0.5.
+
+    A null, empty or letterless text is ``und`` and goes.  Rows are judged one by one: repeated rows
+    and rows without an id stay if their text is recognised.  Other columns, whatever their
+    names, stay as they are; an empty table gives no rows.
+    """
+    packed = _packed(docs)
+    known = language_of_documents(packed, carry=("description", "others"))
     kept = known.where((F.col("language") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.withColumnsRenamed({"finding_id": "doc_id", "description": "text"}).select(docs.columns)
+    return _unpacked(kept, "finding_id", "description", docs)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose predicted quality is 1."""
+    """Keep documents whose predicted quality is 1.
+
+    A null text is judged like an empty one.  Repeated rows, rows without an id, other columns and
+    empty tables as in the language stage; without labels all documents stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality_of_documents(docs, labels, carry=("command_line", *_others(docs)))
-    kept = scored.where("predicted = 1")
-    return kept.withColumnsRenamed({"event_id": "doc_id", "command_line": "text"}).select(docs.columns)
+    scored = quality_of_documents(_packed(docs), labels, carry=("command_line", "others"))
+    return _unpacked(scored.where("predicted = 1"), "event_id", "command_line", docs)
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +58,23 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that contain a passage of the benchmark."""
+    """Drop documents that contain a passage of the benchmark.
+
+    Leaks are found by text, so every row with that text goes, with or without an id; a null
+    text stays.  An empty benchmark drops nothing.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaked = materialize(leaks_of_documents(docs, benchmark).select(F.col("event_id").alias("doc_id")).distinct())
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    texts = docs.where("text IS NOT NULL").select(F.md5("text").alias("doc_id"), "text")
+    leaked = materialize(leaks_of_documents(texts, benchmark).select(F.col("event_id").alias("leaked")).distinct())
+    return docs.join(leaked, F.md5("text") == F.col("leaked"), "left_anti").select(docs.columns)
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the training mixture takes of each document, in range-sorted order of position."""
+    """What the training mixture takes of each document, in range-sorted order of position.
+
+    A null or blank text has size 0 and nothing is taken; a null source is a source of its own, the
+    last one; repeated rows are documents of their own.
+    """
     return mixture_of_documents(docs)
 
 
@@ -64,6 +82,16 @@ def _others(docs: DataFrame) -> list[str]:
     return [c for c in docs.columns if c not in ("doc_id", "text")]
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, lang`` and one struct with all other columns, so that no name can clash."""
+    return docs.select("doc_id", "text", "lang", F.struct(*_others(docs)).alias("others"))
+
+
+def _unpacked(rows: DataFrame, doc_id: str, text: str, docs: DataFrame) -> DataFrame:
+    named = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "others.*")
+    return named.select(docs.columns)
+
+
 STAGES = [
     ("language", language_stage),
     ("quality", quality_stage),
