@@ -10,6 +10,7 @@ from runwarden.functions import context, documents, hashing
 from runwarden.functions import text as clean
 from runwarden.functions.frames import computed_once
 from runwarden.operators import normalize
+from runwarden.operators.profile import exec_tokens
 from runwarden.plans.registry import query
 from runwarden.plans.views import CUT_US, DAY_US, Tables, duck_prefix
 from runwarden.sources import readers, sinks
@@ -702,13 +703,18 @@ def dedupe(t: Tables) -> DataFrame:
 
 @query(
     "str4_tumbling_counts",
-    duck_prefix("ex") + f""" SELECT image_digest, {CUT_US % (6 * 3_600_000_000)} + (us - {CUT_US % (6 * 3_600_000_000)}) // 21600000000 * 21600000000
-        AS window_us, coalesce(process_name, '<unknown>') AS token, count(*) AS n FROM ex GROUP BY ALL""",
+    duck_prefix("ex") + """, x AS (SELECT *, us // 21600000000 * 21600000000 AS window_us,
+        coalesce(nullif(trim(coalesce(nullif(executable, ''), process_name)), ''), '<unknown>') AS ptok,
+        coalesce(nullif(trim(coalesce(nullif(parent_executable, ''), parent_name)), ''), '<unknown>') AS partok FROM ex)
+      SELECT image_digest, window_us, family, token, count(*) AS n FROM (
+        SELECT image_digest, window_us, 'process_name' AS family, coalesce(process_name, '<unknown>') AS token FROM x
+        UNION ALL SELECT image_digest, window_us, 'executable', ptok FROM x
+        UNION ALL SELECT image_digest, window_us, 'parent_child', partok || ' -> ' || ptok FROM x
+        UNION ALL SELECT image_digest, window_us, 'user_uid', coalesce(cast(user_uid AS varchar), '<unknown>') FROM x) y
+      GROUP BY ALL""",
 )
 def tumbling_counts(t: Tables) -> DataFrame:
-    """Six-hour windows as the streaming plan forms them, over the whole table."""
-    from runwarden.streaming.pipelines import tumbling_token_counts
-
-    counts = tumbling_token_counts(t.execs, "6 hours", "0 seconds").where("family = 'process_name'")
-    return counts.select("image_digest", F.unix_micros("window_start").alias("window_us"), "token", "n")
-
+    """Token counts of six-hour windows over the whole table, the four families of executions."""
+    width = 21_600_000_000
+    rows = t.execs.withColumn("window_us", F.expr(f"us - pmod(us, {width})"))
+    return exec_tokens(rows, ["image_digest", "window_us"])

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runwarden.operators import enrich
-from runwarden.operators.profile import exec_tokens
-from runwarden.plans.behaviour_queries import BAND, DISTANCES, TOKENS, check, r9
+from runwarden.operators.profile import SHELL_FAMILY
+from runwarden.plans.behaviour_queries import INTERVAL, TOKENS, WINDOWS, behaviour, r9
 from runwarden.plans.enrich_queries import FOLD, LOOKBACK, PARENT_SQL, STATUS_FOLD
 from runwarden.plans.ingest_queries import HOST, LINES_SQL, RULE, SENSOR, sensor_lines
-from runwarden.plans.registry import query
-from runwarden.plans.views import CUT_US, DAY_US, Tables, duck_prefix
+from runwarden.plans.registry import ORACLE, query
+from runwarden.plans.views import CUT_US, DAY_US, END_US, Tables, duck_prefix
 from runwarden.session import ensure_checkpoint_dir
 from runwarden.sources import readers, sinks
-from runwarden.streaming import pipelines
+from runwarden.streaming import pipelines, window_log
 
 
 def folder(t: Tables) -> str:
@@ -137,64 +137,82 @@ def integrity_manifest(t: Tables) -> DataFrame:
     return sinks.verify_manifest(current, manifest).select("problem")
 
 
+def late_slices(t: Tables, where: str) -> DataFrame:
+    """As ``slices``, but a third of the events, over all times, arrives with the last one."""
+    events, arrival = t.raw("events"), F.expr(_arrival("unix_micros(cast(ts AS timestamp))", "div"))
+    for part in range(3):
+        events.where(arrival == part).coalesce(1).write.mode("append").parquet(f"{where}/in")
+    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+
+
+def _arrival(us: str, div: str) -> str:
+    """Batch of an event: a third comes last, the rest by time."""
+    return f"CASE WHEN event_id % 3 = 0 THEN 2 ELSE greatest(least(({us} - {CUT_US}) {div} {10 * DAY_US} + 2, 1), 0) END"
+
+
+def _stored(t: Tables, twice: bool = False) -> window_log.WindowLog:
+    """All executions and lifecycle events streamed into a log of daily windows."""
+    where = folder(t)
+    base = t.base_of(late_slices(t, where))
+    rows = window_log.feed(t.execs_of(base), t.lifecycle_of(base))
+    if twice:
+        rows = rows.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
+    log = window_log.WindowLog(t.spark, f"{where}/log", DAY_US)
+    window_log.window_stream(rows, log, f"{where}/ck").awaitTermination()
+    return log
+
+
 @query("str2_dedupe_stream", duck_prefix("ex") + " SELECT DISTINCT event_id, us FROM ex")
 def dedupe_stream(t: Tables) -> DataFrame:
-    """Every event twice in the stream, once in the result."""
-    where = folder(t)
-    execs = t.execs_of(t.base_of(slices(t, where))).select("event_id", "us", "occurred_at")
-    twice = execs.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
-    return to_table(pipelines.deduplicate_stream(twice).select("event_id", "us"), where)
+    """Every event twice in the stream and a third of them late, each once in the result."""
+    return _stored(t, twice=True).events().where("is_exec").select("event_id", F.unix_micros("occurred_at").alias("us"))
 
 
 @query(
     "str3_late_rows",
-    duck_prefix("ex") + f""" SELECT us < {CUT_US} AS late, count(*) AS n FROM ex GROUP BY 1""",
+    f"""WITH ev AS (SELECT event_type IN ('click', 'view', 'error') AS is_exec, epoch_us(ts) AS us,
+        {_arrival("epoch_us(ts)", "//")} AS arrival FROM events WHERE event_type IN ('click', 'view', 'error', 'signup', 'purchase')),
+      reached AS (SELECT x.arrival, max(y.us) AS us FROM (SELECT DISTINCT arrival FROM ev) x JOIN ev y ON y.arrival < x.arrival GROUP BY 1)
+      SELECT is_exec, ev.us // {DAY_US} AS w, count(*) FILTER ((ev.us // {DAY_US} + 1) * {DAY_US} <= reached.us) AS late, count(*) AS n
+      FROM ev LEFT JOIN reached USING (arrival) GROUP BY ALL""",
 )
 def late_rows(t: Tables) -> DataFrame:
-    """Rows of windows that had closed go to their own side and none is lost."""
-    on_time, late = pipelines.split_late(t.execs, F.timestamp_micros(F.lit(CUT_US)))
-    sides = on_time.select(F.lit(False).alias("late")).unionByName(late.select(F.lit(True).alias("late")))
-    return sides.groupBy("late").agg(F.count(F.lit(1)).alias("n"))
+    """All rows of every window, and how many came after a later window had its first revision."""
+    counts = F.count_if("late").alias("late"), F.count(F.lit(1)).alias("n")
+    return _stored(t).events().groupBy("is_exec", "w").agg(*counts)
 
 
-CLOSED = "(SELECT max(us) - 600000000 FROM ex)"
+_EVERY_WINDOW = WINDOWS[: WINDOWS.index("exw AS")] + f"""
+exw AS (SELECT *, us // {DAY_US} AS w,
+  coalesce(nullif(trim(coalesce(nullif(executable, ''), process_name)), ''), '<unknown>') AS ptok,
+  coalesce(nullif(trim(coalesce(nullif(parent_executable, ''), parent_name)), ''), '<unknown>') AS partok FROM ex),
+lcw AS (SELECT *, us // {DAY_US} AS w FROM lc)"""
 
 
 @query(
     "str4_tumbling_stream",
-    duck_prefix("ex") + f""" SELECT image_digest, us // {DAY_US} * {DAY_US} AS window_us, coalesce(process_name, '<unknown>') AS token,
-      count(*) AS n FROM ex WHERE us // {DAY_US} * {DAY_US} + {DAY_US} <= {CLOSED} GROUP BY ALL""",
+    ",".join([duck_prefix("ex", "lc"), _EVERY_WINDOW, TOKENS.replace("greatest(w, -1)", "w")])
+    + " SELECT image_digest, w, family, token, n FROM cnt",
 )
 def tumbling_stream(t: Tables) -> DataFrame:
-    """Only windows that the watermark has closed are emitted."""
-    where = folder(t)
-    counts = pipelines.tumbling_token_counts(t.execs_of(t.base_of(slices(t, where))), "1 day")
-    out = to_table(counts, where).where("family = 'process_name'")
-    return out.select("image_digest", F.unix_micros("window_start").alias("window_us"), "token", "n")
+    """Counts of all families in all windows, the newest and the late rows included."""
+    return _stored(t).counts().where(F.col("family") != SHELL_FAMILY)
 
 
-@query(
-    "str5_score_stream",
-    check(TOKENS, DISTANCES, select=f"""SELECT image_digest, {CUT_US} + w * {DAY_US} AS window_us, round(round(sum(js * x) / sum(x), 12), 9)
-        AS categorical_distance, {BAND.format('sum(js * x) / sum(x)')} AS score_band
-      FROM dist JOIN (VALUES ('process_name', 0.15), ('executable', 0.25), ('parent_child', 0.2), ('user_uid', 0.1)) v(family, x)
-        USING (family) WHERE {CUT_US} + (w + 1) * {DAY_US} <= {CLOSED} GROUP BY ALL"""),
-)
+@query("str5_score_stream", ORACLE["sco5_anomaly_score"])
 def score_stream(t: Tables) -> DataFrame:
-    """Closed days scored against the training baseline while the stream runs."""
-    from runwarden.session import materialize
-
+    """All days after training scored while the stream runs, with a third of the events late."""
     where = folder(t)
-    baseline = materialize(exec_tokens(t.execs.where(F.col("us") < CUT_US), ["image_digest"]))
-    live = t.execs_of(t.base_of(slices(t, where))).where(F.col("us") >= CUT_US)
-    counts = pipelines.tumbling_token_counts(live, "1 day")
-    pipelines.score_stream(counts, baseline, f"{where}/scores", f"{where}/ck").awaitTermination()
-    out = t.spark.read.parquet(f"{where}/scores")
-    return out.select(
-        "image_digest",
-        F.unix_micros("window_start").alias("window_us"),
-        r9("categorical_distance"),
-        "score_band",
+    trained = behaviour(t)
+    base = t.base_of(late_slices(t, where))
+    rows = window_log.feed(t.execs_of(base), t.lifecycle_of(base))
+    rows = rows.where((F.unix_micros("occurred_at") >= CUT_US) & (F.unix_micros("occurred_at") < END_US))
+    log = window_log.WindowLog(t.spark, f"{where}/log", DAY_US, CUT_US)
+    window_log.score_stream(rows, log, trained.baseline, trained.numeric_summary, f"{where}/ck", 1).awaitTermination()
+    log.finish(0, INTERVAL.scoring_windows, trained.baseline, trained.numeric_summary, 1)
+    names = ["total_score", "categorical_distance", "novelty_score", "numeric_deviation"]
+    return log.scores().select(
+        "image_digest", "w", "exec_count", "lifecycle_count", "status", "score_band", *[r9(n) for n in names]
     )
 
 

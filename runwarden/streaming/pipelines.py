@@ -1,20 +1,20 @@
 """Structured Streaming forms of the operators.
 
-Stateless steps and windowed counts are streaming plans.  Steps that need joins with
-history run inside ``foreachBatch`` on the batch operators, with the history in
-Parquet tables, so that a stream and a batch run give the same rows.
+Steps that need joins with history run inside ``foreachBatch`` on the batch operators, with
+the history in Parquet tables, so that a stream and a batch run give the same rows.
+Deduplication, windows and scores are in ``window_log``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from runwarden import config
-from runwarden.operators import enrich, incidents, normalize, profile, score
+from runwarden.operators import enrich, incidents, normalize
 from runwarden.sources import sinks
 
 LATENESS = "10 minutes"
@@ -50,71 +50,6 @@ def normalise_stream(
     return start(lines, each, checkpoint)
 
 
-def deduplicate_stream(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """First copy of each event id; state is dropped after the allowed lateness."""
-    return events.withWatermark("occurred_at", lateness).dropDuplicatesWithinWatermark(["event_id"])
-
-
-# --- windows -----------------------------------------------------------------------------
-
-
-def tumbling_token_counts(
-    execs: DataFrame,
-    width: str,
-    offset: str = "0 seconds",
-    lateness: str = LATENESS,
-    slide: str | None = None,
-) -> DataFrame:
-    """Token counts per (digest, anchored window); ``offset`` is the anchor past the epoch."""
-    pairs = profile.exec_token_pairs()
-    rows = execs.withWatermark("occurred_at", lateness).select(
-        "image_digest", "occurred_at", F.inline(F.array(*pairs))
-    )
-    window = F.window("occurred_at", width, slide or width, offset)
-    counts = rows.groupBy("image_digest", window.alias("window"), "family", "token").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return counts.select("image_digest", F.col("window.start").alias("window_start"), "family", "token", "n")
-
-
-def session_counts(execs: DataFrame, gap: str, lateness: str = LATENESS) -> DataFrame:
-    """Executions per container session, an option next to the fixed windows."""
-    rows = execs.withWatermark("occurred_at", lateness)
-    session = F.session_window("occurred_at", gap).alias("session")
-    return rows.groupBy("container_id", session).agg(F.count(F.lit(1)).alias("n"))
-
-
-def split_late(batch: DataFrame, closed_until: Column) -> tuple[DataFrame, DataFrame]:
-    """(on time, late): late rows belong to windows that were closed before; none is lost."""
-    late = F.col("occurred_at") < closed_until
-    return batch.where(~late), batch.where(late)
-
-
-def score_windows(counts: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Distances and band of closed windows against the active baseline."""
-    keys = ["image_digest", "window_start"]
-    known = baseline.select("image_digest").distinct()
-    observed = counts.join(known, "image_digest", "left_semi")
-    compared = score.compare_tokens(baseline, observed, ["image_digest", "family"], [*keys, "family"])
-    total = score.weighted_average(
-        compared, keys, "family", "js_distance", config.FAMILY_WEIGHTS, "categorical_distance"
-    )
-    return total.select(
-        *keys, "categorical_distance", score.band(F.col("categorical_distance")).alias("score_band")
-    )
-
-
-def score_stream(counts: DataFrame, baseline: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Scores of windows as they close."""
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        scored = score_windows(batch, baseline)
-        key = F.concat_ws("|", "image_digest", F.unix_micros("window_start").cast("string"))
-        sinks.append_new(scored.withColumn("window_id", key), table, key="window_id", time="window_start")
-
-    return start(counts, each, checkpoint)
-
-
 # --- joins with history ------------------------------------------------------------------
 
 

@@ -1,10 +1,11 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from runwarden.operators import enrich
+from runwarden.operators import enrich, profile
 from runwarden.sources import readers
-from runwarden.streaming import pipelines
+from runwarden.streaming import pipelines, window_log
 
 NOW = datetime(2026, 7, 21, 12, 0)
 
@@ -73,7 +74,76 @@ def test_lines_are_stored_once(spark, tmp_path):
     assert len(letters) == 4 and len({r.letter_id for r in letters}) == 4
 
 
-def test_late_rows_are_kept(spark):
-    rows = spark.createDataFrame([(NOW,), (NOW + timedelta(1),)], "occurred_at timestamp")
-    on_time, late = pipelines.split_late(rows, F.lit(NOW + timedelta(hours=1)))
-    assert on_time.count() == 1 and late.count() == 1
+def executions(count, seed):
+    """Executions of three containers over four hours with programs from a small list."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(count):
+        at = NOW + timedelta(seconds=rng.randrange(4 * 3600))
+        rows.append(("img", f"c{rng.randrange(3)}", f"e{i:04}", at, rng.choice(["sh", "ls", "nc"]), None, "p", None, rng.choice([0, 1000, None])))
+    return rows
+
+
+EXECUTIONS = (
+    "image_digest string, container_id string, event_id string, occurred_at timestamp, process_name string, "
+    "executable string, parent_name string, parent_executable string, user_uid bigint"
+)
+HOUR = 3_600_000_000
+
+
+def log_of(spark, rows, where, parts=4):
+    stream = files(spark, rows, EXECUTIONS, f"{where}/in", parts)
+    log = window_log.WindowLog(spark, f"{where}/log", HOUR)
+    window_log.window_stream(window_log.feed(stream), log, f"{where}/ck").awaitTermination()
+    return log
+
+
+def test_windows_lose_no_late_rows(spark, tmp_path):
+    """Rows in random order, some twice: counts and bigrams equal those of the batch operators."""
+    rows = executions(300, 1)
+    mixed = rows + rows[::5]
+    random.Random(2).shuffle(mixed)
+    log = log_of(spark, mixed, str(tmp_path))
+    frame = spark.createDataFrame(rows, EXECUTIONS).withColumn("w", F.expr(f"unix_micros(occurred_at) div {HOUR}"))
+    want = profile.exec_tokens(frame, ["image_digest", "w"], with_shell=True).unionByName(
+        profile.sequence_bigrams(frame, ["image_digest", "w"])
+    )
+    assert sorted(map(tuple, log.counts().collect())) == sorted(map(tuple, want.collect()))
+    stored = log.events()
+    assert stored.count() == 300 and 0 < stored.where("late").count() < 300
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    rows = executions(60, 3)
+    log = window_log.WindowLog(spark, str(tmp_path / "log"), HOUR)
+    batches = [window_log.feed(spark.createDataFrame(rows[i::3], EXECUTIONS)) for i in range(3)]
+    for number, batch in enumerate(batches):
+        log.add(batch, number)
+    before = sorted(map(tuple, log.counts().collect()))
+    log.add(batches[2], 2)  # as after a failure
+    assert sorted(map(tuple, log.counts().collect())) == before and log.events().count() == 60
+
+
+def test_null_times_and_ids_and_an_empty_batch(spark, tmp_path):
+    log = window_log.WindowLog(spark, str(tmp_path / "log"), HOUR)
+    odd = [("img", "c", None, NOW, "sh", None, None, None, None)] * 2 + [("img", "c", "e", None, "sh", None, None, None, None)]
+    assert log.add(window_log.feed(spark.createDataFrame([], EXECUTIONS)), 0) is None
+    log.add(window_log.feed(spark.createDataFrame(odd, EXECUTIONS)), 1)
+    assert log.events().count() == 2
+    assert log.counts().where("family = 'process_name'").first().n == 2
+
+
+def test_a_late_row_makes_a_new_revision(spark, tmp_path):
+    baseline = spark.createDataFrame([("img", "process_name", "sh", 3)], "image_digest string, family string, token string, n bigint")
+    training = spark.createDataFrame(executions(50, 5), EXECUTIONS).withColumn("w", F.lit(-1).cast("bigint"))
+    numbers = profile.window_numbers(profile.exec_tokens(training, ["image_digest", "w"], with_shell=True), HOUR)
+    summary = profile.numeric_summary(numbers)
+    log = window_log.WindowLog(spark, str(tmp_path / "log"), HOUR)
+    first = int((NOW - datetime(1970, 1, 1)).total_seconds()) // 3600
+    shell = ("img", "c", "a", NOW, "sh", None, None, None, 0)
+    for number, row in enumerate([shell, (*shell[:2], "b", NOW + timedelta(hours=1), *shell[4:]), (*shell[:2], "c", NOW, "nc", *shell[5:])]):
+        fresh, windows = log.add(window_log.feed(spark.createDataFrame([row], EXECUTIONS)), number)
+        log.score_revised(fresh, windows, baseline, summary, 1, number)
+    log.finish(first, 3, baseline, summary, 1)
+    got = {r.w - first: (r.revision, r.exec_count, r.status) for r in log.scores().collect()}
+    assert got == {0: (2, 2, "scored"), 1: (1, 1, "scored"), 2: (-1, 0, "insufficient_data")}
