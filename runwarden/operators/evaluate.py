@@ -16,6 +16,7 @@ from runwarden import config
 from runwarden.functions.hashing import assign_split
 from runwarden.functions.stats import clopper_pearson, mcnemar_p
 from runwarden.operators.ordering import Ordered
+from runwarden.operators.quantiles import exact_quantiles
 from runwarden.operators.rarity import empirical_pvalues
 from runwarden.operators.score import compare_tokens
 
@@ -429,13 +430,8 @@ def marker_summary(markers: DataFrame) -> DataFrame:
 
 def load_percentiles(samples: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Nearest-rank p50, p95 and p99 of raw samples, per key."""
-    ranks = [
-        F.round(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})"), 4).alias(name)
-        for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
-    ]
-    return samples.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        *ranks, F.count(F.lit(1)).alias("samples")
-    )
+    found = exact_quantiles(samples, keys, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return found.withColumns({name: F.round(name, 4) for name in ("p50", "p95", "p99")})
 
 
 def run_totals(trials: DataFrame, boundary_rows: DataFrame) -> DataFrame:

@@ -23,11 +23,13 @@ from operator import itemgetter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructField, StructType
 
 from runwarden import config
 from runwarden.functions.hashing import set_digest_parts
 from runwarden.functions.text import last_segment, token
+from runwarden.operators import quantiles
 from runwarden.operators.ordering import Ordered
 
 SHELL_FAMILY = "_shell"
@@ -208,15 +210,20 @@ def numeric_summary(filled: DataFrame) -> DataFrame:
         *[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features]
     )
     rows = filled.select("image_digest", F.inline(pairs))
-    value = F.col("value")
-    return rows.groupBy("image_digest", "feature").agg(
+    value, keys = F.col("value"), ["image_digest", "feature"]
+    shape = rows.groupBy(*keys).agg(
         F.round(F.min(value), 12).alias("min"),
         F.round(F.max(value), 12).alias("max"),
         F.round(F.avg(value), 12).alias("mean"),
-        F.round(F.median(value), 12).alias("median"),
-        F.round(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)"), 12).alias("p95"),
         F.round(F.stddev_pop(value), 12).alias("stddev"),
     )
+    running = quantiles.running_counts(quantiles.value_counts(rows, keys, "value"), keys, "value")
+    ranks = running.groupBy(F.col("image_digest").alias("_digest"), F.col("feature").alias("_feature")).agg(
+        F.round(quantiles.median("value"), 12).alias("median"),
+        F.round(quantiles.nearest_rank(0.95, "value"), 12).alias("p95"),
+    )
+    same = F.col("image_digest").eqNullSafe(F.col("_digest")) & (F.col("feature") == F.col("_feature"))
+    return shape.join(ranks, same).select(*keys, "min", "max", "mean", "median", "p95", "stddev")
 
 
 # --- manifest, quality, identity of an event set -----------------------------------------
@@ -304,48 +311,56 @@ def event_set_fingerprint(ids: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sums.select(*keys, "event_count", F.sha2(text, 256).alias("event_set_fingerprint"))
 
 
+#: Hexadecimal digits of an id's SHA-256 that name its bucket: 256 buckets for each set.
+BUCKET_DIGITS = 2
+
+
 def event_set_hash(ids: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """SHA-256 of the newline-joined sorted ids, next to the mergeable fingerprint.
+    """Merkle digest of the id set of each key, next to the mergeable fingerprint.
 
-    The hash of a sorted list is sequential by definition: the ids of a key are sorted
-    by Spark, which spills, and fed to the digest batch by batch, so memory stays
-    constant for sets of any size.  The fingerprint is the form that also runs in
-    parallel within a key.
+    An id belongs to the bucket named by the first digits of its own SHA-256.  A bucket's digest is
+    the SHA-256 of its sorted ids, joined by newlines; the set's digest is that of the lines
+    ``bucket:digest`` of its buckets in order.  Buckets of one key are sorted and digested by
+    different tasks, which stream over their ids in constant memory; only the bounded list of
+    bucket digests meets.  Null ids belong to no set.
     """
     keys = list(keys)
-    schema = StructType([*ids.select(*keys).schema, StructField("event_set_sha256", StringType())])
+    held = [*keys, "_bucket"]
+    schema = StructType([*ids.select(*keys).schema, StructField("_bucket", StringType()), StructField("_digest", StringType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state, columns = None, None, None
-
-        def record() -> list:
-            return [*current, state.hexdigest()]
-
-        def table(done: list[list]) -> pa.RecordBatch:
-            kinds = [*[columns.field(k).type for k in keys], pa.string()]
-            arrays = [pa.array([row[i] for row in done], kind) for i, kind in enumerate(kinds)]
-            return pa.RecordBatch.from_arrays(arrays, names=[*keys, "event_set_sha256"])
-
+        current, state = None, None
+        done: list[list] = []
         for batch in batches:
-            done, columns = [], batch.schema
-            rows = zip(zip(*[batch.column(k).to_pylist() for k in keys]), batch.column("id").to_pylist())
+            rows = zip(zip(*[batch.column(k).to_pylist() for k in held]), batch.column("id").to_pylist())
             for key, members in groupby(rows, key=itemgetter(0)):
                 block = "\n".join(one[1] for one in members).encode()
                 if state is not None and key == current:
                     state.update(b"\n" + block)
                     continue
                 if state is not None:
-                    done.append(record())
+                    done.append([*current, state.hexdigest()])
                 current, state = key, hashlib.sha256(block)
-            yield table(done)
+            if len(done) >= 10_000:
+                yield _record(done, kinds, schema.names)
+                done = []
         if state is not None:
-            yield table([record()])
-
-    ordered = ids.where(F.col("id").isNotNull()).select(*keys, "id")
-    ordered = ordered.repartition(*keys).sortWithinPartitions(*keys, "id")
-    exact = ordered.mapInArrow(digests, schema)
+            yield _record([*done, [*current, state.hexdigest()]], kinds, schema.names)
+
+    bucket = F.substring(F.sha2("id", 256), 1, BUCKET_DIGITS).alias("_bucket")
+    ordered = ids.where(F.col("id").isNotNull()).select(*keys, bucket, "id")
+    ordered = ordered.repartition(*held).sortWithinPartitions(*held, "id")
+    lines = F.collect_list(F.concat_ws(":", "_bucket", "_digest"))  # at most 16 ** BUCKET_DIGITS
+    whole = F.sha2(F.array_join(F.array_sort(lines), "\n"), 256).alias("event_set_sha256")
+    exact = ordered.mapInArrow(digests, schema).groupBy(*keys).agg(whole)
     return event_set_fingerprint(ids, keys).join(exact, keys, "left")
 
 
+def _record(rows: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -299,11 +299,13 @@ def profile_manifest(t: Tables) -> DataFrame:
 
 @query(
     "agg9_event_set_hash",
-    check(select="""SELECT image_digest, w, count(*) AS event_count,
-        sha256(string_agg(id, chr(10) ORDER BY id)) AS event_set_sha256
-      FROM (SELECT image_digest, w, 'process:' || event_id AS id FROM exw WHERE w >= 0
-        UNION ALL SELECT image_digest, w, 'runtime:' || event_id FROM lcw WHERE w >= 0)
-      GROUP BY ALL"""),
+    check(select="""SELECT image_digest, w, cast(sum(n) AS bigint) AS event_count,
+        sha256(string_agg(bucket || ':' || digest, chr(10) ORDER BY bucket)) AS event_set_sha256
+      FROM (SELECT image_digest, w, substr(sha256(id), 1, 2) AS bucket, count(*) AS n,
+          sha256(string_agg(id, chr(10) ORDER BY id)) AS digest
+        FROM (SELECT image_digest, w, 'process:' || event_id AS id FROM exw WHERE w >= 0
+          UNION ALL SELECT image_digest, w, 'runtime:' || event_id FROM lcw WHERE w >= 0)
+        GROUP BY ALL) GROUP BY ALL"""),
 )
 def event_set_hash(t: Tables) -> DataFrame:
     b = behaviour(t)

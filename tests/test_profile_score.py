@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from runwarden.operators import profile, score
+from runwarden.operators import profile, quantiles, score
 from runwarden.plans.behaviour import Behaviour, Interval
 
 START = datetime(2026, 7, 21, 10, 0)
@@ -132,7 +133,41 @@ def test_event_set_hash_of_a_set_above_a_batch(spark):
     rows = [("d", n) for n in names] + [("e", "process:1")]
     ids = spark.createDataFrame(rows, "image_digest string, id string")
     rows = {r.image_digest: r for r in profile.event_set_hash(ids, ["image_digest"]).collect()}
-    assert rows["d"].event_set_sha256 == hashlib.sha256("\n".join(sorted(names)).encode()).hexdigest()
-    assert rows["e"].event_set_sha256 == hashlib.sha256(b"process:1").hexdigest()
+    assert rows["d"].event_set_sha256 == merkle(names)
+    assert rows["e"].event_set_sha256 == merkle(["process:1"])
     again = profile.event_set_fingerprint(ids.orderBy(F.desc("id")), ["image_digest"]).collect()
     assert {r.image_digest: r.event_set_fingerprint for r in again}["d"] == rows["d"].event_set_fingerprint
+
+
+def merkle(names):
+    buckets = {}
+    for name in sorted(names):
+        buckets.setdefault(hashlib.sha256(name.encode()).hexdigest()[:2], []).append(name)
+    lines = [f"{b}:{hashlib.sha256(chr(10).join(some).encode()).hexdigest()}" for b, some in sorted(buckets.items())]
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+
+def test_one_set_is_hashed_by_many_tasks(spark):
+    """A key with all rows: its buckets meet several tasks."""
+    ids = spark.range(20_000).select(F.lit("d").alias("image_digest"), F.concat(F.lit("process:"), "id").alias("id"))
+    spread = ids.repartition(8, "image_digest", F.substring(F.sha2("id", 256), 1, profile.BUCKET_DIGITS))
+    assert spread.select(F.spark_partition_id()).distinct().count() == 8
+    row = profile.event_set_hash(ids, ["image_digest"]).first()
+    assert row.event_set_sha256 == merkle([f"process:{i}" for i in range(20_000)]) and row.event_count == 20_000
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_exact_quantiles_of_a_hot_key(spark, parts):
+    """One key holds nearly all rows; nulls, ties and a null key are there as well."""
+    rng = random.Random(4)
+    rows = [("hot", float(rng.randrange(300))) for _ in range(5000)] + [("cold", 1.0), (None, 2.0), (None, 4.0), ("hot", None), ("none", None)]
+    frame = spark.createDataFrame(rows, "key string, value double").repartition(parts)
+    running = quantiles.running_counts(quantiles.value_counts(frame, ["key"], "value"), ["key"], "value")
+    plan = running._jdf.queryExecution().toString().lower()
+    assert "percentile" not in plan and "median" not in plan
+    found = running.groupBy("key").agg(quantiles.median("value").alias("median"), quantiles.nearest_rank(0.07, "value").alias("p7"))
+    got = {r.key: (r.median, r.p7) for r in found.collect()}
+    hot = sorted(v for k, v in rows if k == "hot" and v is not None)
+    assert got == {"hot": ((hot[2499] + hot[2500]) / 2, hot[349]), "cold": (1.0, 1.0), None: (3.0, 2.0)}
+    got = {r.key: tuple(r)[1:] for r in quantiles.exact_quantiles(frame, ["key"], "value", {"p50": 0.5, "p99": 0.99}).collect()}
+    assert got["hot"] == (hot[2499], hot[4949], 5000) and got[None] == (2.0, 4.0, 2)
