@@ -22,7 +22,7 @@ from pyspark.sql.types import BooleanType
 
 from runwarden import config
 from runwarden.functions.text import basename
-from runwarden.operators.enrich import with_ancestors
+from runwarden.operators.enrich import BITS, ancestor_bits, with_ancestors
 from runwarden.operators.profile import union_all
 from runwarden.operators.rules import MATCH_TYPES, RUN, resolve_identity
 
@@ -34,8 +34,8 @@ _PROCESS_TYPE = (
     "parent_name:string,command_line:string,user_uid:bigint,container_id:string>"
 )
 _SAMPLE_TYPES = {
-    "process": f"fields {_PROCESS_TYPE}, ancestors array<{_PROCESS_TYPE}>",
-    "lifecycle": "fields struct<action:string,privileged:boolean,image_digest:string,container_id:string>",
+    "process": f"fields {_PROCESS_TYPE}, ancestors array<{_PROCESS_TYPE}>, ancestor_bits struct<{{bits}}>",
+    "lifecycle": "fields struct<action:string,privileged:boolean,image_digest:string,container_id:string>, ancestor_bits struct<{bits}>",
 }
 
 
@@ -130,19 +130,34 @@ def _leaf(leaf: dict, record) -> Column:
     return ~hit if op in ("not_equals", "not_in") else hit
 
 
-def compile_condition(condition: dict) -> Column:
-    """Boolean column over ``fields`` and, for ancestor leaves, ``ancestors``."""
+class AncestorTests:
+    """Conditions on single ancestors; a rule asks for the bit that says whether one of them meets it.
+
+    ``node`` is the struct of fields that the conditions are about.
+    """
+
+    def __init__(self):
+        self.tests: list[Column] = []
+
+    def bit(self, test: Column) -> Column:
+        place, self.tests = len(self.tests), [*self.tests, test]
+        bits = F.col(f"ancestor_bits.bits{place // BITS}")
+        return F.coalesce(F.getbit(bits, F.lit(place % BITS)) == 1, F.lit(False))
+
+
+def compile_condition(condition: dict, ancestors: AncestorTests) -> Column:
+    """Boolean column over ``fields`` and, for ancestor leaves, ``ancestor_bits``."""
     for branch, combine in (("all", Column.__and__), ("any", Column.__or__)):
         if branch in condition:
-            parts = [compile_condition(member) for member in condition[branch]]
+            parts = [compile_condition(member, ancestors) for member in condition[branch]]
             out = parts[0]
             for part in parts[1:]:
                 out = combine(out, part)
             return out
     if "not" in condition:
-        return ~compile_condition(condition["not"])
+        return ~compile_condition(condition["not"], ancestors)
     if condition.get("scope", "event") == "ancestor":
-        return F.exists("ancestors", lambda node: _leaf(condition, lambda name: node[name]))
+        return ancestors.bit(_leaf(condition, lambda name: F.col(f"fields.{name}")))
     return _leaf(condition, lambda name: F.col(f"fields.{name}"))
 
 
@@ -153,10 +168,37 @@ _TEXT_KEYWORDS = {
 }
 
 
-def compile_text(text: str, target: str) -> Column:
+_EXISTS = re.compile(r"exists\s*\(\s*ancestors\s*,\s*([A-Za-z_]\w*)\s*->", re.IGNORECASE)
+
+
+def _closing(text: str, start: int) -> int:
+    """Place of the bracket that closes the one before ``start``; quoted text does not count."""
+    depth = 1
+    for piece in re.finditer(r"'(?:[^'\\]|\\.|'')*'|[()]", text[start:]):
+        depth += {"(": 1, ")": -1}.get(piece.group(), 0)
+        if depth == 0:
+            return start + piece.start()
+    raise ValueError("a bracket is not closed")
+
+
+def _split_exists(text: str) -> list[tuple[str, str | None]]:
+    """Pieces of a rule text: (text, None) and, for each ``exists``, (body, name of its variable)."""
+    pieces, at = [], 0
+    for found in _EXISTS.finditer(text):
+        if found.start() < at:
+            raise ValueError("exists inside exists is not allowed")
+        end = _closing(text, found.end())
+        pieces += [(text[at : found.start()], None), (text[found.end() : end], found.group(1))]
+        at = end + 1
+    return [*pieces, (text[at:], None)]
+
+
+def compile_text(text: str, target: str, ancestors: AncestorTests | None = None) -> Column:
     """Spark SQL boolean text limited to the fields of the target and a few words.
 
-    ``executable = 'nc' AND exists(ancestors, a -> a.parent_executable IN ('sh'))``
+    ``executable = 'nc' AND exists(ancestors, a -> a.parent_executable IN ('sh'))``.  What is said
+    about an ancestor may use only fields of that ancestor; a text that compares it with the
+    event's own fields needs ``ancestors`` as an array and is compiled as it stands.
     """
     names = set(TARGETS[target])
     variables = {v.lower() for v in re.findall(r"([A-Za-z_]\w*)\s*->", text)}
@@ -166,26 +208,56 @@ def compile_text(text: str, target: str) -> Column:
         if word.lower() not in _TEXT_KEYWORDS and word not in names and word.lower() not in variables:
             raise ValueError(f"{word!r} is not allowed in a rule")
 
-    def qualify(match: re.Match) -> str:
-        word, before = match.group(0), text[: match.start()]
-        plain = word in names and not before.endswith(".")
-        return f"fields.{word}" if plain else word
-
-    return F.expr(_TEXT_WORD.sub(qualify, text))
-
-
-def check_analysis(spark: SparkSession, test: Column, target: str) -> None:
+    def qualified(piece: str, variable: str | None = None) -> str:
+        def qualify(match: re.Match) -> str:
+            word, before = match.group(0), piece[: match.start()]
+            if variable is not None and word == variable and not before.endswith("."):
+                return "fields"
+            return f"fields.{word}" if word in names and not before.endswith(".") else word
+
+        return _TEXT_WORD.sub(qualify, piece)
+
+    if ancestors is None or not _bits_suffice(text, target):
+        return F.expr(qualified(text))
+    out, columns = "", []
+    for piece, variable in _split_exists(text):
+        if variable is None:
+            out += qualified(piece)
+        else:
+            columns.append(ancestors.bit(F.expr(qualified(piece, variable))))
+            place = len(ancestors.tests) - 1
+            out += f"coalesce(getbit(ancestor_bits.bits{place // BITS}, {place % BITS}) = 1, false)"
+    return F.expr(out)
+
+
+def _bits_suffice(text: str, target: str) -> bool:
+    """Whether each ``exists`` of a rule text speaks only of the ancestor itself."""
+    names, found = set(TARGETS[target]), _split_exists(text)
+    for piece, variable in found:
+        for match in _TEXT_WORD.finditer(piece):
+            word, before = match.group(0), piece[: match.start()]
+            if variable is not None and word in names and not before.endswith("."):
+                return False
+            if variable is None and word.lower() == "ancestors":
+                return False
+    return True
+
+
+def check_analysis(spark: SparkSession, test: Column, target: str, columns: int = 1) -> None:
     """Raise when Spark cannot analyse the compiled rule or it is not boolean."""
-    sample = spark.createDataFrame([], _SAMPLE_TYPES[target])
+    bits = ",".join(f"bits{i}:bigint" for i in range(columns))
+    sample = spark.createDataFrame([], _SAMPLE_TYPES[target].format(bits=bits))
     found = sample.select(test.alias("hit")).schema["hit"].dataType
     if not isinstance(found, BooleanType):
         raise ValueError(f"a rule must be true or false, not {found.simpleString()}")
 
 
-def _uses_ancestors(condition: object, target: str) -> bool:
+def _needs_chains(condition: object, target: str) -> bool:
+    """Whether a rule compares ancestors with the event and so needs them as an array."""
     if isinstance(condition, str):
-        return "ancestors" in condition
-    return any(leaf.get("scope") == "ancestor" for leaf in check_condition(condition, target))
+        return "ancestors" in condition.lower() and not _bits_suffice(condition, target)
+    check_condition(condition, target)
+    return False
 
 
 def _process_fields() -> Column:
@@ -253,10 +325,13 @@ def custom_matches(
     analyse, or whose result is not boolean.  Values that cannot be converted for a
     comparison do not meet it.
 
-    ``execs`` needs ``parent_event_id``; ancestors are looked up inside the same run.
+    ``execs`` needs ``parent_event_id``; ancestors are looked up inside the same run.  What rules
+    ask of single ancestors becomes bits of a fixed size (``ancestor_bits``); only a text that
+    compares an ancestor with the event itself gets chains as arrays.
     """
     spark = execs.sparkSession
     groups: dict[tuple[str, bool], list[tuple[dict, Column]]] = {}
+    ancestors = AncestorTests()
     errors: list[tuple[str | None, str]] = []
     for rule in rules:
         slug = rule.get("slug") if isinstance(rule, dict) else None
@@ -266,14 +341,20 @@ def custom_matches(
             target, condition = rule["target"], rule["condition"]
             if target not in TARGETS:
                 raise ValueError(f"target {target!r} does not exist")
-            deep = _uses_ancestors(condition, target)
+            deep = _needs_chains(condition, target)
+            asked = AncestorTests()
+            asked.tests = ancestors.tests
             if isinstance(condition, str):
-                test = compile_text(condition, target)
+                test = compile_text(condition, target, None if deep else asked)
             else:
-                test = compile_condition(condition)
+                test = compile_condition(condition, asked)
             _rule_row(rule)
+            columns = len(asked.tests) // BITS + 1
             with _lenient(spark):
-                check_analysis(spark, test, target)
+                for one in (*asked.tests[len(ancestors.tests) :], test):
+                    check_analysis(spark, one, target, columns)
+            # The tests of a broken rule are not kept.
+            ancestors = asked
             groups.setdefault((target, deep), []).append((rule, test))
         except (AttributeError, KeyError, TypeError, ValueError, RecursionError, PySparkException) as error:
             errors.append((slug, f"{type(error).__name__}: {error}"))
@@ -287,7 +368,14 @@ def custom_matches(
         events = resolve_identity(execs)
         if deep:
             events = with_ancestors(events, RUN, node=_process_fields())
-        parts.append(_evaluate(events.withColumn("fields", _process_fields()), compiled, "process_event"))
+        events = events.withColumn("fields", _process_fields())
+        if not deep and ancestors.tests:
+            with _lenient(spark):
+                bits = ancestor_bits(events, RUN, ancestors.tests)
+            names = [c for c in bits.columns if c.startswith("bits")]
+            packed = bits.select(*RUN, "event_id", F.struct(*names).alias("ancestor_bits"))
+            events = events.join(packed, [*RUN, "event_id"], "left")
+        parts.append(_evaluate(events, compiled, "process_event"))
     return union_all(parts), spark.createDataFrame(errors, "slug string, error string")
 
 

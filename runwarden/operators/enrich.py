@@ -262,6 +262,52 @@ def with_ancestors(
     return joined.withColumn("ancestors", F.coalesce("ancestors", empty))
 
 
+#: Conditions that one column of :func:`ancestor_bits` holds.
+BITS = 62
+
+
+def ancestor_bits(execs: DataFrame, keys: Sequence[str], tests: Sequence[Column]) -> DataFrame:
+    """(keys, event_id, bits0, bits1, …): which ``tests`` some ancestor of an event meets.
+
+    Test i is bit ``i % 62`` of column ``bits{i // 62}``; events without an ancestor have no row.
+    As in :func:`ancestor_chain` a parent counts only inside the same ``keys`` group.
+
+    Pointer jumping over rows of fixed size: a row holds the bits met by the nearest 2**k
+    ancestors and points at the last of them.  A round ORs in the bits of the row it points
+    at and takes over its pointer, so chains of n hops take log2(n) rounds and no row grows.
+    In a loop of parents the rounds end when they have covered all events.
+    """
+    keys = list(keys)
+    names = [f"bits{i}" for i in range(-(-len(tests) // BITS))]
+    own = []
+    for column, name in enumerate(names):
+        value = F.lit(0).cast("bigint")
+        for bit, test in enumerate(tests[column * BITS : (column + 1) * BITS]):
+            value = value.bitwiseOR(F.when(test, F.lit(1 << bit).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        own.append(value.alias(name))
+    nodes = execs.select(*keys, F.col("event_id").alias("_id"), *own)
+    start = execs.where("parent_event_id IS NOT NULL").select(*keys, "event_id", F.col("parent_event_id").alias("_id"))
+    # A repeated event id would multiply rows in every round.
+    first = [F.first(c).alias(c) for c in names]
+    state = materialize(
+        start.dropDuplicates([*keys, "event_id"])
+        .join(nodes.groupBy(*keys, "_id").agg(*first), [*keys, "_id"])
+        .select(*keys, "event_id", F.col("_id").alias("_up"), *names)
+    )
+    covered, count = 1, state.count()
+    while covered <= count and not state.where("_up IS NOT NULL").isEmpty():
+        jumps = state.select(
+            *keys, F.col("event_id").alias("_up"), F.col("_up").alias("_beyond"), F.lit(True).alias("_hit"),
+            *[F.col(n).alias(f"_{n}") for n in names],
+        )
+        # Rows that have reached their root only move to the next table.
+        joined = state.join(jumps, [*keys, "_up"], "left")
+        merged = [F.col(n).bitwiseOR(F.coalesce(f"_{n}", F.lit(0).cast("bigint"))).alias(n) for n in names]
+        state = materialize(joined.select(*keys, "event_id", F.col("_beyond").alias("_up"), *merged))
+        covered *= 2
+    return state.drop("_up")
+
+
 def process_chain(execs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Ordered nodes from the event itself to its root."""
     chain = F.concat(F.array(_node()), F.col("ancestors")).alias("process_chain")

@@ -15,6 +15,7 @@ from runwarden import config
 from runwarden.functions.hashing import sha256_fields
 from runwarden.operators.ordering import Ordered
 from runwarden.operators.rules import RUN, score_id
+from runwarden.session import materialize
 
 
 def level(value: Column, limits: Sequence[tuple[float, str]], top: str) -> Column:
@@ -146,38 +147,61 @@ def timeline(opened: DataFrame, matches: DataFrame, window_end: Column) -> DataF
     return Ordered(rows, RUN, order).number("sequence_no").rows.drop("_rule")
 
 
+def _applied_steps() -> int:
+    """Most changes that can be applied to one incident: the longest way through the steps."""
+
+    def longest(status: str, seen: tuple[str, ...]) -> int:
+        if status in seen:
+            raise ValueError(f"a status may not come back: {status}")
+        return max((1 + longest(s, (*seen, status)) for s in config.STATUS_STEPS.get(status, ())), default=0)
+
+    return longest("open", ())
+
+
 def fold_status(changes: DataFrame) -> DataFrame:
     """Each change with the status before it and whether it was allowed.
 
-    changes: incident_id, changed_at, change_id, new_status.  Changes of one incident
-    are a human-made handful and are folded in order as one array.
-    """
-    step = F.struct("changed_at", "change_id", "new_status")
-    ordered = changes.groupBy("incident_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    allowed = F.create_map(
-        *[x for s, nexts in config.STATUS_STEPS.items() for x in (F.lit(s), F.array(*map(F.lit, nexts)).cast("array<string>"))]
-    )
-    start = F.struct(
-        F.lit("open").alias("status"),
-        F.expr("cast(array() AS array<struct<change_id:string,before:string,result:string>>)").alias("log"),
-    )
+    changes: incident_id, changed_at, change_id, new_status; of one incident they count in the
+    order of the other three columns.  Returns ``incident_id, status`` (the last one), ``change_id,
+    before, result``.
 
-    def advance(state: Column, change: Column) -> Column:
-        before, wanted = state["status"], change["new_status"]
-        ok = F.array_contains(F.element_at(allowed, before), wanted)
-        result = F.when(wanted == before, "unchanged").when(ok, "applied").otherwise("rejected")
-        entry = F.struct(
-            change["change_id"].alias("change_id"), before.alias("before"), result.alias("result")
-        )
-        return F.struct(
-            F.when(ok, wanted).otherwise(before).alias("status"),
-            F.concat(state["log"], F.array(entry)).alias("log"),
-        )
-
-    folded = ordered.withColumn("state", F.aggregate("steps", start, advance))
-    return folded.select(
-        "incident_id", F.col("state.status").alias("status"), F.explode("state.log").alias("entry")
-    ).select("incident_id", "status", "entry.*")
+    A status never comes back, so only a few changes of an incident can be applied, however many
+    it has.  Each round finds the first allowed change after the one applied before, as a
+    minimum that is combined before the shuffle; the status before any change then
+    follows from its place among them.  No incident is sorted or gathered.  Rows that repeat a
+    change are marked alike.
+    """
+    place = F.struct("changed_at", "change_id", "new_status")
+    rows = changes.select("incident_id", "change_id", "new_status", place.alias("_place"))
+    applied = rows.select("incident_id").distinct().withColumn("_s0", F.lit("open"))
+    rounds = _applied_steps()
+
+    def may_follow(status: str, wanted: Column) -> Column:
+        allowed = F.lit(False)
+        for before, following in config.STATUS_STEPS.items():
+            allowed = allowed | ((F.col(status) == before) & wanted.isin(list(following)))
+        return allowed
+
+    same = F.col("incident_id").eqNullSafe(F.col("_incident"))
+    for turn in range(1, rounds + 1):
+        joined = rows.join(applied.withColumnRenamed("incident_id", "_incident"), same)
+        later = may_follow(f"_s{turn - 1}", F.col("new_status"))
+        if turn > 1:
+            later = later & (F.col("_place") > F.col(f"_p{turn - 1}"))
+        first = joined.where(later).groupBy(F.col("incident_id").alias("_incident")).agg(F.min("_place").alias(f"_p{turn}"))
+        applied = applied.join(first, same, "left").drop("_incident")
+        applied = materialize(applied.withColumn(f"_s{turn}", F.col(f"_p{turn}.new_status")))
+    final = F.coalesce(*[f"_s{turn}" for turn in range(rounds, -1, -1)])
+    before = F.col("_s0")
+    for turn in range(1, rounds + 1):
+        before = F.when(F.col("_place") > F.col(f"_p{turn}"), F.col(f"_s{turn}")).otherwise(before)
+    hit = F.lit(False)
+    for turn in range(1, rounds + 1):
+        hit = hit | F.coalesce(F.col("_place") == F.col(f"_p{turn}"), F.lit(False))
+    joined = rows.join(applied.withColumnRenamed("incident_id", "_incident"), same)
+    marked = joined.select("incident_id", final.alias("status"), "change_id", before.alias("before"), "new_status", hit.alias("_hit"))
+    result = F.when(F.col("new_status") == F.col("before"), "unchanged").when(F.col("_hit"), "applied").otherwise("rejected")
+    return marked.select("incident_id", "status", "change_id", "before", result.alias("result"))
 
 
 def recommend(opened: DataFrame, containers: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -328,32 +329,34 @@ def active_allowlists(allowlists: DataFrame, as_of: Column) -> DataFrame:
     return allowlists.where(F.col("active") & live)
 
 
+def _first_entries(allowlists: DataFrame, filled: Sequence[str]) -> DataFrame:
+    """Smallest id of the entries that fill exactly these fields, per digest, rule and their values."""
+    shape = F.lit(True)
+    for name in ("executable", "parent_executable"):
+        shape = shape & (F.col(name).isNotNull() if name in filled else F.col(name).isNull())
+    keys = [F.col(n).alias(f"_e_{n}") for n in ("image_digest", "rule_id", *filled)]
+    return allowlists.where(shape).groupBy(*keys).agg(F.min("allowlist_id").alias("_by_" + "_".join(("any", *filled))))
+
+
 def apply_allowlists(matches: DataFrame, allowlists: DataFrame) -> DataFrame:
     """Add ``suppressed_by``, null for active matches.
 
     The first entry by id whose filled fields all agree suppresses a match.  A rule 5
     match has no fields of its own: it is suppressed when its shell or its tool was.
 
-    Entries are written by hand, so those of one (digest, rule) travel as one array.
+    An entry fills none, one or both of two fields.  For each of these four patterns the
+    entries are reduced to the first id per digest, rule and filled values, and matches meet
+    them by equality, so a match has at most four partners whatever the number of entries.
     """
-    entry = F.struct("allowlist_id", "executable", "parent_executable")
-    entries = allowlists.groupBy("image_digest", "rule_id").agg(
-        F.array_sort(F.collect_list(entry)).alias("_entries")
-    )
-
-    def agrees(wanted: Column, found: Column) -> Column:
-        return wanted.isNull() | F.coalesce(wanted == found, F.lit(False))
-
-    direct = matches.join(entries, ["image_digest", "rule_id"], "left")
-    hits = F.filter(
-        "_entries",
-        lambda e: agrees(e["executable"], F.col("executable"))
-        & agrees(e["parent_executable"], F.col("parent_executable")),
-    )
-    direct = direct.withColumn(
-        "suppressed_by",
-        F.when(F.col("rule_id") != "DET-005", F.get(hits, F.lit(0))["allowlist_id"]),
-    ).drop("_entries")
+    direct, found = matches, []
+    for filled in ((), ("executable",), ("parent_executable",), ("executable", "parent_executable")):
+        entries = _first_entries(allowlists, filled)
+        on = F.col("rule_id") != "DET-005"
+        for name in ("image_digest", "rule_id", *filled):
+            on = on & (F.col(name) == F.col(f"_e_{name}"))
+        direct = direct.join(entries, on, "left").drop(*[c for c in entries.columns if c.startswith("_e_")])
+        found.append(entries.columns[-1])
+    direct = direct.withColumn("suppressed_by", F.least(*found)).drop(*found)
 
     sources = (
         direct.where(F.col("rule_id").isin("DET-002", "DET-004") & F.col("suppressed_by").isNotNull())

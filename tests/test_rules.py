@@ -192,3 +192,53 @@ def test_process_chain(spark):
     events = execs(spark, SHELL, TOOL)
     got = {r.event_id: [n.event_id for n in r.process_chain] for r in enrich.process_chain(events).collect()}
     assert got == {"p-shell": ["p-shell"], "p-tool": ["p-tool", "p-shell"]}
+
+
+def test_the_first_of_many_allowlist_entries(spark):
+    """A hundred thousand entries for one digest and rule: the smallest id that agrees suppresses."""
+    entry = "allowlist_id string, image_digest string, rule_id string, executable string, parent_executable string"
+    many = spark.range(100_000).select(
+        F.format_string("a%06d", F.col("id") + 10).alias("allowlist_id"), F.lit("d").alias("image_digest"), F.lit("DET-004").alias("rule_id"),
+        F.format_string("/bin/t%d", F.col("id") % 1000).alias("executable"),
+        F.when(F.col("id") % 2 == 0, F.format_string("/bin/p%d", F.col("id") % 7)).alias("parent_executable"),
+    )
+    few = spark.createDataFrame([("a000001", "d", "DET-004", None, "/bin/only"), ("z", "e", "DET-004", None, None)], entry)
+    wanted = [("1", "d", "/bin/t5", "/bin/p0"), ("2", "d", "/bin/t4", None), ("3", "d", "/bin/t4", "/bin/only"), ("4", "d", None, None), ("5", "e", None, None)]
+    rows = [(d, 0, "DET-004", i, x, p) for i, d, x, p in wanted]
+    matches = spark.createDataFrame(rows, "image_digest string, w bigint, rule_id string, source_id string, executable string, parent_executable string")
+    matches = matches.withColumns({"shell_event_id": F.lit(None).cast("string"), "tool_event_id": F.lit(None).cast("string")})
+    found = rules.apply_allowlists(matches, many.unionByName(few))
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    assert {r.source_id: r.suppressed_by for r in found.collect()} == {"1": "a000015", "2": None, "3": "a000001", "4": None, "5": "z"}
+
+
+def test_status_of_an_incident_with_a_million_changes(spark):
+    changes = spark.range(1_000_000).select(
+        F.lit("i").alias("incident_id"), F.timestamp_seconds("id").alias("changed_at"), F.format_string("c%07d", "id").alias("change_id"),
+        F.when(F.col("id") == 700_000, "dismissed").when(F.col("id") > 800_000, "resolved").when(F.col("id") >= 5, "acknowledged")
+        .otherwise("open").alias("new_status"),
+    )
+    found = incidents.fold_status(changes)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    got = {(r.status, r.before, r.result): r.n for r in found.groupBy("status", "before", "result").agg(F.count("*").alias("n")).collect()}
+    assert got == {
+        ("dismissed", "open", "unchanged"): 5, ("dismissed", "open", "applied"): 1, ("dismissed", "acknowledged", "unchanged"): 699_994,
+        ("dismissed", "acknowledged", "applied"): 1, ("dismissed", "dismissed", "rejected"): 299_999,
+    }
+
+
+def test_bits_of_a_long_chain_a_loop_and_many_conditions(spark):
+    """Ten thousand nodes in one chain; rows hold one number each, whatever the depth."""
+    chain = spark.range(10_000).select(
+        F.lit("d").alias("image_digest"), F.col("id").cast("string").alias("event_id"),
+        F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_event_id"), F.col("id").alias("number"),
+    )
+    loop = spark.createDataFrame([("d", "x", "y", -1), ("d", "y", "x", -2), ("d", "z", "x", -3), ("e", "o", "0", -4)], chain.schema)
+    tests = [F.col("number") == 0, F.col("number") == 9_998, F.col("number") == -2] + [F.lit(False)] * 70 + [F.col("number") == -1]
+    bits = enrich.ancestor_bits(chain.unionByName(loop), ["image_digest"], tests)
+    assert dict(bits.dtypes)["bits0"] == dict(bits.dtypes)["bits1"] == "bigint"
+    got = {r.event_id: (r.bits0, r.bits1) for r in bits.collect()}
+    assert len(got) == 9_999 + 3 and got["1"] == (1, 0) and got["9999"] == (3, 0)
+    assert all(got[str(i)] == (1, 0) for i in range(1, 9_999))
+    last = 1 << (73 - 62)
+    assert got["x"] == got["y"] == got["z"] == (4, last)
