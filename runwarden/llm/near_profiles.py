@@ -1,4 +1,4 @@
-"""Near-equal behaviour profiles of an image by balls of vectors and exact blocked comparison."""
+"""Near-equal behaviour profiles of an image by balls of vectors and NN-descent between the balls."""
 
 from __future__ import annotations
 
@@ -13,7 +13,15 @@ from runwarden.session import materialize
 COSINE = 0.93
 NEIGHBOURS = 8
 TABLES = 8
-#: Mean number of vectors of a block; every two blocks of an image are compared in one matrix product.
+#: Most rounds of neighbours of neighbours; they end when few lists change.
+ROUNDS = 8
+#: Neighbours of one node, nearest first, that are compared with each other at once.
+LOCAL = 256
+#: Nodes whose neighbours are searched for exactly, half of them by chance, half among nodes with links.
+AUDIT_NODES = 4096
+#: Images with a smaller audited share of their true neighbours are completed exactly.
+AUDIT_RECALL = 0.98
+#: Mean number of vectors of a block of the exact completion; two blocks are compared in one matrix product.
 BLOCK = 1024
 #: Angles are compared with this slack where the vectors themselves are compared afterwards.
 SLACK = 1e-7
@@ -72,7 +80,7 @@ _LINK_DDL = "a bigint, b bigint, cosine double"
 
 
 def _first_graph(nodes: DataFrame, count: int, seed: int) -> DataFrame:
-    """Pairs that stand close together in several random orders of the nodes.
+    """Pairs with their cosine that stand close together in several random orders of the nodes.
 
     An order sorts by the signs of random projections and then by one projection.  Rows are
     range partitioned on the whole sort key, so a crowded place is cut like any other.
@@ -155,8 +163,150 @@ def _balls(nodes: DataFrame, tight: float) -> DataFrame:
     )
 
 
+def _with_reach(links: DataFrame, nodes: DataFrame, angle: float) -> DataFrame:
+    """Adds ``reach``: the balls of two nodes may hold members that link."""
+    left = nodes.select(F.col("node").alias("a"), F.col("radius").alias("_ra"))
+    right = nodes.select(F.col("node").alias("b"), F.col("radius").alias("_rb"))
+    apart = F.acos(F.greatest(F.least("cosine", F.lit(1.0)), F.lit(-1.0)))
+    reach = apart <= F.lit(angle + SLACK) + F.col("_ra") + F.col("_rb")
+    return links.join(left, "a").join(right, "b").select(*_LINK, reach.alias("reach"))
+
+
+def _nearest(links: DataFrame, widths: DataFrame | None, most: int) -> DataFrame:
+    """Each node's nearest neighbours, as many as its width; ``most`` is the largest width."""
+    order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    ranked = links.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    if widths is not None:
+        ranked = ranked.join(widths, "a", "left").where(F.col("rank") <= F.coalesce("width", F.lit(NEIGHBOURS))).drop("width")
+    return ranked.drop("rank")
+
+
+def _local_join(graph: DataFrame, nodes: DataFrame, angle: float) -> DataFrame:
+    """Pairs of neighbours of one node, at least one of them new to it, that improve a list or reach.
+
+    Neighbours are those in the node's list and the nodes that have it in theirs.  A long row of
+    them is compared in pieces; what that misses, the audit sees.
+    """
+    forward = graph.select(F.col("a").alias("centre"), F.col("b").alias("node"), "cosine", "fresh")
+    back = graph.select(F.col("b").alias("centre"), F.col("a").alias("node"), "cosine", "fresh")
+    members = forward.unionByName(back).groupBy("centre", "node").agg(F.max("cosine").alias("cosine"), F.max("fresh").alias("fresh"))
+    active = members.groupBy("centre").agg(F.max("fresh").alias("any")).where("any").select("centre")
+    full = F.count(F.lit(1)) >= NEIGHBOURS
+    worst = graph.groupBy(F.col("a").alias("node")).agg(F.when(full, F.min("cosine")).otherwise(-2.0).alias("worst"))
+    known = nodes.select("node", "radius", "vector").join(worst, "node", "left")
+    rows = members.join(active, "centre", "left_semi").join(known, "node")
+
+    def compare(batches):
+        for group in _groups(batches, ["centre"], LOCAL):
+            node, fresh = group["node"].to_numpy(), group["fresh"].to_numpy(zero_copy_only=False).astype(bool)
+            if len(node) < 2 or not fresh.any():
+                continue
+            unit, radius = _unit(_matrix(group["vector"].combine_chunks())), group["radius"].to_numpy()
+            worst = np.nan_to_num(group["worst"].to_numpy(zero_copy_only=False).astype(np.float64), nan=-2.0)
+            x, y = np.triu_indices(len(node), 1)
+            keep = fresh[x] | fresh[y]
+            x, y = x[keep], y[keep]
+            cosine = (unit[x] * unit[y]).sum(axis=1)
+            reach = np.arccos(np.clip(cosine, -1, 1)) <= angle + radius[x] + radius[y] + SLACK
+            use = reach | (cosine > worst[x]) | (cosine > worst[y])
+            x, y = x[use], y[use]
+            yield pa.record_batch(
+                {
+                    "a": pa.array(np.minimum(node[x], node[y]), pa.int64()), "b": pa.array(np.maximum(node[x], node[y]), pa.int64()),
+                    "cosine": pa.array(cosine[use]), "reach": pa.array(reach[use]),
+                }
+            )
+
+    ordered = rows.repartition("centre").sortWithinPartitions("centre", F.desc("cosine"), "node")
+    columns = ordered.select("centre", "node", "fresh", "radius", "worst", "vector")
+    return columns.mapInArrow(compare, f"{_LINK_DDL}, reach boolean").groupBy("a", "b").agg(
+        F.max("cosine").alias("cosine"), F.max("reach").alias("reach")
+    )
+
+
+def _descend(nodes: DataFrame, count: int, angle: float) -> DataFrame:
+    """NN-descent: pairs of nodes found to reach each other, ``a, b, cosine``.
+
+    Lists start with the neighbours in several random orders.  A round compares the neighbours of
+    every node with each other and keeps each node's nearest; a node whose list is full of
+    neighbours that reach is saturated, and its list is doubled.  Every pair that any round finds
+    to reach is kept, in a list or not.
+    """
+    seeds = _first_graph(nodes, count, 0).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    seeds = materialize(_with_reach(seeds, nodes, angle))
+    kept = seeds.where("reach").select(*_LINK)
+    graph = materialize(_nearest(_both(seeds, "reach").withColumn("fresh", F.lit(True)), None, NEIGHBOURS))
+    for _ in range(ROUNDS):
+        found = materialize(_local_join(graph, nodes, angle))
+        kept = materialize(kept.unionByName(found.where("reach").select(*_LINK)).groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
+        full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("reach").alias("all"))
+        widths = materialize(full.where(F.col("all") & (F.col("n") >= NEIGHBOURS)).select("a", (F.col("n") * 2).alias("width")))
+        most = widths.agg(F.max("width")).first()[0] or NEIGHBOURS
+        old = graph.withColumn("fresh", F.lit(False))
+        merged = _both(found, "reach").withColumn("fresh", F.lit(True)).unionByName(old).groupBy("a", "b")
+        merged = merged.agg(F.max("cosine").alias("cosine"), F.max("reach").alias("reach"), F.min("fresh").alias("fresh"))
+        graph = materialize(_nearest(merged, widths, most))
+        if graph.where("fresh").count() <= 0.001 * NEIGHBOURS * count:
+            break
+    return kept
+
+
+def _audit(nodes: DataFrame, count: int, pairs: DataFrame, angle: float) -> tuple[DataFrame, list[int]]:
+    """(true pairs of the audited nodes, parts whose recall is too low).
+
+    A part without a true pair of an audited node is judged by all parts together.
+    """
+    linked = _both(pairs).select(F.col("a").alias("node")).distinct()
+    some = linked.count()
+
+    def chosen(rows: DataFrame, size: int, seed: int) -> DataFrame:
+        share = int(2**32 * min(1.0, AUDIT_NODES / 2 / max(size, 1)))
+        return rows.where(F.shiftrightunsigned(F.xxhash64("node", F.lit(seed)), 32) < F.lit(share)).select("node")
+
+    picked = chosen(linked, some, 1).unionByName(chosen(nodes, count, 2)).distinct()
+    # About AUDIT_NODES rows, whatever the table's size.
+    sample = nodes.join(materialize(picked), "node").select("part", "node", "radius", "vector").toArrow()
+    wanted: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    parts = sample["part"].to_numpy()
+    for part in np.unique(parts):
+        rows = sample.take(pa.array(np.flatnonzero(parts == part)))
+        wanted[int(part)] = (rows["node"].to_numpy(), rows["radius"].to_numpy(), _unit(_matrix(rows["vector"].combine_chunks())))
+    shared = nodes.sparkSession.sparkContext.broadcast(wanted)
+
+    def scan(batches):
+        for batch in batches:
+            here = batch["part"].to_numpy()
+            for part in np.unique(here).tolist():
+                if part not in shared.value:
+                    continue
+                probe, wide, unit = shared.value[part]
+                at = np.flatnonzero(here == part)
+                node, radius = batch["node"].to_numpy()[at], batch["radius"].to_numpy()[at]
+                cosine = unit @ _unit(_matrix(batch["vector"].take(pa.array(at)))).T
+                reach = np.minimum(angle + wide[:, None] + radius + SLACK, np.pi)
+                x, y = np.nonzero(cosine >= np.cos(reach))
+                other = probe[x] != node[y]
+                x, y = x[other], y[other]
+                yield pa.record_batch(
+                    {
+                        "part": pa.array(np.full(len(x), part)), "a": pa.array(np.minimum(probe[x], node[y])),
+                        "b": pa.array(np.maximum(probe[x], node[y])), "cosine": pa.array(cosine[x, y]),
+                    }
+                )
+
+    true = nodes.select("part", "node", "radius", "vector").mapInArrow(scan, f"part bigint, {_LINK_DDL}")
+    true = materialize(true.groupBy("part", "a", "b").agg(F.max("cosine").alias("cosine")))
+    hit = pairs.select("a", "b").withColumn("_hit", F.lit(1))
+    judged = true.join(hit, ["a", "b"], "left").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("_hit").alias("k"))
+    counts = {r.part: (r.k or 0, r.n) for r in judged.collect()}  # at most one row per audited part
+    low = [part for part, (k, n) in counts.items() if k < AUDIT_RECALL * n]
+    if sum(k for k, _ in counts.values()) < AUDIT_RECALL * sum(n for _, n in counts.values()):
+        low += [r.part for r in nodes.select("part").distinct().collect() if r.part not in counts]
+    return true.select(*_LINK), low
+
+
 def _search(nodes: DataFrame, angle: float) -> DataFrame:
-    """All pairs of nodes whose balls may hold linked members: the radii and ``angle`` reach across.
+    """The exact completion: all pairs of nodes whose balls may hold linked members.
 
     The nodes of an image are dealt into blocks by hash.  Each row goes to all pairs of blocks
     that its own is in, and a pair of blocks is compared at once.
@@ -196,11 +346,12 @@ def near_profiles(profiles: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Method: equal vectors of an image are one node.  Nodes within half a link's angle of a leader
     form a ball; all of them are linked with each other, which is counted and not expanded.
-    Several random orders tell which nodes may lie in a ball.  The leaders and the other nodes of an
-    image are all compared, two blocks at a time as one matrix product, so no link is missed; the
-    work grows with the square of the leaders of an image.  For a pair of balls the angle of the
-    leaders and the radii tell whether all or no members are linked; only in between members are
-    compared.
+    NN-descent (``_descend``) then finds the pairs of leaders whose balls reach each other.  An audit
+    searches exactly for the neighbours of up to ``AUDIT_NODES`` leaders, half of them leaders
+    with links; what it finds is added.  Images whose audited recall is below ``AUDIT_RECALL`` are
+    completed by comparing all their leaders in blocks, whose work grows with the square of
+    their number.  For a pair of balls the angle of the leaders and the radii tell whether all or
+    no members are linked; only in between members are compared.
 
     Cosines are computed in double precision from scaled vectors, so none below the threshold
     is linked.  Links are symmetric; copies of a node are linked with each other and with all its
@@ -233,7 +384,13 @@ def near_profiles(profiles: DataFrame, cosine: float = COSINE) -> DataFrame:
         F.sum("copies").alias("total"), F.max(F.acos(F.least("cosine", F.lit(1.0)))).alias("radius")
     )
     leaders = materialize(nodes.drop("copies").join(grouped, "node"))
-    pairs = materialize(_search(leaders, angle))
+    count = leaders.count()
+    found = _descend(leaders, count, angle)
+    true, low = _audit(leaders, count, found, angle)
+    found = found.unionByName(true)
+    if low:
+        found = found.unionByName(_search(leaders.where(F.col("part").isin(low)), angle))
+    pairs = materialize(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
 
     # From pairs of leaders to links of their members.
     left = leaders.select(F.col("node").alias("a"), F.col("total").alias("total_a"), F.col("radius").alias("radius_a"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from runwarden.llm.near_commands import near_duplicate_commands
+from runwarden.llm import near_profiles as near_profiles_module
 from runwarden.llm.near_profiles import near_profiles
 from runwarden.llm.trial_leaks import WINDOW, leaked_trials, masks_of
 
@@ -121,6 +122,9 @@ def test_near_profiles_equal_brute_force(spark):
 def test_near_profiles_find_every_link(spark, monkeypatch, block):
     # Links that no list of neighbours leads to: few among many vectors, and one vector near very many.
     monkeypatch.setattr("runwarden.llm.near_profiles.BLOCK", block)
+    if block == 7:  # few nodes are audited, no recall is enough: the exact completion
+        monkeypatch.setattr("runwarden.llm.near_profiles.AUDIT_NODES", 50)
+        monkeypatch.setattr("runwarden.llm.near_profiles.AUDIT_RECALL", 1.01)
     rng = np.random.default_rng(4)
     vectors = [*rng.standard_normal((400, 16)), *(rng.standard_normal(16) + 0.33 * rng.standard_normal((150, 16)))]
     vectors += [v + 0.3 * rng.standard_normal(16) for v in vectors[:12]]
@@ -135,6 +139,24 @@ def test_near_profiles_find_every_link(spark, monkeypatch, block):
     assert [(got[i].n_links, got[i].component_id) for i in want] == [(near[i].sum(), want[i]) for i in want]
 
 
+def test_recall_of_the_descent_and_its_audit(spark):
+    """The neighbour graph alone, without what the audit adds, and what the audit makes of a poor one."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 16))
+    vectors = [centres[i % 40] + 0.25 * rng.standard_normal(16) for i in range(800)]
+    rows = [(i, i % 2, i, 0.0, v.tolist()) for i, v in enumerate(vectors)]
+    nodes = spark.createDataFrame(rows, "node bigint, part bigint, vector_key bigint, radius double, vector array<double>")
+    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (np.arange(800)[:, None] % 2 == np.arange(800) % 2)
+    true = {(a, b) for a, b in zip(*np.nonzero(near)) if a < b}
+    angle = float(np.arccos(0.93))
+    pairs = near_profiles_module._descend(nodes, 800, angle)
+    found = {(r.a, r.b) for r in pairs.collect()}
+    assert len(true) > 1000 and found <= true and len(found) >= 0.95 * len(true)
+    extra, low = near_profiles_module._audit(nodes, 800, pairs.where("a % 4 > 1"), angle)
+    assert sorted(low) == [0, 1] and {(r.a, r.b) for r in extra.collect()} == true
+
+
 def test_near_profiles_of_nothing(spark):
     assert near_profiles(spark.createDataFrame([], "profile_id bigint, image_digest int, vector array<float>")).count() == 0
 
