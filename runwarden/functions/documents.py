@@ -2,63 +2,79 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runwarden import config
+from runwarden.session import materialize
 
-LEAF = "array<struct<path:string,parents:array<string>,value:string,is_key:boolean,is_text:boolean,hidden:boolean>>"
+#: Bookkeeping fields of a captured node, which is a node with a status.
+BOOKKEEPING = ("status", "reason")
 
 
-def _leaves(document: Column) -> Column:
-    """Object keys and scalar leaves of each document with their paths.
+def _text(value: Column) -> Column:
+    """A string as it is, any other value as JSON."""
+    return F.when(_is_text(value), F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
 
-    ``hidden`` marks the bookkeeping fields of a captured node (a node with a status)
-    and, with value ``unavailable``, a node that could not be captured.
-    """
 
-    @F.pandas_udf(LEAF)
-    def leaves(documents: pd.Series) -> pd.Series:
-        import json
-
-        names = ("path", "parents", "value", "is_key", "is_text", "hidden")
-
-        def walk(node, path, parents, out):
-            inner = [*parents, path]
-            if isinstance(node, dict):
-                captured = "status" in node
-                if captured and node["status"] == "unavailable":
-                    out.append((path, parents, "unavailable", False, False, True))
-                for key, child in node.items():
-                    where = f"{path}.{key}"
-                    out.append((where, inner, str(key), True, True, True))
-                    if captured and key in ("status", "reason"):
-                        text = child if isinstance(child, str) else json.dumps(child)
-                        out.append((where, inner, text, False, isinstance(child, str), True))
-                    else:
-                        walk(child, where, inner, out)
-            elif isinstance(node, list):
-                for index, child in enumerate(node):
-                    walk(child, f"{path}[{index}]", inner, out)
-            else:
-                text = node if isinstance(node, str) else json.dumps(node)
-                out.append((path, parents, text, False, isinstance(node, str), False))
-
-        def listed(text):
-            out: list = []
-            if text is not None:
-                walk(json.loads(text), "$", [], out)
-            return [dict(zip(names, row)) for row in out]
-
-        return documents.map(listed)
-
-    return leaves(document)
+def _is_text(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
+
+
+def _row(path: Column, parents: Column, value: Column, is_key: bool, is_text: Column | bool, hidden: bool) -> list[Column]:
+    flags = {"is_key": is_key, "is_text": is_text, "hidden": hidden}
+    columns = [path.alias("path"), parents.alias("parents"), value.alias("value")]
+    return columns + [(c if isinstance(c, Column) else F.lit(c)).alias(n) for n, c in flags.items()]
 
 
 def json_walk(df: DataFrame, document: str, *keep: str) -> DataFrame:
-    """One row per key and scalar leaf of the JSON text in ``document``."""
-    return df.select(*keep, F.inline(_leaves(F.col(document))))
+    """One row per key and scalar leaf of the JSON text in ``document``.
+
+    Columns: ``keep``, ``path``, ``parents`` (paths above it), ``value``, ``is_key``, ``is_text`` and
+    ``hidden``, which marks keys, the bookkeeping fields of a captured node and, with value
+    ``unavailable``, a node that could not be captured.  Null and malformed documents have no rows.
+
+    Documents are parsed once and opened level by level as variants; a level is written to the
+    checkpoint folder because leaves and the next level come from it.  There are as many levels
+    as the deepest document has.
+    """
+    keep_columns = [F.col(f"_keep.{name}").alias(name) for name in keep]
+    kept = F.struct(*keep) if keep else F.lit(None)
+    level = df.select(
+        kept.alias("_keep"), F.lit("$").alias("path"), F.array().cast("array<string>").alias("parents"),
+        F.try_parse_json(F.col(document)).alias("node"),
+    ).where("node IS NOT NULL")
+    found = []
+    while True:
+        opened = level.withColumns(
+            {
+                "fields": F.try_variant_get("node", "$", "map<string,variant>"),
+                "items": F.try_variant_get("node", "$", "array<variant>"),
+            }
+        )
+        captured = F.map_contains_key("fields", F.lit("status"))
+        lost = captured & (F.try_variant_get(F.try_element_at("fields", F.lit("status")), "$", "string") == "unavailable")
+        node, path, parents = F.col("node"), F.col("path"), F.col("parents")
+        leaves = opened.where("fields IS NULL AND items IS NULL")
+        found.append(leaves.select(*keep_columns, *_row(path, parents, _text(node), False, _is_text(node), False)))
+        marks = opened.where(lost)
+        found.append(marks.select(*keep_columns, *_row(path, parents, F.lit("unavailable"), False, False, True)))
+        inner = F.concat("parents", F.array("path")).alias("parents")
+        named = opened.where("fields IS NOT NULL").select(
+            "_keep", "path", inner, captured.alias("captured"), F.explode("fields").alias("key", "node")
+        )
+        named = named.withColumn("path", F.concat("path", F.lit("."), "key"))
+        found.append(named.select(*keep_columns, *_row(path, parents, F.col("key"), True, True, True)))
+        book = F.col("captured") & F.col("key").isin(*BOOKKEEPING)
+        found.append(named.where(book).select(*keep_columns, *_row(path, parents, _text(node), False, _is_text(node), True)))
+        listed = opened.where("items IS NOT NULL").select("_keep", "path", inner, F.posexplode("items").alias("index", "node"))
+        listed = listed.withColumn("path", F.concat("path", F.lit("["), "index", F.lit("]")))
+        columns = ["_keep", "path", "parents", "node"]
+        level = materialize(named.where(~book).select(*columns).unionByName(listed.select(*columns)))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
 def secret_findings(df: DataFrame, document: str, *keep: str) -> DataFrame:
@@ -79,7 +95,7 @@ def document_diff(left: DataFrame, right: DataFrame, document: str, key: str) ->
 
     Nodes that either side could not capture are skipped with everything below them.
     """
-    a, b = json_walk(left, document, key), json_walk(right, document, key)
+    a, b = (materialize(json_walk(side, document, key)) for side in (left, right))
     lost = a.where("hidden AND value = 'unavailable' AND NOT is_key AND NOT is_text").unionByName(
         b.where("hidden AND value = 'unavailable' AND NOT is_key AND NOT is_text")
     )
