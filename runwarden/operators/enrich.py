@@ -108,7 +108,8 @@ def apply_identity(events: DataFrame) -> DataFrame:
 # --- parent correlation ------------------------------------------------------------------
 
 
-def _tier(kind: str, *parts: Column) -> Column:
+def scope_tier(kind: str, *parts: Column) -> Column:
+    """Name of a scope in which a parent is looked for."""
     return F.concat_ws("|", F.lit(kind), *parts)
 
 
@@ -128,16 +129,16 @@ def correlate_parent(
     has_host = F.length(F.coalesce("docker_host_id", F.lit(""))) > 0
     has_container = F.length(F.coalesce("container_id", F.lit(""))) > 0
     host, container = F.col("docker_host_id"), F.col("container_id")
-    both = _tier("hc", host, container)
+    both = scope_tier("hc", host, container)
     columns = ["event_id", "time_nano", "occurred_at"]
     ident = F.struct(F.col("time_nano").alias("t"), F.col("event_id").alias("id"))
 
     probes = execs.where(F.col("process_ppid") > 0).select(
         *columns,
         F.when(has_host & has_container, both)
-        .when(has_host, _tier("h", host))
-        .when(has_container, _tier("c", container))
-        .otherwise(_tier("s", F.col("sensor_instance_id")))
+        .when(has_host, scope_tier("h", host))
+        .when(has_container, scope_tier("c", container))
+        .otherwise(scope_tier("s", F.col("sensor_instance_id")))
         .alias("scope"),
         F.col("process_ppid").alias("pid"),
         F.lit(1).alias("kind"),
@@ -157,9 +158,9 @@ def correlate_parent(
     # Probes without host or container are rare; only keys they ask for are offered.
     partial = F.array_compact(
         F.array(
-            F.when(has_host, _tier("h", host)),
-            F.when(has_container, _tier("c", container)),
-            F.when(F.length("sensor_instance_id") > 0, _tier("s", F.col("sensor_instance_id"))),
+            F.when(has_host, scope_tier("h", host)),
+            F.when(has_container, scope_tier("c", container)),
+            F.when(F.length("sensor_instance_id") > 0, scope_tier("s", F.col("sensor_instance_id"))),
         )
     )
     asked = probes.where(~F.col("scope").startswith("hc|")).select("scope", "pid").distinct()

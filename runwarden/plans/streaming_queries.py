@@ -16,7 +16,8 @@ from runwarden.plans.registry import ORACLE, query
 from runwarden.plans.views import CUT_US, DAY_US, END_US, Tables, duck_prefix
 from runwarden.session import ensure_checkpoint_dir
 from runwarden.sources import readers, sinks
-from runwarden.streaming import pipelines, window_log
+from runwarden.sources.line_source import SensorLineSource
+from runwarden.streaming import parent_links, pipelines, window_log
 
 
 def folder(t: Tables) -> str:
@@ -79,11 +80,32 @@ def dead_letter_stream(t: Tables) -> DataFrame:
     return stored.groupBy("error_class").agg(F.count(F.lit(1)).alias("letters"), kinds)
 
 
-@query("src1_read_sensor_jsonl", duck_prefix("ex") + " SELECT count(*) AS lines FROM ex")
+@query(
+    "src1_read_sensor_jsonl",
+    duck_prefix("ex") + "," + LINES_SQL + """ SELECT CASE WHEN NOT broken THEN n END AS event_number,
+      CASE WHEN NOT broken THEN coalesce(process_name, '<NA>') END AS process_name,
+      CASE WHEN NOT broken THEN command_line END AS command_line FROM ln""",
+)
 def read_sensor_jsonl(t: Tables) -> DataFrame:
+    """All lines through the resumable source in two runs; the second one starts where the first one ended."""
     where = folder(t)
-    sensor_lines(t).select("raw").repartition(4).write.text(f"{where}/in")
-    return readers.sensor_lines(t.spark, f"{where}/in").agg(F.count(F.lit(1)).alias("lines"))
+    t.spark.dataSource.register(SensorLineSource)
+    # The source reads mounted files.
+    mounted = where.removeprefix("file://").removeprefix("file:")
+    rows = sensor_lines(t)
+    for part in range(2):
+        rows.where(F.col("n") % 2 == part).select("raw").repartition(2).write.mode("append").text(f"{where}/in")
+        lines = t.spark.readStream.format("sensor_lines").option("path", f"{mounted}/in/part-*").load()
+        writer = lines.writeStream.format("parquet").option("path", f"{where}/lines").option("checkpointLocation", f"{where}/ck")
+        run = writer.start()
+        run.processAllAvailable()
+        run.stop()
+    parsed = t.spark.read.schema("raw string").parquet(f"{where}/lines").select(F.try_parse_json("raw").alias("v"))
+    field = lambda name: F.try_variant_get("v", f"$.output_fields['{name}']", "string")
+    return parsed.select(
+        field("evt.num").cast("bigint").alias("event_number"), field("proc.name").alias("process_name"),
+        field("proc.cmdline").alias("command_line"),
+    )
 
 
 @query(
@@ -221,12 +243,11 @@ def score_stream(t: Tables) -> DataFrame:
     duck_prefix("ex") + "," + PARENT_SQL + """ SELECT event_id, parent_event_id FROM ex LEFT JOIN par USING (event_id) WHERE process_ppid > 0""",
 )
 def parent_stream(t: Tables) -> DataFrame:
+    """Links of a stream in which a third of the events comes last."""
     where = folder(t)
-    execs = t.execs_of(t.base_of(slices(t, where)))
-    pipelines.parent_stream(
-        execs, f"{where}/history", f"{where}/links", f"{where}/ck", LOOKBACK
-    ).awaitTermination()
-    return t.spark.read.parquet(f"{where}/links").select("event_id", "parent_event_id")
+    execs = t.execs_of(t.base_of(late_slices(t, where)))
+    parent_links.parent_stream(execs, f"{where}/links", f"{where}/ck", LOOKBACK, "40 days").awaitTermination()
+    return parent_links.latest_links(t.spark.read.parquet(f"{where}/links"))
 
 
 @query(

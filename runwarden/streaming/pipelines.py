@@ -53,36 +53,6 @@ def normalise_stream(
 # --- joins with history ------------------------------------------------------------------
 
 
-def parent_stream(
-    execs: DataFrame, history: str, links: str, checkpoint: str, lookback_seconds: int = config.PARENT_LOOKBACK_SECONDS
-) -> StreamingQuery:
-    """Parent links of each batch against itself and the look-back slice of the history."""
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = [
-            "event_id", "sensor_instance_id", "docker_host_id", "container_id", "process_pid",
-            "process_ppid", "time_nano", "occurred_at",
-        ]
-        fresh = batch.select(*columns)
-        earliest = fresh.agg(F.min("time_nano")).first()[0]
-        if earliest is None:
-            return
-        candidates = fresh
-        if sinks.exists(spark, history):
-            slice_ = spark.read.parquet(history).where(
-                F.col("time_nano") >= earliest - lookback_seconds * 1_000_000_000
-            )
-            old = slice_.join(fresh.select("event_id"), "event_id", "left_anti")
-            candidates = fresh.unionByName(old.withColumn("process_ppid", F.lit(None).cast("bigint")))
-        found = enrich.correlate_parent(candidates, lookback_seconds)
-        found = found.join(fresh.select("event_id", "time_nano"), "event_id")
-        sinks.append_new(found, links, time="time_nano")
-        sinks.append_new(fresh, history, time="time_nano")
-
-    return start(execs, each, checkpoint)
-
-
 def shell_then_tool_stream(
     shells: DataFrame, tools: DataFrame, seconds: int = config.CORRELATION_SECONDS, lateness: str = LATENESS
 ) -> DataFrame:

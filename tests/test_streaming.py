@@ -1,11 +1,12 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from runwarden.operators import enrich, profile
 from runwarden.sources import readers
-from runwarden.streaming import pipelines, window_log
+from runwarden.streaming import parent_links, pipelines, window_log
 
 NOW = datetime(2026, 7, 21, 12, 0)
 
@@ -30,12 +31,44 @@ def test_parents_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
         nanos = int((at - datetime(1970, 1, 1)).total_seconds()) * 1_000_000_000
         rows.append((f"e{i:02}", "s", "h", f"c{i % 2}", i % 4, (i + 2) % 5, nanos, at))
     where = str(tmp_path)
-    stream = files(spark, rows, schema, f"{where}/in", 3)
-    pipelines.parent_stream(stream, f"{where}/h", f"{where}/l", f"{where}/ck").awaitTermination()
-    got = spark.read.parquet(f"{where}/l").select("event_id", "parent_event_id").collect()
+    mixed = rows + rows[:4]
+    random.Random(6).shuffle(mixed)
+    stream = files(spark, mixed, schema, f"{where}/in", 3)
+    parent_links.parent_stream(stream, f"{where}/l", f"{where}/ck").awaitTermination()
+    written = spark.read.parquet(f"{where}/l")
     want = enrich.correlate_parent(spark.createDataFrame(rows, schema)).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
-    assert any(r.parent_event_id for r in got)
+    assert sorted(map(tuple, parent_links.latest_links(written).collect()), key=str) == sorted(map(tuple, want), key=str)
+    assert any(r.parent_event_id for r in want) and written.count() > len(want)
+
+
+class _Handle:
+    """State and timers of one key, as the processor sees them."""
+
+    def __init__(self):
+        self.rows, self.timers, self.watermark = [], [], 0
+        self.get, self.put, self.clear = lambda: iter(self.rows), lambda r: setattr(self, "rows", r), lambda: setattr(self, "rows", [])
+        self.exists = lambda: bool(self.rows)
+        self.listTimers, self.deleteTimer, self.registerTimer = lambda: iter(list(self.timers)), self.timers.remove, self.timers.append
+        self.getCurrentWatermarkInMs = lambda: self.watermark
+
+    def getListState(self, name, schema):
+        return self
+
+
+def test_state_of_a_pid_is_bounded_by_the_look_back():
+    handle, links = _Handle(), parent_links.ParentLinks(60)
+    links.init(handle)
+    row = lambda at, kind, name: Row(time_nano=at * 1_000_000_000, kind=kind, event_id=name)
+    sizes, answers = [], {}
+    for at in range(0, 6000, 10):
+        handle.watermark = max(at - 30, 0) * 1000
+        for out in links.handleInputRows(("s", 1), iter([row(at, 0, f"c{at}"), row(at + 1, 1, f"p{at}")]), handle):
+            answers[out.event_id] = out.parent_event_id
+        sizes.append(len(handle.rows))
+    assert max(sizes) < 20 and answers == {f"p{at}": f"c{at}" for at in range(0, 6000, 10)} and len(handle.timers) == 1
+    handle.watermark = 10_000_000
+    list(links.handleExpiredTimer(("s", 1), handle, None))
+    assert handle.rows == []
 
 
 def test_identity_of_a_stream_ignores_arrival_order(spark, tmp_path):
