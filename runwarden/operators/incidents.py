@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from runwarden import config
 from runwarden.functions.hashing import sha256_fields
+from runwarden.operators.enrich import ancestor_chain
 from runwarden.operators.ordering import Ordered
 from runwarden.operators.rules import RUN, score_id
 from runwarden.session import materialize
@@ -130,10 +131,14 @@ def incident_containers(matches: DataFrame) -> DataFrame:
 
 
 def timeline(opened: DataFrame, matches: DataFrame, window_end: Column) -> DataFrame:
-    """Score row and active matches of each incident, numbered by (time, type, id)."""
+    """Score row and active matches of each incident, numbered by (time, type, id).
+
+    Evidence columns of the matches, where they have been added, come along.
+    """
     active = matches.where("suppressed_by IS NULL").join(opened.select(*RUN), RUN, "left_semi")
     columns = ["occurred_at", "source_type", "source_id", "rule_id"]
-    evidence = active.select(*RUN, *columns, F.col("category").alias("evidence_type"))
+    more = [c for c in (*EVIDENCE.values(), "process_chain", "elapsed_seconds") if c in matches.columns]
+    evidence = active.select(*RUN, *columns, F.col("category").alias("evidence_type"), *more)
     score = opened.select(
         *RUN,
         window_end.alias("occurred_at"),
@@ -142,7 +147,7 @@ def timeline(opened: DataFrame, matches: DataFrame, window_end: Column) -> DataF
         F.lit(None).cast("string").alias("rule_id"),
         F.lit("behavioural_distance").alias("evidence_type"),
     )
-    rows = evidence.unionByName(score).withColumn("_rule", F.coalesce("rule_id", F.lit("")))
+    rows = evidence.unionByName(score, allowMissingColumns=True).withColumn("_rule", F.coalesce("rule_id", F.lit("")))
     order = ["occurred_at", "source_type", "source_id", "_rule"]
     return Ordered(rows, RUN, order).number("sequence_no").rows.drop("_rule")
 
@@ -246,6 +251,45 @@ def new_alerts(opened: DataFrame, notified: DataFrame, minimum: str) -> DataFram
     return rows.join(notified.select("incident_id").distinct(), "incident_id", "left_anti")
 
 
+#: Fields of an execution that stand behind a match, by the names they have there.
+EVIDENCE = {
+    "process_name": "process_name",
+    "executable": "raw_executable",
+    "parent_name": "parent_name",
+    "parent_executable": "raw_parent_executable",
+    "user_uid": "user_uid",
+    "command_line": "command_line",
+    "parent_event_id": "parent_event_id",
+}
+
+
+def subject_event() -> Column:
+    """Event that a match is about: its own, or the tool of a shell-then-tool pair."""
+    own = F.when(F.col("source_type") == "process_event", F.col("source_id"))
+    return F.coalesce("tool_event_id", own)
+
+
+def match_evidence(matches: DataFrame, execs: DataFrame) -> DataFrame:
+    """Matches with what their event looked like, as reported, and the chain of processes above it.
+
+    ``execs`` has ``parent_event_id``.  Adds the columns of ``EVIDENCE`` and ``process_chain``: event
+    ids from the event itself to its root, inside the run.  Only events that matches are
+    about meet the matches; chains are built in runs with matches.  Matches about
+    scores and lifecycle events have nulls.
+    """
+    asked = matches.withColumn("_subject", subject_event())
+    wanted = materialize(asked.where("_subject IS NOT NULL").select(*RUN, F.col("_subject").alias("event_id")).distinct())
+    inside = execs.join(wanted.select(*RUN).distinct(), RUN, "left_semi")
+    chains = ancestor_chain(inside, RUN, node=F.struct(F.col("event_id").alias("event_id")))
+    found = inside.join(wanted, [*RUN, "event_id"], "left_semi").join(chains, [*RUN, "event_id"], "left")
+    above = F.coalesce(F.col("ancestors.event_id"), F.array().cast("array<string>"))
+    fields = [F.col(name).alias(alias) for name, alias in EVIDENCE.items()]
+    found = found.select(
+        *RUN, F.col("event_id").alias("_subject"), *fields, F.concat(F.array("event_id"), above).alias("process_chain")
+    )
+    return asked.join(found, [*RUN, "_subject"], "left").drop("_subject")
+
+
 def evidence_bundle(
     opened: DataFrame, scores: DataFrame, lines: DataFrame, rule_texts: DataFrame
 ) -> DataFrame:

@@ -46,6 +46,7 @@ MATCH_TYPES = {
     "parent_executable": "string",
     "shell_event_id": "string",
     "tool_event_id": "string",
+    "elapsed_seconds": "double",
 }
 
 
@@ -224,6 +225,7 @@ def shell_then_tool(unseen: DataFrame, seconds: int = config.CORRELATION_SECONDS
         container_id=F.col("container_id"),
         shell_event_id=F.col("shell_event_id"),
         tool_event_id=F.col("tool_event_id"),
+        elapsed_seconds=F.col("elapsed_seconds"),
     )
 
 

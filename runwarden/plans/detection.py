@@ -52,10 +52,14 @@ class Detection:
         """Executions of programs the baseline does not know; few, and read by three rules."""
         return rules.unseen_table(self.execs, self.behaviour.baseline)
 
+    @cached_property
+    def linked(self) -> DataFrame:
+        """Scored executions with their parents."""
+        return materialize(enrich.with_parent(self.execs, self.lookback_seconds))
+
     @cached_property
     def custom_results(self) -> tuple[DataFrame, DataFrame]:
-        execs = enrich.with_parent(self.execs, self.lookback_seconds)
-        return custom_rules.custom_matches(self.custom, execs, self.lifecycle)
+        return custom_rules.custom_matches(self.custom, self.linked, self.lifecycle)
 
     @cached_property
     def raw_matches(self) -> DataFrame:
@@ -71,7 +75,8 @@ class Detection:
         if self.custom:
             extra = rules.only_scored(self.custom_results[0], self.scores)
             found = found.unionByName(extra)
-        return rules.deduplicate(found)
+        # Allowlists, runs and timelines read the matches several times.
+        return materialize(rules.deduplicate(found))
 
     @cached_property
     def matches(self) -> DataFrame:
@@ -90,6 +95,16 @@ class Detection:
     def containers(self) -> DataFrame:
         return incidents.incident_containers(self.matches)
 
+    @cached_property
+    def evidence(self) -> DataFrame:
+        """Matches of incidents with command line, user, raw names and process chain."""
+        opened = self.matches.join(self.incidents.select(*rules.RUN), rules.RUN, "left_semi")
+        return materialize(incidents.match_evidence(opened, self.linked))
+
+    @cached_property
+    def evidence_timeline(self) -> DataFrame:
+        return incidents.timeline(self.incidents, self.evidence, self.window_end)
+
     @cached_property
     def timeline(self) -> DataFrame:
         return incidents.timeline(self.incidents, self.matches, self.window_end)

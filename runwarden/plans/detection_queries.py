@@ -626,18 +626,42 @@ def new_alerts(t: Tables) -> DataFrame:
     return incidents.new_alerts(d.incidents, told, "high").select("incident_id", "severity_level")
 
 
+CHAINS = f"""
+pw AS (SELECT p.event_id, arg_max(q.event_id, (q.time_nano, q.event_id)) AS parent_event_id
+    FROM idn p JOIN idn q ON q.process_pid = p.process_ppid AND q.time_nano <= p.time_nano
+      AND q.us >= p.us - {LOOKBACK * 1_000_000} AND q.event_id <> p.event_id AND q.w >= 0
+      AND q.docker_host_id = p.docker_host_id AND q.container_id = p.container_id
+    WHERE p.process_ppid > 0 AND p.w >= 0 GROUP BY ALL),
+lw AS (SELECT idn.*, parent_event_id FROM idn LEFT JOIN pw USING (event_id) WHERE w >= 0),
+up AS (SELECT event_id, image_digest, w, event_id AS node, 0 AS depth FROM lw
+  UNION ALL SELECT u.event_id, u.image_digest, u.w, p.event_id, u.depth + 1 FROM up u
+    JOIN lw l ON l.event_id = u.node JOIN lw p ON p.event_id = l.parent_event_id
+      AND p.image_digest = u.image_digest AND p.w = u.w),
+chain AS (SELECT event_id, string_agg(node, '>' ORDER BY depth) AS process_chain FROM up GROUP BY 1),
+seen_as AS (SELECT x.image_digest, x.w, x.rule_id, x.source_type, x.source_id, elapsed, e.command_line, e.user_uid, e.executable AS raw_executable,
+    e.parent_event_id, process_chain
+  FROM (SELECT m2.*, pairs.elapsed, coalesce(m2.tool_id, CASE WHEN source_type = 'process_event' THEN source_id END) AS subject FROM m2
+    LEFT JOIN pairs USING (image_digest, w, shell_id, tool_id)) x
+  LEFT JOIN lw e ON e.event_id = subject AND e.image_digest = x.image_digest AND e.w = x.w
+  LEFT JOIN chain ON chain.event_id = subject)"""
+
+
 @query(
     "jn16_evidence_bundle",
-    full(ALLOW, RUNS, TIMELINE, select=f"""SELECT incident_id, sequence_no, source_id, tln.rule_id, name,
-      round(inc.total, 9) AS total_score, {BAND.format('inc.total')} AS score_band
-    FROM inc JOIN tln USING (image_digest, w) LEFT JOIN (VALUES """
+    recursive(full(ALLOW, RUNS, TIMELINE, CHAINS, select=f"""SELECT incident_id, sequence_no, source_id, tln.rule_id, name,
+      round(inc.total, 9) AS total_score, {BAND.format('inc.total')} AS score_band, command_line, cast(user_uid AS bigint) AS user_uid,
+      raw_executable, parent_event_id, elapsed AS elapsed_seconds, process_chain
+    FROM inc JOIN tln USING (image_digest, w) LEFT JOIN seen_as USING (image_digest, w, rule_id, source_type, source_id) LEFT JOIN (VALUES """
     + ", ".join(f"('{i}', '{n}')" for i, n in config.RULE_NAMES.items())
-    + ") names(rule_id, name) ON names.rule_id = tln.rule_id"),
+    + ") names(rule_id, name) ON names.rule_id = tln.rule_id")),
 )
 def evidence_bundle(t: Tables) -> DataFrame:
+    """Every line of every incident with what its event looked like."""
     d = detection(t)
     names = t.spark.createDataFrame(list(config.RULE_NAMES.items()), "rule_id string, name string")
-    out = incidents.evidence_bundle(d.incidents, d.scores, d.timeline, names)
+    out = incidents.evidence_bundle(d.incidents, d.scores, d.evidence_timeline, names)
     return out.select(
-        "incident_id", "sequence_no", "source_id", "rule_id", "name", r9("total_score"), "score_band"
-    )
+        "incident_id", "sequence_no", "source_id", "rule_id", "name", r9("total_score"), "score_band", "command_line",
+        F.col("user_uid").cast("bigint").alias("user_uid"), "raw_executable", "parent_event_id", "elapsed_seconds",
+        F.array_join("process_chain", ">").alias("process_chain"),
+    )

@@ -242,3 +242,20 @@ def test_bits_of_a_long_chain_a_loop_and_many_conditions(spark):
     assert all(got[str(i)] == (1, 0) for i in range(1, 9_999))
     last = 1 << (73 - 62)
     assert got["x"] == got["y"] == got["z"] == (4, last)
+
+
+def test_evidence_behind_matches(spark, baseline):
+    """Command line, user, raw names, chain and elapsed time of the event a match is about."""
+    shell = process("p-shell", 5, "/bin/sh", parent="/usr/bin/gunicorn", command="sh -c wget")
+    tool = process("p-tool", 20, "/usr/bin/wget", uid=7, up="p-shell", command="wget http://x")
+    events = execs(spark, shell, tool)
+    matches, _, _ = run(spark, baseline, events)
+    found = {(r.rule_id, r.source_id): r for r in incidents.match_evidence(matches, events).collect()}
+    assert len(found) == matches.count()
+    pair = found["DET-005", "p-shell:p-tool"]
+    assert pair.elapsed_seconds == 15.0 and pair.command_line == "wget http://x" and pair.process_chain == ["p-tool", "p-shell"]
+    new = found["DET-004", "p-tool"]
+    assert (new.raw_executable, new.user_uid, new.parent_event_id) == ("/usr/bin/wget", 7, "p-shell")
+    assert found["DET-002", "p-shell"].raw_parent_executable == "/usr/bin/gunicorn"
+    score = found["DET-001", "img:0"]
+    assert score.command_line is None and score.process_chain is None
