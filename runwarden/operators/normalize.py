@@ -351,10 +351,13 @@ def reduce_snapshot(column: str) -> Column:
     """Fields of an inspection that are kept; environment variables are not among them."""
     at = lambda path: F.col(f"{column}.{path}")
 
-    def pick(names: dict[str, str]) -> Column:
-        return F.struct(*[at(source).alias(name) for name, source in names.items()])
+    def pick(names: dict[str, str], **filled: Column) -> Column:
+        """Fields by their source path; those in ``filled`` have this value where they are absent."""
+        values = {name: F.coalesce(at(source), filled[name]) if name in filled else at(source) for name, source in names.items()}
+        return F.struct(*[value.alias(name) for name, value in values.items()])
 
     empty = F.array().cast("array<string>")
+    no_devices = F.array().cast("array<struct<PathInContainer:string,CgroupPermissions:string>>")
     digests = F.coalesce(at("ImageDetails.RepoDigests"), empty)
     digest = primary_digest(at("Config.Image"), digests)
     inspected = at("ImageDetails").isNotNull()
@@ -383,7 +386,8 @@ def reduce_snapshot(column: str) -> Column:
                 "image": "Config.Image", "hostname": "Config.Hostname", "user": "Config.User",
                 "working_dir": "Config.WorkingDir", "entrypoint": "Config.Entrypoint",
                 "command": "Config.Cmd", "labels": "Config.Labels",
-            }
+            },
+            labels=F.create_map().cast("map<string,string>"),
         ).alias("config"),
         pick(
             {
@@ -393,7 +397,8 @@ def reduce_snapshot(column: str) -> Column:
                 "userns_mode": "HostConfig.UsernsMode", "cap_add": "HostConfig.CapAdd",
                 "cap_drop": "HostConfig.CapDrop", "security_opt": "HostConfig.SecurityOpt",
                 "devices": "HostConfig.Devices", "port_bindings": "HostConfig.PortBindings",
-            }
+            },
+            cap_add=empty, cap_drop=empty, security_opt=empty, devices=no_devices,
         ).alias("host_config"),
         F.struct(at("NetworkSettings.Ports").alias("ports")).alias("network_settings"),
         F.transform_values(
@@ -420,6 +425,7 @@ def reduce_snapshot(column: str) -> Column:
             status.alias("digest_status"),
             at("ImageDetails.Os").alias("os"),
             at("ImageDetails.Architecture").alias("architecture"),
+            at("ImageDetails.Created").alias("created"),
         ).alias("image"),
     )
 

@@ -53,14 +53,22 @@ def system_counts(tables: Mapping[str, tuple[DataFrame, Mapping[str, Column]]])
     return union_all(parts)
 
 
-def feed_freshness(events: DataFrame, keys: list[str], as_of: Column, threshold_seconds: int) -> DataFrame:
-    """live, stale or none per key, from the age of its newest event at ``as_of``."""
+def feed_freshness(known: DataFrame, events: DataFrame, keys: list[str], as_of: Column, threshold_seconds: int) -> DataFrame:
+    """State of every known feed at ``as_of``, with the age of its newest event.
+
+    known: keys, ``reachable``.  ``live`` is a feed with an event within the threshold, ``stale`` one
+    whose newest event is older, ``none`` one without any event; of a feed that cannot be asked
+    nothing is known, so its state is ``unknown`` and its age null.
+    """
     newest = events.groupBy(*keys).agg(F.max("occurred_at").alias("newest"))
-    age = (F.unix_micros(as_of) - F.unix_micros("newest")) / 1e6
+    age = F.when(F.col("reachable"), (F.unix_micros(as_of) - F.unix_micros("newest")) / 1e6)
     state = (
-        F.when(F.col("newest").isNull(), "none").when(age <= threshold_seconds, "live").otherwise("stale")
+        F.when(~F.coalesce("reachable", F.lit(False)), "unknown")
+        .when(F.col("newest").isNull(), "none")
+        .when(age <= threshold_seconds, "live")
+        .otherwise("stale")
     )
-    return newest.select(*keys, age.alias("age_seconds"), state.alias("state"))
+    return known.join(newest, keys, "left").select(*keys, age.alias("age_seconds"), state.alias("state"))
 
 
 def service_freshness(heartbeats: DataFrame, as_of: Column) -> DataFrame:

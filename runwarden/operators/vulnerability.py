@@ -253,6 +253,15 @@ def exploited_only(findings: DataFrame, intel: DataFrame) -> DataFrame:
 # --- exposure ----------------------------------------------------------------------------
 
 
+def published_ports(*bindings: Column) -> Column:
+    """Sorted names of the ports that have a binding on the host, such as ``443/tcp``."""
+    bound = [
+        F.transform(F.filter(F.map_entries(b), lambda e: F.coalesce(F.size(e["value"]) > 0, F.lit(False))), lambda e: e["key"])
+        for b in bindings
+    ]
+    return F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.array(*bound)))))
+
+
 def has_published_ports(*bindings: Column) -> Column:
     """Some port of some binding map has a non-empty binding."""
     hits = [
@@ -433,13 +442,15 @@ def container_dossier(
     scores: DataFrame,
     findings: DataFrame,
     matches: DataFrame,
+    ports: DataFrame,
     events: int = 50,
     cves: int = 15,
 ) -> DataFrame:
     """What an auditor gets to see of each container, as (container_id, section, rank, item).
 
     Latest executions, latest score, worst CVEs of the image, sensor rules of the listed
-    executions and detection rules that matched, each under its own section name.
+    executions, detection rules that matched and published ports (``ports``: container_id, port),
+    each under its own section name.
     """
 
     def section(rows: DataFrame, name: str, rank: Column, item: Column) -> DataFrame:
@@ -468,9 +479,11 @@ def container_dossier(
     rules = matches.select("container_id", "rule_id").distinct().join(
         held.select("container_id"), "container_id", "left_semi"
     )
+    open_ports = ports.select("container_id", "port").distinct().join(held.select("container_id"), "container_id", "left_semi")
     one = F.lit(1)
     return (
-        section(latest, "execution", F.col("rank"), F.col("event_id"))
+        section(open_ports, "published_port", one, F.col("port"))
+        .unionByName(section(latest, "execution", F.col("rank"), F.col("event_id")))
         .unionByName(section(sensor, "sensor_rule", one, F.col("rule_name")))
         .unionByName(section(rules, "detection_rule", one, F.col("rule_id")))
         .unionByName(

@@ -14,7 +14,7 @@ from runwarden.plans.enrich_queries import FOLD, LOOKBACK, PARENT_SQL, STATUS_FO
 from runwarden.plans.ingest_queries import HOST, LINES_SQL, RULE, SENSOR, sensor_lines
 from runwarden.plans.registry import ORACLE, query
 from runwarden.plans.views import CUT_US, DAY_US, END_US, Tables, duck_prefix
-from runwarden.session import ensure_checkpoint_dir
+from runwarden.session import ensure_checkpoint_dir, materialize
 from runwarden.sources import readers, sinks
 from runwarden.sources.line_source import SensorLineSource
 from runwarden.streaming import parent_links, pipelines, window_log
@@ -137,13 +137,17 @@ def read_trials(t: Tables) -> DataFrame:
       FROM ex GROUP BY 1""",
 )
 def write_summary(t: Tables) -> DataFrame:
-    """A summary written as sorted CSV and read back as text."""
+    """A summary written as sorted CSV and as JSON lines; both are read back and must agree."""
     where = folder(t)
-    rows = t.execs.groupBy("container_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("process_name").alias("names")
+    rows = materialize(
+        t.execs.groupBy("container_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("process_name").alias("names"))
     )
-    sinks.write_summary(rows, f"{where}/csv", ["container_id", "n", "names"], ["container_id"])
-    return t.spark.read.option("header", True).csv(f"{where}/csv")
+    columns = ["container_id", "n", "names"]
+    sinks.write_summary(rows, f"{where}/csv", columns, ["container_id"])
+    sinks.write_summary(rows, f"{where}/json", columns, ["container_id"], kind="json")
+    table = t.spark.read.option("header", True).csv(f"{where}/csv")
+    lines = t.spark.read.schema("container_id string, n string, names string").json(f"{where}/json")
+    return table.intersectAll(lines)
 
 
 @query("snk3_integrity_manifest")

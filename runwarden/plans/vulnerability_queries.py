@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runwarden import schemas
-from runwarden.functions.frames import computed_once
-from runwarden.operators import enrich, rules, summaries
+from runwarden.operators import enrich, incidents, rules, summaries
 from runwarden.operators import vulnerability as vuln
 from runwarden.plans.behaviour_queries import DISTANCES, NUMBERS, SCORES, TOKENS, behaviour, check, r9
+from runwarden.plans.detection_queries import ALLOW, RUNS, allowlists, detection, full, live_allowlists
 from runwarden.plans.enrich_queries import LOOKBACK, PARENT_SQL, REPORTED_SQL, inventory, reported
 from runwarden.plans.registry import query
-from runwarden.plans.views import CUT_US, DAY_US, END_US, Tables, duck_prefix
+from runwarden.plans.views import CUT_US, DAY_US, DUCK, END_US, Tables, duck_prefix, finding_sql, intel_sql, trial_sql
+from runwarden.session import ensure_checkpoint_dir
+from runwarden.sources import readers, sinks
 
 
 def text(c: F.Column) -> F.Column:
@@ -81,8 +85,11 @@ def report_documents(t: Tables) -> DataFrame:
 
 
 def parse(df: DataFrame, schema: str) -> DataFrame:
-    parsed = computed_once(df, _d=F.from_json("document", schema))
-    return parsed.select(*[c for c in df.columns if c != "document"], "_d.*")
+    """Documents written to files and read back, with the columns that name them."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/documents/{uuid.uuid4().hex}"
+    sinks.store_documents(df, folder)
+    ids = ", ".join(f"`{n}` {k}" for n, k in df.dtypes if n != "document")
+    return readers.stored_documents(df.sparkSession, folder, ids, schema)
 
 
 def reports(t: Tables) -> DataFrame:
@@ -192,13 +199,18 @@ def exposure_stage(t: Tables) -> DataFrame:
     duck_prefix("lc") + """ SELECT event_id, (k % 4 = 0 AND k % 3 > 0) OR k % 5 = 0 AS published FROM lc""",
 )
 def published_ports(t: Tables) -> DataFrame:
+    return t.lifecycle.select("event_id", vuln.has_published_ports(*_bindings(t)).alias("published"))
+
+
+def _bindings(t: Tables) -> tuple[F.Column, F.Column]:
+    """Port bindings and ports in use of a container, as inspections have them."""
     k = F.col("k")
     binding = F.array(F.struct(F.lit("0.0.0.0").alias("HostIp"), F.lit("80").alias("HostPort")))
     none = F.slice(binding, 1, 0)
     bindings = F.when(k % 4 == 0, F.create_map(F.lit("80/tcp"), F.when(k % 3 > 0, binding).otherwise(none)))
     ports = F.when(k % 2 == 0, F.create_map(F.lit("1/tcp"), F.lit(None).cast(t.spark.range(1).select(binding).schema[0].dataType)))
     ports = F.when(k % 5 == 0, F.create_map(F.lit("443/tcp"), binding)).otherwise(ports)
-    return t.lifecycle.select("event_id", vuln.has_published_ports(bindings, ports).alias("published"))
+    return bindings, ports
 
 
 @query("agg16_evidence_funnel", stage_check("""SELECT image_digest, count(*) AS package_present,
@@ -471,7 +483,10 @@ def scan_detail(t: Tables) -> DataFrame:
       FROM lcw WHERE w >= 0 AND event_type = 'container' AND (action LIKE 'exec%' OR privileged)
         AND container_id IN (SELECT container_id FROM hd)
     UNION ALL SELECT container_id, 'score', 1, printf('%.6f', round(total, 12)) FROM hd JOIN ns USING (image_digest)
-    UNION ALL SELECT container_id, 'cve', rank, cve_id FROM hd JOIN wc USING (image_digest)""",
+    UNION ALL SELECT container_id, 'cve', rank, cve_id FROM hd JOIN wc USING (image_digest)
+    UNION ALL SELECT DISTINCT container_id, 'published_port', 1, port FROM (
+      SELECT container_id, '80/tcp' AS port FROM lc WHERE k % 4 = 0 AND k % 3 > 0
+      UNION ALL SELECT container_id, '443/tcp' FROM lc WHERE k % 5 = 0) WHERE container_id IN (SELECT container_id FROM hd)""",
 )
 def container_dossier(t: Tables) -> DataFrame:
     b = behaviour(t)
@@ -479,7 +494,8 @@ def container_dossier(t: Tables) -> DataFrame:
     lifecycle = b.lifecycle.where("w >= 0")
     matches = rules.exec_activity(lifecycle).unionByName(rules.privileged_start(lifecycle))
     held = t.execs.select("container_id", "image_digest").distinct()
-    return vuln.container_dossier(held, execs, b.scores(), t.findings, matches, events=20)
+    ports = t.lifecycle.select("container_id", F.explode(vuln.published_ports(*_bindings(t))).alias("port"))
+    return vuln.container_dossier(held, execs, b.scores(), t.findings, matches, ports, events=20)
 
 
 # --- table summaries ---------------------------------------------------------------------
@@ -523,41 +539,92 @@ def top_names(t: Tables) -> DataFrame:
     return summaries.top_names(t.execs, "executable")
 
 
+SYSTEM_SQL = """
+  rec AS (SELECT inc.incident_id, c.container_id FROM inc LEFT JOIN (SELECT DISTINCT image_digest, w, container_id FROM m2
+    WHERE by_id IS NULL AND container_id IS NOT NULL) c USING (image_digest, w)),
+  beat AS (SELECT DISTINCT event_type, user_id % 50 AS i FROM events)"""
+
+
 @query(
     "agg13_system_counts",
-    duck_prefix("ex", "lc", "finding", "intel", "trial") + """ SELECT 'process_exec_events' AS name, count(*) AS n FROM ex
+    full(ALLOW, RUNS, SYSTEM_SQL, f"finding AS ({finding_sql(DUCK)})", f"intel AS ({intel_sql(DUCK)})", f"trial AS ({trial_sql(DUCK, 'base')})",
+         select="""SELECT 'process_exec_events' AS name, count(*) AS n FROM ex
     UNION ALL SELECT 'root_exec_events', count(*) FILTER (user_uid = 0) FROM ex
     UNION ALL SELECT 'runtime_events', count(*) FROM lc
     UNION ALL SELECT 'resolved_runtime_events', count(*) FILTER (image_digest_status = 'resolved') FROM lc
+    UNION ALL SELECT 'registered_services', count(*) FROM beat
+    UNION ALL SELECT 'known_containers', count(DISTINCT container_id) FROM lc
+    UNION ALL SELECT 'known_images', count(DISTINCT image_digest) FROM lc
+    UNION ALL SELECT 'behavior_profiles', count(DISTINCT image_digest) FROM base_tok
+    UNION ALL SELECT 'anomaly_scores', count(*) FROM sc
+    UNION ALL SELECT 'scored_anomaly_scores', count(*) FILTER (exec_count > 0) FROM sc
+    UNION ALL SELECT 'insufficient_anomaly_scores', count(*) FILTER (exec_count = 0) FROM sc
+    UNION ALL SELECT 'detection_allowlists', count(*) FROM al
+    UNION ALL SELECT 'active_detection_allowlists', count(*) FROM live
+    UNION ALL SELECT 'detection_runs', count(*) FROM runs
+    UNION ALL SELECT 'runs_with_incident', count(*) FILTER (run_status = 'incident_created') FROM runs
+    UNION ALL SELECT 'incidents', count(*) FROM inc
+    UNION ALL SELECT 'open_incidents', count(*) FROM inc
+    UNION ALL SELECT 'response_recommendations', count(*) FROM rec
+    UNION ALL SELECT 'response_recommendations_with_target', count(container_id) FROM rec
+    UNION ALL SELECT 'image_scans', count(*) FROM orders
+    UNION ALL SELECT 'completed_image_scans', count(*) FILTER (o_orderstatus = 'F') FROM orders
+    UNION ALL SELECT 'sbom_artifacts', count(DISTINCT l_orderkey) FROM lineitem
     UNION ALL SELECT 'vulnerability_findings', count(*) FROM finding
     UNION ALL SELECT 'fixable_findings', count(*) FILTER (fixed_version IS NOT NULL) FROM finding
     UNION ALL SELECT 'kev_findings', count(*) FROM finding JOIN intel USING (cve_id) WHERE kev
     UNION ALL SELECT 'trials', count(*) FROM trial
-    UNION ALL SELECT 'completed_trials', count(*) FILTER (status = 'completed') FROM trial""",
+    UNION ALL SELECT 'completed_trials', count(*) FILTER (status = 'completed') FROM trial"""),
 )
 def system_counts(t: Tables) -> DataFrame:
+    """Sizes of all tables of the engine and of their subsets that an overview shows."""
+    d, lifecycle, orders = detection(t), t.lifecycle, t.raw("orders")
+    services = t.raw("events").select("event_type", F.col("user_id") % 50).distinct()
+    recommended = incidents.recommend(d.incidents, d.containers)
+    scored = {
+        "scored_anomaly_scores": F.col("status") == "scored",
+        "insufficient_anomaly_scores": F.col("status") == "insufficient_data",
+    }
     return summaries.system_counts(
         {
             "process_exec_events": (t.execs, {"root_exec_events": F.col("user_uid") == 0}),
-            "runtime_events": (
-                t.lifecycle,
-                {"resolved_runtime_events": F.col("image_digest_status") == "resolved"},
+            "runtime_events": (lifecycle, {"resolved_runtime_events": F.col("image_digest_status") == "resolved"}),
+            "registered_services": (services, {}),
+            "known_containers": (lifecycle.select("container_id").where("container_id IS NOT NULL").distinct(), {}),
+            "known_images": (lifecycle.select("image_digest").where("image_digest IS NOT NULL").distinct(), {}),
+            "behavior_profiles": (d.behaviour.baseline.select("image_digest").distinct(), {}),
+            "anomaly_scores": (d.scores, scored),
+            "detection_allowlists": (allowlists(t), {}),
+            "active_detection_allowlists": (live_allowlists(t), {}),
+            "detection_runs": (d.runs, {"runs_with_incident": F.col("run_status") == "incident_created"}),
+            "incidents": (d.incidents, {"open_incidents": F.col("status") == "open"}),
+            "response_recommendations": (
+                recommended, {"response_recommendations_with_target": F.col("container_id").isNotNull()},
             ),
+            "image_scans": (orders, {"completed_image_scans": F.col("o_orderstatus") == "F"}),
+            "sbom_artifacts": (t.raw("lineitem").select("l_orderkey").distinct(), {}),
             "vulnerability_findings": (t.findings, {"fixable_findings": F.col("fixed_version").isNotNull()}),
             "kev_findings": (vuln.exploited_only(t.findings, t.intel), {}),
             "trials": (t.trials, {"completed_trials": F.col("status") == "completed"}),
         }
-    )
+    )
 
 
 @query(
     "fn10_feed_freshness",
-    duck_prefix("ex") + f""" SELECT container_id, round(({END_US} - max(us)) / 1e6, 6) AS age_seconds,
-      CASE WHEN ({END_US} - max(us)) / 1e6 <= 86400 THEN 'live' ELSE 'stale' END AS state FROM ex GROUP BY 1""",
+    duck_prefix("base", "ex") + f""", kn AS (SELECT DISTINCT sha256('c' || u) AS container_id, u % 9 <> 0 AS reachable FROM base),
+      nw AS (SELECT container_id, max(us) AS us FROM ex WHERE u % 7 <> 0 GROUP BY 1)
+    SELECT container_id, CASE WHEN reachable THEN round(({END_US} - us) / 1e6, 6) END AS age_seconds,
+      CASE WHEN NOT reachable THEN 'unknown' WHEN us IS NULL THEN 'none' WHEN ({END_US} - us) / 1e6 <= 86400 THEN 'live'
+        ELSE 'stale' END AS state FROM kn LEFT JOIN nw USING (container_id)""",
 )
 def feed_freshness(t: Tables) -> DataFrame:
+    """Every container that was ever seen; some send no executions, some cannot be asked."""
     now = F.timestamp_micros(F.lit(END_US))
-    out = summaries.feed_freshness(t.execs, ["container_id"], now, DAY_US // 1_000_000)
+    known = t.base.select(
+        F.sha2(F.concat(F.lit("c"), F.col("u").cast("string")), 256).alias("container_id"), (F.col("u") % 9 != 0).alias("reachable")
+    ).distinct()
+    out = summaries.feed_freshness(known, t.execs.where("u % 7 <> 0"), ["container_id"], now, DAY_US // 1_000_000)
     return out.withColumn("age_seconds", F.round("age_seconds", 6))
 
 

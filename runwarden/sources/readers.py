@@ -40,7 +40,17 @@ def trials(spark: SparkSession, folder: str, one_per_file: bool = True) -> DataF
     return rows.where("status = 'completed'")
 
 
-def documents(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """JSON documents of one of the known schemas with their file as ``doc``."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(folder)
-    return rows.withColumn("doc", F.input_file_name())
+def documents(spark: SparkSession, folder: str, schema: str, one_per_file: bool = True) -> DataFrame:
+    """JSON documents of one of the known schemas: one per file, with the file as ``doc``, or one per line."""
+    rows = spark.read.schema(schema).option("multiLine", one_per_file).json(folder)
+    return rows.withColumn("doc", F.input_file_name()) if one_per_file else rows
+
+
+def stored_documents(spark: SparkSession, folder: str, ids: str, schema: str) -> DataFrame:
+    """Documents stored one per line under ``document``, next to the columns ``ids`` (DDL) that name them.
+
+    That is how collected reports, component lists and feeds are kept; see ``sinks.store_documents``.
+    A line whose document has another shape keeps its ids and has nulls.
+    """
+    rows = documents(spark, folder, f"{ids}, document STRUCT<{schema}>", one_per_file=False)
+    return rows.select(*[c for c in rows.columns if c != "document"], "document.*")

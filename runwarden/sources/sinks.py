@@ -65,6 +65,21 @@ def write_summary(df: DataFrame, path: str, columns: Sequence[str], order: Seque
         rows.write.mode("errorifexists").json(path)
 
 
+def store_documents(rows: DataFrame, path: str, document: str = "document") -> None:
+    """Rows with a JSON text as JSON lines in which the text is part of the line, not quoted in it.
+
+    Null documents are stored as null.
+    """
+    ids = F.to_json(F.struct(*[c for c in rows.columns if c != document]))
+    body = F.coalesce(F.col(document), F.lit("null"))
+    rows.select(ids.alias("ids"), document).select(
+        F.concat(
+            F.expr("substr(ids, 1, length(ids) - 1)"), F.when(F.col("ids") == "{}", "").otherwise(","),
+            F.lit('"document":'), body, F.lit("}"),
+        )
+    ).write.mode("errorifexists").text(path)
+
+
 def differences(recomputed: DataFrame, recorded: DataFrame) -> DataFrame:
     """Rows only in one of two tables, with multiplicity; empty when a replay agrees."""
     left = recomputed.exceptAll(recorded).withColumn("side", F.lit("recomputed"))
