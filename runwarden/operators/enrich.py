@@ -124,67 +124,71 @@ def correlate_parent(
     go to the largest event id.
 
     No join over time: candidates and probes are put in one set per (scope, pid) and
-    the latest candidate is carried forward in time order.
+    the latest candidate is carried forward in time order.  The sets are cut into buckets as
+    long as the look-back, and a candidate stands in its own and the next one, where any probe
+    that may take it is; so one shuffle does, and a busy pid is spread over its buckets.
     """
     has_host = F.length(F.coalesce("docker_host_id", F.lit(""))) > 0
     has_container = F.length(F.coalesce("container_id", F.lit(""))) > 0
     host, container = F.col("docker_host_id"), F.col("container_id")
     both = scope_tier("hc", host, container)
-    columns = ["event_id", "time_nano", "occurred_at"]
-    ident = F.struct(F.col("time_nano").alias("t"), F.col("event_id").alias("id"))
-
-    probes = execs.where(F.col("process_ppid") > 0).select(
-        *columns,
+    width = lookback_seconds * 1_000_000_000
+    bucket = F.floor(F.col("time_nano") / F.lit(width)).cast("bigint") if width else F.col("time_nano")
+    asked_scope = (
         F.when(has_host & has_container, both)
         .when(has_host, scope_tier("h", host))
         .when(has_container, scope_tier("c", container))
         .otherwise(scope_tier("s", F.col("sensor_instance_id")))
-        .alias("scope"),
-        F.col("process_ppid").alias("pid"),
-        F.lit(1).alias("kind"),
-        F.lit(None).cast("struct<t:bigint,id:string>").alias("candidate"),
     )
 
-    def candidates(scope: Column) -> DataFrame:
-        return execs.where(F.col("process_pid").isNotNull()).select(
-            *columns,
-            scope.alias("scope"),
-            F.col("process_pid").alias("pid"),
-            F.lit(0).alias("kind"),
-            ident.alias("candidate"),
+    def entry(condition: Column, scope: Column, pid: str, kind: int, place: Column) -> Column:
+        values = F.struct(
+            scope.alias("scope"), F.col(pid).cast("bigint").alias("pid"), F.lit(kind).alias("kind"), place.alias("bucket")
         )
-
-    main = candidates(F.when(has_host & has_container, both)).where(F.col("scope").isNotNull())
+        return F.when(condition, values)
+
+    is_probe, known = F.col("process_ppid") > 0, F.col("process_pid").isNotNull()
+    full = known & has_host & has_container
+    columns = ["event_id", "time_nano"]
+    entries = F.array(
+        entry(is_probe, asked_scope, "process_ppid", 1, bucket),
+        entry(full, both, "process_pid", 0, bucket),
+        entry(full, both, "process_pid", 0, bucket + 1),
+    )
+    rows = execs.select(*columns, F.inline(F.array_compact(entries)))
     # Probes without host or container are rare; only keys they ask for are offered.
-    partial = F.array_compact(
-        F.array(
-            F.when(has_host, scope_tier("h", host)),
-            F.when(has_container, scope_tier("c", container)),
-            F.when(F.length("sensor_instance_id") > 0, scope_tier("s", F.col("sensor_instance_id"))),
-        )
+    asked = execs.where(is_probe & ~(has_host & has_container)).select(
+        asked_scope.alias("scope"), F.col("process_ppid").cast("bigint").alias("pid")
     )
-    asked = probes.where(~F.col("scope").startswith("hc|")).select("scope", "pid").distinct()
-    other = (
-        candidates(partial)
-        .withColumn("scope", F.explode("scope"))
-        .join(asked, ["scope", "pid"], "left_semi")
+    partial = F.array(
+        *[
+            entry(known & condition, scope, "process_pid", 0, place)
+            for condition, scope in (
+                (has_host, scope_tier("h", host)),
+                (has_container, scope_tier("c", container)),
+                (F.length("sensor_instance_id") > 0, scope_tier("s", F.col("sensor_instance_id"))),
+            )
+            for place in (bucket, bucket + 1)
+        ]
     )
+    other = execs.select(*columns, F.inline(F.array_compact(partial)))
+    rows = rows.unionByName(other.join(asked.distinct(), ["scope", "pid"], "left_semi").select(rows.columns))
 
-    rows = main.unionByName(other).unionByName(probes)
-    line = Ordered(rows, ["scope", "pid"], ["time_nano", "kind", "event_id"])
+    line = Window.partitionBy("scope", "pid", "bucket").orderBy("time_nano", "kind", "event_id")
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    candidate = F.when(F.col("kind") == 0, F.struct(F.col("time_nano").alias("t"), F.col("event_id").alias("id")))
     # Every candidate also carries the one before it, for probes that are their own candidate.
-    line = line.last("candidate", "previous", include_current=False)
-    line = line.with_column("offer", F.when(F.col("kind") == 0, F.struct("candidate", "previous")))
-    found = line.last("offer", "found").rows.where("kind = 1")
-    latest, before = F.col("found.candidate"), F.col("found.previous")
-    parent = F.when(latest.getField("id") == F.col("event_id"), before).otherwise(latest)
+    rows = rows.withColumn("candidate", candidate)
+    rows = rows.withColumn("previous", F.last("candidate", ignorenulls=True).over(before))
+    offer = F.when(F.col("kind") == 0, F.struct("candidate", "previous"))
+    found = rows.withColumn("found", F.last(offer, ignorenulls=True).over(upto)).where("kind = 1")
+    latest, earlier = F.col("found.candidate"), F.col("found.previous")
+    parent = F.when(latest.getField("id") == F.col("event_id"), earlier).otherwise(latest)
     # Times are compared as stored, in microseconds: a parent at the edge still counts.
     whole = lambda nanos: nanos - F.pmod(nanos, F.lit(1000))
-    earliest = whole(F.col("time_nano")) - F.lit(lookback_seconds * 1_000_000_000)
-    recent = whole(parent.getField("t")) >= earliest
-    return found.select(
-        "event_id", F.when(recent, parent.getField("id")).alias("parent_event_id")
-    )
+    recent = whole(parent.getField("t")) >= whole(F.col("time_nano")) - F.lit(width)
+    return found.select("event_id", F.when(recent, parent.getField("id")).alias("parent_event_id"))
 
 
 def with_parent(execs: DataFrame, lookback_seconds: int = config.PARENT_LOOKBACK_SECONDS) -> DataFrame:

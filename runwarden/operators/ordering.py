@@ -1,14 +1,11 @@
 """Ordered operators that stay balanced when one key holds most of the rows.
 
-``Window.partitionBy(key).orderBy(time)`` sorts a whole key in one task.  The
-functions here give the same answers, but a key with more than ``hot_rows`` rows
-is first cut into time-ordered chunks by a range partitioning on the complete
-sort key, the window runs per (key, chunk), and a carry of one row per chunk
-connects the chunks.  The carry has at most two rows per range partition, so it
-is safe to broadcast.
-
-Finding out whether a hot key exists is one small aggregation over the key
-columns, run when the function is called.
+``Window.partitionBy(key).orderBy(time)`` sorts a whole key in one task.  The functions here
+give the same answers, but every key is cut into chunks by fixed steps of its first order
+column (a day of a time, 4096 of a count, steps of the logarithm of other numbers).  Windows
+run per (key, chunk), and a carry of one row per chunk connects the chunks.  The plan is
+the same for every size of input: the rows are shuffled once by (key, chunk), nothing is
+measured beforehand, and Spark chooses how the small carry is joined.
 """
 
 from __future__ import annotations
@@ -18,56 +15,47 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runwarden.session import materialize
-
-HOT_ROWS_SETTING = "runwarden.hotGroupRows"
-DEFAULT_HOT_ROWS = 10_000_000
-CHUNK = "_chunk"
-
-
-def hot_rows_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(DEFAULT_HOT_ROWS)))
-
-
-def has_hot_group(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
-    """True when some key has more than ``limit`` rows.  Runs one aggregation."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return not sizes.where(F.col("n") > limit).limit(1).isEmpty()
-
-
-def chunk_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, bool]:
-    """Add ``_chunk``; chunks of one key ascend with ``order``.
-
-    Without a hot key there is a single chunk and nothing moves.  With one, the
-    rows are range partitioned on (keys, order) and written to the checkpoint
-    folder, so that every later reader sees the same chunk borders even after
-    lost executors.
-    """
-    limit = hot_rows_limit(df)
-    if not has_hot_group(df, keys, limit):
-        return df.withColumn(CHUNK, F.lit(0)), False
-    total = df.count()
-    parts = max(2, -(-total // limit))
-    ranged = df.repartitionByRange(int(parts), *[F.col(c) for c in (*keys, *order)])
-    return materialize(ranged.withColumn(CHUNK, F.spark_partition_id())), True
-
-
-def _split_keys(rows: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
-    """One row per (key, chunk), only for keys that were cut into several chunks."""
-    per_chunk = rows.groupBy(*keys, CHUNK).agg(*aggregates)
-    pieces = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return per_chunk.withColumn("_pieces", pieces).where("_pieces > 1").drop("_pieces")
-
-
-def _attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Null-safe join of the carry; its size is bounded by the number of chunks."""
-    right = carry.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(CHUNK).alias("_k_chunk"), "_carry"
+#: Steps of times, in microseconds, of counts, and per doubling of other numbers.
+TIME_STEP = 86_400_000_000
+COUNT_STEP = 4096
+STEPS_PER_DOUBLING = 8
+CHUNK, KEY = "_order_chunk", "_order_key"
+_LEAST, _MOST = -(2**63), 2**63 - 1
+
+
+def chunk_of(kind: str, name: str) -> Column:
+    """Chunk of an order column; chunks ascend with the values, null is before all of them."""
+    value = F.col(name)
+    if kind in ("timestamp", "timestamp_ntz"):
+        step = F.floor(F.unix_micros(value.cast("timestamp")) / TIME_STEP)
+    elif kind == "bigint":
+        step = F.floor(value / TIME_STEP)
+    elif kind in ("int", "smallint", "tinyint"):
+        step = F.floor(value / COUNT_STEP)
+    elif kind in ("double", "float") or kind.startswith("decimal"):
+        number = value.cast("double")
+        size = F.signum(number) * F.log2(1 + F.abs(number) * F.lit(2.0**20)) * STEPS_PER_DOUBLING
+        step = F.when(F.isnan(number), F.lit(_MOST)).otherwise(F.floor(F.least(F.greatest(size, F.lit(-1e12)), F.lit(1e12))))
+    elif kind == "string":
+        step = F.ascii(value)
+    else:
+        raise ValueError(f"no order in chunks for {name}, a {kind}")
+    return F.coalesce(step.cast("bigint"), F.lit(_LEAST).cast("bigint"))
+
+
+def _carried(rows: DataFrame, aggregates: Sequence[Column], carry: Column) -> DataFrame:
+    """(key, chunk, ``_carry``) of keys with several chunks."""
+    per_chunk = rows.groupBy(KEY, CHUNK).agg(*aggregates)
+    pieces = F.count(F.lit(1)).over(Window.partitionBy(KEY))
+    found = per_chunk.withColumns({"_pieces": pieces, "_carry": carry}).where("_pieces > 1")
+    return found.select(F.col(KEY).alias("_carry_key"), F.col(CHUNK).alias("_carry_chunk"), "_carry")
+
+
+def _attach(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    """The carry next to its rows, which are shuffled by (key, chunk) already."""
+    return rows.join(carry, (F.col(KEY) == F.col("_carry_key")) & (F.col(CHUNK) == F.col("_carry_chunk")), "left").drop(
+        "_carry_key", "_carry_chunk"
     )
-    on = F.col(CHUNK) == F.col("_k_chunk")
-    for key in keys:
-        on = on & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    return rows.join(F.broadcast(right), on, "left").drop("_k_chunk", *[f"_k_{k}" for k in keys])
 
 
 class Ordered:
@@ -77,26 +65,31 @@ class Ordered:
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
-        self.keys, self.order = list(keys), list(order)
-        self.df, self.hot = chunk_rows(df, keys, order)
+        self.order = list(order)
+        # One struct as key: its fields may be null, the struct never is.
+        key = F.struct(*keys) if keys else F.lit(0)
+        self.df = df.withColumns({KEY: key, CHUNK: chunk_of(dict(df.dtypes)[order[0]], order[0])})
 
     def _with(self, df: DataFrame) -> Ordered:
         other = object.__new__(Ordered)
-        other.keys, other.order, other.df, other.hot = self.keys, self.order, df, self.hot
+        other.order, other.df = self.order, df
         return other
 
     @property
     def rows(self) -> DataFrame:
-        return self.df.drop(CHUNK)
+        return self.df.drop(KEY, CHUNK)
 
     @property
     def _window(self):
-        return Window.partitionBy(*self.keys, CHUNK).orderBy(*self.order)
+        return Window.partitionBy(KEY, CHUNK).orderBy(*self.order)
+
+    @property
+    def _chunks(self):
+        return Window.partitionBy(KEY).orderBy(CHUNK)
 
     @property
     def _earlier_chunks(self):
-        chunks = Window.partitionBy(*self.keys).orderBy(CHUNK)
-        return chunks.rowsBetween(Window.unboundedPreceding, -1)
+        return self._chunks.rowsBetween(Window.unboundedPreceding, -1)
 
     def with_column(self, name: str, value: Column) -> Ordered:
         return self._with(self.df.withColumn(name, value))
@@ -104,49 +97,34 @@ class Ordered:
     def lead(self, value: str, alias: str) -> Ordered:
         """Value of the next row of the same key, null on the last one."""
         out = self.df.withColumn(alias, F.lead(F.struct(value)).over(self._window))
-        if self.hot:
-            first = F.min(F.struct(*self.order, F.struct(F.col(value)).alias("_v"))).alias("_first")
-            following = F.lead("_first").over(Window.partitionBy(*self.keys).orderBy(CHUNK))
-            carry = _split_keys(self.df, self.keys, [first]).withColumn(
-                "_carry", following.getField("_v")
-            )
-            out = _attach(out, carry, self.keys)
-            out = out.withColumn(alias, F.coalesce(F.col(alias), F.col("_carry"))).drop("_carry")
-        return self._with(out.withColumn(alias, F.col(alias).getField(value)))
+        first = F.min(F.struct(*self.order, F.struct(F.col(value)).alias("_v"))).alias("_first")
+        out = _attach(out, _carried(self.df, [first], F.lead("_first").over(self._chunks).getField("_v")))
+        return self._with(out.withColumn(alias, F.coalesce(F.col(alias), F.col("_carry")).getField(value)).drop("_carry"))
 
     def last(self, value: str, alias: str, include_current: bool = True) -> Ordered:
         """Latest non-null ``value`` at or before each row (strictly before when asked)."""
         end = Window.currentRow if include_current else -1
         frame = self._window.rowsBetween(Window.unboundedPreceding, end)
         out = self.df.withColumn(alias, F.last(value, ignorenulls=True).over(frame))
-        if self.hot:
-            present = F.col(value).isNotNull()
-            held = F.max_by(F.when(present, F.col(value)), F.when(present, F.struct(*self.order)))
-            carry = _split_keys(self.df, self.keys, [held.alias("_held")]).withColumn(
-                "_carry", F.last("_held", ignorenulls=True).over(self._earlier_chunks)
-            )
-            out = _attach(out, carry, self.keys)
-            out = out.withColumn(alias, F.coalesce(F.col(alias), F.col("_carry"))).drop("_carry")
-        return self._with(out)
+        present = F.col(value).isNotNull()
+        held = F.max_by(F.when(present, F.col(value)), F.when(present, F.struct(*self.order))).alias("_held")
+        carry = _carried(self.df, [held], F.last("_held", ignorenulls=True).over(self._earlier_chunks))
+        out = _attach(out, carry)
+        return self._with(out.withColumn(alias, F.coalesce(F.col(alias), F.col("_carry"))).drop("_carry"))
 
     def running_sum(self, sums: Mapping[str, Column]) -> Ordered:
         """Totals up to and including each row."""
         frame = self._window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = self.df.withColumns({a: F.sum(e).over(frame) for a, e in sums.items()})
-        if self.hot:
-            totals = F.struct(*[F.sum(e).alias(a) for a, e in sums.items()]).alias("_totals")
-            carried = [
-                F.sum(F.col("_totals").getField(a)).over(self._earlier_chunks).alias(a) for a in sums
-            ]
-            carry = _split_keys(self.df, self.keys, [totals]).withColumn("_carry", F.struct(*carried))
-            out = _attach(out, carry, self.keys)
-            for alias in sums:
-                # Null until the first value, like the plain window.
-                earlier = F.col("_carry").getField(alias)
-                both = F.coalesce(F.col(alias), F.lit(0)) + F.coalesce(earlier, F.lit(0))
-                out = out.withColumn(alias, F.when(F.col(alias).isNotNull() | earlier.isNotNull(), both))
-            out = out.drop("_carry")
-        return self._with(out)
+        totals = F.struct(*[F.sum(e).alias(a) for a, e in sums.items()]).alias("_totals")
+        carried = [F.sum(F.col("_totals").getField(a)).over(self._earlier_chunks).alias(a) for a in sums]
+        out = _attach(out, _carried(self.df, [totals], F.struct(*carried)))
+        for alias in sums:
+            # Null until the first value, like the plain window.
+            earlier = F.col("_carry").getField(alias)
+            both = F.coalesce(F.col(alias), F.lit(0)) + F.coalesce(earlier, F.lit(0))
+            out = out.withColumn(alias, F.when(F.col(alias).isNotNull() | earlier.isNotNull(), both))
+        return self._with(out.drop("_carry"))
 
     def number(self, alias: str) -> Ordered:
         """1, 2, 3 … within each key."""

@@ -17,8 +17,10 @@ def spark():
 
 
 @pytest.fixture()
-def hot(spark):
-    """Treat every key with more than five rows as hot."""
-    spark.conf.set("runwarden.hotGroupRows", "5")
-    yield
-    spark.conf.unset("runwarden.hotGroupRows")
+def hot(monkeypatch):
+    """Cut every key into many chunks."""
+    from runwarden.operators import ordering
+
+    monkeypatch.setattr(ordering, "TIME_STEP", 1)
+    monkeypatch.setattr(ordering, "COUNT_STEP", 2)
+    monkeypatch.setattr(ordering, "STEPS_PER_DOUBLING", 64)

@@ -77,14 +77,13 @@ def test_exec_lines(spark):
 
 
 @pytest.mark.parametrize("small", [False, True])
-def test_retention(spark, small):
+def test_retention(spark, small, monkeypatch):
     if small:
-        spark.conf.set("runwarden.hotGroupRows", "5")
+        monkeypatch.setattr("runwarden.operators.ordering.TIME_STEP", 120_000_000)
     rows = spark.createDataFrame(
         [(i, datetime(2026, 1, 1, 0, i % 30), "x" * (i % 7)) for i in range(60)], "id bigint, recorded_at timestamp, excerpt string"
     )
     kept = normalize.retain_dead_letters(rows, F.lit(datetime(2026, 1, 1, 0, 5)), 40, 70).collect()
-    spark.conf.unset("runwarden.hotGroupRows")
     order = sorted((r for r in rows.collect() if r.recorded_at.minute >= 5), key=lambda r: (r.recorded_at, r.id))[-40:]
     while sum(len(r.excerpt) for r in order) > 70:
         order.pop(0)

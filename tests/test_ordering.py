@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from runwarden.operators.ordering import CHUNK, Ordered, chunk_rows
+from runwarden.operators.ordering import CHUNK, Ordered
 
 
 @pytest.fixture(scope="module")
@@ -43,20 +43,38 @@ def check(rows):
     assert collected(line.rows, *names) == collected(want, *names)
 
 
-def test_without_hot_keys(rows):
+def test_whole_keys(rows):
     check(rows)
 
 
-def test_with_hot_keys(rows, hot):
+def test_keys_in_many_chunks(rows, hot):
     check(rows)
 
 
-def test_hot_keys_are_cut_into_small_chunks(rows, hot):
-    chunked, was_hot = chunk_rows(rows, ["k"], ["t", "id"])
-    assert was_hot
+def test_a_key_is_cut_into_small_chunks(rows, hot):
+    chunked = Ordered(rows, ["k"], ["t", "id"]).df
     largest = chunked.groupBy("k", CHUNK).count().agg(F.max("count")).first()[0]
     assert largest < rows.where("k = 'a'").count() / 4
-    assert chunked.count() == rows.count()
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "timestamp", "string", "decimal(20,3)"])
+def test_chunks_ascend_with_every_kind_of_order(spark, hot, kind):
+    """Negative and tiny numbers, NaN and nulls included."""
+    numbers = [None, *range(-40, 40)] + ([float("nan"), 1e-9, -1e-9, 1e300] if kind == "double" else [])
+    frame = spark.createDataFrame([(float(n) if n is not None else None, i) for i, n in enumerate(numbers)], "t double, id int")
+    cast = F.timestamp_seconds("t") if kind == "timestamp" else F.col("t").cast(kind)
+    frame = frame.withColumn("t", cast)
+    got = Ordered(frame, [], ["t", "id"]).number("no").rows
+    want = frame.withColumn("no", F.row_number().over(Window.partitionBy().orderBy("t", "id")))
+    assert collected(got, "no") == collected(want, "no")
+
+
+def test_the_plan_does_not_depend_on_the_size(rows):
+    """No job runs before the result is asked for, and the rows are shuffled once by key and chunk."""
+    tracker = rows.sparkSession.sparkContext.statusTracker()
+    before = tracker.getJobIdsForGroup(None)
+    Ordered(rows, ["k"], ["t", "id"]).lead("v", "next").number("no")
+    assert sorted(tracker.getJobIdsForGroup(None)) == sorted(before)
 
 
 def test_one_global_line(rows, hot):
