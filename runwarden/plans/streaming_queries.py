@@ -63,7 +63,7 @@ def normalise_stream(t: Tables) -> DataFrame:
     where = folder(t)
     _normalise(t, where)
     names = ["event_number", "reported_container_id", "process_name", "executable", "user_uid", "process_ppid"]
-    events = t.spark.read.parquet(f"{where}/events")
+    events = pipelines.stored(t.spark, f"{where}/events", "event_id").read()
     return events.select("event_id", F.unix_micros("occurred_at").alias("us"), *names)
 
 
@@ -75,7 +75,7 @@ def normalise_stream(t: Tables) -> DataFrame:
 def dead_letter_stream(t: Tables) -> DataFrame:
     where = folder(t)
     _normalise(t, where)
-    stored = t.spark.read.parquet(f"{where}/letters")
+    stored = pipelines.stored(t.spark, f"{where}/letters", "letter_id").read()
     kinds = F.count_distinct("letter_id").alias("kinds")
     return stored.groupBy("error_class").agg(F.count(F.lit(1)).alias("letters"), kinds)
 
@@ -279,7 +279,7 @@ def identity_stream(t: Tables) -> DataFrame:
     where, parts = folder(t), 3
     lifecycle = t.lifecycle_of(t.base_of(slices(t, where, parts)))
     pipelines.identity_stream(lifecycle, f"{where}/state", f"{where}/ck").awaitTermination()
-    out = enrich.identity_view(pipelines.latest_state(t.spark, f"{where}/state", parts))
+    out = enrich.identity_view(pipelines.identity_table(t.spark, f"{where}/state").read())
     return out.withColumns({c: F.unix_micros(c) for c, kind in out.dtypes if kind == "timestamp"})
 
 

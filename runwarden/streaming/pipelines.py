@@ -7,6 +7,7 @@ Deduplication, windows and scores are in ``window_log``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from runwarden import config
 from runwarden.operators import enrich, incidents, normalize
 from runwarden.sources import sinks
+from runwarden.sources.merge_table import MergeTable, first_of_key
 
 LATENESS = "10 minutes"
 
@@ -28,24 +30,37 @@ def start(
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def source_of(checkpoint: str) -> str:
+    """Name of a query among those that commit to a table."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+
+def stored(spark: SparkSession, path: str, key: str) -> MergeTable:
+    """Table of rows of which the first one of each key counts."""
+    return MergeTable(spark, path, first_of_key([key]))
+
+
 # --- ingest ------------------------------------------------------------------------------
 
 
 def normalise_stream(
     lines: DataFrame, sensor_id: str, rule: str, host_id: str | None, events: str, letters: str, checkpoint: str
 ) -> StreamingQuery:
-    """Raw lines to an event table and a dead-letter table, both idempotent.
+    """Raw lines to an event table and a dead-letter table, both merge tables.
 
     Every rejected line is a letter of its own, equal ones too.  A replay of the same
-    files, or of the same batch where the lines have no ``source_file``, adds none.
+    files, or of the same batch where the lines have no ``source_file``, adds none.  Read
+    them with :func:`stored`.
     """
+    spark, source = lines.sparkSession, source_of(checkpoint)
+    event_table, letter_table = stored(spark, events, "event_id"), stored(spark, letters, "letter_id")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         if "source_file" not in batch.columns:
             batch = batch.withColumn("source_file", F.lit(f"batch {batch_id}"))
         good, bad = normalize.normalize_exec_lines(batch, sensor_id, rule, host_id)
-        sinks.append_new(good.drop("raw_event"), events, time="time_nano")
-        sinks.append_new(normalize.number_letters(bad), letters, key="letter_id")
+        event_table.commit(good.drop("raw_event"), source, batch_id)
+        letter_table.commit(normalize.number_letters(bad), source, batch_id)
 
     return start(lines, each, checkpoint)
 
@@ -71,28 +86,20 @@ def shell_then_tool_stream(
     )
 
 
-def identity_stream(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Latest container state.
-
-    Every batch folds itself and merges the result with the state of the batch before;
-    states are written under their batch number, so a repeated batch overwrites itself.
-    """
+def identity_table(spark: SparkSession, path: str) -> MergeTable:
+    """Mergeable states of containers; ``enrich.identity_view`` shows what they say."""
+    return MergeTable(spark, path, _merge_identities)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = enrich.identity_state(batch)
-        earlier = latest_state(spark, table, batch_id)
-        if earlier is not None:
-            state = enrich.merge_identity_state(state.unionByName(earlier))
-        state.write.mode("overwrite").parquet(f"{table}/batch={batch_id:012d}")
 
-    return start(events, each, checkpoint)
+def _merge_identities(states: DataFrame) -> DataFrame:
+    merged = enrich.merge_identity_state(states.drop("_commit"))
+    return merged.withColumn("_commit", F.lit(0).cast("bigint"))
 
 
-def latest_state(spark: SparkSession, table: str, before: int) -> DataFrame | None:
-    """State written by the batch before ``before``, None for the first one."""
-    path = f"{table}/batch={before - 1:012d}"
-    return spark.read.parquet(path) if before > 0 and sinks.exists(spark, path) else None
+def identity_stream(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Latest container state: every batch commits the state of its own events and reads no other."""
+    states, source = identity_table(events.sparkSession, table), source_of(checkpoint)
+    return start(events, lambda batch, batch_id: states.commit(enrich.identity_state(batch), source, batch_id) and None, checkpoint)
 
 
 def alert_stream(opened: DataFrame, notified: str, minimum: str, checkpoint: str) -> StreamingQuery:

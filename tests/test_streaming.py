@@ -85,7 +85,7 @@ def test_identity_of_a_stream_ignores_arrival_order(spark, tmp_path):
     where = str(tmp_path)
     stream = files(spark, rows, schema, f"{where}/in", 4)
     pipelines.identity_stream(stream, f"{where}/s", f"{where}/ck").awaitTermination()
-    got = enrich.identity_view(pipelines.latest_state(spark, f"{where}/s", 4)).collect()
+    got = enrich.identity_view(pipelines.identity_table(spark, f"{where}/s").read()).collect()
     want = enrich.container_identities(spark.createDataFrame(rows, schema)).collect()
     assert sorted(got) == sorted(want) and len(got) == 2
 
@@ -101,9 +101,9 @@ def test_lines_are_stored_once(spark, tmp_path):
         pipelines.normalise_stream(
             stream, "s", "R", None, f"{where}/events", f"{where}/letters", f"{where}/{run}"
         ).awaitTermination()
-    events = spark.read.parquet(f"{where}/events")
+    events = pipelines.stored(spark, f"{where}/events", "event_id").read()
     assert sorted(r.event_number for r in events.collect()) == [1, 2, 3]
-    letters = spark.read.parquet(f"{where}/letters").collect()
+    letters = pipelines.stored(spark, f"{where}/letters", "letter_id").read().collect()
     assert len(letters) == 4 and len({r.letter_id for r in letters}) == 4
 
 
