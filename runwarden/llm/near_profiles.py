@@ -19,6 +19,8 @@ ROUNDS = 8
 LOCAL = 256
 #: Nodes whose neighbours are searched for exactly, half of them by chance, half among nodes with links.
 AUDIT_NODES = 4096
+#: Rows that are compared with the audited nodes at once.
+SLICE = 256
 #: Images with a smaller audited share of their true neighbours are completed exactly.
 AUDIT_RECALL = 0.98
 #: Mean number of vectors of a block of the exact completion; two blocks are compared in one matrix product.
@@ -280,19 +282,21 @@ def _audit(nodes: DataFrame, count: int, pairs: DataFrame, angle: float) -> tupl
                 if part not in shared.value:
                     continue
                 probe, wide, unit = shared.value[part]
-                at = np.flatnonzero(here == part)
-                node, radius = batch["node"].to_numpy()[at], batch["radius"].to_numpy()[at]
-                cosine = unit @ _unit(_matrix(batch["vector"].take(pa.array(at)))).T
-                reach = np.minimum(angle + wide[:, None] + radius + SLACK, np.pi)
-                x, y = np.nonzero(cosine >= np.cos(reach))
-                other = probe[x] != node[y]
-                x, y = x[other], y[other]
-                yield pa.record_batch(
-                    {
-                        "part": pa.array(np.full(len(x), part)), "a": pa.array(np.minimum(probe[x], node[y])),
-                        "b": pa.array(np.maximum(probe[x], node[y])), "cosine": pa.array(cosine[x, y]),
-                    }
-                )
+                rows = np.flatnonzero(here == part)
+                for start in range(0, len(rows), SLICE):
+                    at = rows[start : start + SLICE]
+                    node, radius = batch["node"].to_numpy()[at], batch["radius"].to_numpy()[at]
+                    cosine = unit @ _unit(_matrix(batch["vector"].take(pa.array(at)))).T
+                    reach = np.minimum(angle + wide[:, None] + radius + SLACK, np.pi)
+                    x, y = np.nonzero(cosine >= np.cos(reach))
+                    other = probe[x] != node[y]
+                    x, y = x[other], y[other]
+                    yield pa.record_batch(
+                        {
+                            "part": pa.array(np.full(len(x), part)), "a": pa.array(np.minimum(probe[x], node[y])),
+                            "b": pa.array(np.maximum(probe[x], node[y])), "cosine": pa.array(cosine[x, y]),
+                        }
+                    )
 
     true = nodes.select("part", "node", "radius", "vector").mapInArrow(scan, f"part bigint, {_LINK_DDL}")
     true = materialize(true.groupBy("part", "a", "b").agg(F.max("cosine").alias("cosine")))
