@@ -211,3 +211,58 @@ def test_short_trials_with_changed_ends_leak(spark):
     left = spark.createDataFrame(rows, "event_id bigint, command_line string")
     right = spark.createDataFrame(trials, "trial_id bigint, command_line string")
     assert {(r.event_id, r.trial_id) for r in leaked_trials(left, right).collect()} == want
+
+
+def test_leaks_in_typographic_and_unspaced_text(spark):
+    plain = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my nu xi omicron pi"
+    dressed = "Intro… ALPHA beta—gamma “delta” epsilon, zeta‘eta’ theta • iota «kappa» lambda my nu xi omicron pi"
+    chinese = "今天的天气非常好我们一起去公园散步然后回家吃饭"
+    umlauts = "ÄPFEL Öl Übung straße größe fünf zwölf hören müssen schön grün kühl früh spät"
+    events = [(1, dressed), (2, "前言：" + chinese + "。后记"), (3, "äpfel öl übung STRASSE größe fünf zwölf hören müssen schön grün kühl früh spät"), (4, "今天去公园")]
+    frame = spark.createDataFrame(events, "event_id bigint, command_line string")
+    trials = spark.createDataFrame([("a", plain), ("b", chinese), ("c", umlauts)], "trial_id string, command_line string")
+    got = {(r.event_id, r.trial_id): r for r in leaked_trials(frame, trials).collect()}
+    assert set(got) == {(1, "a"), (2, "b"), (3, "c")}
+    assert got[1, "a"].matched == 16 and got[2, "b"].matched == len(chinese) and got[3, "c"].matched == 13
+
+
+def test_leaks_equal_all_alignments(spark):
+    """Every item at every shift, counted token by token, with few words so that repeats are common."""
+    pool = random.Random(12)
+    def words_like(n):
+        return [pool.choice("abcd") for _ in range(n)] if pool.random() < 0.5 else ([pool.choice("ab") for _ in range(pool.randint(1, 9))] * n)[:n]
+    trials = [(i, words_like(pool.choice((4, 9, 13, 20, 30)))) for i in range(25)]
+    events = [(i, words_like(pool.randint(0, 60)) + (list(pool.choice(trials)[1]) if pool.random() < 0.6 else []) + words_like(5)) for i in range(60)]
+    want = {}
+    for e, text in events:
+        for t, trial in trials:
+            width, found = min(13, len(trial)), None
+            for shift in range(-len(trial), len(text) + 1):
+                begin, end = max(0, -shift), min(len(trial), len(text) - shift)
+                same = [trial[i] == text[i + shift] for i in range(begin, end)]
+                top = max((sum(same[i : i + width]) for i in range(len(same) - width + 1)), default=-1)
+                if 100 * top >= 80 * width:
+                    found = max(found or (-1, 0, 0), (sum(same), -(begin + shift), len(same)))
+            if found:
+                want[e, t] = found
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in events], "event_id bigint, command_line string")
+    got = {(r.event_id, r.trial_id): (r.matched, r.start, r.compared) for r in leaked_trials(
+        frame, spark.createDataFrame([(i, " ".join(w)) for i, w in trials], "trial_id bigint, command_line string")).collect()}
+    assert set(got) == set(want) and len(want) > 50
+    assert all(got[k][0] <= want[k][0] and got[k][0] >= 0.9 * want[k][0] for k in want)
+
+
+def test_a_repeated_token_in_a_long_text_is_quick():
+    import time
+
+    import pyarrow as pa
+
+    from runwarden.llm.trial_leaks import SeedIndex, tokens_of
+
+    index = SeedIndex([1, 2], pa.array(["x " * 300, "x y z " * 100]))
+    tokens, first = tokens_of(pa.array(["x " * 20_000, "x y z " * 7_000]))
+    list(index.verified(*tokens_of(pa.array(["a b c"]))))
+    started = time.perf_counter()
+    found = sorted(index.verified(tokens, first))
+    assert time.perf_counter() - started < 3
+    assert found == [(0, 0, 0, 300, 300), (1, 1, 0, 300, 300)]
