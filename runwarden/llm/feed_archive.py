@@ -24,6 +24,8 @@ DICTIONARY_BYTES = 64 * 1024
 SAMPLE_PAGES = 1000
 LEAST_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64_000_000
+#: Tasks that read archives; with more files each reads several.
+MOST_READERS = 10_000
 ARCHIVE_DATE = "2024-01-01T00:00:00Z"
 _URN = "urn:runwarden:page:"
 
@@ -36,13 +38,13 @@ def file_system(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def build_dictionary(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, size: int = DICTIONARY_BYTES) -> bytes:
-    """Zstandard dictionary from at most ``sample_pages`` of the pages' records.
+    """Zstandard dictionary from the archived records of at most ``sample_pages`` pages.
 
-    Where there is too little to train on, the first bytes of the sample serve as they are.
+    Records are taken as they are written, headers and whole payload; the sample is bounded in
+    bytes.  Where there is too little to train on, the first bytes of the sample serve as they are.
     """
-    part = F.substring("document", 1, 64 * 1024)
-    rows = bounded_sample(pages.select("document"), "document", sample_pages).select(part.alias("d")).collect()
-    samples = sorted((r["d"] or "").encode() for r in rows if r["d"])
+    rows = bounded_sample(pages.select("page_id", "url", "document"), "document", sample_pages).collect()
+    samples = sorted(format_record(r["page_id"], r["url"], (r["document"] or "").encode(), "response", None) for r in rows)
     if not samples:
         return b""
     try:
@@ -198,7 +200,9 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         [("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
          ("record_type", pa.string()), ("refers_to", pa.string()), ("document", pa.binary())]
     )
-    files = manifest.select("path").repartition("path")
+    # A given number, so that adaptive execution leaves a task for each file, up to MOST_READERS.
+    readers = max(1, min(manifest.count(), MOST_READERS))
+    files = manifest.select("path").repartition(readers)
     return files.mapInArrow(
         work,
         "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, document binary",
