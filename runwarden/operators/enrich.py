@@ -440,29 +440,28 @@ def number_versions(builds: DataFrame) -> DataFrame:
     first = builds.groupBy("image_digest", "model_hash").agg(
         F.min(F.struct("created_at", "profile_id")).alias("_first")
     )
-    order = Window.partitionBy("image_digest").orderBy("_first")
-    return first.select(
+    rows = first.select(
         F.col("_first.profile_id").alias("profile_id"),
         "image_digest",
         "model_hash",
         F.col("_first.created_at").alias("created_at"),
-        F.row_number().over(order).alias("profile_version"),
     )
+    return Ordered(rows, ["image_digest"], ["created_at", "profile_id"]).number("profile_version").rows
 
 
 def active_profiles(profiles: DataFrame) -> DataFrame:
     """Status after all activations: the last passing one is active, earlier ones retired.
 
-    profiles: image_digest, profile_id, activated_at (null when never), passed.
+    profiles: image_digest, profile_id, activated_at (null when never), passed.  Drafts are not
+    ordered, so they move nowhere.
     """
-    valid = F.col("activated_at").isNotNull() & F.col("passed")
-    at = F.when(valid, F.col("activated_at"))
-    order = Window.partitionBy("image_digest").orderBy(at.asc_nulls_last(), "profile_id")
-    retired = F.when(valid, F.lead(at).over(order))
-    return profiles.withColumn("retired_at", retired).withColumn(
-        "status",
-        F.when(~valid, "draft").when(F.col("retired_at").isNull(), "active").otherwise("retired"),
-    )
+    valid = F.coalesce(F.col("activated_at").isNotNull() & F.col("passed"), F.lit(False))
+    activated = Ordered(profiles.where(valid), ["image_digest"], ["activated_at", "profile_id"])
+    status = F.when(F.col("retired_at").isNull(), "active").otherwise("retired")
+    drafts = profiles.where(~valid)
+    kind = dict(profiles.dtypes)["activated_at"]
+    drafts = drafts.withColumns({"retired_at": F.lit(None).cast(kind), "status": F.lit("draft")})
+    return activated.lead("activated_at", "retired_at").with_column("status", status).rows.unionByName(drafts)
 
 
 def profile_for_window(windows: DataFrame, profiles: DataFrame) -> DataFrame:

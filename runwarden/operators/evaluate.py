@@ -7,9 +7,11 @@ tokens   trial_id, token, n: what each trial ran
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runwarden import config
@@ -19,6 +21,7 @@ from runwarden.operators.ordering import Ordered
 from runwarden.operators.quantiles import exact_quantiles
 from runwarden.operators.rarity import empirical_pvalues
 from runwarden.operators.score import compare_tokens
+from runwarden.session import materialize
 
 
 def split_trials(trials: DataFrame) -> DataFrame:
@@ -209,17 +212,15 @@ def degeneracy(tested: DataFrame) -> DataFrame:
 
 
 def holm(tests: DataFrame, family: str = "family", name: str = "contrast", alpha: float = config.FAMILY_ALPHA) -> DataFrame:
-    """Holm step-down adjustment within each family of tests."""
-    ordered = Window.partitionBy(family).orderBy("p_value", name)
-    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.count(F.lit(1)).over(Window.partitionBy(family))
-    step = F.least(F.lit(1.0), F.col("p_value") * (size - F.row_number().over(ordered) + 1))
-    return (
-        tests.withColumn("_step", step)
-        .withColumn("adjusted_p", F.max("_step").over(running))
-        .withColumn("rejected", F.col("adjusted_p") < alpha)
-        .drop("_step")
-    )
+    """Holm step-down adjustment within each family of tests.
+
+    Families are cut into chunks of close p-values, so one family may hold all tests.  The tests
+    are written once, as rows and carries read them.
+    """
+    ranked = Ordered(materialize(tests), [family], ["p_value", name]).number("_rank").total("_size", F.lit(1).cast("bigint"))
+    step = F.least(F.lit(1.0), F.col("p_value") * (F.col("_size") - F.col("_rank") + 1))
+    adjusted = ranked.with_column("_step", step).running_max("_step", "adjusted_p").rows
+    return adjusted.withColumn("rejected", F.col("adjusted_p") < alpha).drop("_step", "_rank", "_size")
 
 
 def decide_contrasts(rows: DataFrame) -> DataFrame:
@@ -249,47 +250,109 @@ def decide_contrasts(rows: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap_recall(
+def _binomial_hits(runs: int, detected: int, uniforms):
+    """Number of hits at each uniform, by the distribution function of binomial(runs, detected / runs).
+
+    Only counts within 40 standard deviations of the mean are built; what is beyond has no weight
+    in a double.  Memory grows with the root of ``runs``.
+    """
+    import numpy as np
+
+    if detected in (0, runs):
+        return np.full(len(uniforms), detected, dtype=np.int64)
+    reach = int(40 * math.sqrt(detected * (runs - detected) / runs)) + 40
+    low, high = max(0, detected - reach), min(runs, detected + reach)
+    odds = detected / (runs - detected)
+    # Weights relative to the mean, which is the mode, outwards from it.
+    up, down = np.arange(detected, high, dtype=float), np.arange(detected, low, -1, dtype=float)
+    above = np.cumprod((runs - up) / (up + 1) * odds)
+    below = np.cumprod(down / (runs - down + 1) / odds)
+    reached = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return low + np.minimum(np.searchsorted(reached / reached[-1], uniforms, side="right"), high - low)
+
+
+def bootstrap_interval(
     strata: DataFrame,
-    reference_recall: float,
-    margin: float = config.RECALL_MARGIN,
+    by: Sequence[str] = (),
     resamples: int = config.BOOTSTRAP_RESAMPLES,
     seed: int = config.BOOTSTRAP_SEED,
 ) -> DataFrame:
-    """Percentile interval of recall under stratified resampling.
+    """Percentile interval of recall under stratified resampling, for each value of ``by``.
 
-    strata: stratum, runs, detected.  Drawing n outcomes with replacement from a
-    stratum of 0/1 outcomes is one binomial draw, so the work is resamples x strata
-    and not resamples x trials.  Draws depend on seed and stratum only.
+    strata: by columns, stratum, runs, detected.  Gives by columns, runs, point_estimate, lower,
+    upper; strata without runs count for nothing, and without any there is no row.
+
+    Drawing n outcomes with replacement from a stratum of 0/1 outcomes is one binomial draw,
+    so the work is resamples x strata and not resamples x trials.  The draw is the binomial
+    quantile of a hash of (seed, stratum, resample): the same on every run and in every language.
     """
+    keys = ", ".join(f"`{n}` {kind}" for n, kind in strata.dtypes if n in by)
 
     def draw(batches):
-        import zlib
+        import hashlib
 
         import numpy as np
         import pandas as pd
 
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                rng = np.random.default_rng([seed, zlib.crc32(row.stratum.encode())])
-                hits = rng.binomial(row.runs, row.detected / row.runs, size=resamples)
-                yield pd.DataFrame({"b": np.arange(resamples), "hits": hits, "runs": row.runs})
-
-    usable = strata.where("runs > 0")
-    drawn = usable.select("stratum", "runs", "detected").mapInPandas(
-        draw, "b bigint, hits bigint, runs bigint"
-    )
-    means = drawn.groupBy("b").agg((F.sum("hits") / F.sum("runs")).alias("mean"))
+            for row in batch.to_dict("records"):
+                texts = (f"{seed}:{row['stratum']}:{b}".encode() for b in range(resamples))
+                uniforms = np.array([int(hashlib.md5(x).hexdigest()[:13], 16) for x in texts]) / 2.0**52
+                hits = _binomial_hits(row["runs"], row["detected"], uniforms)
+                held = {name: row[name] for name in by}
+                yield pd.DataFrame({**held, "b": np.arange(resamples), "hits": hits, "runs": row["runs"]})
+
+    usable = strata.where("runs > 0").select(*by, "stratum", "runs", "detected")
+    drawn = usable.mapInPandas(draw, ", ".join([*([keys] if keys else []), "b bigint, hits bigint, runs bigint"]))
+    means = drawn.groupBy(*by, "b").agg((F.sum("hits") / F.sum("runs")).alias("mean"))
     # One value per resample: the array has exactly ``resamples`` elements.
-    bounds = means.agg(F.array_sort(F.collect_list("mean")).alias("means")).select(
+    bounds = means.groupBy(*by).agg(F.array_sort(F.collect_list("mean")).alias("means")).select(
+        *by,
         F.element_at("means", int(0.025 * resamples) + 1).alias("lower"),
         F.element_at("means", min(resamples - 1, int(0.975 * resamples)) + 1).alias("upper"),
     )
-    point = usable.agg(
+    point = usable.groupBy(*by).agg(
         F.sum("runs").alias("runs"), (F.sum("detected") / F.sum("runs")).alias("point_estimate")
     )
-    both = point.withColumn("_k", F.lit(1)).join(bounds.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return both.withColumn("non_inferior", F.col("lower") >= reference_recall - margin)
+    same = [F.col(f"p.{n}").eqNullSafe(F.col(f"q.{n}")) for n in by] or [F.lit(0) == F.lit(0)]
+    both = point.alias("p").join(bounds.alias("q"), functools.reduce(Column.__and__, same))
+    return both.select(*[F.col(f"p.{n}").alias(n) for n in by], "runs", "point_estimate", "lower", "upper").where("runs > 0")
+
+
+def bootstrap_recall(
+    strata: DataFrame,
+    reference_recall: float,
+    margin: float = config.RECALL_MARGIN,
+    resamples: int = config.BOOTSTRAP_RESAMPLES,
+    seed: int = config.BOOTSTRAP_SEED,
+) -> DataFrame:
+    """Interval of recall over all strata, and whether its lower bound stays within the margin."""
+    out = bootstrap_interval(strata, (), resamples, seed)
+    return out.withColumn("non_inferior", F.col("lower") >= reference_recall - margin)
+
+
+def recall_strata(scored: DataFrame) -> DataFrame:
+    """(scope, stratum, runs, detected) of the attack trials that have a reference."""
+    rows = scored.where("attack_like AND has_reference")
+    return rows.groupBy("scope", F.concat_ws(":", "workload_family", "scenario_id").alias("stratum")).agg(
+        F.count(F.lit(1)).alias("runs"), F.count_if("positive").alias("detected")
+    )
+
+
+def recall_not_inferior(scored: DataFrame, contrasts: DataFrame, margin: float = config.RECALL_MARGIN) -> DataFrame:
+    """(contrast, recall_lower, non_inferior): the lower bootstrap bound of the fine arm against the coarse arm.
+
+    contrasts: contrast, fine, coarse.  Test trials only.  Without attack trials of the fine arm
+    the bound is null and nothing is shown; a coarse arm without any has recall 0.
+    """
+    test = scored.where("split = 'test'")
+    lower = bootstrap_interval(recall_strata(test), ["scope"]).select(F.col("scope").alias("fine"), F.col("lower").alias("recall_lower"))
+    outcomes = scope_outcomes(scored)
+    recall = F.when(F.col("scenario_runs") > 0, F.col("true_positives") / F.col("scenario_runs")).otherwise(0.0)
+    coarse = outcomes.select(F.col("scope").alias("coarse"), recall.alias("_recall"))
+    rows = contrasts.join(lower, "fine", "left").join(coarse, "coarse", "left")
+    shown = F.col("recall_lower") >= F.coalesce("_recall", F.lit(0.0)) - margin
+    return rows.select("contrast", "recall_lower", F.coalesce(shown, F.lit(False)).alias("non_inferior"))
 
 
 # --- context delta -----------------------------------------------------------------------

@@ -244,11 +244,15 @@ def recommend(opened: DataFrame, containers: DataFrame) -> DataFrame:
     )
 
 
+def alert_worthy(opened: DataFrame, minimum: str) -> DataFrame:
+    """Open incidents at or above a severity level."""
+    wanted = config.SEVERITY_ORDER[config.SEVERITY_ORDER.index(minimum) :]
+    return opened.where((F.col("status") == "open") & F.col("severity_level").isin(wanted))
+
+
 def new_alerts(opened: DataFrame, notified: DataFrame, minimum: str) -> DataFrame:
     """Open incidents at or above a severity level that nobody was told about."""
-    wanted = config.SEVERITY_ORDER[config.SEVERITY_ORDER.index(minimum) :]
-    rows = opened.where((F.col("status") == "open") & F.col("severity_level").isin(wanted))
-    return rows.join(notified.select("incident_id").distinct(), "incident_id", "left_anti")
+    return alert_worthy(opened, minimum).join(notified.select("incident_id").distinct(), "incident_id", "left_anti")
 
 
 #: Fields of an execution that stand behind a match, by the names they have there.

@@ -126,6 +126,22 @@ class Ordered:
             out = out.withColumn(alias, F.when(F.col(alias).isNotNull() | earlier.isNotNull(), both))
         return self._with(out.drop("_carry"))
 
+    def running_max(self, value: str, alias: str) -> Ordered:
+        """Greatest non-null ``value`` up to and including each row."""
+        frame = self._window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = self.df.withColumn(alias, F.max(value).over(frame))
+        carry = _carried(self.df, [F.max(value).alias("_held")], F.max("_held").over(self._earlier_chunks))
+        return self._with(_attach(out, carry).withColumn(alias, F.greatest(alias, "_carry")).drop("_carry"))
+
+    def total(self, alias: str, value: Column) -> Ordered:
+        """Sum over all rows of the key, on each of them."""
+        per_chunk = self.df.groupBy(KEY, CHUNK).agg(F.sum(value).alias("_part"))
+        carry = per_chunk.select(
+            F.col(KEY).alias("_carry_key"), F.col(CHUNK).alias("_carry_chunk"),
+            F.sum("_part").over(Window.partitionBy(KEY)).alias(alias),
+        )
+        return self._with(_attach(self.df, carry))
+
     def number(self, alias: str) -> Ordered:
         """1, 2, 3 … within each key."""
         return self.running_sum({alias: F.lit(1).cast("bigint")})

@@ -12,6 +12,7 @@ from runwarden.plans.behaviour_queries import KEY, TOKENS, behaviour, check, r9
 from runwarden.plans.enrich_queries import recursive
 from runwarden.plans.registry import query
 from runwarden.plans.views import CUT_US, Tables, duck_prefix
+from runwarden.session import materialize
 
 CONTRASTS = [
     ("CONTEXT_vs_GLOBAL", "ARM-CONTEXT", "ARM-GLOBAL"),
@@ -458,49 +459,61 @@ def degeneracy(t: Tables) -> DataFrame:
     return evaluate.degeneracy(tested).select("contrast", "degeneracy", "informative")
 
 
+def bootstrap_sql(condition: str) -> str:
+    """Interval of recall per scope: each draw is the binomial quantile of a hash, found by an as-of join."""
+    return f"""bs AS (SELECT scope, concat_ws(':', workload_family, scenario_id) AS stratum, count(*) AS runs,
+      count(*) FILTER (positive) AS hit FROM sd WHERE attack_like AND known AND {condition} GROUP BY ALL),
+  bw AS (SELECT scope, stratum, j, CASE WHEN hit IN (0, runs) THEN (j = hit)::double ELSE exp(lgamma(runs + 1) - lgamma(j + 1)
+      - lgamma(runs - j + 1) + j * ln(nullif(hit, 0) / runs) + (runs - j) * ln(nullif(1 - hit / runs, 0))) END AS w
+    FROM (SELECT *, unnest(range(0, runs + 1)) AS j FROM bs)),
+  bc AS (SELECT scope, stratum, j, coalesce(sum(w) OVER (PARTITION BY scope, stratum ORDER BY j
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bw WHERE w > 0),
+  bd AS (SELECT scope, stratum, runs, b, ('0x' || substr(md5('{config.BOOTSTRAP_SEED}:' || stratum || ':' || b), 1, 13))::ubigint
+      / 4503599627370496.0 AS u FROM bs, range(0, {config.BOOTSTRAP_RESAMPLES}) r(b)),
+  bm AS (SELECT bd.scope, b, sum(j) / sum(runs) AS mean FROM bd ASOF JOIN bc ON bd.scope = bc.scope AND bd.stratum = bc.stratum
+    AND bd.u >= bc.before GROUP BY ALL),
+  bi AS (SELECT scope, list_sort(list(mean))[{int(0.025 * config.BOOTSTRAP_RESAMPLES) + 1}] AS lower,
+    list_sort(list(mean))[{int(0.975 * config.BOOTSTRAP_RESAMPLES) + 1}] AS upper FROM bm GROUP BY ALL)"""
+
+
 @query(
     "eva6_contrast_decision",
-    trial_check(TESTS, select="""SELECT contrast, round(red, 9) AS relative_reduction, coalesce(red >= 0.25, false) AS material,
+    trial_check(TESTS, bootstrap_sql("split = 'test'"), select="""SELECT contrast, round(red, 9) AS relative_reduction, coalesce(red >= 0.25, false) AS material,
       adj < 0.05 AS significant, degeneracy = 'informative' AND coalesce(red >= 0.25, false) AND adj < 0.05 AND ni AS supported,
       CASE WHEN degeneracy <> 'informative' THEN 'uninformative' WHEN NOT coalesce(red >= 0.25, false)
         THEN 'reduction_too_small' WHEN adj >= 0.05 THEN 'not_significant' WHEN NOT ni THEN 'recall_inferior'
-        ELSE 'supported' END AS reason
-    FROM (SELECT hm.*, CASE WHEN fb > 0 THEN (fb - fa) / fb END AS red, ra >= rb - 0.05 AS ni FROM hm JOIN arms USING (contrast)
-      JOIN (SELECT scope AS sa, false_positives / nullif(benign_runs, 0) AS fa,
-        coalesce(true_positives / nullif(scenario_runs, 0), 0) AS ra FROM oc) x ON sa = arms.a
+        ELSE 'supported' END AS reason, round(lower, 9) AS recall_lower, ni AS non_inferior
+    FROM (SELECT hm.*, CASE WHEN fb > 0 THEN (fb - fa) / fb END AS red, lower, coalesce(lower >= rb - 0.05, false) AS ni
+      FROM hm JOIN arms USING (contrast)
+      JOIN (SELECT scope AS sa, false_positives / nullif(benign_runs, 0) AS fa FROM oc) x ON sa = arms.a
       JOIN (SELECT scope AS sb, false_positives / nullif(benign_runs, 0) AS fb,
-        coalesce(true_positives / nullif(scenario_runs, 0), 0) AS rb FROM oc) y ON sb = arms.b)"""),
+        coalesce(true_positives / nullif(scenario_runs, 0), 0) AS rb FROM oc) y ON sb = arms.b
+      LEFT JOIN bi ON bi.scope = arms.a)"""),
 )
 def contrast_decision(t: Tables) -> DataFrame:
-    """The coarser arm is compared with the context arm; recall by point estimate."""
-    from runwarden.session import materialize
-
+    """The coarser arm is compared with the context arm; recall by the lower bootstrap bound."""
     calls = materialize(scored(t))
     outcomes = evaluate.scope_outcomes(calls)
     tested = evaluate.degeneracy(evaluate.mcnemar(evaluate.paired_calls(calls, CONTRASTS)))
     adjusted = evaluate.holm(tested.withColumn("family", F.lit("primary")))
-    rates = outcomes.select(
-        "scope",
-        F.when(F.col("benign_runs") > 0, F.col("false_positives") / F.col("benign_runs")).alias("fpr"),
-        F.when(F.col("scenario_runs") > 0, F.col("true_positives") / F.col("scenario_runs"))
-        .otherwise(0.0)
-        .alias("recall"),
-    )
+    fpr = F.when(F.col("benign_runs") > 0, F.col("false_positives") / F.col("benign_runs"))
     arms = t.spark.createDataFrame(CONTRASTS, "contrast string, fine string, coarse string")
-    fine = rates.select(F.col("scope").alias("fine"), F.col("fpr").alias("fpr_b"), F.col("recall").alias("r_b"))
-    coarse = rates.select(F.col("scope").alias("coarse"), F.col("fpr").alias("fpr_a"), F.col("recall").alias("r_a"))
+    fine = outcomes.select(F.col("scope").alias("fine"), fpr.alias("fpr_b"))
+    coarse = outcomes.select(F.col("scope").alias("coarse"), fpr.alias("fpr_a"))
     rows = adjusted.join(arms, "contrast").join(fine, "fine").join(coarse, "coarse")
-    rows = rows.withColumn("non_inferior", F.col("r_b") >= F.col("r_a") - config.RECALL_MARGIN)
-    names = ["contrast", "material", "significant", "supported", "reason"]
-    return evaluate.decide_contrasts(rows).select(*names, r9("relative_reduction"))
+    rows = rows.join(evaluate.recall_not_inferior(calls, arms), "contrast")
+    names = ["contrast", "material", "significant", "supported", "reason", "non_inferior"]
+    return evaluate.decide_contrasts(rows).select(*names, r9("relative_reduction"), r9("recall_lower"))
 
 
-@query("eva5_bootstrap_recall")
+@query(
+    "eva5_bootstrap_recall",
+    trial_check(bootstrap_sql("scope = 'ARM-CONTEXT'"), select="""SELECT sum(runs)::bigint AS runs, sum(hit) / sum(runs) AS point_estimate,
+      any_value(lower) AS lower, any_value(upper) AS upper, any_value(lower) >= 1.0 - 0.05 AS non_inferior
+      FROM bs JOIN bi USING (scope) HAVING count(*) > 0"""),
+)
 def bootstrap_recall(t: Tables) -> DataFrame:
-    rows = scored(t).where("scope = 'ARM-CONTEXT' AND attack_like AND has_reference")
-    strata = rows.groupBy(F.concat_ws(":", "workload_family", "scenario_id").alias("stratum")).agg(
-        F.count(F.lit(1)).alias("runs"), F.count_if("positive").alias("detected")
-    )
+    strata = evaluate.recall_strata(scored(t)).where("scope = 'ARM-CONTEXT'")
     return evaluate.bootstrap_recall(strata, 1.0)
 
 

@@ -369,6 +369,10 @@ LIFE_SQL = """lf AS (SELECT *, CASE WHEN n % 4 = 0 THEN action || ': cmd ' || k
       WHEN n % 3 = 0 THEN 'net-' || u END AS container_id, container_id AS actor_id,
     coalesce(container_name, 'x') AS nm, raw_action, k, u FROM lf)"""
 
+LIFE_ID = """sha256('{"action":"' || action || '","actor_id":"' || actor_id || '","attributes":{'
+      || concat_ws(',', CASE WHEN n % 3 = 0 THEN '"container":"net-' || u || '"' END, '"image":"' || ir || '"', '"name":"' || nm || '"')
+      || '},"docker_host_id":"host-1","event_type":"' || event_type || '","scope":null,"time_nano":' || time_nano || '}') AS event_id"""
+
 
 def lifecycle_lines(t: Tables) -> DataFrame:
     """Lifecycle events as JSON lines with keys in both spellings."""
@@ -475,9 +479,7 @@ def normalize_lifecycle(t: Tables) -> DataFrame:
 
 @query(
     "nrm11_lifecycle_event_id",
-    duck_prefix("lc") + "," + LIFE_SQL + """ SELECT sha256('{"action":"' || action || '","actor_id":"' || actor_id || '","attributes":{'
-      || concat_ws(',', CASE WHEN n % 3 = 0 THEN '"container":"net-' || u || '"' END, '"image":"' || ir || '"', '"name":"' || nm || '"')
-      || '},"docker_host_id":"host-1","event_type":"' || event_type || '","scope":null,"time_nano":' || time_nano || '}') AS event_id,
+    duck_prefix("lc") + "," + LIFE_SQL + """ SELECT """ + LIFE_ID + """,
       time_nano, action FROM lo JOIN (SELECT n, image_ref AS ir FROM lc) USING (n)""",
 )
 def lifecycle_event_ids(t: Tables) -> DataFrame:
@@ -485,7 +487,29 @@ def lifecycle_event_ids(t: Tables) -> DataFrame:
     return out.select("event_id", "time_nano", "action")
 
 
-@query("nrm12_snapshot_reduction")
+SNAPSHOT_SQL = """'{"container":{"id":"' || actor_id || '","name":"' || coalesce(cn, 'anon') || '"},"state":{"status":"running","running":'
+      || (k % 2 = 0) || '},"config":{' || concat_ws(',', '"image":"' || ir || '"',
+        '"user":"' || CASE k % 4 WHEN 0 THEN 'root:0' WHEN 1 THEN 'app' WHEN 2 THEN '' END || '"',
+        '"entrypoint":["/bin/run"],"command":["/usr/bin/sérver","--port=80","--API-Key","abc","-v","' || k
+          || '","./data","http://h/x","' || k || '","word","--token=t","--empty=","z"],"labels":{}')
+      || '},"host_config":{' || concat_ws(',', '"privileged":' || CASE WHEN k % 7 > 0 THEN k < 3 END, '"readonly_rootfs":' || (k % 2 = 0),
+        '"network_mode":"' || ['host', 'none', 'default', 'bridge', 'container:x', 'net-1', ''][k % 7 + 1]
+          || '","cap_add":["cap_net_raw","SYS_ADMIN","CAP_NET_RAW"],"cap_drop":[],"security_opt":[],"devices":[]')
+      || ',"port_bindings":{"80/tcp":[{"HostIp":"' || CASE k % 3 WHEN 0 THEN '127.0.0.1' WHEN 1 THEN '' ELSE '10.0.0.1' END
+      || '","HostPort":"' || CASE WHEN k % 2 = 0 THEN '8080' ELSE '' END || '"}]}},"network_settings":{},"mounts":[{"type":"Bind","destination":"/data","rw":'
+      || (k % 2 = 0) || '}],"image":{' || concat_ws(',', '"id":"' || iid || '"',
+        CASE WHEN k % 10 > 0 THEN '"repo_digests":["repo/app' || g || '@sha256:d' || g || '","a/other@sha256:0' || g || '"]'
+          ELSE '"repo_digests":[]' END, '"repo_tags":[]',
+        CASE WHEN k % 10 > 0 THEN '"primary_repo_digest":"' || CASE WHEN ir IS NULL THEN 'a/other@sha256:0' || g
+          ELSE 'repo/app' || g || '@sha256:d' || g END || '"' END,
+        '"digest_status":"' || CASE WHEN k % 10 > 0 THEN 'resolved' ELSE 'unavailable' END || '"') || '}}'"""
+
+
+@query(
+    "nrm12_snapshot_reduction",
+    duck_prefix("lc") + "," + LIFE_SQL + f""" SELECT {LIFE_ID}, {SNAPSHOT_SQL} AS snapshot
+    FROM lo JOIN (SELECT n, container_name AS cn, image_ref AS ir, image_id AS iid, g FROM lc) USING (n) WHERE container_id IS NOT NULL""",
+)
 def snapshot_reduction(t: Tables) -> DataFrame:
     out = normalize.lifecycle_events(lifecycle_lines(t).select("raw", "inspection"), HOST)
     return out.where("container_snapshot IS NOT NULL").select(

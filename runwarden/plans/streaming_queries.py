@@ -36,14 +36,6 @@ def slices(t: Tables, where: str, parts: int = 3) -> DataFrame:
     return stream.parquet(f"{where}/in")
 
 
-def to_table(frame: DataFrame, where: str) -> DataFrame:
-    """Run an append stream to a Parquet table and read it."""
-    writer = frame.writeStream.format("parquet").outputMode("append").option("path", f"{where}/out")
-    writer = writer.option("checkpointLocation", f"{where}/ck").trigger(availableNow=True)
-    writer.start().awaitTermination()
-    return frame.sparkSession.read.schema(frame.schema).parquet(f"{where}/out")
-
-
 def _normalise(t: Tables, where: str) -> None:
     """Write the lines as a sensor would, then stream them into the two tables."""
     lines = sensor_lines(t).select("raw")
@@ -150,17 +142,25 @@ def write_summary(t: Tables) -> DataFrame:
     return table.intersectAll(lines)
 
 
-@query("snk3_integrity_manifest")
+@query(
+    "snk3_integrity_manifest",
+    duck_prefix("ex") + """, p AS (SELECT u % 48 AS part, count(*) AS n FROM ex GROUP BY ALL)
+      SELECT part, problem, n FROM p, LATERAL (SELECT unnest([CASE part % 4 WHEN 0 THEN 'mismatch' WHEN 1 THEN 'unrecorded' END,
+        CASE WHEN part % 5 = 0 THEN 'missing' END]) AS problem) WHERE problem IS NOT NULL""",
+)
 def integrity_manifest(t: Tables) -> DataFrame:
-    """Files of a written table against a manifest with one file forgotten and one changed."""
+    """Executions in a file for each group of users, against a manifest in which every fourth file has another
+    hash, every fourth is forgotten and every fifth group has a file more; with the rows of the group."""
     where = folder(t)
-    t.execs.select("event_id", "us").repartition(4).write.parquet(f"{where}/table")
+    rows = t.execs.select("event_id", "us", (F.col("u") % 48).alias("part"))
+    rows.repartition(16, "part").write.partitionBy("part").parquet(f"{where}/table")
     current = sinks.file_hashes(t.spark, f"{where}/table").where("path LIKE '%.parquet'")
-    slot = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
-    manifest = current.where(slot != 0).withColumn(
-        "sha256", F.when(slot == 1, F.lit("0")).otherwise(F.col("sha256"))
-    )
-    return sinks.verify_manifest(current, manifest).select("problem")
+    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint")
+    kept = current.where(part % 4 != 1).withColumn("sha256", F.when(part % 4 == 0, F.lit("0")).otherwise(F.col("sha256")))
+    more = current.where(part % 5 == 0).withColumn("path", F.concat("path", F.lit(".old")))
+    problems = sinks.verify_manifest(current, kept.unionByName(more)).select(part.alias("part"), "problem")
+    sizes = t.spark.read.parquet(f"{where}/table").groupBy(F.col("part").cast("bigint").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return problems.join(sizes, "part")
 
 
 def late_slices(t: Tables, where: str) -> DataFrame:
@@ -261,12 +261,13 @@ def parent_stream(t: Tables) -> DataFrame:
       WHERE a.process_name = 'sh' AND b.process_name = 'click'""",
 )
 def shell_then_tool_stream(t: Tables) -> DataFrame:
+    """A third of the events, shells and tools of all times, arrives with the last batch."""
     where = folder(t)
-    execs = t.execs_of(t.base_of(slices(t, where)))
-    pairs = pipelines.shell_then_tool_stream(
-        execs.where("process_name = 'sh'"), execs.where("process_name = 'click'"), DAY_US // 1_000_000
-    )
-    return to_table(pairs, where)
+    execs = t.execs_of(t.base_of(late_slices(t, where)))
+    shells, tools = execs.where("process_name = 'sh'"), execs.where("process_name = 'click'")
+    places = f"{where}/seen", f"{where}/pairs", f"{where}/ck"
+    pipelines.shell_then_tool_stream(shells, tools, *places, DAY_US // 1_000_000).awaitTermination()
+    return pipelines.shell_tool_pairs(t.spark, f"{where}/pairs")
 
 
 @query(
@@ -298,4 +299,4 @@ def alert_stream(t: Tables) -> DataFrame:
         level.alias("severity_level"),
     )
     pipelines.alert_stream(opened, f"{where}/told", "high", f"{where}/ck").awaitTermination()
-    return t.spark.read.parquet(f"{where}/told").select("incident_id")
+    return pipelines.stored(t.spark, f"{where}/told", "incident_id").read().select("incident_id")

@@ -47,6 +47,13 @@ def append_new(
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(s.getPath().toString() for s in found or [])
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     from pyspark.errors import AnalysisException
 

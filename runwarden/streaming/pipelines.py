@@ -16,11 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from runwarden import config
 from runwarden.operators import enrich, incidents, normalize
+from runwarden.operators.ordering import TIME_STEP
 from runwarden.sources import sinks
 from runwarden.sources.merge_table import MergeTable, first_of_key
 
-LATENESS = "10 minutes"
-
 
 def start(
     frame: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
@@ -68,22 +67,72 @@ def normalise_stream(
 # --- joins with history ------------------------------------------------------------------
 
 
+_SEEN = "container_id string, event_id string, us bigint, is_shell boolean, day bigint, batch bigint"
+
+
+def _days(rows: DataFrame, width: int) -> list[int]:
+    """Days on which rows can meet others: shells later ones, tools earlier ones."""
+    first = F.when(F.col("is_shell"), F.col("us")).otherwise(F.col("us") - width)
+    last = F.when(F.col("is_shell"), F.col("us") + width).otherwise(F.col("us"))
+    days = F.sequence(F.floor(first / TIME_STEP), F.floor(last / TIME_STEP))
+    return sorted(r[0] for r in rows.select(F.explode(days)).distinct().collect())
+
+
 def shell_then_tool_stream(
-    shells: DataFrame, tools: DataFrame, seconds: int = config.CORRELATION_SECONDS, lateness: str = LATENESS
-) -> DataFrame:
-    """Stream-stream join: a tool within some seconds after a shell in its container."""
-    s = shells.withWatermark("occurred_at", lateness).select(
-        F.col("container_id").alias("_c"),
-        F.col("event_id").alias("shell_event_id"),
-        F.col("occurred_at").alias("shell_at"),
-    )
-    t = tools.withWatermark("occurred_at", lateness).select(
-        "container_id", F.col("event_id").alias("tool_event_id"), F.col("occurred_at").alias("tool_at")
-    )
-    near = F.expr(f"tool_at >= shell_at AND tool_at <= shell_at + INTERVAL {seconds} SECONDS")
-    return s.join(t, (F.col("_c") == F.col("container_id")) & near).select(
-        "container_id", "shell_event_id", "tool_event_id"
-    )
+    shells: DataFrame,
+    tools: DataFrame,
+    history: str,
+    pairs: str,
+    checkpoint: str,
+    seconds: int = config.CORRELATION_SECONDS,
+) -> StreamingQuery:
+    """Tools within some seconds after a shell of their container, however late either arrives.
+
+    There is no watermark.  Rows are kept below ``history`` by day; a batch reads only the days its
+    rows can meet, and joins new shells with all tools and old shells with new tools.  Pairs of a
+    batch are a folder of their own below ``pairs``; read them with :func:`shell_tool_pairs`.  A
+    batch that is repeated writes the same folders again.  Rows without container or time meet nothing.
+    """
+    width = seconds * 1_000_000
+
+    def side(rows: DataFrame, is_shell: bool) -> DataFrame:
+        return rows.select("container_id", "event_id", F.unix_micros("occurred_at").alias("us"), F.lit(is_shell).alias("is_shell"))
+
+    def named(rows: DataFrame, kind: str) -> DataFrame:
+        chosen = rows.where("is_shell" if kind == "shell" else "NOT is_shell")
+        return chosen.select("container_id", F.col("event_id").alias(f"{kind}_event_id"), F.col("us").alias(f"{kind}_us"))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark, day = batch.sparkSession, F.floor(F.col("us") / TIME_STEP)
+        rows = batch.dropna(subset=["container_id", "us"]).withColumns({"day": day, "batch": F.lit(batch_id).cast("bigint")})
+        # Dynamic: a repeated batch replaces its own folders and no other.
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("day", "batch").parquet(history)
+        mine = f"batch={batch_id}"
+        written = sinks.matching(spark, f"{history}/day=*/{mine}")
+        if not written:
+            return
+        reader = spark.read.schema(_SEEN).option("basePath", history)
+        new = reader.parquet(*written)
+        days = {f"day={d}" for d in _days(new, width)}
+        near = [path for path in sinks.matching(spark, f"{history}/day=*") if path.rsplit("/", 1)[1] in days]
+        known = reader.parquet(*near).where(F.col("batch") <= batch_id)
+        old = known.where(F.col("batch") < batch_id)
+
+        def join(left: DataFrame, right: DataFrame) -> DataFrame:
+            met = enrich.within_seconds_after(named(left, "shell"), named(right, "tool"), ["container_id"], seconds, "shell_us", "tool_us")
+            return met.select("container_id", "shell_event_id", "tool_event_id")
+
+        found = join(new, known).unionByName(join(old, new))
+        found.write.mode("overwrite").parquet(f"{pairs}/{mine}")
+
+    return start(side(shells, True).unionByName(side(tools, False)), each, checkpoint)
+
+
+def shell_tool_pairs(spark: SparkSession, pairs: str) -> DataFrame:
+    """(container_id, shell_event_id, tool_event_id) of all batches, once each also where events were repeated."""
+    schema = "container_id string, shell_event_id string, tool_event_id string, batch bigint"
+    return spark.read.schema(schema).parquet(pairs).drop("batch").distinct()
 
 
 def identity_table(spark: SparkSession, path: str) -> MergeTable:
@@ -103,11 +152,9 @@ def identity_stream(events: DataFrame, table: str, checkpoint: str) -> Streaming
 
 
 def alert_stream(opened: DataFrame, notified: str, minimum: str, checkpoint: str) -> StreamingQuery:
-    """Incidents that nobody was told about, each one once."""
+    """Incidents to tell somebody about, committed to a merge table in which the first alert of each stays.
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        told = spark.read.parquet(notified) if sinks.exists(spark, notified) else batch.where("false")
-        sinks.append_new(incidents.new_alerts(batch, told, minimum), notified, key="incident_id")
-
-    return start(opened, each, checkpoint)
+    A batch reads nothing stored.  Read the table with ``stored(spark, notified, "incident_id")``.
+    """
+    told, source = stored(opened.sparkSession, notified, "incident_id"), source_of(checkpoint)
+    return start(opened, lambda batch, batch_id: told.commit(incidents.alert_worthy(batch, minimum), source, batch_id) and None, checkpoint)

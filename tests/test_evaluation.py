@@ -1,5 +1,7 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +127,52 @@ def test_bootstrap(spark):
     assert (sure.lower, sure.upper, sure.non_inferior) == (1.0, 1.0, True)
 
 
+def test_bootstrap_draws_are_binomial():
+    evenly = (np.arange(20_000) + 0.5) / 20_000
+    for runs, detected in [(7, 2), (50, 49), (400, 200), (3, 0), (5, 5)]:
+        hits = evaluate._binomial_hits(runs, detected, evenly)
+        for value in range(runs + 1):
+            chance = math.comb(runs, value) * (detected / runs) ** value * (1 - detected / runs) ** (runs - value)
+            assert abs((hits == value).mean() - chance) < 2 / 20_000
+    # A stratum of any size needs the root of its runs.
+    many = evaluate._binomial_hits(10**10, 3 * 10**9, evenly)
+    assert abs(many.mean() / 3e9 - 1) < 1e-6 and many.std() == pytest.approx(math.sqrt(10**10 * 0.21), rel=0.01)
+
+
+def test_bootstrap_of_each_arm(spark):
+    rows = [("x", "a", 40, 40), ("x", "b", 20, 10), ("y", "a", 9, 3), (None, "a", 5, 5), ("z", "a", 0, 0)]
+    strata = spark.createDataFrame(rows, "scope string, stratum string, runs bigint, detected bigint")
+    got = {r.scope: (r.runs, r.lower, r.upper) for r in evaluate.bootstrap_interval(strata, ["scope"], 500).collect()}
+    one = evaluate.bootstrap_interval(strata.where("scope = 'x'"), (), 500).first()
+    assert set(got) == {"x", "y", None} and got["x"] == (60, one.lower, one.upper) and got[None] == (5, 1.0, 1.0)
+    assert evaluate.bootstrap_interval(strata.where("false"), (), 500).count() == 0
+
+
+def test_recall_gate_uses_the_lower_bound(spark):
+    # Fine arm 18 of 20 and coarse arm 18 of 20: equal points, but the bound is further below.
+    rows = [(s, f"t{i}", "f", "s", "test", True, True, i < 18) for s in ("fine", "coarse") for i in range(20)]
+    schema = "scope string, trial_id string, workload_family string, scenario_id string, split string, attack_like boolean, has_reference boolean, positive boolean"
+    scored = spark.createDataFrame(rows, schema)
+    arms = spark.createDataFrame([("c", "fine", "coarse"), ("none", "absent", "coarse")], "contrast string, fine string, coarse string")
+    got = {r.contrast: r for r in evaluate.recall_not_inferior(scored, arms).collect()}
+    assert got["c"].recall_lower < 0.85 and not got["c"].non_inferior
+    assert got["none"].recall_lower is None and not got["none"].non_inferior
+    assert evaluate.recall_not_inferior(scored, arms, margin=0.5).where("contrast = 'c'").first().non_inferior
+
+
+def test_holm_in_chunks(spark, hot):
+    rng = random.Random(3)
+    rows = [("all" if i % 3 else f"f{i % 5}", f"c{i}", round(rng.random() ** 4, 3)) for i in range(400)] + [(None, "n", 0.5)]
+    tests = spark.createDataFrame(rows, "family string, contrast string, p_value double")
+    want = {}
+    for family in {r[0] for r in rows}:
+        reached, mine = 0.0, sorted((p, c) for f, c, p in rows if f == family)
+        for place, (p, c) in enumerate(mine):
+            reached = max(reached, min(1.0, p * (len(mine) - place)))
+            want[c] = reached
+    assert {r.contrast: r.adjusted_p for r in evaluate.holm(tests).collect()} == pytest.approx(want)
+
+
 def test_degenerate_contrasts(spark):
     rows = [("const", i, True, i % 2 == 0) for i in range(6)] + [("same", i, i < 3, i < 3) for i in range(6)]
     rows += [("fine", i, i < 3, i % 2 == 0) for i in range(6)]

@@ -35,11 +35,14 @@ def check(rows):
         .withColumn("prev", F.last("v", True).over(before))
         .withColumn("total", F.sum(F.coalesce("v", F.lit(0))).over(upto))
         .withColumn("no", F.row_number().over(plain))
+        .withColumn("top", F.max("v").over(upto))
+        .withColumn("all", F.sum("v").over(Window.partitionBy("k")))
     )
     line = Ordered(rows, ["k"], ["t", "id"])
     line = line.lead("v", "next").last("v", "last").last("v", "prev", include_current=False)
     line = line.running_sum({"total": F.coalesce("v", F.lit(0))}).number("no")
-    names = ["next", "last", "prev", "total", "no"]
+    line = line.running_max("v", "top").total("all", F.col("v"))
+    names = ["next", "last", "prev", "total", "no", "top", "all"]
     assert collected(line.rows, *names) == collected(want, *names)
 
 

@@ -41,6 +41,35 @@ def test_parents_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
     assert any(r.parent_event_id for r in want) and written.count() > len(want)
 
 
+def test_tools_after_shells_however_late(spark, tmp_path):
+    schema = "container_id string, event_id string, occurred_at timestamp, shell boolean"
+    rng, where = random.Random(4), str(tmp_path)
+    rows = [("c0" if i % 3 else f"c{i % 4}", f"e{i:03}", NOW + timedelta(seconds=rng.randrange(200_000)), i % 2 == 0) for i in range(240)]
+    rows += [("c0", "edge-shell", NOW.replace(hour=23, minute=59, second=30), True), (None, "no container", NOW, True)]
+    rows += [("c0", "edge-tool", NOW.replace(day=22, hour=0, minute=1), False), ("c0", "no time", None, False)]
+    rng.shuffle(rows)
+    # Any order: rows come days behind the newest one.  Some come twice.
+    stream = files(spark, rows + rows[:20], schema, f"{where}/in", 4)
+    places = f"{where}/seen", f"{where}/pairs", f"{where}/ck"
+    pipelines.shell_then_tool_stream(stream.where("shell"), stream.where("NOT shell"), *places, 600).awaitTermination()
+    got = sorted(map(tuple, pipelines.shell_tool_pairs(spark, f"{where}/pairs").collect()))
+    usable = [r for r in rows if r[0] and r[2]]
+    shells, tools = [r for r in usable if r[3]], [r for r in usable if not r[3]]
+    near = lambda s, t: s[0] == t[0] and timedelta(0) <= t[2] - s[2] <= timedelta(seconds=600)
+    want = sorted((s[0], s[1], t[1]) for s in shells for t in tools if near(s, t))
+    assert got == want and ("c0", "edge-shell", "edge-tool") in got
+
+
+def test_alerts_are_committed_once(spark, tmp_path):
+    rows = [(f"i{i % 5}", "open" if i % 7 else "closed", "high" if i % 2 else "low") for i in range(30)]
+    where = str(tmp_path)
+    stream = files(spark, rows, "incident_id string, status string, severity_level string", f"{where}/in", 3)
+    for run in range(2):  # the second query has no memory of the first one
+        pipelines.alert_stream(stream, f"{where}/told", "high", f"{where}/ck{run}").awaitTermination()
+    told = [r.incident_id for r in pipelines.stored(spark, f"{where}/told", "incident_id").read().collect()]
+    assert sorted(told) == sorted({r[0] for r in rows if r[1:] == ("open", "high")})
+
+
 class _Handle:
     """State and timers of one key, as the processor sees them."""
 
