@@ -183,6 +183,69 @@ def test_published_notices(spark):
         assert got.get(str(k)) == [want] if want else got.get(str(k)), k
 
 
+def recognised(text):
+    """Licences of a text, by the definition: sentences of each reading, then rules in order."""
+    known = re.compile(r"licen[cs]e|permission|redistribution|free software|terms of|copyright|public domain|boost software|cc0", re.I)
+    if not known.search(text or ""):
+        return []
+    clause = r"(neither\W+the\W+name\W+of)\W(?:(?!\bneither\W+the\W+name\W+of\W).)+?\W(nor\W+the\W+names\W+of\W+its\W+contributors)\b"
+    text = re.sub(r"(?is)\b" + clause, r"\1 the copyright holder \2", text)
+    end, blank = r"(?<=[.!?;:])(?<!\bv\.)(?<!\bV\.)\s+", r"\n[^a-zA-Z0-9\n]*\n\s*"
+    found = []
+    for cut in (r"(?<=[.!?;:])\s+", f"{blank}|{end}", rf"\n\s*|{end}"):
+        ids = []
+        for sentence in re.split(cut, text):
+            words = " ".join(re.findall("[a-z0-9]+", sentence.lower()))
+            words = re.sub("^([0-9]+|[a-d]) (?=redistributions |neither )", "", words)
+            ids += [SENTENCES[words]] if words in SENTENCES else []
+        for name, rule in RULES:
+            at = 0
+            while at + len(rule) <= len(ids):
+                if tuple(ids[at : at + len(rule)]) == rule:
+                    ids[at : at + len(rule)] = [None]
+                    found.append(name)
+                at += 1
+        found += ["incomplete"] if any(ids) else []
+    return sorted(set(found) - {"incomplete"} or set(found))
+
+
+def test_licences_equal_the_definition(spark):
+    """Random mixtures of known sentences, notices and other text against a matcher in plain Python."""
+    rng = random.Random(12)
+    parts = [*SENTENCES, "Some other words.", "The end", "copyright 2020 x", "", "v. 2.0", BSD, MIT, NAMES.format("A. B. Inc."), NAMES.format("x " * 2000)]
+    texts = ["".join(rng.choice(parts) + rng.choice([". ", "; ", "\n", "\n\n", ": ", ".\n * ", " "]) for _ in range(rng.randrange(1, 9))) for _ in range(150)]
+    texts += [BSD + NAMES.format("the " + "long " * 3000), NAMES.format("X") * 3, "neither the name of X. " * 2000 + BSD]
+    frame = spark.createDataFrame(list(enumerate(texts)), "purl int, license_text string")
+    got = {}
+    for r in component_licenses(frame).collect():
+        got.setdefault(r.purl, []).append(r.license)
+    for i, text in enumerate(texts):
+        assert sorted(got.get(i, [])) == recognised(text), text[:500]
+
+
+def test_sentences_apart_stay_apart(spark):
+    grant = next(s for s, i in SENTENCES.items() if i == "mit_grant")
+    notice = next(s for s, i in SENTENCES.items() if i == "mit_notice")
+    text = f"{grant}.\n\nlicensed under cc0 1 0.\n\n{notice}."
+    got = component_licenses(spark.createDataFrame([("p", text)], "purl string, license_text string")).collect()
+    assert [r.license for r in got] == ["CC0-1.0"]
+
+
+@pytest.mark.parametrize("notice,name", [
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as "
+     "published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n", "LGPL-2.1-or-later"),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published "
+     "by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n", "AGPL-3.0-or-later"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+     "copyright notice and this permission notice appear in all copies.\n", "ISC"),
+    ("This is free and unencumbered software released into the public domain.\n", "Unlicense"),
+])
+def test_more_published_notices(spark, notice, name):
+    shapes = [notice, "Copyright (c) 2020 X\n\n" + notice, "/*\n" + "".join(f" * {x}\n" for x in ("X", "", *notice.split("\n")))]
+    frame = spark.createDataFrame(list(enumerate(shapes)), "purl int, license_text string")
+    assert [(r.purl, r.license) for r in component_licenses(frame).orderBy("purl").collect()] == [(i, name) for i in range(3)]
+
+
 def test_archives_round_trip(spark, tmp_path):
     rows = [(i, f"http://h/{i}\r\n", "".join(random.choices("abc <>é", k=random.choice((5, 400, 3000))))) for i in range(60)]
     same = "<p>same page</p>" * 100
